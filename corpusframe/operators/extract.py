@@ -12,21 +12,30 @@ from corpusframe.functions import text as X
 from corpusframe.operators.ordered import left_context
 
 
-def spans(df: DataFrame, text: str, pattern: str, groups: dict[str, int], body: str = "body",
-          index: str = "sec_idx") -> DataFrame:
-    """One row per match: the named groups, and ``body`` = text up to the next match.
+def span_array(c: Column, pattern: str, groups: dict[str, int], body: str = "body") -> Column:
+    """array<struct<groups.., body>>: one entry per match, ``body`` = text up to the next match.
 
-    Splitting at the heads gives the bodies, extracting the heads gives the groups; both scan the
-    text once and need no ordering step.
+    Splitting at the heads gives the bodies, extracting the heads gives the groups. Everything is
+    done inside the row: no ordering step, no shuffle.
     """
-    lit = F.lit(pattern)
-    staged = df.withColumn("__bodies", F.split(F.col(text), pattern, -1))
-    lists = {name: F.regexp_extract_all(F.col(text), lit, F.lit(g)) for name, g in groups.items()}
-    staged = staged.withColumns(lists).withColumn(
-        body, F.slice("__bodies", 2, F.greatest(F.size("__bodies") - 1, F.lit(0))))
-    zipped = F.arrays_zip(*[F.col(n) for n in (*groups, body)])
+    pieces = F.split(c, pattern, -1)
+    bodies = F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0)))
+    lists = [F.regexp_extract_all(c, F.lit(pattern), F.lit(g)) for g in groups.values()]
+    names = [*groups, body]
+    return F.transform(F.arrays_zip(*lists, bodies), lambda s: F.struct(*[s[str(i)].alias(n) for i, n in enumerate(names)]))
+
+
+def spans(df: DataFrame, text: str, pattern: str, groups: dict[str, int], body: str = "body",
+          index: str = "sec_idx") -> DataFrame:
+    """``span_array`` as rows numbered by ``index``."""
     kept = [c for c in df.columns]
-    return staged.select(*kept, F.posexplode(zipped).alias(index, "__m")).select(*kept, index, "__m.*")
+    return df.select(*kept, F.posexplode(span_array(F.col(text), pattern, groups, body)).alias(index, "__m")) \
+        .select(*kept, index, "__m.*")
+
+
+def _numbered(c: Column, extra: dict[str, Column]) -> Column:
+    """Entries of an array with their position and constant fields."""
+    return F.transform(c, lambda s, i: F.struct(i.alias("idx"), s.alias("m"), *[v.alias(k) for k, v in extra.items()]))
 
 
 def page_type(pages: DataFrame, text: str = "raw_text", words=R.PAGE_TYPE_WORDS) -> DataFrame:
@@ -71,18 +80,20 @@ def extract_provisions(pages: DataFrame, keep: list[str] | None = None, pattern:
         X.strip(F.col("body")).alias("content"), F.lit(False).alias("is_continuation"))
 
 
+def fallback_array(c: Column) -> Column:
+    """Provisions by the strict heads, or by the loose heads where the strict ones find nothing."""
+    groups = {"number": 1, "head": 2}
+    strict, loose = (_numbered(span_array(c, p, groups), {"found_by": F.lit(n)})
+                     for p, n in ((R.HEAD_STRICT, "strict"), (R.HEAD_LOOSE, "loose")))
+    return F.when(F.rlike(c, F.lit(R.HEAD_STRICT)), strict).otherwise(loose)
+
+
 def extract_with_fallback(pages: DataFrame, key: list[str] = ("doc_id", "page_idx")) -> DataFrame:
-    """Strict heads; pages where they give nothing are read with the loose heads instead."""
-    text = F.col("raw_text")
-    strict = F.rlike(text, F.lit(R.HEAD_STRICT))
-    parts = []
-    for pages_part, pattern, name in ((pages.filter(strict), R.HEAD_STRICT, "strict"),
-                                      (pages.filter(~strict), R.HEAD_LOOSE, "loose")):
-        rows = spans(pages_part.select(*key, "raw_text"), "raw_text", pattern, {"number": 1, "head": 2})
-        parts.append(rows.select(*key, "sec_idx", F.col("number").alias("section_number"),
-                                 X.clean_title(F.col("head"), quotes=False).alias("section_title"),
-                                 X.strip(F.col("body")).alias("content"), F.lit(name).alias("found_by")))
-    return reduce(DataFrame.unionByName, parts).filter((F.col("content") != "") | (F.col("section_title") != ""))
+    rows = pages.select(*key, F.explode(fallback_array(F.col("raw_text"))).alias("s"))
+    return rows.select(*key, F.col("s.idx").alias("sec_idx"), F.col("s.m.number").alias("section_number"),
+                       X.clean_title(F.col("s.m.head"), quotes=False).alias("section_title"),
+                       X.strip(F.col("s.m.body")).alias("content"), "s.found_by") \
+        .filter((F.col("content") != "") | (F.col("section_title") != ""))
 
 
 def amendment_action(c: Column) -> Column:
@@ -99,39 +110,40 @@ def target_section(c: Column) -> Column:
     return F.coalesce(F.nullif(F.regexp_extract(c, r"(?i)section\s+(\d+)", 1), F.lit("")), F.lit("unknown"))
 
 
-def _whole(rows: DataFrame) -> Column:
-    return X.strip(F.concat(F.col("head"), F.col("body")))
+def _whole(head: str = "s.m.head", body: str = "s.m.body") -> Column:
+    return X.strip(F.concat(F.col(head), F.col(body)))
+
+
+def amendment_array(c: Column, numbered: str) -> Column:
+    """Substituted sections, then the numbered amending provisions, each with its whole text."""
+    field = {"head": 0, "number": 1}
+    subs = _numbered(span_array(c, R.SUBSTITUTION, field), {"form": F.lit("substitution")})
+    rest = _numbered(span_array(c, numbered, field), {"form": F.lit("amending")})
+    return F.concat(subs, rest)
 
 
 def extract_amendment_sections(pages: DataFrame, key: list[str] = ("doc_id", "page_idx")) -> DataFrame:
     """Substituted sections and numbered amending sections, with action and target."""
-    src = pages.select(*key, "raw_text")
-    subs = spans(src, "raw_text", R.SUBSTITUTION, {"head": 0, "number": 1})
-    subs = subs.select(*key, F.lit("substitution").alias("form"), "sec_idx", F.col("number").alias("section_number"),
-                       F.concat(F.lit("Substitution of section "), "number").alias("section_title"),
-                       _whole(subs).alias("content"), F.lit("substitution").alias("amendment_action"),
-                       F.col("number").alias("target_section"))
-    heads = spans(src, "raw_text", R.AMENDING, {"head": 0, "number": 1})
-    heads = heads.select(*key, "sec_idx", "number", _whole(heads).alias("content"))
-    heads = heads.withColumns({"amendment_action": amendment_action(F.col("content")),
-                               "target_section": target_section(F.col("content"))})
-    heads = heads.select(*key, F.lit("amending").alias("form"), "sec_idx", F.col("number").alias("section_number"),
-                         F.concat(X.capitalise(F.col("amendment_action")), F.lit(" of section "), "target_section")
-                         .alias("section_title"), "content", "amendment_action", "target_section")
-    return subs.unionByName(heads)
+    rows = pages.select(*key, F.explode(amendment_array(F.col("raw_text"), R.AMENDING)).alias("s"))
+    rows = rows.select(*key, "s.form", F.col("s.idx").alias("sec_idx"), F.col("s.m.number").alias("section_number"),
+                       _whole().alias("content"))
+    subst = F.col("form") == "substitution"
+    rows = rows.withColumns({
+        "amendment_action": F.when(subst, F.lit("substitution")).otherwise(amendment_action(F.col("content"))),
+        "target_section": F.when(subst, F.col("section_number")).otherwise(target_section(F.col("content")))})
+    return rows.withColumn("section_title", F.concat(X.capitalise(F.col("amendment_action")), F.lit(" of section "), "target_section"))
 
 
 def extract_amendments(pages: DataFrame, key: list[str] = ("doc_id", "page_idx")) -> DataFrame:
     """Amendment list of a page: substitutions as ``sub_N`` and ``N. Amendment of section M`` spans."""
-    src = pages.select(*key, "raw_text")
-    subs = spans(src, "raw_text", R.SUBSTITUTION, {"head": 0, "number": 1}, index="item_idx")
-    subs = subs.select(*key, "item_idx", F.concat(F.lit("sub_"), "number").alias("amendment_number"),
-                       F.col("number").alias("target_section"), F.lit("substitution").alias("amendment_action"),
-                       _whole(subs).alias("amendment_text"))
-    heads = spans(src, "raw_text", R.AMENDMENT_OF, {"head": 0, "number": 1, "target": 3}, index="item_idx")
-    heads = heads.select(*key, "item_idx", F.col("number").alias("amendment_number"), F.col("target").alias("target_section"),
-                         amendment_action(_whole(heads)).alias("amendment_action"), _whole(heads).alias("amendment_text"))
-    return subs.unionByName(heads)
+    rows = pages.select(*key, F.explode(amendment_array(F.col("raw_text"), R.AMENDMENT_OF)).alias("s"))
+    rows = rows.select(*key, F.col("s.idx").alias("item_idx"), "s.form", F.col("s.m.number").alias("number"), F.col("s.m.head").alias("head"),
+                       _whole().alias("amendment_text"))
+    subst = F.col("form") == "substitution"
+    return rows.select(*key, "item_idx", F.when(subst, F.concat(F.lit("sub_"), "number")).otherwise(F.col("number")).alias("amendment_number"),
+                       F.when(subst, F.col("number")).otherwise(F.regexp_extract("head", R.AMENDMENT_OF, 3)).alias("target_section"),
+                       F.when(subst, F.lit("substitution")).otherwise(amendment_action(F.col("amendment_text"))).alias("amendment_action"),
+                       "amendment_text")
 
 
 def amendment_heads(pages: DataFrame, key: list[str] = ("doc_id", "page_idx")) -> DataFrame:
@@ -169,14 +181,11 @@ def legal_terms(df: DataFrame, text: str, key: list[str]) -> DataFrame:
 
 def extract_items(pages: DataFrame, kinds=R.ITEM_HEADS, key: list[str] = ("doc_id", "page_idx")) -> DataFrame:
     """Schedules, forms and tables as rows of one item table."""
-    src = pages.select(*key, "raw_text")
-    parts = []
-    for kind, pattern in kinds.items():
-        rows = spans(src, "raw_text", pattern, {"head": 0, "number": 1, "rest": 2}, index="item_idx")
-        parts.append(rows.select(*key, F.lit(kind).alias("item_kind"), "item_idx", "number",
-                                 F.nullif(X.strip(F.col("rest")), F.lit("")).alias("title"),
-                                 X.strip(F.col("head")).alias("content")))
-    return reduce(DataFrame.unionByName, parts)
+    groups = {"head": 0, "number": 1, "rest": 2}
+    found = F.concat(*[_numbered(span_array(F.col("raw_text"), p, groups), {"kind": F.lit(k)}) for k, p in kinds.items()])
+    rows = pages.select(*key, F.explode(found).alias("s"))
+    return rows.select(*key, F.col("s.kind").alias("item_kind"), F.col("s.idx").alias("item_idx"), "s.m.number",
+                       F.nullif(X.strip(F.col("s.m.rest")), F.lit("")).alias("title"), X.strip(F.col("s.m.head")).alias("content"))
 
 
 def extract_headed_lines(pages: DataFrame, heads=R.HEADED_LINES, key: list[str] = ("doc_id", "page_idx")) -> DataFrame:

@@ -49,13 +49,13 @@ def running_sum(df: DataFrame, keys: list[str], order: list[str], position: str,
     """Running total of ``value`` within ``keys``; per block, plus the total of the earlier blocks."""
     staged = df.withColumns({"__b": block_of(position, block), "__v": value.cast("long")})
     w = W.partitionBy(*keys, "__b").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    inner = staged.withColumn("__run", F.sum("__v").over(w))
+    inner = staged.withColumn("__acc", F.sum("__v").over(w))
     carried = _carry(staged, keys, order, position, block, F.sum("__v"), F.sum)
-    total = F.col("__run") + F.coalesce(F.col("__in"), F.lit(0))
+    total = F.col("__acc") + F.coalesce(F.col("__in"), F.lit(0))
     if not inclusive:
         total = total - F.col("__v")
     joined = inner.join(carried, [*keys, "__b"])
-    return joined.withColumn(out, total).drop("__b", "__v", "__run", "__in")
+    return joined.withColumn(out, total).drop("__b", "__v", "__acc", "__in")
 
 
 def last_event(df: DataFrame, keys: list[str], order: list[str], position: str, event: Column, out: str,
@@ -63,7 +63,7 @@ def last_event(df: DataFrame, keys: list[str], order: list[str], position: str,
     """Latest non-null ``event`` within ``keys`` up to the row (or before it, ``inclusive=False``)."""
     staged = df.withColumns({"__b": block_of(position, block), "__v": event})
     w = W.partitionBy(*keys, "__b").orderBy(*order).rowsBetween(W.unboundedPreceding, 0 if inclusive else -1)
-    inner = staged.withColumn("__run", F.last("__v", ignorenulls=True).over(w))
+    inner = staged.withColumn("__acc", F.last("__v", ignorenulls=True).over(w))
     present = staged.filter(F.col("__v").isNotNull())
     carried = present.groupBy(*keys, "__b").agg(F.max_by("__v", F.struct(*order)).alias("__sum"))
     # blocks without an event take the value of the latest earlier block that has one
@@ -71,7 +71,7 @@ def last_event(df: DataFrame, keys: list[str], order: list[str], position: str,
     wb = W.partitionBy(*keys).orderBy("__b").rowsBetween(W.unboundedPreceding, -1)
     carry = all_blocks.select(*keys, "__b", F.last("__sum", ignorenulls=True).over(wb).alias("__in"))
     joined = inner.join(carry, [*keys, "__b"])
-    return joined.withColumn(out, F.coalesce(F.col("__run"), F.col("__in"))).drop("__b", "__v", "__run", "__in")
+    return joined.withColumn(out, F.coalesce(F.col("__acc"), F.col("__in"))).drop("__b", "__v", "__acc", "__in")
 
 
 def dense_index(df: DataFrame, order: list[str], block: Column, out: str = "index") -> DataFrame:
