@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corpusframe.functions import text as X
 from corpusframe.operators.extract import amendment_action  # noqa: F401  (re-exported for callers)
 from corpusframe.operators.ordered import running_sum
+from corpusframe.settings import durable
 
 MAX_CHUNK, MIN_CHUNK = 8000, 100
 HIERARCHY = ["subsections", "provisos", "explanations"]
@@ -86,7 +87,7 @@ def make_chunks(documents: DataFrame, sections: DataFrame, amendments: DataFrame
         s = s.withColumn("id_number", F.col("number")).unionByName(a)
     else:
         s = s.withColumn("id_number", F.col("number"))
-    counted = running_sum(s, ["doc_id"], ["page_idx", "ord", "pos"], "page_idx", F.col("n_pieces"), "__offset", inclusive=False)
+    counted = running_sum(durable(s), ["doc_id"], ["page_idx", "ord", "pos"], "page_idx", F.col("n_pieces"), "__offset", inclusive=False)
     one = counted.select(*[c for c in counted.columns if c != "pieces"], F.posexplode("pieces").alias("part", "text"))
     j = one.join(documents, "doc_id")
     part = F.concat(F.lit(" (part "), (F.col("part") + 1).cast("string"), F.lit(")"))

@@ -4,6 +4,9 @@ Rows carry a dense position (``page_idx``: the array position of a page). A docu
 blocks of consecutive positions; each block is a window partition of its own, and what has to travel
 between blocks travels as one small summary row per block. A document with a third of all pages is
 therefore spread over as many tasks as it has blocks.
+
+``running_sum`` and ``last_event`` read their input twice (rows and block summaries). Hand them a
+stored table (``settings.durable``) when the input is expensive.
 """
 
 from __future__ import annotations
@@ -37,20 +40,15 @@ def left_context(df: DataFrame, keys: list[str], position: str, value: Column, o
     return both.withColumn(out, F.collect_list("__v").over(w)).filter(~F.col("__ctx")).drop("__v", "__b", "__ctx")
 
 
-def _carry(df: DataFrame, keys, order, position, block, summary: Column, combine) -> DataFrame:
-    """Join a per-block value, combined over all earlier blocks, back to the rows as ``__in``."""
-    blocks = df.groupBy(*keys, "__b").agg(summary.alias("__sum"))
-    w = W.partitionBy(*keys).orderBy("__b").rowsBetween(W.unboundedPreceding, -1)
-    return blocks.select(*keys, "__b", combine(F.col("__sum")).over(w).alias("__in"))
-
-
 def running_sum(df: DataFrame, keys: list[str], order: list[str], position: str, value: Column, out: str,
                 block: int = BLOCK, inclusive: bool = True) -> DataFrame:
     """Running total of ``value`` within ``keys``; per block, plus the total of the earlier blocks."""
     staged = df.withColumns({"__b": block_of(position, block), "__v": value.cast("long")})
     w = W.partitionBy(*keys, "__b").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     inner = staged.withColumn("__acc", F.sum("__v").over(w))
-    carried = _carry(staged, keys, order, position, block, F.sum("__v"), F.sum)
+    blocks = staged.groupBy(*keys, "__b").agg(F.sum("__v").alias("__sum"))
+    wb = W.partitionBy(*keys).orderBy("__b").rowsBetween(W.unboundedPreceding, -1)
+    carried = blocks.select(*keys, "__b", F.sum("__sum").over(wb).alias("__in"))
     total = F.col("__acc") + F.coalesce(F.col("__in"), F.lit(0))
     if not inclusive:
         total = total - F.col("__v")
@@ -64,12 +62,11 @@ def last_event(df: DataFrame, keys: list[str], order: list[str], position: str,
     staged = df.withColumns({"__b": block_of(position, block), "__v": event})
     w = W.partitionBy(*keys, "__b").orderBy(*order).rowsBetween(W.unboundedPreceding, 0 if inclusive else -1)
     inner = staged.withColumn("__acc", F.last("__v", ignorenulls=True).over(w))
-    present = staged.filter(F.col("__v").isNotNull())
-    carried = present.groupBy(*keys, "__b").agg(F.max_by("__v", F.struct(*order)).alias("__sum"))
-    # blocks without an event take the value of the latest earlier block that has one
-    all_blocks = staged.select(*keys, "__b").distinct().join(carried, [*keys, "__b"], "left")
+    # a block without an event takes the value of the latest earlier block that has one
+    blocks = staged.groupBy(*keys, "__b").agg(
+        F.max_by("__v", F.when(F.col("__v").isNotNull(), F.struct(*order))).alias("__sum"))
     wb = W.partitionBy(*keys).orderBy("__b").rowsBetween(W.unboundedPreceding, -1)
-    carry = all_blocks.select(*keys, "__b", F.last("__sum", ignorenulls=True).over(wb).alias("__in"))
+    carry = blocks.select(*keys, "__b", F.last("__sum", ignorenulls=True).over(wb).alias("__in"))
     joined = inner.join(carry, [*keys, "__b"])
     return joined.withColumn(out, F.coalesce(F.col("__acc"), F.col("__in"))).drop("__b", "__v", "__acc", "__in")
 

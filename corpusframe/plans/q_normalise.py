@@ -17,6 +17,7 @@ from corpusframe.plans.q_repair import SQL_MARKED, SQL_MERGED
 from corpusframe.plans.q_text import SQL_SLUG
 from corpusframe.plans.q_validate import SQL_STRUCT, structures
 from corpusframe.plans.registry import query, table
+from corpusframe.settings import durable
 
 strip = S.sql_strip
 KEY = ["doc_id", "page_idx", "kind", "sec_idx"]
@@ -42,7 +43,7 @@ hier AS (
   UNION ALL SELECT {K}, 'explanation', 0, 0, row_number() OVER (PARTITION BY {K} ORDER BY pos), '', l FROM ln6 WHERE what = 'explanation')"""
 
 
-@query("parse_hierarchy", "WITH " + S.SQL_SECTIONS + ", " + SQL_HIER + f" SELECT {K}, level, sub, clause::BIGINT AS clause, item::BIGINT AS item, number, text FROM hier")
+@query("parse_hierarchy", "WITH " + S.SQL_SECTIONS + ", " + SQL_HIER + f" SELECT {K}, level, sub::BIGINT AS sub, clause::BIGINT AS clause, item::BIGINT AS item, number, text FROM hier")
 def parse_hierarchy(spark, sf):
     return N.hierarchy_rows(N.parse_hierarchy(S.sections(spark, sf)), KEY)
 
@@ -150,9 +151,9 @@ def infer_doc_type(spark, sf):
     return C.infer_doc_type(bare_documents(spark, sf), telling_pages(spark, sf)).select("doc_id", "document_type")
 
 
-@query("infer_year", "WITH " + SQL_TELL + " SELECT doc_id, year FROM typ")
+@query("infer_year", "WITH " + SQL_TELL + " SELECT doc_id, coalesce(year::VARCHAR, '') AS year FROM typ")
 def infer_year(spark, sf):
-    return C.infer_year(bare_documents(spark, sf), telling_pages(spark, sf)).select("doc_id", "year")
+    return C.infer_year(bare_documents(spark, sf), telling_pages(spark, sf)).select("doc_id", F.coalesce(F.col("year").cast("string"), F.lit("")).alias("year"))
 
 
 _DOM = ", ".join(f"{{'neg': -len(list_filter({SQL_LIST(ts)}, lambda k: contains(t, k))), 'ord': {i}, 'domain': '{d}'}}" for i, (d, ts) in enumerate(R.DOMAIN_TERMS.items()))
@@ -185,9 +186,10 @@ def page_rollup(spark, sf):
 
 
 @query("canonical_documents", "WITH " + SQL_TELL + ", " + SQL_DOMAINS + """
-SELECT doc_id, document_name, document_type, year, 'India' AS jurisdiction, source, primary_domain, coalesce(secondary_domains, '') AS secondary_domains, language FROM typ LEFT JOIN doms USING (doc_id)""")
+SELECT doc_id, document_name, document_type, coalesce(year::VARCHAR, '') AS year, 'India' AS jurisdiction, source, primary_domain, coalesce(secondary_domains, '') AS secondary_domains, language FROM typ LEFT JOIN doms USING (doc_id)""")
 def canonical_documents(spark, sf):
     d = C.canonical_documents(bare_documents(spark, sf), telling_pages(spark, sf))
+    d = d.withColumn("year", F.coalesce(F.col("year").cast("string"), F.lit("")))
     return d.select("doc_id", "document_name", "document_type", "year", "jurisdiction", "source", "primary_domain", "secondary_domains", "language")
 
 
@@ -277,7 +279,7 @@ def chunk_report(spark, sf):
 
 def build(spark, sf):
     """The corpus build: damaged sections, continued, merged, normalised, cut into chunks."""
-    s = M.merge_sections(RP.mark_continuations(S.damaged(spark, sf)))
+    s = M.merge_sections(RP.mark_continuations(durable(S.damaged(spark, sf))))
     s = s.withColumn("content", F.replace("content", F.lit("\n"), F.lit("\n\n")))
     a = E.extract_amendments(S.raw_pages(spark, sf)).withColumn("source_page", F.col("page_idx") + 1)
     return CH.make_chunks(chunk_documents(spark, sf), C.canonicalise(N.normalise(s)), a, LONG, SHORT)

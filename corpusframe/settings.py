@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,18 +27,29 @@ def session(app: str = "corpusframe", master: str | None = None, **conf) -> Spar
     return builder.getOrCreate()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in ``spark.checkpoint.dir``.
+
+    A folder of our own is made, and set, only where none is named, which is the case in local tests.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named:
+        named = tempfile.mkdtemp(prefix="spark-")
+        spark.conf.set("spark.checkpoint.dir", named)
+    return named.rstrip("/")
+
+
 def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df`` through reliable storage.
+    """``df`` as a written table in the shared folder.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. A folder of our own is
-    chosen only where none is named, which is the case in local tests.
+    Used where a result is read by several branches of a plan: the branches then read the columns
+    they need from the table instead of computing everything again, and a lost executor costs a
+    read, not a recomputation.
     """
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp")))
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(spark)}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def fits(df: DataFrame, max_rows: int) -> bool:
