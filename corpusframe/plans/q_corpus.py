@@ -107,10 +107,10 @@ def embedding_manifest(spark, sf):
 
 
 @query("to_collection", "WITH " + SQL_CHUNKS + """, c AS (SELECT *, source_pages::JSON::VARCHAR AS sp FROM chunks WHERE chunk_type = 'section' OR document_type <> 'Rules')
-SELECT chunk_id, document, document_type, coalesce(document_year, 0)::BIGINT AS document_year, language, domain, section_number, section_title, '' AS rule_number, '' AS rule_title,
+SELECT doc_id || '_' || chunk_id AS chunk_id, document, document_type, coalesce(document_year, 0)::BIGINT AS document_year, language, domain, section_number, section_title, '' AS rule_number, '' AS rule_title,
   replace(sp, ' ', '') AS source_pages, text FROM c""")
 def to_collection(spark, sf):
-    c = stored_chunks(spark, sf)
+    c = stored_chunks(spark, sf).withColumn("chunk_id", F.concat(F.col("doc_id").cast("string"), F.lit("_"), "chunk_id"))
     stored = c.filter("chunk_type = 'amendment' AND document_type = 'Rules'").select("chunk_id")
     return sinks.to_collection(c, stored).drop("keywords", "cross_references")
 

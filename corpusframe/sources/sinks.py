@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusframe.operators.ordered import dense_index
@@ -48,10 +49,14 @@ def embedding_manifest(chunks: DataFrame) -> DataFrame:
                        F.coalesce("language", "domain", F.lit("all")).alias("key"), "n")
 
 
-def to_collection(chunks: DataFrame, stored_ids: DataFrame) -> DataFrame:
-    """Records to add to a collection: new ids only, scalars as text, lists as JSON text, no year = 0."""
+def to_collection(chunks: DataFrame, stored_ids: DataFrame, first_by: tuple[str, ...] = ("text",)) -> DataFrame:
+    """Records to add to a collection: new ids only, scalars as text, lists as JSON text, no year = 0.
+
+    Of several chunks with one id the first by ``first_by`` is taken.
+    """
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
-    new = chunks.join(stored_ids.select("chunk_id").distinct(), "chunk_id", "left_anti").dropDuplicates(["chunk_id"])
+    new = chunks.join(stored_ids.select("chunk_id").distinct(), "chunk_id", "left_anti")
+    new = new.withColumn("__rn", F.row_number().over(W.partitionBy("chunk_id").orderBy(*first_by))).filter("__rn = 1")
     return new.select(text("chunk_id"), text("document"), text("document_type"), F.coalesce("document_year", F.lit(0)).alias("document_year"),
                       text("language"), text("domain"), text("section_number"), text("section_title"), text("rule_number"), text("rule_title"),
                       *[F.to_json(c).alias(c) for c in ("source_pages", "keywords", "cross_references")], "text")
