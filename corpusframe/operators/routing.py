@@ -89,10 +89,9 @@ def routed_queries(selected: DataFrame, routes=RT.ROUTES) -> DataFrame:
     return rows.select("*", F.col("s.route").alias("route"), F.col("s.score").alias("route_score"), allowed.alias("domains")).drop("s")
 
 
-def routed_chunks(routed: DataFrame, chunks: DataFrame, routes=RT.ROUTES) -> DataFrame:
+def routed_chunks(routed: DataFrame, chunks: DataFrame) -> DataFrame:
     """Number of chunks every routed query may search, from the counts by domain."""
-    counts = chunks.groupBy("domain").agg(F.count("*").alias("n")).agg(
-        F.map_from_entries(F.collect_list(F.struct("domain", "n"))).alias("m"), F.sum("n").alias("total"))
-    j = routed.crossJoin(F.broadcast(counts))
-    some = F.aggregate("domains", F.lit(0).cast("long"), lambda acc, d: acc + F.coalesce(F.try_element_at(F.col("m"), d), F.lit(0)))
-    return j.withColumn("searchable", F.when(F.col("domains").isNull(), F.col("total")).otherwise(some)).drop("m", "total")
+    counts = chunks.rollup("domain").agg(F.grouping("domain").alias("g"), F.count("*").alias("n")) \
+        .select(F.when(F.col("g") == 1, F.lit("*")).otherwise(F.col("domain")).alias("domain"), "n")
+    wanted = routed.select("query_id", "route", F.explode(F.coalesce("domains", F.array(F.lit("*")))).alias("domain"))
+    return wanted.join(counts, "domain", "left").groupBy("query_id", "route").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("searchable"))

@@ -138,7 +138,7 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int = 5, query_numbers: int =
     by_domain = "domains" in queries.columns
     qcols = ["query_id", "embedding"] + (["domains"] if by_domain else [])
     ccols = ["chunk_id", "embedding"] + (["domain"] if by_domain else [])
-    q, c = queries.select(*qcols), corpus.select(*ccols)
+    q, c = queries.select(*[F.col(x).alias(x) for x in qcols]), corpus.select(*ccols)
     kind = lambda df, col: df.schema[col].dataType.simpleString()
     schema = f"query_id {kind(q, 'query_id')}, chunk_id {kind(c, 'chunk_id')}, similarity double"
     head = q.select(F.size("embedding").alias("n")).head()

@@ -64,9 +64,9 @@ def to_collection(chunks: DataFrame, stored_ids: DataFrame, first_by: tuple[str,
 
 def collection_check(chunks: DataFrame, collection: DataFrame) -> DataFrame:
     """Ids expected and stored, and whether they agree."""
-    a = chunks.agg(F.count_distinct("chunk_id").alias("expected"))
-    b = collection.agg(F.count("*").alias("stored"))
-    return a.join(b).withColumn("equal", F.col("expected") == F.col("stored"))
+    both = chunks.select(F.lit(1).alias("side"), "chunk_id").unionByName(collection.select(F.lit(2).alias("side"), "chunk_id"))
+    counts = both.agg(F.count_distinct(F.when(F.col("side") == 1, F.col("chunk_id"))).alias("expected"), F.count_if(F.col("side") == 2).alias("stored"))
+    return counts.withColumn("equal", F.col("expected") == F.col("stored"))
 
 
 def batch_report(status: DataFrame) -> DataFrame:
