@@ -46,7 +46,7 @@ def script_counts(c: Column) -> dict[str, Column]:
 
 def decide_script(devanagari: Column, latin: Column, total: Column) -> Column:
     """struct(language, confidence, devanagari_ratio, latin_ratio) from character counts."""
-    d, l = devanagari / total, latin / total
+    d, l = F.try_divide(devanagari, total), F.try_divide(latin, total)
     sure = F.when((d >= 0.5) & (l <= 0.3), F.lit("mr")).when((l >= 0.5) & (d <= 0.3), F.lit("en")) \
         .when((d >= 0.15) & (l >= 0.15), F.lit("mixed")).otherwise(F.lit("unknown"))
     conf = F.when((d >= 0.5) & (l <= 0.3), F.least(F.lit(0.99), d + 0.1)) \
@@ -92,7 +92,7 @@ def query_language(df: DataFrame, col: str, languages=LANGUAGES, hindi=HINDI_WOR
     c = F.col(col)
     visible = F.length(X.rx(c, r"(?U)\s"))
     staged = df.withColumn("__visible", visible)
-    staged = staged.withColumns({f"__{code}": count_class(c, chars) / F.col("__visible")
+    staged = staged.withColumns({f"__{code}": F.coalesce(F.try_divide(count_class(c, chars), F.col("__visible")), F.lit(0.0))
                                  for code, _, _, chars in languages})
     plain = c if compat else X.rx(c, r"[\p{Punct}।]", " ")
     found = F.array_distinct(X.words(plain))

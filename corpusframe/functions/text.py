@@ -42,7 +42,7 @@ def any_of(c: Column, needles: list[str]) -> Column:
 
 
 def hits_in(c: Column, needles: list[str]) -> Column:
-    """The needles contained in ``c``, in the order given."""
+    """The needles contained in ``c``, in the order given. Hand in a stored column: ``c`` is read per needle."""
     return F.filter(F.array(*[F.lit(n) for n in needles]), lambda n: F.contains(c, n))
 
 
@@ -125,7 +125,7 @@ def text_quality(c: Column) -> Column:
     good = F.length(rx(c, R.IMPLAUSIBLE))
     return (F.when(is_blank(c), F.lit(0.0))
             .when(F.length(c) < 10, F.lit(0.5))
-            .otherwise(F.least(F.lit(1.0), good / F.length(c))))
+            .otherwise(F.least(F.lit(1.0), F.try_divide(good, F.length(c)))))
 
 
 def preserve_layout(c: Column) -> Column:

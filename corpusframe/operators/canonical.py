@@ -115,10 +115,8 @@ def canonicalise(sections: DataFrame) -> DataFrame:
     return s.withColumns({"section_title": F.nullif("section_title", F.lit("")), "content": F.nullif("content", F.lit(""))})
 
 
-def canonical_report(pages: DataFrame, structures: DataFrame) -> DataFrame:
-    p = pages.groupBy("doc_id").agg(F.count("*").alias("pages_processed"))
-    kinds = {"sections_processed": ["section", "rule"], "amendments_processed": ["amendment"], "definitions_processed": ["definition"],
-             "schedules_processed": ["schedule"], "forms_processed": ["form"]}
-    s = structures.groupBy("doc_id").agg(*[F.count_if(F.col("kind").isin(v)).alias(k) for k, v in kinds.items()])
-    j = p.join(s, "doc_id", "left")
-    return j.select("doc_id", "pages_processed", *[F.coalesce(k, F.lit(0)).alias(k) for k in kinds])
+def canonical_report(counted: DataFrame) -> DataFrame:
+    """Totals per document from pages with structure counts."""
+    sums = {"sections_processed": F.col("n_section") + F.col("n_rule"), "amendments_processed": F.col("n_amendment"),
+            "definitions_processed": F.col("n_definition"), "schedules_processed": F.col("n_schedule"), "forms_processed": F.col("n_form")}
+    return counted.groupBy("doc_id").agg(F.count("*").alias("pages_processed"), *[F.sum(v).alias(k) for k, v in sums.items()])

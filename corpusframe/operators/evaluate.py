@@ -72,7 +72,7 @@ def answer_eval(results: DataFrame) -> DataFrame:
     no = ~ok
     return results.agg(
         F.count("*").alias("total"), F.count_if(ok).alias("answerable"), F.count_if(ok & F.col("domain_match")).alias("domain_matches"),
-        F.round(F.count_if(ok & F.col("domain_match")) / F.count_if(ok) * 100, 1).alias("domain_match_rate"),
+        F.round(F.try_divide(F.count_if(ok & F.col("domain_match")), F.count_if(ok)) * 100, 1).alias("domain_match_rate"),
         F.count_if(F.contains("answer", F.lit("Sources:"))).alias("with_citations"), F.count_if(F.col("source_count") > 0).alias("with_sources"),
         F.count_if(no & refused(F.col("answer"), F.col("confidence"), F.col("retrieval_band"))).alias("correctly_refused"),
         F.count_if(lang).alias("language_correct"), *[F.count_if(F.lower("confidence") == c).alias(f"confidence_{c}") for c in ("high", "medium", "low")],
@@ -88,7 +88,7 @@ def routing_accuracy(results: DataFrame) -> DataFrame:
     r = routing_eval(results)
     several = F.size("expected_routes") > 1
     return r.agg(F.count("*").alias("queries"), percent(F.col("correct")).alias("accuracy"), F.count_if(several).alias("multi_queries"),
-                 F.round(F.count_if(several & F.col("correct")) / F.count_if(several) * 100, 1).alias("multi_accuracy"))
+                 F.round(F.try_divide(F.count_if(several & F.col("correct")), F.count_if(several)) * 100, 1).alias("multi_accuracy"))
 
 
 def e2e_eval(results: DataFrame) -> DataFrame:

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusframe.functions import text as X
-from corpusframe.settings import fits
+from corpusframe.settings import durable, fits
 
 GRAM = 5
 BROADCAST_GRAMS = 1_000_000
@@ -53,7 +54,7 @@ def doc_stats(pages: DataFrame, sections: DataFrame) -> DataFrame:
         F.sum(F.size(X.words(F.col("content")))).alias("total_words"))
     j = p.join(s, "doc_id", "left")
     j = j.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("total_sections", "total_characters", "total_words")})
-    mean = F.when(F.col("total_sections") > 0, F.floor(F.col("total_characters") / F.col("total_sections"))).otherwise(0)
+    mean = F.when(F.col("total_sections") > 0, F.floor(F.try_divide("total_characters", "total_sections"))).otherwise(0)
     return j.withColumn("average_section_length", mean.cast("long"))
 
 
@@ -108,9 +109,22 @@ def overlap_join(left: DataFrame, right: DataFrame, n: int = GRAM, min_overlap:
 
 
 def overlapping_sections(sections: DataFrame, n: int = GRAM, min_overlap: int = 100) -> DataFrame:
-    """Pairs of sections of different documents (smaller doc_id first) that share n-grams."""
+    """Pairs (a, b) of sections of different documents, smaller doc_id first, that share n-grams.
+
+    Exact, with a prefix filter: a pair that shares at least ``need`` grams also shares one outside
+    the ``need - 1`` most frequent grams of either section. Only the other grams propose pairs, so
+    the grams found everywhere propose none; the proposed pairs are then counted in full.
+    """
+    need = min_overlap // n + 1
     key = F.struct("doc_id", "page_idx", "kind", "sec_idx")
-    g = sections.filter(F.length("content") >= n).select(key.alias("k"), F.explode(grams(F.col("content"), n)).alias("gram"))
-    a, b = g.select(F.col("k").alias("a"), "gram"), g.select(F.col("k").alias("b"), "gram")
-    j = a.join(b, (a.gram == b.gram) & (F.col("a.doc_id") < F.col("b.doc_id")))
-    return j.groupBy("a", "b").agg((F.count("*") * n).alias("overlap_chars")).filter(F.col("overlap_chars") > min_overlap)
+    sets = durable(sections.select(key.alias("k"), grams(F.col("content"), n).alias("gs")).filter(F.size("gs") >= need))
+    g = sets.select("k", F.explode("gs").alias("gram"))
+    counted = g.join(g.groupBy("gram").agg(F.count("*").alias("df")), "gram")
+    place = F.row_number().over(W.partitionBy("k").orderBy(F.col("df").desc(), "gram"))
+    rare = counted.withColumn("__p", place).filter(F.col("__p") >= need).select("k", "gram")
+    a, b = rare.select(F.col("k").alias("a"), "gram"), rare.select(F.col("k").alias("b"), "gram")
+    pairs = a.join(b, "gram").filter(F.col("a.doc_id") < F.col("b.doc_id")).select("a", "b").distinct()
+    side = lambda name: sets.select(F.col("k").alias(name), F.col("gs").alias(f"gs_{name}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    shared = both.select("a", "b", (F.size(F.array_intersect("gs_a", "gs_b")) * n).alias("overlap_chars"))
+    return shared.filter(F.col("overlap_chars") > min_overlap)

@@ -125,9 +125,10 @@ def cross_references(c: Column, compat: bool = False) -> Column:
                                                  reference_target(r, compat).alias("target")))
 
 
-def keywords(c: Column, terms=R.DOMAIN_TERMS, most: int = MAX_KEYWORDS) -> Column:
+def keywords(low: Column, terms=R.DOMAIN_TERMS, most: int = MAX_KEYWORDS) -> Column:
+    """Domain terms in a stored lower-case text."""
     listed = list(dict.fromkeys(t for ts in terms.values() for t in ts))
-    return F.slice(X.hits_in(F.lower(c), listed), 1, most)
+    return F.slice(X.hits_in(low, listed), 1, most)
 
 
 def all_matches(c: Column, patterns: list[str]) -> Column:
@@ -138,9 +139,10 @@ def all_matches(c: Column, patterns: list[str]) -> Column:
 def normalise(sections: DataFrame, terms=R.DOMAIN_TERMS, compat: bool = False) -> DataFrame:
     """All enrichments of a section table; the content stays as it is."""
     c = F.coalesce("content", F.lit(""))
-    return parse_hierarchy(sections).withColumns({
-        "cross_references": cross_references(c, compat), "keywords": keywords(c, terms), "legal_entities": all_matches(c, R.ENTITIES),
-        "dates": all_matches(c, R.DATES), "authorities": all_matches(c, R.AUTHORITIES)})
+    staged = parse_hierarchy(sections).withColumn("__low", F.lower(c))
+    return staged.withColumns({
+        "cross_references": cross_references(c, compat), "keywords": keywords(F.col("__low"), terms), "legal_entities": all_matches(c, R.ENTITIES),
+        "dates": all_matches(c, R.DATES), "authorities": all_matches(c, R.AUTHORITIES)}).drop("__low")
 
 
 def normalise_report(normalised: DataFrame) -> DataFrame:

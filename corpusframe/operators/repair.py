@@ -12,6 +12,7 @@ from corpusframe.functions import rules as R
 from corpusframe.functions import text as X
 from corpusframe.operators import extract as E
 from corpusframe.operators.ordered import last_event, running_sum
+from corpusframe.settings import durable
 
 PAGE = ["doc_id", "page_idx"]
 KEY = [*PAGE, "kind", "sec_idx"]
@@ -108,6 +109,7 @@ def mark_continuations(sections: DataFrame) -> DataFrame:
     numbered = sections.filter(F.col("section_number") != "").select(*run_key, "page_idx", "sec_idx", "content", "is_continuation")
     first = numbered.withColumn("__rn", F.row_number().over(W.partitionBy(*run_key, "page_idx").orderBy("sec_idx"))) \
         .filter("__rn = 1").drop("__rn", "sec_idx")
+    first = durable(first)
     # consecutive pages share page_idx - (how many pages had the number so far)
     counted = running_sum(first, run_key, ["page_idx"], "page_idx", F.lit(1), "__seen").withColumn(
         "run_id", F.col("page_idx") - F.col("__seen"))

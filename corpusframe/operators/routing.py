@@ -22,8 +22,7 @@ def section_boost(low: Column, numbers) -> Column:
     return F.when(named & X.any_of(low, [f"section {n}" for n in numbers]), 2).otherwise(0)
 
 
-def route_points(query: Column, found: Column, route: RT.Route) -> Column:
-    low = F.lower(query)
+def route_points(low: Column, found: Column, route: RT.Route) -> Column:
     terms = [F.size(F.array_intersect(found, F.array(*[F.lit(w) for w in route.single])))]
     if route.phrases and route.multi:
         terms.append(F.size(X.hits_in(low, route.multi)) * 2)
@@ -35,12 +34,12 @@ def route_points(query: Column, found: Column, route: RT.Route) -> Column:
 
 def route_scores(queries: DataFrame, routes=RT.ROUTES, col: str = "query") -> DataFrame:
     """Adds ``scores``: array<struct<route, ord, score>> in route order, scores capped at 1."""
-    staged = queries.withColumn("__words", X.word_set(F.col(col)))
+    staged = queries.withColumns({"__words": X.word_set(F.col(col)), "__low": F.lower(F.col(col))})
     scores = F.array(*[
         F.struct(F.lit(r.name).alias("route"), F.lit(i).alias("ord"),
-                 F.least(F.lit(1.0), route_points(F.col(col), F.col("__words"), r) / r.scale).alias("score"))
+                 F.least(F.lit(1.0), route_points(F.col("__low"), F.col("__words"), r) / r.scale).alias("score"))
         for i, r in enumerate(routes)])
-    return staged.withColumn("scores", scores).drop("__words")
+    return staged.withColumn("scores", scores).drop("__words", "__low")
 
 
 def ip_section_boost(queries: DataFrame, routes=RT.ROUTES, col: str = "query") -> DataFrame:

@@ -8,10 +8,9 @@ from pyspark.sql import functions as F
 
 from corpusframe.operators import extract as E
 from corpusframe.operators import lookup as Q
-from corpusframe.operators import validate as V
 from corpusframe.plans import statutes as S
 from corpusframe.plans.q_normalise import KEY, SQL_CHUNKS, chunks
-from corpusframe.plans.q_validate import SQL_STRUCT, structures
+from corpusframe.plans.q_validate import SQL_STRUCT
 from corpusframe.plans.registry import query, table
 from corpusframe.settings import shared_folder
 from corpusframe.sources import readers, sinks
@@ -188,7 +187,7 @@ def section_index(spark, sf):
 @query("page_stats", "WITH " + SQL_STRUCT + f""" SELECT doc_id, count(*) AS total_pages, count_if({strip('raw_text')} <> '')::BIGINT AS pages_with_content, count_if({strip('raw_text')} = '')::BIGINT AS empty_pages,
   sum(ns)::BIGINT AS total_sections, sum(nr)::BIGINT AS total_rules, sum(nd)::BIGINT AS total_definitions FROM pcounts GROUP BY 1""")
 def page_stats(spark, sf):
-    return Q.page_stats(V.structure_counts(S.pages(spark, sf), structures(spark, sf)))
+    return Q.page_stats(E.count_structures(S.pages(spark, sf)))
 
 
 @query("document_text", "WITH " + S.SQL_RAW + f""" SELECT doc_id, string_agg(raw_text, chr(10) || chr(10) ORDER BY page_idx) AS full_text FROM raw_pages WHERE {strip('raw_text')} <> '' GROUP BY 1""")

@@ -15,7 +15,7 @@ from corpusframe.plans import statutes as S
 from corpusframe.plans.q_extract import AMENDMENT_OF, ACTION, CAP
 from corpusframe.plans.q_repair import SQL_MARKED, SQL_MERGED
 from corpusframe.plans.q_text import SQL_SLUG
-from corpusframe.plans.q_validate import SQL_STRUCT, structures
+from corpusframe.plans.q_validate import SQL_STRUCT
 from corpusframe.plans.registry import query, table
 from corpusframe.settings import durable
 
@@ -73,7 +73,8 @@ PICKS = lambda ps: "list_sort(list_distinct(" + " || ".join(f"regexp_extract_all
 
 @query("keywords", "WITH " + S.SQL_SECTIONS + f" SELECT {K}, array_to_string({SQL_KW}, '|') AS keywords FROM sections_s")
 def keywords(spark, sf):
-    return S.sections(spark, sf).select(*KEY, N.keywords(F.col("content")).alias("keywords"))
+    s = S.sections(spark, sf).withColumn("low", F.lower("content"))
+    return s.select(*KEY, N.keywords(F.col("low")).alias("keywords"))
 
 
 @query("entities_authorities_dates", "WITH " + S.SQL_SECTIONS + f""" SELECT {K}, array_to_string({PICKS(R.ENTITIES)}, '|') AS legal_entities,
@@ -203,7 +204,7 @@ def canonicalise(spark, sf):
 SELECT doc_id, count(*) AS pages_processed, sum(ns+nr)::BIGINT AS sections_processed, sum(na)::BIGINT AS amendments_processed, sum(nd)::BIGINT AS definitions_processed,
   sum(nc)::BIGINT AS schedules_processed, sum(nf)::BIGINT AS forms_processed FROM pcounts GROUP BY 1""")
 def canonical_report(spark, sf):
-    return C.canonical_report(S.pages(spark, sf), structures(spark, sf))
+    return C.canonical_report(E.count_structures(S.pages(spark, sf)))
 
 
 # ------------------------------------------------------------------------------------ chunks

@@ -11,6 +11,7 @@ from corpusframe.plans import statutes as S
 from corpusframe.plans.q_extract import AMENDMENT_OF, DEFN, SQL_ITEMS
 from corpusframe.plans.q_text import q, rr
 from corpusframe.plans.registry import query
+from corpusframe.settings import durable
 
 strip = S.sql_strip
 K = ["doc_id", "page_idx"]
@@ -32,13 +33,13 @@ SQL_STRUCT = S.SQL_DAMAGED + f""",
 structures AS (SELECT doc_id, page_idx, kind FROM sections_s UNION ALL SELECT doc_id, page_idx, item_kind FROM items WHERE item_kind <> 'table'
   UNION ALL SELECT doc_id, page_idx, 'definition' FROM defs UNION ALL SELECT doc_id, page_idx, 'amendment' FROM amds),
 pcounts AS (SELECT p.*, coalesce(ns,0) AS ns, coalesce(nr,0) AS nr, coalesce(nd,0) AS nd, coalesce(na,0) AS na, coalesce(nc,0) AS nc, coalesce(nf,0) AS nf
-  FROM pages_s p LEFT JOIN (SELECT doc_id, page_idx, count_if(kind='section') AS ns, count_if(kind='rule') AS nr, count_if(kind='definition') AS nd,
-    count_if(kind='amendment') AS na, count_if(kind='schedule') AS nc, count_if(kind='form') AS nf FROM structures GROUP BY ALL) USING (doc_id, page_idx))"""
+  FROM pages_s p LEFT JOIN (SELECT doc_id, page_idx, count_if(kind='section')::BIGINT AS ns, count_if(kind='rule')::BIGINT AS nr, count_if(kind='definition')::BIGINT AS nd,
+    count_if(kind='amendment')::BIGINT AS na, count_if(kind='schedule')::BIGINT AS nc, count_if(kind='form')::BIGINT AS nf FROM structures GROUP BY ALL) USING (doc_id, page_idx))"""
 
 
 def gappy(spark, sf):
     """Pages with some fields missing and page numbers with gaps and repeats."""
-    p = S.pages(spark, sf)
+    p = E.count_structures(S.pages(spark, sf))
     n = F.length("raw_text")
     return p.withColumns({
         "page_number": F.when(F.pmod(n, F.lit(5)) == 0, F.col("page_number") * 2).otherwise(F.col("page_number")),
@@ -105,7 +106,7 @@ SQL_ORPHAN = f"""SELECT doc_id, page_idx, 'warning' AS severity, 'content' AS ca
 
 @query("orphan_text", "WITH " + SQL_STRUCT + SQL_ORPHAN)
 def orphan_text(spark, sf):
-    return V.orphan_text(S.pages(spark, sf), structures(spark, sf))
+    return V.orphan_text(E.count_structures(S.pages(spark, sf)))
 
 
 SQL_EMPTY = f"""SELECT doc_id, page_idx, 'warning' AS severity, 'content' AS category, 'sections[' || sec_idx || '].section_title' AS field,
@@ -165,7 +166,7 @@ SELECT doc_id, count_if(severity='error' AND category='structural')::BIGINT AS s
   count_if(severity='warning' AND category='legal_pattern')::BIGINT AS uncovered_sections, count_if(severity='info')::BIGINT AS legal_pattern_flags,
   count_if(severity='error' AND category='structural') = 0 AS is_valid_structure FROM issues GROUP BY doc_id""")
 def issue_rollup(spark, sf):
-    return V.issue_rollup(V.all_issues(gappy(spark, sf), S.damaged(spark, sf), structures(spark, sf)))
+    return V.issue_rollup(V.all_issues(durable(gappy(spark, sf)), durable(S.damaged(spark, sf))))
 
 
 PROV = "(" + " + ".join(f"contains(tl,'{w}')::INT" for w in R.PROVISION_WORDS) + ") >= 3"
@@ -194,7 +195,14 @@ SELECT pp.*, coalesce(et,0)::BIGINT AS num_empty_titles, coalesce(ec,0)::BIGINT
   coalesce(al,0.0) AS avg_section_length, (coalesce(n,0) + num_orphan_pages)::BIGINT AS num_suspicious_pages
 FROM pp LEFT JOIN ss USING (doc_id) LEFT JOIN su USING (doc_id)""")
 def inspect(spark, sf):
-    return V.inspect(S.pages(spark, sf), S.damaged(spark, sf), structures(spark, sf))
+    return V.inspect(E.count_structures(S.pages(spark, sf)), durable(S.damaged(spark, sf)))
+
+
+@query("structure_counts", "WITH " + SQL_STRUCT + " SELECT doc_id, page_idx, ns AS n_section, nr AS n_rule, na AS n_amendment, nd AS n_definition, nc AS n_schedule, nf AS n_form FROM pcounts")
+def structure_counts(spark, sf):
+    """Counts by joining the extracted structures back to their pages."""
+    c = V.structure_counts(S.pages(spark, sf), structures(spark, sf))
+    return c.select(*K, *[f"n_{k}" for k in V.STRUCTURES])
 
 
 @query("page_type_histogram", "WITH " + S.SQL_PAGES + " SELECT doc_id, page_type, count(*) AS pages FROM pages_s GROUP BY ALL")
@@ -234,7 +242,7 @@ SQL_COUNTS = f"""counts AS (
 
 
 def counts(spark, sf):
-    return V.provision_counts(S.documents(spark, sf), S.pages(spark, sf), S.damaged(spark, sf), E.extract_items(S.raw_pages(spark, sf)))
+    return V.provision_counts(S.documents(spark, sf), E.count_structures(S.pages(spark, sf)), S.damaged(spark, sf))
 
 
 @query("provision_counts", "WITH " + S.SQL_DAMAGED + f", {SQL_ITEMS}, {SQL_COUNTS} SELECT *, empty_sections + empty_rules AS empty_provisions FROM counts")

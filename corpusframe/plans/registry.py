@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+SPLITS: dict[str, int] = {}
 
 
 def plain(df: DataFrame) -> DataFrame:
@@ -37,13 +38,17 @@ def query(name: str, sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+    path = f"{sf_dir}/{name}.parquet"
+    df = spark.read.parquet(path)
+    if path not in SPLITS:
+        SPLITS[path] = df.rdd.getNumPartitions()
+    return spread(df, SPLITS[path])
 
 
-def spread(df: DataFrame) -> DataFrame:
+def spread(df: DataFrame, splits: int) -> DataFrame:
     """Use all cores on an input with fewer splits than cores (a small file with one row group).
 
     A large table has more splits than cores and is read as it is, without a shuffle.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    return df if splits >= cores else df.repartition(cores)

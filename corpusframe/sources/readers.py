@@ -21,8 +21,10 @@ def read_corpus(spark: SparkSession, path: str, multi_line: bool = True) -> Data
     pages = F.when(F.size("pages") > 0, F.col("pages")).when(
         F.col("document").isNotNull() | F.col("raw_text").isNotNull(), F.array(page))
     pages = F.coalesce(pages, F.array().cast(schemas.CORPUS["pages"].dataType))
+    empty = F.col("document").isNull() & F.col("pages").isNull()
+    error = F.when(F.col(schemas.CORRUPT).isNotNull(), F.when(empty, "Invalid JSON").otherwise("Invalid fields"))
     return raw.select(F.col("_metadata.file_path").alias("file"), "document", pages.alias("pages"),
-                      F.when(F.col(schemas.CORRUPT).isNotNull(), F.lit("Invalid JSON")).alias("error"))
+                      error.alias("error"))
 
 
 def corpus_issues(documents: DataFrame) -> DataFrame:
@@ -49,7 +51,7 @@ def flatten(documents: DataFrame, key: str) -> DataFrame:
 
 
 def discover_files(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
-    """Manifest of the files below ``root``; the contents are not read."""
+    """Manifest of the non-empty files below ``root``; the contents are not read."""
     files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root)
              .select("path", "length", "modificationTime"))
     name = F.regexp_extract("path", r"([^/]+)$", 1)
