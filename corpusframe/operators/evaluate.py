@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusframe.functions import text as X
+from corpusframe.settings import durable
 
 BUCKETS = 4096
 REFUSALS = ["could not find sufficient", "insufficient"]
@@ -110,7 +111,7 @@ def exact_percentiles(df: DataFrame, col: str, qs, buckets: int = BUCKETS) -> Da
     Equal values are counted before the shuffle; a histogram of fixed size says which bucket holds a
     rank, and only the values of those buckets are ordered.
     """
-    v = df.filter(F.col(col).isNotNull()).groupBy(F.col(col).cast("double").alias("v")).agg(F.count("*").alias("n"))
+    v = durable(df.filter(F.col(col).isNotNull()).groupBy(F.col(col).cast("double").alias("v")).agg(F.count("*").alias("n")))
     edge = v.agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("n").alias("n")).head()
     spark = df.sparkSession
     if edge.n is None:

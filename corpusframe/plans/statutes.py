@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusframe.operators import canonical, extract
+from corpusframe.operators import extract
 from corpusframe.plans.registry import table
 
 LINES_PER_PAGE = 4
@@ -45,21 +45,26 @@ def mark_line(x: Column, i: Column) -> Column:
         .otherwise(F.concat(_pick(ITEM_PREFIX, nth(6)), x)))
 
 
+def _file_name() -> Column:
+    return F.concat_ws("_", _pick(NAMES, F.pmod("doc_id", F.lit(10))), (F.pmod("doc_id", F.lit(70)) + 1950).cast("string"),
+                       F.col("doc_id").cast("string"))
+
+
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document: file name, language and source label."""
-    d = table(spark, sf_dir, "documents")
-    name = F.concat_ws("_", _pick(NAMES, F.pmod("doc_id", F.lit(10))), (F.pmod("doc_id", F.lit(70)) + 1950).cast("string"),
-                       F.col("doc_id").cast("string"))
-    return d.select("doc_id", name.alias("file_name"), "lang", "source")
+    return table(spark, sf_dir, "documents").select("doc_id", _file_name().alias("file_name"), "lang", "source")
 
 
 def raw_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return _cut(table(spark, sf_dir, "documents").select("doc_id", "text"), [])
+
+
+def _cut(d: DataFrame, keep: list[str]) -> DataFrame:
     marked = F.transform(F.split("text", "\n"), mark_line)
     starts = F.sequence(F.lit(0), F.floor((F.size("ms") - 1) / LINES_PER_PAGE).cast("int"))
     pages = F.transform(starts, lambda p: F.array_join(F.slice("ms", p * LINES_PER_PAGE + 1, LINES_PER_PAGE), "\n"))
-    return (d.select("doc_id", marked.alias("ms"))
-            .select("doc_id", F.posexplode(pages).alias("page_idx", "raw_text"))
+    return (d.select("doc_id", *keep, marked.alias("ms"))
+            .select("doc_id", *keep, F.posexplode(pages).alias("page_idx", "raw_text"))
             .withColumn("page_number", F.col("page_idx") + 1))
 
 
@@ -68,10 +73,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, page_idx, page_number, page_type, raw_text, document_type, document_name."""
-    p = extract.page_type(raw_pages(spark, sf_dir))
-    d = documents(spark, sf_dir).select("doc_id", "document_name", "document_type")
-    return p.join(d, "doc_id")
+    """doc_id, page_idx, page_number, page_type, raw_text, document_type, document_name.
+
+    The document's fields are put on before its pages are cut, so they need no join.
+    """
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", _file_name().alias("file_name"))
+    return extract.page_type(_cut(extract.infer_metadata(d, "file_name"), ["document_type", "document_name"]))
 
 
 def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
