@@ -176,6 +176,11 @@ def requests(spark, sf):
     return table(spark, sf, "events").select("event_id", "ts", F.col("user_id").alias("client"), "event_type", "value")
 
 
+def spelled(df):
+    """Window bounds as text, which both engines write alike."""
+    return df.withColumns({c: F.col(c).cast("string") for c in ("start", "end")})
+
+
 SQL_LIMIT = f"""ev AS (SELECT event_id, user_id AS client, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
 rl AS (SELECT event_id, client, t, rn, true AS accepted, [t] AS live FROM ev WHERE rn = 1
   UNION ALL SELECT e.event_id, e.client, e.t, e.rn, len(list_filter(r.live, lambda x: x > e.t - {DAY * 1_000_000})) < {LIMIT},
@@ -195,17 +200,18 @@ def arrivals_over(spark, sf):
 
 
 @query("breach_monitor", f"""WITH s AS (SELECT user_id AS client, unnest([0, 1, 2, 3]) AS k, ts FROM events), w AS (SELECT client, time_bucket(INTERVAL 6 HOUR, ts) - k * INTERVAL 6 HOUR AS start FROM s)
-SELECT client, start, start + INTERVAL 24 HOUR AS "end", count(*) AS arrivals FROM w GROUP BY ALL HAVING count(*) > {LIMIT}""")
+SELECT client, start::VARCHAR AS start, (start + INTERVAL 24 HOUR)::VARCHAR AS "end", count(*) AS arrivals FROM w GROUP BY client, w.start HAVING count(*) > {LIMIT}""")
 def breach_monitor(spark, sf):
-    return RQ.breach_monitor(requests(spark, sf), LIMIT, "24 hours", "6 hours", "1 hour")
+    return spelled(RQ.breach_monitor(requests(spark, sf), LIMIT, "24 hours", "6 hours", "1 hour"))
 
 
 SQL_METRICS = """m AS (SELECT time_bucket(INTERVAL 6 HOUR, ts) AS start, event_type, count(*) AS requests, round(avg(value), 6) AS mean_latency, max(value) AS max_latency FROM events GROUP BY ALL)"""
 
 
-@query("request_metrics", f'WITH {SQL_METRICS} SELECT start, start + INTERVAL 6 HOUR AS "end", event_type, requests, mean_latency, max_latency FROM m')
+@query("request_metrics", f'WITH {SQL_METRICS} SELECT start::VARCHAR AS start, (start + INTERVAL 6 HOUR)::VARCHAR AS "end", event_type, requests, mean_latency, max_latency FROM m')
 def request_metrics(spark, sf):
-    return RQ.request_metrics(requests(spark, sf), "6 hours", "1 hour", ["event_type"], "value").withColumn("mean_latency", F.round("mean_latency", 6))
+    m = RQ.request_metrics(requests(spark, sf), "6 hours", "1 hour", ["event_type"], "value")
+    return spelled(m.withColumn("mean_latency", F.round("mean_latency", 6)))
 
 
 def event_stream(spark, sf):
@@ -223,13 +229,13 @@ def drained(stream, spark):
     return spark.read.schema(stream.schema).parquet(f"{path}/data")
 
 
-@query("stream_request_metrics", f"""WITH {SQL_METRICS} SELECT start, start + INTERVAL 6 HOUR AS "end", event_type, requests, mean_latency, max_latency FROM m
-WHERE start + INTERVAL 6 HOUR <= (SELECT time_bucket(INTERVAL 1 MILLISECOND, max(ts)) - INTERVAL 1 HOUR FROM events)""")
+@query("stream_request_metrics", f"""WITH {SQL_METRICS} SELECT start::VARCHAR AS start, (start + INTERVAL 6 HOUR)::VARCHAR AS "end", event_type, requests, mean_latency, max_latency FROM m
+WHERE m.start + INTERVAL 6 HOUR <= (SELECT time_bucket(INTERVAL 1 MILLISECOND, max(ts)) - INTERVAL 1 HOUR FROM events)""")
 def stream_request_metrics(spark, sf):
     """The same metrics from the stream: every window the watermark has closed."""
     m = RQ.request_metrics(event_stream(spark, sf), "6 hours", "1 hour", ["event_type"], "value")
     done = drained(m, spark).withColumn("mean_latency", F.round("mean_latency", 6))
-    return done.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "end")})
+    return spelled(done)
 
 
 @query("stream_rate_limit", f"""WITH RECURSIVE {SQL_LIMIT} SELECT event_id, client, accepted FROM rl WHERE t <= (SELECT (epoch_ms(max(ts)) - 3600000) * 1000 FROM events)""")

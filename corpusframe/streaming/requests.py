@@ -88,8 +88,8 @@ def rate_limit(events: DataFrame, limit: int = 60, seconds: int = 60, key: str =
                 .withColumn("slice0", F.floor(F.col("t") / span).cast("long")))
     s = _with_previous_slice(c, span)
     recent = F.coalesce(F.sum("n").over(W.partitionBy(key, "slice").orderBy("t").rangeBetween(-(2 * width - 1), -1)), F.lit(0))
-    cuts = s.withColumn("__recent", recent).filter(~F.col("ctx") & (F.col("__recent") <= limit)) \
-        .groupBy(key, F.col("slice").alias("slice0")).agg(F.min("t").alias("cut"))
+    cuts = durable(s.withColumn("__recent", recent).filter(~F.col("ctx") & (F.col("__recent") <= limit))
+                   .groupBy(key, F.col("slice").alias("slice0")).agg(F.min("t").alias("cut")))
     marked = durable(c.join(cuts, [key, "slice0"], "left"))
     start = F.when(F.col("t") == F.col("cut"), F.col("cut"))
     rows = last_event(marked, [key], ["t"], "slice0", start, "segment", block=4096)
