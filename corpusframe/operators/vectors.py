@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
+import sys
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -14,6 +16,9 @@ from corpusframe.functions import rules as R
 from corpusframe.functions import text as X
 from corpusframe.functions.routes import DOMAIN_CODES
 
+# The functions run in tasks travel with the job: workers need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 #: Numbers (rows × dimensions) of the query side one task may hold; beyond it the grid join is used.
 QUERY_NUMBERS = 8_000_000
 #: Numbers of the corpus side in one cell of the grid.

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import sys
 from collections import deque
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -13,6 +15,9 @@ from pyspark.sql import functions as F
 from corpusframe.operators.ordered import last_event
 from corpusframe.settings import durable
 
+# The functions run in tasks travel with the job: workers need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 EXEMPT = ["/", "/api/info", "/api/metrics", "/docs", "/redoc", "/openapi.json"]
 
 

@@ -1,5 +1,10 @@
 """Physical plans: what must and must not be in them."""
 
+import os
+import subprocess
+import sys
+import tempfile
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -52,3 +57,18 @@ def test_entry(spark):
     assert df.count() > 0 and "chunk_id" in df.columns
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert df.filter(F.col("text") == "").count() == 0
+
+
+def test_workers_do_not_need_the_package():
+    """From another folder the workers cannot import it; the functions they run travel with the job."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = f"""
+import sys; sys.path.insert(0, {root!r})
+from corpusframe.settings import session
+from corpusframe.plans import catalog
+s = session(master='local[2]', **{{'spark.ui.enabled': 'false', 'spark.sql.shuffle.partitions': '2'}})
+print('ROWS', *[catalog.QUERIES[n](s, {SF!r}).count() > 0 for n in ('knn_exemplars', 'knn_grid', 'rate_limit')])
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", code], cwd=tempfile.mkdtemp(prefix="spark-"), env=env, capture_output=True, text=True, timeout=300)
+    assert "ROWS True True True" in out.stdout, out.stderr[-2000:]
