@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusframe.llm import quality_rules, url_rules
-from corpusframe.llm.common import table
+from corpusframe.llm import bpe, quality_rules, secrets, url_rules, warc
+from corpusframe.llm.common import shared_folder, table
 
 QUERIES = {}
 ORACLES = {}
@@ -72,3 +74,25 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, lost
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.measure(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lost_chars", "base_failed", "kept")
+
+
+@query("op5_secret_scans")
+def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return secrets.scan(docs, with_text=False).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
+
+
+@query("op6_bpe")
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe.encode(docs, bpe.default_file(), ids=None).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+@query("op10_warc")
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    warc.register(spark)
+    path = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
+    warc.records_of(table(spark, sf_dir, "pages")).write.format("warc").mode("append").save(path)
+    read = spark.read.format("warc").option("payload", "false").option("verify", "true").load(path)
+    return read.select(warc.page_number("record_id").alias("page_id"), F.col("payload_length").alias("payload_bytes"), "payload_digest", "record_type",
+                       warc.page_number("refers_to").alias("refers_to"))
