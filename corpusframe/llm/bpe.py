@@ -24,12 +24,12 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
+from corpusframe.llm.textblocks import BLOCK, ranges, string_bytes
+
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: The split pattern of byte-level BPE. A fixed value of the format.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Bytes of text in one block.
-BLOCK = 4_000_000
 
 
 def byte_characters() -> list[str]:
@@ -236,26 +236,6 @@ class Encoder:
         return np.split(ids, np.cumsum(n)[:-1])
 
 
-def blocks(size: np.ndarray, limit: int):
-    """Ranges of texts that hold at most ``limit`` bytes, or one text."""
-    at, held = 0, 0
-    for i, n in enumerate(size.tolist()):
-        if i > at and held + n > limit:
-            yield at, i
-            at, held = i, 0
-        held += n
-    if at < len(size):
-        yield at, len(size)
-
-
-def string_bytes(column: pa.Array) -> tuple[memoryview, np.ndarray]:
-    """(all bytes, offsets) of a string column without nulls."""
-    column = column.cast(pa.large_string())
-    offsets = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset:column.offset + len(column) + 1]
-    data = column.buffers()[2]
-    return memoryview(data) if data is not None else memoryview(b""), offsets
-
-
 def _digest(ids: np.ndarray, v: Vocabulary) -> tuple:
     return hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(v.decode(ids).decode("utf-8", "replace").encode()).hexdigest()
 
@@ -290,7 +270,7 @@ def encode(docs: DataFrame, vocabulary_file: str, text: str = "text", ids: str |
         e = Encoder(v)
         for batch in batches:
             data, offsets = string_bytes(batch.column(batch.num_columns - 1))
-            for a, b in blocks(np.diff(offsets), block):
+            for a, b in ranges(np.diff(offsets), block):
                 got, n = e.encode_block(bytes(data[offsets[a]:offsets[b]]), offsets[a + 1:b + 1] - offsets[a])
                 part, upto = batch.slice(a, b - a), np.concatenate([[0], np.cumsum(n)])
                 cols = [part.column(i) for i in range(batch.num_columns - 1)] + [pa.array(n, pa.int64())]

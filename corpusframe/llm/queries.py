@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusframe.llm import bpe, quality_rules, secrets, url_rules, warc
+from corpusframe.llm import bpe, decontaminate, quality_model, quality_rules, secrets, url_rules, warc
 from corpusframe.llm.common import shared_folder, table
 
 QUERIES = {}
@@ -96,3 +96,17 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = spark.read.format("warc").option("payload", "false").option("verify", "true").load(path)
     return read.select(warc.page_number("record_id").alias("page_id"), F.col("payload_length").alias("payload_bytes"), "payload_digest", "record_type",
                        warc.page_number("refers_to").alias("refers_to"))
+
+
+@query("op1_quality_model")
+def op1_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality_model.fit_on(docs, table(spark, sf_dir, "labels"), ~quality_model.held_out())
+    scored = quality_model.score(docs, model)
+    return scored.select("doc_id", quality_model.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query("op7_decontaminate")
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.judge(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
