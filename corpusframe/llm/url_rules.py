@@ -91,7 +91,9 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "
     closes = spread.select("rhost", "part", F.concat("key", F.unhex(F.lit("FF"))).alias("key"), F.lit(2).alias("kind"),
                            F.expr("slice(stack, 1, size(stack) - 1)").alias("stack"), *nothing)
     sweep = W.partitionBy("rhost", "part").orderBy("key", "kind").rowsBetween(W.unboundedPreceding, 0)
-    swept = dots.unionByName(opens).unionByName(closes).withColumn("active", F.last("stack", ignorenulls=True).over(sweep))
+    # dealt by part: left to itself, Spark would keep the rows where the join on the host has put them
+    rows = dots.unionByName(opens).unionByName(closes).repartition("rhost", "part")
+    swept = rows.withColumn("active", F.last("stack", ignorenulls=True).over(sweep))
     top = F.expr("try_element_at(active, -1)")
     found = swept.filter("kind = 1 and size(active) > 0").select("host", "path", top.alias("top"), F.length("rhost").alias("host_size"))
     order = F.struct(F.length("top.rule"), "host_size", "top.rule", "top.verdict")
