@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusframe.llm import bpe, decontaminate, quality_model, quality_rules, secrets, url_rules, warc
+from corpusframe.llm import bpe, decontaminate, quality_model, quality_rules, secrets, shingle_join, url_rules, warc
 from corpusframe.llm.common import shared_folder, table
 
 QUERIES = {}
@@ -110,3 +110,8 @@ def op1_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.judge(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+@query("op3_shingle_join")
+def op3_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shingle_join.link_classes(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
