@@ -55,18 +55,19 @@ def shingle_sets(raw: np.ndarray, ends: np.ndarray, width: int) -> list[np.ndarr
     start, size = B.spans(raw, B.NOT_SPACE)
     n, _ = B.word_counts(start, ends)
     h = B.hashes(raw, start, size)
-    odd = [np.uint64(0x9E3779B97F4A7C15 * (2 * k + 1) & 0xFFFFFFFFFFFFFFFF) for k in range(width)]
     full = max(0, len(h) - width + 1)
     s = np.zeros(full, np.uint64)
     for k in range(width):
-        s += h[k:k + full] * odd[k]
-    s = B.mix(s)
+        s = B.mix(s + h[k:k + full])
     out, at = [], 0
     for m in n.tolist():
         if m >= width:
             out.append(np.unique(s[at:at + m - width + 1]))
         elif m:
-            out.append(B.mix((h[at:at + m] * np.array(odd[:m], np.uint64)).sum(keepdims=True) + np.uint64(m)))
+            short = np.full(1, m, np.uint64)
+            for k in range(at, at + m):
+                short = B.mix(short + h[k:k + 1])
+            out.append(short)
         else:
             out.append(np.empty(0, np.uint64))
         at += m
@@ -117,7 +118,7 @@ def cells(tokens: np.ndarray, percent: int) -> np.ndarray:
             count = np.diff(np.append(first, n))
             best = np.lexsort((whole, -count))[:most + 1]
             key = whole[best] + group[order][first[best]].astype(np.uint64)
-        out.append(B.mix(key + np.uint64(low) * np.uint64(0xD6E8FEB86659FD93)))
+        out.append(B.mix(key + np.uint64(low * 0xD6E8FEB86659FD93 & 0xFFFFFFFFFFFFFFFF)))
     return np.concatenate(out)
 
 
