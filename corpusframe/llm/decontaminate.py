@@ -60,20 +60,6 @@ def _hash_terms(terms: DataFrame) -> DataFrame:
     return terms.mapInArrow(run, "term string, h long")
 
 
-def _filter_of(hashed: DataFrame, bits: int):
-    """The fixed-size filter of all hashes in ``hashed``: tasks build parts of it, which are or-ed together."""
-    def run(batches):
-        out = np.zeros((1 << bits) // 8, np.uint8)
-        for batch in batches:
-            out |= B.bitmap(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64), bits)
-        yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], names=["part"])
-    parts = hashed.select("h").coalesce(8).mapInArrow(run, "part binary").toLocalIterator()
-    whole = np.zeros((1 << bits) // 8, np.uint8)
-    for p in parts:
-        whole |= np.frombuffer(p[0], np.uint8)
-    return hashed.sparkSession.sparkContext.broadcast(whole)
-
-
 def frequencies(docs: DataFrame, known, bits: int, text: str = "text") -> DataFrame:
     """h, n: occurrences in all texts of the words that the filter lets through."""
     def run(batches):
@@ -81,7 +67,7 @@ def frequencies(docs: DataFrame, known, bits: int, text: str = "text") -> DataFr
             for _, _, raw, _ in B.blocks(batch):
                 raw = B.LOWER[raw]
                 h = B.hashes(raw, *B.spans(raw, B.ALNUM))
-                h, n = np.unique(h[B.maybe_in(known.value, bits, h)], return_counts=True)
+                h, n = np.unique(h[B.passes(known.value, bits, h)], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n, pa.int64())], names=["h", "n"])
     return docs.select(B.ended(text).alias("t")).mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
@@ -111,8 +97,8 @@ def postings(docs: DataFrame, first, later, bits: int, reach: int, text: str = "
                 start, size = B.spans(raw, B.ALNUM)
                 n, owner = B.word_counts(start, ends)
                 h = B.hashes(raw, start, size)
-                opens = B.maybe_in(first.value, bits, h)
-                hit = np.flatnonzero(opens | B.maybe_in(later.value, bits, h))
+                opens = B.passes(first.value, bits, h)
+                hit = np.flatnonzero(opens | B.passes(later.value, bits, h))
                 begin = np.cumsum(n) - n
                 around, at, data = [], [], raw.tobytes()
                 for i in hit.tolist():
@@ -148,9 +134,9 @@ class Index:
         from corpusframe.llm.common import text_key
         self.windows = durable(windows_of(items, width))
         terms = durable(_hash_terms(self.windows.select(F.explode("words").alias("term")).distinct()))
-        counts = frequencies(docs, _filter_of(terms, bits), bits)
+        counts = frequencies(docs, B.filter_of(terms, "h", bits), bits)
         self.entries = durable(entries(self.windows, terms, counts))
-        first, later = (_filter_of(self.entries.filter(c), bits) for c in ("place = 1", "place > 1"))
+        first, later = (B.filter_of(self.entries.filter(c), "h", bits) for c in ("place = 1", "place > 1"))
         keyed = docs.select("doc_id", *text_key(), "text")
         self.stored = durable(postings(keyed, first, later, bits, width - 1))
         self.documents = self.stored.filter("h is null").select("doc_id", *KEY, "n_words")

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusframe.llm import bpe, decontaminate, quality_model, quality_rules, secrets, shingle_join, url_rules, warc
+from corpusframe.llm import bpe, decontaminate, quality_model, quality_rules, repeats, secrets, shingle_join, url_rules, warc
 from corpusframe.llm.common import shared_folder, table
 
 QUERIES = {}
@@ -115,3 +115,8 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_shingle_join")
 def op3_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shingle_join.link_classes(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+@query("op9_repeats")
+def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.cut(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")

@@ -259,20 +259,12 @@ def _bounded(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
 
 def _verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) that link, compared on whole sets. Sets are made for the points in ``pairs`` alone."""
-    def keys(batches):
-        out = np.zeros((1 << FILTER_BITS) // 8, np.uint8)
-        for batch in batches:
-            out |= B.bitmap(B.mix(batch.column(0).to_numpy().view(np.uint64)), FILTER_BITS)
-        yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], names=["part"])
-    whole = np.zeros((1 << FILTER_BITS) // 8, np.uint8)
-    for part in pairs.select(F.explode(F.array("a", "b"))).coalesce(8).mapInArrow(keys, "part binary").toLocalIterator():
-        whole |= np.frombuffer(part[0], np.uint8)
-    known = docs.sparkSession.sparkContext.broadcast(whole)
+    known = B.filter_of(pairs.select(F.explode(F.array("a", "b")).alias("id")), "id", FILTER_BITS)
 
     def finish(part, sets):
         once = {set_id(s): s for s in sets if len(s)}
         ids = np.array(list(once), np.int64)
-        some = ids[B.maybe_in(known.value, FILTER_BITS, B.mix(ids.view(np.uint64)))].tolist()
+        some = ids[B.passes(known.value, FILTER_BITS, ids)].tolist()
         return pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([once[i].tobytes() for i in some], pa.binary())], names=["id", "tokens"])
     sets = durable(_sets(docs.select("text"), width, finish, "id long, tokens binary").dropDuplicates(["id"]))
     side = lambda x: sets.select(F.col("id").alias(x), F.col("tokens").alias(f"t_{x}"))

@@ -12,7 +12,7 @@ import sys
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -116,3 +116,24 @@ def bitmap(keys: np.ndarray, bits: int) -> np.ndarray:
 def maybe_in(packed: np.ndarray, bits: int, h: np.ndarray) -> np.ndarray:
     at = h >> np.uint64(64 - bits)
     return (packed[(at >> np.uint64(3)).astype(np.int64)] >> (np.uint8(7) - (at & np.uint64(7)).astype(np.uint8))) & 1 == 1
+
+
+def filter_of(df: DataFrame, column: str, bits: int):
+    """A filter of 2 ** ``bits`` flags, sent to the tasks, of all values of a long column: a value whose flag is not set is not in it.
+
+    Its size is fixed; with too many values it only lets more through. Tasks set flags of their own, which are or-ed.
+    """
+    def run(batches):
+        out = np.zeros((1 << bits) // 8, np.uint8)
+        for batch in batches:
+            out |= bitmap(mix(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)), bits)
+        yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], names=["part"])
+    whole = np.zeros((1 << bits) // 8, np.uint8)
+    for part in df.select(column).coalesce(8).mapInArrow(run, "part binary").toLocalIterator():
+        whole |= np.frombuffer(part[0], np.uint8)
+    return df.sparkSession.sparkContext.broadcast(whole)
+
+
+def passes(packed: np.ndarray, bits: int, values: np.ndarray) -> np.ndarray:
+    """Which of some 64-bit values may be among those of a filter."""
+    return maybe_in(packed, bits, mix(values.view(np.uint64)))
