@@ -7,8 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusframe.llm import bpe, decontaminate, quality_model, quality_rules, repeats, secrets, shingle_join, url_rules, warc
-from corpusframe.llm.common import shared_folder, table
+from corpusframe.llm import bpe, class_lm, decontaminate, quality_model, quality_rules, repeats, secrets, shingle_join, url_rules, warc
+from corpusframe.llm.common import remainder, shared_folder, table
 
 QUERIES = {}
 ORACLES = {}
@@ -120,3 +120,12 @@ def op3_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_repeats")
 def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.cut(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+@query("op8_class_lm")
+def op8_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(remainder("doc_id", 10) == 0, F.lit(False))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model, counts = class_lm.fit(docs.filter(~held_out))
+    return class_lm.score(docs, model, counts).select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"),
+                                                      "base_score", "score")
