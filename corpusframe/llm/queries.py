@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from corpusframe.llm import bpe, class_lm, decontaminate, quality_model, quality_rules, repeats, secrets, shingle_join, url_rules, warc
 from corpusframe.llm.common import remainder, shared_folder, table
 
@@ -129,3 +130,8 @@ def op8_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     model, counts = class_lm.fit(docs.filter(~held_out))
     return class_lm.score(docs, model, counts).select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"),
                                                       "base_score", "score")
+
+
+@query("pipeline")
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
