@@ -100,14 +100,15 @@ def measure(docs: DataFrame, text: str = "text", rules: Rules = Rules()) -> Data
         "__left": F.array_distinct(F.filter(
             F.transform("__lines", lambda x, i: F.when(solid(x) == 0, F.concat(F.lit("B"), i.cast("string"))).when(~line_fails(x, rules), F.concat(F.lit("L"), x))),
             lambda x: x.isNotNull()))})
+    # the row number keeps a later filter on ``kept`` above this step; pushed below it, it would be computed again for every element of the arrays
     counts = rows.select(
-        *own, F.col("__t"), F.size("__w").cast("long").alias("n_words"), solid(F.col("__t")).cast("long").alias("word_chars"),
+        *own, F.col("__t"), F.monotonically_increasing_id().alias("__row"), F.size("__w").cast("long").alias("n_words"), solid(F.col("__t")).cast("long").alias("word_chars"),
         _without(F.col("__t"), SYMBOLS).cast("long").alias("n_symbols"), (F.size("__full") - F.size(F.array_distinct("__full"))).cast("long").alias("n_dup_lines"),
         repeated_words().cast("long").alias("n_repeat_words"), (F.size("__lines") - F.size("__left")).cast("long").alias("n_lines_removed"),
         F.array_join(F.transform("__left", lambda x: F.when(F.startswith(x, F.lit("L")), F.substr(x, F.lit(2))).otherwise("")), "\n").alias("cleaned"))
     failed = (F.col("n_words") < rules.min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * rules.max_repeat_pct)
     judged = counts.withColumns({"base_failed": failed, "lost_chars": (F.col("word_chars") - solid(F.col("cleaned"))).cast("long")})
-    kept = ~F.col("base_failed") & (F.col("lost_chars") * 100 <= F.col("word_chars") * rules.max_lost_pct)
+    kept = (F.col("__row") >= 0) & ~F.col("base_failed") & (F.col("lost_chars") * 100 <= F.col("word_chars") * rules.max_lost_pct)
     return judged.select(*own, *[(kept.alias(c) if c == "kept" else F.col(c)) for c in made])
 
 
