@@ -40,7 +40,9 @@ GRAM = 64
 #: Contexts of one bucket that are refined together; a larger bucket is split into strings.
 TOGETHER = 20_000
 #: Contexts refined at once, of all buckets.
-AT_ONCE = 8_000
+AT_ONCE = 4_000
+#: Bytes of text in which anchors are sought at once; the work needs some hundred bytes for each.
+BLOCK = 1_000_000
 #: Flags of the filter of documents: 2 ** 22 are 512 KB.
 FILTER_BITS = 22
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
@@ -145,7 +147,7 @@ def _anchor_rows(keyed: DataFrame, length: int) -> DataFrame:
     def run(batches):
         reach = length - GRAM
         for batch in batches:
-            for a, _, raw, end in B.blocks(batch):
+            for a, _, raw, end in B.blocks(batch, BLOCK):
                 begin = np.concatenate([[0], end[:-1]])
                 text, at, h, c = anchors(raw, begin, end, length)
                 key = batch.column(0).to_numpy()[a + text]
