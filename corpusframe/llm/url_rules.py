@@ -48,9 +48,9 @@ def _key(rhost: Column, path: Column) -> Column:
 def rule_stacks(rules: DataFrame) -> DataFrame:
     """rhost, path, key, stack: the rules open inside a rule's interval, outermost first, itself last.
 
-    A rule given twice is one rule; ``block`` wins over ``allow``. Rules with a null part never fit.
+    A rule given twice is one rule; ``block`` wins over ``allow``. Rules with a null part or an empty host never fit.
     """
-    r = rules.select(ascii_lower(F.col("host")).alias("host"), F.col("path"), F.col("verdict")).dropna() \
+    r = rules.select(ascii_lower(F.col("host")).alias("host"), F.col("path"), F.col("verdict")).dropna().filter("host != ''") \
         .groupBy("host", "path").agg(F.max("verdict").alias("verdict")) \
         .withColumn("rhost", _reversed(F.col("host")))
     me = F.struct(F.length("path").alias("depth"), F.concat("host", "path").alias("rule"), "verdict")
