@@ -12,8 +12,8 @@ Texts with equal sets are one point. The tokens of a point are hashed into group
   few whole groups. In an order known to all (large groups first) two linked points agree on one of their
   first ``d + 1`` groups. Such a group, as a key, is a cell; cells are the leaves at which the search starts.
 
-In cells, each point is compared with the cell's first point. The links found make components. Then only
-cells with points of different components are searched: small ones pair by pair, large ones in blocks by
+In cells, each point is compared with the cell's most central point, then with the two most central ones.
+The links found make components. Then only cells with points of different components are searched: small ones pair by pair, large ones in blocks by
 an R-tree. Survivors of the bound are verified on the whole sets. No link between components is missed,
 and the pairs inside a component need not be looked at.
 
@@ -42,6 +42,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 DIMENSIONS = 64
 #: Points of a cell that are compared pair by pair.
 SMALL = 48
+#: Leaders to a cell in each round of stars.
+STARS = (1, 2)
 #: Points of a large cell in one block.
 TILE = 2048
 #: Entries of a node of the R-tree.
@@ -155,36 +157,66 @@ def _cell_rows(docs: DataFrame, width: int, percent: int) -> DataFrame:
 
 
 def shared_cells(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """cell, id, n, leader of the cells with two points or more; the leader is the cell's smallest id.
+    """cell, id, n of the cells with two points or more, each point of a cell once.
 
     Rows come sorted by cell and id, so a cell of any size passes through one row at a time.
     """
     def run(batches):
-        held = None  # the last cell's first row, while it is its only one, and its leader
+        first, out_before = None, False  # first row of the cell that may go on, and whether it was put out
         for batch in batches:
             cell, i, n = (batch.column(k).to_numpy() for k in range(3))
-            if held is not None:
-                cell, i, n = (np.concatenate([[x], y]) for x, y in zip(held[:3], (cell, i, n)))
             if not len(cell):
                 continue
+            if first is not None:
+                cell, i, n = (np.concatenate([[x], y]) for x, y in zip(first, (cell, i, n)))
             new = np.concatenate([[True], cell[1:] != cell[:-1]])
             again = np.concatenate([[False], ~new[1:] & (i[1:] == i[:-1])])
-            lead = i[np.maximum.accumulate(np.where(new, np.arange(len(cell)), 0))]
-            first = np.flatnonzero(new)
-            differ = np.add.reduceat((~again).astype(np.int64), first) > 1
-            many = np.repeat(differ, np.diff(np.append(first, len(cell))))
-            out = many & ~again
-            # a cell that came in part: its leader travels on as a row, and was put out if it had company
-            was = held is not None and held[3]
-            if was:
+            start = np.flatnonzero(new)
+            many = np.add.reduceat((~again).astype(np.int64), start) > 1
+            if first is not None and out_before:
+                many[0] = True
+            out = np.repeat(many, np.diff(np.append(start, len(cell)))) & ~again
+            if first is not None and out_before:
                 out[0] = False
-                if not many[0]:
-                    out[:1] = False
-            last = first[-1]
-            held = (cell[last], i[last], n[last], bool(differ[-1]) or (was and last == 0))
-            yield pa.RecordBatch.from_arrays([pa.array(x[out]) for x in (cell, i, n, lead)], names=["cell", "id", "n", "leader"])
+            yield pa.RecordBatch.from_arrays([pa.array(x[out]) for x in (cell, i, n)], names=["cell", "id", "n"])
+            # the last row stands for its cell: a further one is compared with it
+            first, out_before = (cell[-1], i[-1], n[-1]), bool(many[-1])
     rows = _cell_rows(docs, width, percent)
-    return rows.repartition("cell").sortWithinPartitions("cell", "id").mapInArrow(run, "cell long, id long, n long, leader long")
+    return rows.repartition("cell").sortWithinPartitions("cell", "id").mapInArrow(run, "cell long, id long, n long")
+
+
+def _stars(rows: DataFrame, leaders: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of each point of a cell (cell, id, n, label, score) with the cell's ``leaders`` points of the highest score, across labels.
+
+    A cell passes through one row at a time, after its leaders.
+    """
+    def run(batches):
+        held = None
+        for batch in batches:
+            cols = [batch.column(k).to_numpy() for k in range(4)]
+            had = 0
+            if held is not None:
+                had = len(held[0])
+                cols = [np.concatenate([x, y]) for x, y in zip(held, cols)]
+            cell, i, n, label = cols
+            if not len(cell):
+                continue
+            start = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+            begin = np.repeat(start, np.diff(np.append(start, len(cell))))
+            place = np.arange(len(cell))
+            aa, bb = [], []
+            for j in range(leaders):
+                own = place[(place > begin + j) & (place >= had)]
+                lead = begin[own] + j
+                ok = (label[own] != label[lead]) & (100 * np.minimum(n[own], n[lead]) >= percent * np.maximum(n[own], n[lead]))
+                aa.append(np.minimum(i[own[ok]], i[lead[ok]]))
+                bb.append(np.maximum(i[own[ok]], i[lead[ok]]))
+            pair = np.unique(np.stack([np.concatenate(aa), np.concatenate(bb)], axis=1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["a", "b"])
+            last = slice(start[-1], start[-1] + leaders)
+            held = [x[last] for x in cols]
+    dealt = rows.select("cell", "id", "n", "label", "score").repartition("cell").sortWithinPartitions("cell", F.col("score").desc(), "id")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
 # --- R-tree ------------------------------------------------------------------------------------
@@ -204,31 +236,38 @@ def may_link(va: np.ndarray, vb: np.ndarray, na: np.ndarray, nb: np.ndarray, per
 
 
 class RTree:
-    """A packed R-tree over count vectors: ordered by size and coordinates, ``NODE`` entries to a node."""
-
-    def __init__(self, vectors: np.ndarray, sizes: np.ndarray):
-        self.order = np.lexsort((*vectors.T[:4], sizes))
-        top, least = vectors[self.order], sizes[self.order]
-        self.levels = [(top, least)]
-        while len(top) > NODE:
-            cut = np.arange(0, len(top), NODE)
-            top, least = np.maximum.reduceat(top, cut), np.minimum.reduceat(least, cut)
-            self.levels.append((top, least))
-
-    def join(self, other: "RTree", percent: int) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs (row here, row there) whose bound does not exclude a link."""
+    """A packed R-tree over count vectors with labels: ordered by label, size and coordinates, ``NODE`` entries to a node."""
+
+    def __init__(self, vectors: np.ndarray, sizes: np.ndarray, labels: np.ndarray):
+        self.order = np.lexsort((*vectors.T[:4], sizes, labels))
+        level = tuple(x[self.order] for x in (vectors, sizes, labels, labels))
+        self.levels = [level]
+        while len(level[0]) > NODE:
+            cut = np.arange(0, len(level[0]), NODE)
+            level = tuple(f.reduceat(x, cut) for f, x in zip((np.maximum, np.minimum, np.minimum, np.maximum), level))
+            self.levels.append(level)
+
+    def join(self, other: "RTree", percent: int, chunk: int = 10_000):
+        """Yields pairs (rows here, rows there) of different labels whose bound does not exclude a link; ``chunk`` pairs of nodes are open at once."""
         mine, its = self.levels, other.levels
-        while len(mine) < len(its):
-            mine = [*mine, mine[-1]]
-        while len(its) < len(mine):
-            its = [*its, its[-1]]
-        i, j = (x.ravel() for x in np.meshgrid(np.arange(len(mine[-1][0])), np.arange(len(its[-1][0])), indexing="ij"))
-        for k in range(len(mine) - 1, -1, -1):
-            keep = may_link(mine[k][0][i], its[k][0][j], mine[k][1][i], its[k][1][j], percent)
+        mine = [*mine, *[mine[-1]] * (len(its) - len(mine))]
+        its = [*its, *[its[-1]] * (len(mine) - len(its))]
+        top = len(mine) - 1
+        todo = [(top, *(x.ravel() for x in np.meshgrid(np.arange(len(mine[-1][0])), np.arange(len(its[-1][0])), indexing="ij")))]
+        while todo:
+            k, i, j = todo.pop()
+            if len(i) > chunk:
+                todo += [(k, i[s:s + chunk], j[s:s + chunk]) for s in range(0, len(i), chunk)]
+                continue
+            (v, n, lo, hi), (w, m, lo2, hi2) = mine[k], its[k]
+            one = (lo[i] == hi[i]) & (lo2[j] == hi2[j]) & (lo[i] == lo2[j])
+            i, j = i[~one], j[~one]
+            keep = may_link(v[i], w[j], n[i], m[j], percent)
             i, j = i[keep], j[keep]
-            if k:
-                i, j = _below(i, j, len(mine[k - 1][0]), len(mine[k][0]), len(its[k - 1][0]), len(its[k][0]))
-        return self.order[i], other.order[j]
+            if k and len(i):
+                todo.append((k - 1, *_below(i, j, len(mine[k - 1][0]), len(v), len(its[k - 1][0]), len(w))))
+            elif len(i):
+                yield self.order[i], other.order[j]
 
 
 def _below(i, j, n_i, up_i, n_j, up_j):
@@ -257,16 +296,20 @@ def _bounded(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that link, compared on whole sets. Sets are made for the points in ``pairs`` alone."""
-    known = B.filter_of(pairs.select(F.explode(F.array("a", "b")).alias("id")), "id", FILTER_BITS)
+def _token_sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """id, tokens of the points in ``ids`` (id), and of few others."""
+    known = B.filter_of(ids, "id", FILTER_BITS)
 
     def finish(part, sets):
         once = {set_id(s): s for s in sets if len(s)}
-        ids = np.array(list(once), np.int64)
-        some = ids[B.passes(known.value, FILTER_BITS, ids)].tolist()
+        every = np.array(list(once), np.int64)
+        some = every[B.passes(known.value, FILTER_BITS, every)].tolist()
         return pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([once[i].tobytes() for i in some], pa.binary())], names=["id", "tokens"])
-    sets = durable(_sets(docs.select("text"), width, finish, "id long, tokens binary").dropDuplicates(["id"]))
+    return _sets(docs.select("text"), width, finish, "id long, tokens binary").dropDuplicates(["id"])
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that link, compared on whole sets."""
     side = lambda x: sets.select(F.col("id").alias(x), F.col("tokens").alias(f"t_{x}"))
     both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "t_a", "t_b")
 
@@ -331,39 +374,46 @@ def _large_cells(rows: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) across labels in large cells (cell, a, label, n), by R-trees over blocks of their points.
 
     A cell is cut by size (only like sizes link) and then into blocks of about ``TILE`` points; two blocks
-    of a cell are one task.
+    of a cell are one task. A pair that shares several large cells comes out of the smallest of them only.
     """
-    mixed = rows.groupBy("cell").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("cell")
     step = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) + F.lit(1e-9)).cast("int")
-    kept = rows.join(mixed, "cell").withColumn("step", step)
-    parts = kept.groupBy("cell", "step").agg(F.ceil(F.count("*") / TILE).cast("int").alias("parts"))
-    here = parts.select("cell", "step", "parts", F.lit(0).alias("d")).unionByName(
-        parts.select("cell", (F.col("step") - 1).alias("step"), "parts", F.lit(1).alias("d")))
-    sizes = here.groupBy("cell", "step").agg(F.max(F.when(F.col("d") == 0, F.col("parts"))).alias("own"), F.max(F.when(F.col("d") == 1, F.col("parts"))).alias("above"))
-    placed = kept.join(parts, ["cell", "step"]).withColumn("block", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int"))
-    up = sizes.select("cell", "step", "above")
-    down = parts.select("cell", (F.col("step") + 1).alias("step"), F.col("parts").alias("under"))
-    placed = placed.join(up, ["cell", "step"], "left").join(down, ["cell", "step"], "left")
+    placed = rows.withColumn("step", step)
+    sizes = placed.groupBy("cell", "step").agg(F.ceil(F.count("*") / TILE).cast("int").alias("parts"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+    info = sizes.groupBy("cell").agg(F.map_from_entries(F.collect_list(F.struct("step", "parts"))).alias("p"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter("lo != hi")
+    placed = placed.join(info.select("cell", "p"), "cell")
+    lists = placed.groupBy("a").agg(F.collect_set("cell").alias("cells"))
+    placed = placed.selectExpr("*", "p[step] as parts", "p[step + 1] as above", "p[step - 1] as under") \
+        .withColumn("block", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int"))
     # tasks: (step, block i, the same step, block j >= i) and (step, block i, the step above, block j)
     same = F.expr("transform(sequence(0, parts - 1), j -> struct(step as s, least(block, j) as i, 0 as d, greatest(block, j) as j, if(block <= j, 0, 1) as side, block = j as self))")
     above = F.expr("if(above is null, array(), transform(sequence(0, above - 1), j -> struct(step as s, block as i, 1 as d, j as j, 0 as side, false as self)))")
     under = F.expr("if(under is null, array(), transform(sequence(0, under - 1), i -> struct(step - 1 as s, i as i, 1 as d, block as j, 1 as side, false as self)))")
-    tasks = placed.withColumn("t", F.explode(F.concat(same, above, under))).join(reps.select(F.col("id").alias("a"), "vector"), "a") \
-        .select("cell", "t.s", "t.i", "t.d", "t.j", "t.side", "t.self", "a", "label", "n", "vector")
+    tasks = placed.withColumn("t", F.explode(F.concat(same, above, under))).join(lists.join(reps.select(F.col("id").alias("a"), "vector"), "a"), "a") \
+        .select("cell", "t.s", "t.i", "t.d", "t.j", "t.side", "t.self", "a", "label", "n", "vector", "cells")
 
     def search(table: pa.Table) -> pa.Table:
         col = {c: table.column(c).to_numpy() for c in ("side", "self", "a", "label", "n")}
         vec = np.frombuffer(b"".join(table.column("vector").to_pylist()), np.uint16).reshape(-1, DIMENSIONS)
         left = np.flatnonzero((col["side"] == 0) | col["self"])
         right = np.flatnonzero((col["side"] == 1) | col["self"])
-        if not len(left) or not len(right):
-            x = y = np.empty(0, np.int64)
-        else:
-            x, y = RTree(vec[left], col["n"][left]).join(RTree(vec[right], col["n"][right]), percent)
-            x, y = left[x], right[y]
-            ok = (col["label"][x] != col["label"][y])
-            x, y = col["a"][x[ok]], col["a"][y[ok]]
-        pair = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0)
+        # which of the smaller cells each row stands in, as bits
+        lists = table.column("cells").combine_chunks()
+        row = np.repeat(np.arange(len(vec)), np.diff(np.array(lists.offsets)))
+        cell = lists.flatten().to_numpy()
+        low = cell < table.column("cell")[0].as_py() if len(vec) else cell > 0
+        names, at = np.unique(cell[low], return_inverse=True)
+        stands = np.zeros((len(vec), len(names)), bool)
+        stands[row[low], at] = True
+        stands = np.packbits(stands, axis=1)
+        found = [np.empty((0, 2), np.int64)]
+        if len(left) and len(right):
+            here, there = (RTree(vec[q], col["n"][q], col["label"][q]) for q in (left, right))
+            for x, y in here.join(there, percent):
+                x, y = left[x], right[y]
+                here_first = ~(stands[x] & stands[y]).any(axis=1)
+                x, y = col["a"][x[here_first]], col["a"][y[here_first]]
+                found.append(np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0))
+        pair = np.unique(np.concatenate(found), axis=0)
         return pa.table({"a": pair[:, 0], "b": pair[:, 1]})
     return tasks.groupBy("cell", "s", "i", "d", "j").applyInArrow(search, "a long, b long")
 
@@ -381,15 +431,22 @@ def link_classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFram
     every = durable(points(docs, width))
     reps = durable(every.filter("n > 0").groupBy("id").agg(F.first("n").alias("n"), F.first("vector").alias("vector")))
     shared = durable(shared_cells(docs, width, percent))
-    star = shared.filter("id != leader").groupBy("id", "leader").agg(F.count("*").alias("c")).groupBy("id").agg(F.max_by("leader", F.struct("c", "leader")).alias("leader"))
-    first = durable(_verified(_bounded(star.select(F.col("leader").alias("a"), F.col("id").alias("b")), reps, percent), docs, width, percent))
-    known = durable(components(first, "a", "b"))
-    labelled = shared.join(known.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
-    crossing = durable(_across(labelled))
-    pairs = crossing.filter("b is not null").select("a", "b").distinct()
-    pairs = durable(_bounded(pairs, reps, percent).unionByName(_large_cells(crossing.filter("b is null"), reps, percent)).distinct())
-    second = durable(_verified(pairs, docs, width, percent))
-    labels = components(first.unionByName(second), "a", "b").withColumnRenamed("node", "id")
+    sets = durable(_token_sets(docs, shared.select("id").distinct(), width))
+    # a point with much company in its cells is central: the unedited text of a group
+    company = shared.groupBy("cell").agg(F.count("*").alias("m"))
+    central = shared.join(company, "cell").groupBy("id").agg(F.sum("m").alias("score"))
+    scored = durable(shared.join(central, "id"))
+    links, labels, rows = None, None, scored.withColumn("label", F.col("id"))
+    for leaders in STARS:
+        found = durable(_verified(_bounded(_stars(rows, leaders, percent), reps, percent), sets, percent))
+        links = found if links is None else links.unionByName(found)
+        labels = durable(components(links, "a", "b").withColumnRenamed("node", "id"))
+        rows = scored.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    crossing = durable(_across(rows))
+    pairs = _bounded(crossing.filter("b is not null").select("a", "b").distinct(), reps, percent).unionByName(
+        _large_cells(crossing.filter("b is null"), reps, percent)).distinct()
+    links = links.unionByName(durable(_verified(pairs, sets, percent)))
+    labels = components(links, "a", "b").withColumnRenamed("node", "id")
     joined = durable(every.select("doc_id", "id", "n").join(labels, "id", "left").withColumn("label", F.when(F.col("n") > 0, F.coalesce("label", "id"))))
     least = joined.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("least"))
     return joined.join(least, "label", "left").select("doc_id", "id", F.col("n").alias("n_shingles"), F.coalesce(F.least("least", "doc_id"), "doc_id").alias("component_id"))
