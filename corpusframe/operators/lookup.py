@@ -7,10 +7,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusframe.functions import text as X
-from corpusframe.settings import durable, fits
+from corpusframe.settings import durable
 
 GRAM = 5
-BROADCAST_GRAMS = 1_000_000
 
 
 def by_number(sections: DataFrame, number: str) -> DataFrame:
@@ -92,18 +91,15 @@ def grams(c: Column, n: int = GRAM) -> Column:
     return F.array_distinct(F.regexp_extract_all(c, F.lit(r"(?s)(?![\uDC00-\uDFFF])(?=(.{%d}))" % n), F.lit(1)))
 
 
-def overlap_join(left: DataFrame, right: DataFrame, n: int = GRAM, min_overlap: int = 100, max_broadcast: int = BROADCAST_GRAMS) -> DataFrame:
+def overlap_join(left: DataFrame, right: DataFrame, n: int = GRAM, min_overlap: int = 100) -> DataFrame:
     """Pairs (left_id, right_id) that share n-grams: ``overlap_chars`` = n × shared grams > ``min_overlap``.
 
     ``left``/``right``: id, text. Whether an n-gram of one text occurs in the other is membership in
-    its gram set, so the pairs come from an equi-join on the gram and a count. All grams of a left
-    text are made in one task; when the right side's grams are few enough to be sent to every task
-    (checked), the join and most of the count happen there and only counts are shuffled. Otherwise
-    both sides are shuffled by gram, and frequent grams are split by the adaptive skew join.
+    its gram set, so the pairs come from an equi-join on the gram and a count. How the join runs is
+    the planner's choice; frequent grams are split by the adaptive skew join.
     """
     l = left.select(F.col("id").alias("left_id"), F.explode(grams(F.col("text"), n)).alias("gram"))
     r = right.select(F.col("id").alias("right_id"), F.explode(grams(F.col("text"), n)).alias("gram"))
-    r = F.broadcast(r) if fits(r, max_broadcast) else r
     shared = l.join(r, "gram").groupBy("left_id", "right_id").agg((F.count("*") * n).alias("overlap_chars"))
     return shared.filter(F.col("overlap_chars") > min_overlap)
 

@@ -6,7 +6,8 @@ between blocks travels as one small summary row per block. A document with a thi
 therefore spread over as many tasks as it has blocks.
 
 ``running_sum`` and ``last_event`` read their input twice (rows and block summaries). Hand them a
-stored table (``settings.durable``) when the input is expensive.
+stored table (``settings.durable``) when the input is expensive. Null keys are a key like any other, rows
+without a position are a block of their own before all others: no row is lost.
 """
 
 from __future__ import annotations
@@ -22,6 +23,13 @@ def block_of(position: str, block: int) -> Column:
     return F.floor(F.col(position) / F.lit(block)).cast("long")
 
 
+def _same(left: DataFrame, right: DataFrame, names: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join in which null equals null; the names are kept once."""
+    r = right.select(*[F.col(c).alias(f"__r_{c}") if c in names else F.col(c) for c in right.columns])
+    cond = [F.col(c).eqNullSafe(F.col(f"__r_{c}")) for c in names]
+    return left.join(r, cond, how).drop(*[f"__r_{c}" for c in names])
+
+
 def left_context(df: DataFrame, keys: list[str], position: str, value: Column, out: str, n: int = 1,
                  block: int = BLOCK) -> DataFrame:
     """``out`` = array of ``value`` on the up to ``n`` previous rows, oldest first.
@@ -52,7 +60,7 @@ def running_sum(df: DataFrame, keys: list[str], order: list[str], position: str,
     total = F.col("__acc") + F.coalesce(F.col("__in"), F.lit(0))
     if not inclusive:
         total = total - F.col("__v")
-    joined = inner.join(carried, [*keys, "__b"])
+    joined = _same(inner, carried, [*keys, "__b"])
     return joined.withColumn(out, total).drop("__b", "__v", "__acc", "__in")
 
 
@@ -67,7 +75,7 @@ def last_event(df: DataFrame, keys: list[str], order: list[str], position: str,
         F.max_by("__v", F.when(F.col("__v").isNotNull(), F.struct(*order))).alias("__sum"))
     wb = W.partitionBy(*keys).orderBy("__b").rowsBetween(W.unboundedPreceding, -1)
     carry = blocks.select(*keys, "__b", F.last("__sum", ignorenulls=True).over(wb).alias("__in"))
-    joined = inner.join(carry, [*keys, "__b"])
+    joined = _same(inner, carry, [*keys, "__b"])
     return joined.withColumn(out, F.coalesce(F.col("__acc"), F.col("__in"))).drop("__b", "__v", "__acc", "__in")
 
 

@@ -30,7 +30,7 @@ AMENDMENT_CONTENT_FORMS = [
     r"(For\s+section\s+{n}\s+of\s+the\s+principal\s+Act.*?(?=For\s+section\s+\d+|\z))",
     r"((?:^|\n)\s*{n}\.\s+(?:In\s+section\s+\d+|For\s+section\s+\d+|After\s+section\s+\d+).*?(?=\n\s*\d+\.\s+|\z))",
 ]
-MIN_CONTENT, MAX_CONTENT = 20, 5000
+MIN_CONTENT = 20
 
 
 def add_missing_sections(pages: DataFrame, sections: DataFrame) -> DataFrame:
@@ -86,8 +86,8 @@ def recover_title(pages: DataFrame, sections: DataFrame) -> DataFrame:
     return fixed.select(*sections.columns).unionByName(rest)
 
 
-def recover_content(pages: DataFrame, sections: DataFrame) -> DataFrame:
-    """Blank contents read from the page text below the section's head."""
+def recover_content(pages: DataFrame, sections: DataFrame, longest: int | None = None) -> DataFrame:
+    """Blank contents read from the page text below the section's head; whole, unless ``longest`` characters are asked for."""
     needy, rest = _split_needy(pages, sections, X.is_blank(F.col("content")))
     parts = []
     for part, forms in ((needy.filter("NOT __amending"), CONTENT_FORMS), (needy.filter("__amending"), AMENDMENT_CONTENT_FORMS)):
@@ -95,7 +95,8 @@ def recover_content(pages: DataFrame, sections: DataFrame) -> DataFrame:
             part = part.withColumn(f"__p{i}", _form(form, "(?imsUd)"))
             part = part.withColumn(f"__c{i}", X.strip(_extract(f"__p{i}")))
         best = F.coalesce(*[F.when(F.length(f"__c{i}") > MIN_CONTENT, F.col(f"__c{i}")) for i in range(len(forms))])
-        parts.append(part.withColumn("content", F.coalesce(X.at_most(best, MAX_CONTENT), F.col("content"))).select(*sections.columns))
+        best = best if longest is None else X.at_most(best, longest)
+        parts.append(part.withColumn("content", F.coalesce(best, F.col("content"))).select(*sections.columns))
     return reduce(DataFrame.unionByName, [*parts, rest])
 
 

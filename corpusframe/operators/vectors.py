@@ -19,10 +19,11 @@ from corpusframe.functions.routes import DOMAIN_CODES
 # The functions run in tasks travel with the job: workers need not have this package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-#: Numbers (rows × dimensions) of the query side one task may hold; beyond it the grid join is used.
-QUERY_NUMBERS = 8_000_000
-#: Numbers of the corpus side in one cell of the grid.
+#: Numbers (rows × dimensions) of either side in one cell of the grid.
+QUERY_NUMBERS = 2_000_000
 CELL_NUMBERS = 4_000_000
+#: Scores held at once, whatever the dimension.
+TILE_SCORES = 2_000_000
 
 
 def vectorise(df: DataFrame, col: str, fn=None, dim: int = 256, out: str = "embedding") -> DataFrame:
@@ -52,8 +53,9 @@ def apply_filters(chunks: DataFrame, domain=None, language=None, document_type=N
     """AND of the filters given; a domain may be a list or a user code; ``all`` is no filter."""
     out = chunks
     for name, value in (("domain", domain), ("language", language), ("document_type", document_type), ("document", document)):
-        if name == "domain" and isinstance(value, str):
-            value = codes.get(value.lower(), value)
+        if name == "domain" and value:
+            named = [codes.get(v.lower(), v) for v in ([value] if isinstance(value, str) else value)]
+            value = None if None in named else named
         if value:
             out = out.filter(F.col(name).isin(list(value) if isinstance(value, (list, tuple)) else [value]))
     return out
@@ -102,43 +104,52 @@ def _score(qm, qd, part: pd.DataFrame) -> np.ndarray:
     return s
 
 
-def _scan(query_ids, qm, qd, k):
-    """Top-k of one partition, batch after batch; memory is queries × (k + batch)."""
-    def run(batches):
-        best_q, best_i, best_s = np.empty(0, int), None, np.empty(0)
-        for part in batches:
-            if not len(part):
-                continue
-            q, i, s = _best(_score(qm, qd, part), part["chunk_id"].to_numpy(), k)
-            best_q, best_s = np.concatenate([best_q, q]), np.concatenate([best_s, s])
-            best_i = i if best_i is None else np.concatenate([best_i, i])
+def _search(query_ids, qm, qd, part: pd.DataFrame, k: int, tile: int):
+    """The k best rows of ``part`` for every query, by tiles of at most ``tile`` scores: query id, row id, score."""
+    ids = part["chunk_id"].to_numpy()
+    out_q, out_i, out_s = [], [], []
+    wide = max(1, min(len(qm), tile))
+    for a in range(0, len(qm), wide):
+        q_part, d_part = qm[a:a + wide], None if qd is None else qd[a:a + wide]
+        high = max(1, tile // len(q_part))
+        best_q, best_i, best_s = np.empty(0, int), ids[:0], np.empty(0)
+        for b in range(0, len(part), high):
+            rows = part.iloc[b:b + high]
+            q, i, s = _best(_score(q_part, d_part, rows), ids[b:b + high], k)
+            best_q, best_i, best_s = np.concatenate([best_q, q]), np.concatenate([best_i, i]), np.concatenate([best_s, s])
             order = np.lexsort((best_i, -best_s, best_q))
             best_q, best_i, best_s = best_q[order], best_i[order], best_s[order]
             near = np.arange(len(best_q)) - np.searchsorted(best_q, best_q, side="left") < k
             best_q, best_i, best_s = best_q[near], best_i[near], best_s[near]
-        if best_i is not None and len(best_q):
-            yield pd.DataFrame({"query_id": query_ids[best_q], "chunk_id": best_i, "similarity": best_s})
-    return run
+        out_q.append(query_ids[a:a + wide][best_q])
+        out_i.append(best_i)
+        out_s.append(best_s)
+    return pd.DataFrame({"query_id": np.concatenate(out_q), "chunk_id": np.concatenate(out_i), "similarity": np.concatenate(out_s)})
 
 
-def _cell(k: int, by_domain: bool):
+def _cell(k: int, by_domain: bool, tile: int):
     def run(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(c):
             return pd.DataFrame({"query_id": q["query_id"].iloc[:0], "chunk_id": c["chunk_id"].iloc[:0], "similarity": pd.Series(dtype="float64")})
-        where, i, s = _best(_score(_unit(q["embedding"]), q["domains"] if by_domain else None, c), c["chunk_id"].to_numpy(), k)
-        return pd.DataFrame({"query_id": q["query_id"].to_numpy()[where], "chunk_id": i, "similarity": s})
+        return _search(q["query_id"].to_numpy(), _unit(q["embedding"]), q["domains"].to_list() if by_domain else None, c, k, tile)
     return run
 
 
-def knn(queries: DataFrame, corpus: DataFrame, k: int = 5, query_numbers: int = QUERY_NUMBERS, cell_numbers: int = CELL_NUMBERS) -> DataFrame:
+def usable(df: DataFrame, dim: int, vector: str = "embedding") -> DataFrame:
+    """Rows whose vector has ``dim`` numbers; ``check_vectors`` lists and counts the others."""
+    return df.filter(F.col(vector).isNotNull() & (F.size(vector) == dim))
+
+
+def knn(queries: DataFrame, corpus: DataFrame, k: int = 5, dim: int | None = None, query_numbers: int = QUERY_NUMBERS, cell_numbers: int = CELL_NUMBERS,
+        tile: int = TILE_SCORES) -> DataFrame:
     """The k most similar corpus rows of every query by cosine: query_id, chunk_id, rank, score.
 
     ``queries``: query_id, embedding[, domains array]; ``corpus``: chunk_id, embedding[, domain].
-    Exact, ties by chunk_id. Every task reduces its rows to k per query before anything is shuffled.
-
-    A query set within ``query_numbers`` (checked) goes to every task. A larger one is cut into
-    blocks, as is the corpus, and every pair of blocks is one task of a grid; block sizes are
-    bounded, so no task grows with either side.
+    Exact, ties by chunk_id. Both sides are cut into blocks of bounded size, every pair of blocks is
+    one task of a grid, and a task holds one tile of scores at a time, so no task grows with either
+    side or with the dimension. Every task reduces its rows to k per query before anything is shuffled.
+    Null vectors, and those that do not have ``dim`` numbers (by default as many as the smallest
+    query with a vector), are left out on both sides.
     """
     by_domain = "domains" in queries.columns
     qcols = ["query_id", "embedding"] + (["domains"] if by_domain else [])
@@ -146,23 +157,15 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int = 5, query_numbers: int =
     q, c = queries.select(*[F.col(x).alias(x) for x in qcols]), corpus.select(*ccols)
     kind = lambda df, col: df.schema[col].dataType.simpleString()
     schema = f"query_id {kind(q, 'query_id')}, chunk_id {kind(c, 'chunk_id')}, similarity double"
-    head = q.select(F.size("embedding").alias("n")).head()
-    if head is None:
-        part = c.sparkSession.createDataFrame([], schema)
-    else:
-        most = max(1, query_numbers // max(1, head.n))
-        taken = q.limit(most + 1).collect()
-        if len(taken) <= most:
-            ids = pd.Series([r.query_id for r in taken]).to_numpy()
-            part = c.mapInPandas(_scan(ids, _unit([r.embedding for r in taken]), [r.domains for r in taken] if by_domain else None, k), schema)
-        else:
-            q_blocks = math.ceil(q.count() / most)
-            c_blocks = max(1, math.ceil(c.count() * head.n / cell_numbers))
-            block = lambda col, n: F.pmod(F.xxhash64(col), F.lit(n)).cast("int")
-            every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-            qg = q.withColumns({"__q": block("query_id", q_blocks), "__c": every(c_blocks)}).groupBy("__q", "__c")
-            cg = c.withColumns({"__c": block("chunk_id", c_blocks), "__q": every(q_blocks)}).groupBy("__q", "__c")
-            part = qg.cogroup(cg).applyInPandas(_cell(k, by_domain), schema)
+    if dim is None:
+        dim = q.filter("embedding is not null").agg(F.min_by(F.size("embedding"), "query_id")).head()[0] or 1
+    q, c = usable(q, dim), usable(c, dim)
+    q_blocks, c_blocks = (max(1, math.ceil(df.count() * dim / most)) for df, most in ((q, query_numbers), (c, cell_numbers)))
+    block = lambda col, n: F.pmod(F.xxhash64(col), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    qg = q.withColumns({"__q": block("query_id", q_blocks), "__c": every(c_blocks)}).groupBy("__q", "__c")
+    cg = c.withColumns({"__c": block("chunk_id", c_blocks), "__q": every(q_blocks)}).groupBy("__q", "__c")
+    part = qg.cogroup(cg).applyInPandas(_cell(k, by_domain, tile), schema)
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("similarity").desc(), "chunk_id"))
     return part.withColumn("rank", rank).filter(F.col("rank") <= k).select(
         "query_id", "chunk_id", "rank", F.round("similarity", 4).alias("score"))

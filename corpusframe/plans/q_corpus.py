@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from corpusframe import schemas
 from corpusframe.operators import extract as E
 from corpusframe.operators import lookup as Q
 from corpusframe.plans import statutes as S
@@ -21,36 +22,53 @@ K = "doc_id, page_idx, kind, sec_idx"
 
 # ------------------------------------------------------------------------------------ sources
 
+S_PAGE = schemas.PAGE
+
+
+def extracted_items(spark, sf):
+    """One definition per line of a page: its place, first word and length."""
+    lines = S.pages(spark, sf).select("doc_id", "page_idx", F.posexplode(F.split("raw_text", "\n")).alias("item_idx", "text"))
+    return lines.select("doc_id", "page_idx", "item_idx", F.col("item_idx").cast("string").alias("number"), F.substring("text", 1, 8).alias("title"), "text")
+
+
 def nested(spark, sf):
     """The corpus in its nested form: one row per document, pages and sections inside."""
-    s = S.sections(spark, sf).filter("kind = 'section'").groupBy("doc_id", "page_idx").agg(F.array_sort(F.collect_list(
-        F.struct("sec_idx", "section_number", "section_title", "content", "is_continuation"))).alias("sections"))
-    p = S.pages(spark, sf).join(s, ["doc_id", "page_idx"], "left").groupBy("doc_id", "document_name", "document_type").agg(
-        F.array_sort(F.collect_list(F.struct("page_idx", "page_number", "page_type", "raw_text", "sections"))).alias("pages"))
+    both = S.sections(spark, sf)
+    section = F.struct("sec_idx", "section_number", "section_title", "content", "is_continuation")
+    rule = F.struct("sec_idx", F.col("section_number").alias("rule_number"), F.col("section_title").alias("rule_title"), "content", "is_continuation")
+    s = both.groupBy("doc_id", "page_idx").agg(F.array_sort(F.collect_list(F.when(F.col("kind") == "section", section))).alias("sections"),
+                                               F.array_sort(F.collect_list(F.when(F.col("kind") == "rule", rule))).alias("rules"))
+    i = extracted_items(spark, sf).groupBy("doc_id", "page_idx").agg(F.array_sort(F.collect_list(
+        F.struct("item_idx", F.col("number").alias("clause"), F.col("title").alias("term"), F.col("text").alias("definition_text")))).alias("definitions"))
+    p = S.pages(spark, sf).join(s, ["doc_id", "page_idx"], "left").join(i, ["doc_id", "page_idx"], "left").groupBy("doc_id", "document_name", "document_type").agg(
+        F.array_sort(F.collect_list(F.struct("page_idx", "page_number", "page_type", "raw_text", "sections", "rules", "definitions", *[
+            F.lit(None).cast(S_PAGE[n].dataType).alias(n) for n in ("amendments", "schedules", "forms", "tables")]))).alias("pages"))
     return p.select(F.struct("document_name", "document_type", F.col("doc_id").cast("string").alias("source")).alias("document"), "pages")
 
 
-@query("read_corpus", "WITH " + S.SQL_SECTIONS + """ SELECT doc_id || '' AS source, page_idx, sec_idx, section_number, section_title, content,
-  document_name || ':P' || page_number || ':S' || section_number AS row_key FROM sections_s WHERE kind = 'section'""")
+@query("read_corpus", "WITH " + S.SQL_SECTIONS + """ SELECT doc_id || '' AS source, page_idx, sec_idx, section_number, section_title, content, kind,
+  document_name || ':P' || page_number || CASE kind WHEN 'rule' THEN ':R' ELSE ':S' END || section_number AS row_key FROM sections_s""")
 def read_corpus(spark, sf):
     """The nested corpus written as JSON and read back with the fixed schema."""
     path = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
     nested(spark, sf).write.json(path)
     docs = readers.read_corpus(spark, path, multi_line=False).withColumn("source", F.col("document.source"))
-    return readers.flatten(docs, "source").select("source", "page_idx", "sec_idx", "section_number", "section_title", "content", "row_key")
+    return readers.flatten(docs, "source").select("source", "page_idx", "sec_idx", "section_number", "section_title", "content", "kind", "row_key")
 
 
-@query("flatten_sections", "WITH " + S.SQL_SECTIONS + """ SELECT doc_id || '' AS source, page_number, page_type, sec_idx, section_number, length(content) AS chars,
-  document_name || ':P' || page_number || ':S' || section_number AS row_key FROM sections_s WHERE kind = 'section'""")
+@query("flatten_sections", "WITH " + S.SQL_SECTIONS + """ SELECT doc_id || '' AS source, page_number, page_type, sec_idx, section_number, length(content) AS chars, kind,
+  document_name || ':P' || page_number || CASE kind WHEN 'rule' THEN ':R' ELSE ':S' END || section_number AS row_key FROM sections_s""")
 def flatten_sections(spark, sf):
     docs = nested(spark, sf).withColumn("source", F.col("document.source"))
-    return readers.flatten(docs, "source").select("source", "page_number", "page_type", "sec_idx", "section_number", F.length("content").alias("chars"), "row_key")
+    return readers.flatten(docs, "source").select("source", "page_number", "page_type", "sec_idx", "section_number", F.length("content").alias("chars"), "kind", "row_key")
 
 
-@query("discover_files")
-def discover_files(spark, sf):
-    """Manifest of the files of the data folder (rows only: sizes and times are not in the tables)."""
-    return readers.discover_files(spark, sf, "*.parquet").drop("discovered_at")
+@query("page_items", "WITH " + S.SQL_PAGES + """ SELECT doc_id || '' AS source, page_idx, page_number, 'definitions' AS kind, j - 1 AS item_idx, (j - 1) || '' AS number, left(l[j], 8) AS title, l[j] AS text
+FROM (SELECT *, string_split(raw_text, chr(10)) AS l FROM pages_s), unnest(range(1, len(l) + 1)) t(j)""")
+def page_items(spark, sf):
+    """Entries of nested pages beside sections and rules."""
+    docs = nested(spark, sf).withColumn("source", F.col("document.source"))
+    return readers.page_items(docs, "source")
 
 
 @query("pending", "WITH " + S.SQL_FILES + """, i AS (SELECT doc_id, lang, file_name || CASE doc_id % 6 WHEN 0 THEN '_RAG_READY' WHEN 1 THEN '_MERGED' ELSE '' END AS file_name FROM files)

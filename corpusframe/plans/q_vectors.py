@@ -114,13 +114,13 @@ def search_results(spark, sf):
     return r.select("query_id", "chunk_id", "rank", "score", "domain", "document_type", "text", "query_language")
 
 
-@query("confidence_band", f"""WITH {SQL_CORPUS}, {SQL_HITS(1, "c.chunk_id <> q.chunk_id AND c.language = 'de' AND q.label <> c.label AND q.label < 8")}, t AS (SELECT query_id, max(score) AS s FROM hits GROUP BY 1)
+@query("confidence_band", f"""WITH {SQL_CORPUS}, {SQL_HITS(1, "c.chunk_id <> q.chunk_id AND c.language = 'de' AND q.label <> c.label")}, t AS (SELECT query_id, max(score) AS s FROM hits GROUP BY 1)
 SELECT chunk_id AS query_id, s AS top_score, CASE WHEN s >= .6 THEN 'high' WHEN s >= .4 THEN 'medium' WHEN s >= .25 THEN 'low' ELSE 'none' END AS band FROM corpus LEFT JOIN t ON query_id = chunk_id""")
 def confidence_band(spark, sf):
     c = corpus(spark, sf)
     others = lambda label: F.array(*[F.when(F.col(label) != i, F.lit(d)) for i, d in enumerate(DOMAINS)])
     q = c.select(F.col("chunk_id").alias("query_id"), "embedding", "label", F.array_compact(others("label")).alias("domains"))
-    hits = V.knn(q.filter("label < 8"), V.apply_filters(c, language="de"), 1)
+    hits = V.knn(q, V.apply_filters(c, language="de"), 1)
     return V.confidence_band(q, hits)
 
 
@@ -224,9 +224,9 @@ def relevance(spark, sf):
 
 
 @query("decide", SQL_REL + """ SELECT query_id, round(coalesce(relevance, 0), 6) AS relevance, CASE WHEN relevance IS NULL OR relevance < .3 THEN 'insufficient_evidence' ELSE 'sufficient' END AS status
-FROM qs LEFT JOIN (SELECT * FROM rel WHERE query_id % 4 <> 0) USING (query_id)""")
+FROM qs LEFT JOIN rel USING (query_id)""")
 def decide(spark, sf):
-    r = EV.relevance(questions(spark, sf), far(spark, sf)).filter(F.pmod("query_id", F.lit(4)) != 0)
+    r = EV.relevance(questions(spark, sf), far(spark, sf))
     return EV.decide(questions(spark, sf), r).select("query_id", F.round("relevance", 6).alias("relevance"), "status")
 
 
@@ -262,14 +262,14 @@ def source_block_short(spark, sf):
     return EV.source_block_short(hit_rows(spark, sf)).select("query_id", "rank", "block")
 
 
-SQL_CTX = SQL_EVID + f""", bl AS (SELECT query_id, rank, {SQL_BLOCK} AS b FROM hr WHERE query_id % 9 <> 0), cu AS (SELECT *, sum(length(b)) OVER (PARTITION BY query_id ORDER BY rank) AS s FROM bl),
+SQL_CTX = SQL_EVID + f""", bl AS (SELECT query_id, rank, {SQL_BLOCK} AS b FROM hr), cu AS (SELECT *, sum(length(b)) OVER (PARTITION BY query_id ORDER BY rank) AS s FROM bl),
 pc AS (SELECT query_id, rank, CASE WHEN s <= 6000 THEN b WHEN s - length(b) <= 6000 AND 6000 - (s - length(b)) > 200 THEN left(b, (6000 - (s - length(b)))::BIGINT) || chr(10) || '[TRUNCATED]' END AS p FROM cu),
 ag AS (SELECT query_id, count(p) AS n, coalesce(string_agg(p, chr(10) || chr(10) ORDER BY rank), '') AS body FROM pc GROUP BY 1),
 ctx AS (SELECT query_id, coalesce(n, 0)::BIGINT AS n_sources, CASE WHEN n IS NULL THEN 'No relevant legal provisions found in the knowledge base.' ELSE 'RETRIEVED LEGAL SOURCES (' || n || ' sources):' || chr(10) || body END AS context FROM qs LEFT JOIN ag USING (query_id))"""
 
 
 def contexts(spark, sf):
-    blocks = EV.source_block(hit_rows(spark, sf)).filter(F.pmod("query_id", F.lit(9)) != 0)
+    blocks = EV.source_block(hit_rows(spark, sf))
     return EV.context(questions(spark, sf), blocks, 6000)
 
 

@@ -1,4 +1,4 @@
-"""Session settings and the two size/lineage guards every operator shares."""
+"""Session settings, the shared folder and stored tables."""
 
 from __future__ import annotations
 
@@ -52,8 +52,3 @@ def durable(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark)}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def fits(df: DataFrame, max_rows: int) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows; stops counting just past the bound."""
-    return df.limit(max_rows + 1).count() <= max_rows

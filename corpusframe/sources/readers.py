@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -40,14 +40,39 @@ def page_rows(documents: DataFrame, key: str) -> DataFrame:
                     F.coalesce("p.raw_text", F.lit("")).alias("raw_text"))
 
 
+def _as_sections(page: Column) -> Column:
+    """Sections and rules of a page in one array: kind, sec_idx (place in its own array) and the fields of a section."""
+    def entries(items: Column, kind: str, number: str, title: str) -> Column:
+        return F.transform(items, lambda x, i: F.struct(
+            F.lit(kind).alias("kind"), i.alias("sec_idx"), x[number].alias("section_number"), x[title].alias("section_title"), x["content"].alias("content"),
+            x["is_continuation"].alias("is_continuation")))
+    return F.flatten(F.array_compact(F.array(entries(page["sections"], "section", "section_number", "section_title"),
+                                             entries(page["rules"], "rule", "rule_number", "rule_title"))))
+
+
 def flatten(documents: DataFrame, key: str) -> DataFrame:
-    """Sections of nested documents as rows with page and document fields and a readable row key."""
+    """Sections and rules of nested documents as rows with page and document fields and a readable row key."""
     s = documents.select(key, "document.document_name", F.posexplode("pages").alias("page_idx", "p")).select(
-        key, "document_name", "page_idx", "p.page_number", "p.page_type", F.posexplode("p.sections").alias("sec_idx", "s"))
-    s = s.select(key, "document_name", "page_idx", "page_number", "page_type", "sec_idx", "s.section_number", "s.section_title",
-                 F.coalesce("s.content", F.lit("")).alias("content"), F.coalesce("s.is_continuation", F.lit(False)).alias("is_continuation"))
+        key, "document_name", "page_idx", "p.page_number", "p.page_type", F.inline(_as_sections(F.col("p"))))
+    s = s.withColumns({"content": F.coalesce("content", F.lit("")), "is_continuation": F.coalesce("is_continuation", F.lit(False))})
+    mark = F.when(F.col("kind") == "rule", F.lit(":R")).otherwise(F.lit(":S"))
     return s.withColumn("row_key", F.concat(F.coalesce("document_name", F.lit("")), F.lit(":P"), F.coalesce(F.col("page_number").cast("string"), F.lit("")),
-                                            F.lit(":S"), F.coalesce("section_number", F.lit(""))))
+                                            mark, F.coalesce("section_number", F.lit(""))))
+
+
+#: Arrays of a page beside sections and rules, with the fields that name an entry, title it and hold its text.
+PAGE_ITEMS = (("definitions", "clause", "term", "definition_text"), ("amendments", "amendment_number", "target_section", "amendment_text"),
+              ("schedules", "schedule_number", "schedule_title", "content"), ("forms", "form_number", "form_title", "content"), ("tables", "table_number", "table_title", "content"))
+
+
+def page_items(documents: DataFrame, key: str) -> DataFrame:
+    """The other entries of nested pages as rows: kind, item_idx, number, title, text; absent arrays have none."""
+    def entries(name: str, number: str, title: str, text: str) -> Column:
+        return F.transform(F.col("p")[name], lambda x, i: F.struct(
+            F.lit(name).alias("kind"), i.alias("item_idx"), x[number].alias("number"), x[title].alias("title"), x[text].alias("text")))
+    lists = [entries(*item) for item in PAGE_ITEMS]
+    return documents.select(key, F.posexplode("pages").alias("page_idx", "p")).select(
+        key, "page_idx", "p.page_number", F.inline(F.flatten(F.array_compact(F.array(*lists)))))
 
 
 def discover_files(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:

@@ -18,6 +18,7 @@ from corpusframe.settings import durable
 # The functions run in tasks travel with the job: workers need not have this package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+# Paths that no limit holds for.
 EXEMPT = ["/", "/api/info", "/api/metrics", "/docs", "/redoc", "/openapi.json"]
 
 
@@ -74,7 +75,7 @@ def _replay(limit: int, width: int, key: str):
 
 
 def rate_limit(events: DataFrame, limit: int = 60, seconds: int = 60, key: str = "client", ts: str = "ts", event: str = "event_id",
-               slices: int = 16) -> DataFrame:
+               slices: int = 16, path: str | None = None) -> DataFrame:
     """Adds ``accepted``: a request is rejected when ``limit`` accepted ones lie in the last ``seconds``.
 
     Only accepted requests count, so a client's requests have to be replayed in order. What is
@@ -83,8 +84,12 @@ def rate_limit(events: DataFrame, limit: int = 60, seconds: int = 60, key: str =
     must have been accepted, whatever happened before, so the replay can start there with the last
     window as its known state. One cut per slice of ``slices`` windows is used. A client that stays
     over its limit without such a pause is replayed by one task, as a stream with ``limit`` times in
-    memory.
+    memory. With ``path``, requests of exempt paths are accepted and do not count.
     """
+    if path is not None:
+        free = F.coalesce(exempt(F.col(path)), F.lit(False))
+        counted = rate_limit(events.filter(~free), limit, seconds, key, ts, event, slices)
+        return counted.unionByName(events.filter(free).withColumn("accepted", F.lit(True)))
     if limit <= 0:
         return events.withColumn("accepted", F.lit(True))
     width = seconds * 1_000_000
@@ -114,12 +119,16 @@ def rate_limit(events: DataFrame, limit: int = 60, seconds: int = 60, key: str =
 # --- streaming rate limit ----------------------------------------------------------------------
 
 def rate_limit_stream(stream: DataFrame, limit: int = 60, seconds: int = 60, delay: str = "10 minutes", key: str = "client",
-                      ts: str = "ts", event: str = "event_id") -> DataFrame:
+                      ts: str = "ts", event: str = "event_id", path: str | None = None) -> DataFrame:
     """The same decision on a stream, in event time.
 
     Requests wait in keyed state until the watermark has passed them and are then decided in order;
-    a request later than the watermark is dropped. Output: client, event_id, ts, accepted.
+    a request later than the watermark is dropped. State holds accepted times of the last window and
+    waiting requests, and is removed when both are gone. With ``path``, requests of exempt paths are
+    left out: they need no decision. Output: client, event_id, t, accepted.
     """
+    if path is not None:
+        stream = stream.filter(~F.coalesce(exempt(F.col(path)), F.lit(False)))
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
     width = seconds * 1_000_000
 
@@ -140,9 +149,13 @@ def rate_limit_stream(stream: DataFrame, limit: int = 60, seconds: int = 60, del
             if ok:
                 live.append(t)
             out.append((group[0], e, t, ok))
-        state.update((live, [t for t, _ in rest], [e for _, e in rest]))
-        if rest:
-            state.setTimeoutTimestamp(max(mark // 1000, rest[0][0] // 1000) + 1)
+        live = [x for x in live if x > mark - width]
+        if live or rest:
+            state.update((live, [t for t, _ in rest], [e for _, e in rest]))
+            wake = rest[0][0] if rest else live[-1] + width
+            state.setTimeoutTimestamp(max(mark // 1000, wake // 1000) + 1)
+        elif state.exists:
+            state.remove()
         yield pd.DataFrame(out, columns=["client", "event_id", "t", "accepted"])
 
     s = stream.select(F.col(key).alias("client"), F.col(event).alias("event_id"), F.col(ts).alias("ts")).withWatermark("ts", delay)

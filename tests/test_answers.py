@@ -47,6 +47,26 @@ def test_knn_domains_and_empty(spark):
     assert V.knn(q.limit(0), c, 1).count() == 0
 
 
+@pytest.mark.parametrize("dim, tile", [(2, 7), (1024, 50), (1024, 1)])
+def test_knn_tiles_and_vectors_that_cannot_be_used(spark, dim, tile):
+    rng = np.random.default_rng(dim)
+    c = [(i, rng.normal(size=dim)) for i in range(30)]
+    q = [(i, rng.normal(size=dim)) for i in range(5)]
+    cd = spark.createDataFrame([(i, v.tolist()) for i, v in c] + [(900, None), (901, [1.0] * (dim + 1)), (902, [])], "chunk_id long, embedding array<double>")
+    qd = spark.createDataFrame([(0, None)] + [(i + 1, v.tolist()) for i, v in q] + [(99, [1.0])], "query_id long, embedding array<double>")
+    got = {}
+    for r in V.knn(qd, cd, 4, tile=tile).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id - 1, []).append(r.chunk_id)
+    want = {i: sorted(range(30), key=lambda j: -float(v @ c[j][1] / np.linalg.norm(v) / np.linalg.norm(c[j][1])))[:4] for i, v in q}
+    assert got == want
+
+
+def test_domain_codes_in_a_list(spark):
+    c = spark.createDataFrame([(1, "Geographical Indications"), (2, "Patents"), (3, "Designs")], "id long, domain string")
+    ids = lambda d: sorted(r.id for r in V.apply_filters(c, domain=d).collect())
+    assert ids(["gi", "patents"]) == [1, 2] and ids("gi") == [1] and ids(["all", "gi"]) == [1, 2, 3] and ids("Designs") == [3] and ids([]) == [1, 2, 3]
+
+
 def test_vector_checks_and_filters(spark):
     v = spark.createDataFrame([(1, [float("nan"), 1.0], "x"), (2, [1.0], " "), (3, [1.0, 0.0], "y")], "chunk_id int, embedding array<double>, text string")
     assert {(r.chunk_id, r.issue) for r in V.check_vectors(v, 2, text="text").collect()} == {(1, "nan_or_inf"), (2, "dimension"), (2, "empty_text")}
@@ -129,7 +149,6 @@ def test_overlap(spark):
     a = spark.createDataFrame([(1, "abcdefg")], "id int, text string")
     b = spark.createDataFrame([(2, "xbcdefy")], "id int, text string")
     assert [tuple(r) for r in Q.overlap_join(a, b, min_overlap=0).collect()] == [(1, 2, 5)]
-    assert [tuple(r) for r in Q.overlap_join(a, b, min_overlap=0, max_broadcast=0).collect()] == [(1, 2, 5)]
     assert spark.createDataFrame([("a😀bcde",)], "t string").select(Q.grams(F.col("t"))).head()[0] == ["a😀bcd", "😀bcde"]
 
 

@@ -88,3 +88,10 @@ def test_metrics_and_exempt_paths(spark):
     assert got == [("a", 2, 0.5), ("b", 1, 2.0)]
     p = spark.createDataFrame([("/health/live",), ("/api/chat",), ("/docs",)], "p string")
     assert [r[0] for r in p.select(RQ.exempt(F.col("p"))).collect()] == [True, False, True]
+
+
+def test_exempt_paths_are_accepted_and_do_not_count(spark):
+    rows = [(i, "a", i, "/health" if i % 2 else "/ask") for i in range(8)]
+    events = spark.createDataFrame(rows, "event_id long, client string, s long, path string").withColumn("ts", F.timestamp_seconds("s"))
+    got = {r.event_id: r.accepted for r in RQ.rate_limit(events, limit=2, seconds=60, path="path").collect()}
+    assert got == {0: True, 1: True, 2: True, 3: True, 4: False, 5: True, 6: False, 7: True}
