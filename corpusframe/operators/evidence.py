@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from corpusframe.functions import rules as R
 from corpusframe.functions import text as X
 
+# Fixed value: the answer when nothing was found.
 NO_EVIDENCE = "No relevant legal provisions found in the knowledge base."
 SCORE_WEIGHT, OVERLAP_WEIGHT = 0.7, 0.3
 MAX_CONTEXT, MIN_REMAINDER = 8000, 200

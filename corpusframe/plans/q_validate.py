@@ -54,8 +54,8 @@ IN = lambda vs: "(" + ", ".join(f"'{v}'" for v in vs) + ")"
 
 
 @query("conform_pages", "WITH " + SQL_GAPPY + f"""
-SELECT doc_id, page_idx, 'Missing ''page_type''' AS message FROM gappy WHERE page_type IS NULL
-UNION ALL SELECT doc_id, page_idx, 'Unknown page_type ''' || page_type || '''' FROM gappy WHERE page_type NOT IN {IN(R.SCHEMA_PAGE_TYPES)}""")
+SELECT doc_id, page_idx, 'missing page_type' AS message FROM gappy WHERE page_type IS NULL
+UNION ALL SELECT doc_id, page_idx, 'unknown page type ' || page_type FROM gappy WHERE page_type NOT IN {IN(R.SCHEMA_PAGE_TYPES)}""")
 def conform_pages(spark, sf):
     return V.conform_pages(gappy(spark, sf))[1]
 
@@ -94,7 +94,7 @@ def page_number_issues(spark, sf):
 
 
 @query("page_type_check", "WITH " + SQL_GAPPY + f"""
-SELECT doc_id, page_idx, 'warning' AS severity, 'structural' AS category, 'page_type' AS field, 'Invalid page_type: ' || page_type AS message
+SELECT doc_id, page_idx, 'warning' AS severity, 'structural' AS category, 'page_type' AS field, 'page type not in the list: ' || page_type AS message
 FROM gappy WHERE page_type NOT IN {IN(R.VALID_PAGE_TYPES)}""")
 def page_type_check(spark, sf):
     return V.page_type_check(gappy(spark, sf))
@@ -110,8 +110,8 @@ def orphan_text(spark, sf):
 
 
 SQL_EMPTY = f"""SELECT doc_id, page_idx, 'warning' AS severity, 'content' AS category, 'sections[' || sec_idx || '].section_title' AS field,
-  'Section has empty title' AS message FROM damaged WHERE {strip('section_title')} = ''
-UNION ALL SELECT doc_id, page_idx, 'warning', 'content', 'sections[' || sec_idx || '].content', 'Section has empty content' FROM damaged WHERE {strip('content')} = ''"""
+  'blank title' AS message FROM damaged WHERE {strip('section_title')} = ''
+UNION ALL SELECT doc_id, page_idx, 'warning', 'content', 'sections[' || sec_idx || '].content', 'blank content' FROM damaged WHERE {strip('content')} = ''"""
 
 
 @query("empty_title_content", "WITH " + S.SQL_DAMAGED + SQL_EMPTY)
@@ -154,6 +154,9 @@ def pattern_profile_html(spark, sf):
 
 SQL_ISSUES = f"""issues AS (
 SELECT doc_id, page_idx, 'warning' AS severity, 'structural' AS category FROM gappy WHERE page_type NOT IN {IN(R.VALID_PAGE_TYPES)}
+UNION ALL SELECT doc_id, page_idx, 'error', 'structural' FROM gappy WHERE page_type IS NULL
+UNION ALL SELECT doc_id, NULL, 'warning', 'structural' FROM (SELECT doc_id FROM gappy GROUP BY doc_id, page_number HAVING count(*) > 1)
+UNION ALL SELECT doc_id, NULL, 'warning', 'structural' FROM (SELECT doc_id, page_number - lag(page_number) OVER (PARTITION BY doc_id ORDER BY page_number) AS g FROM (SELECT DISTINCT doc_id, page_number FROM gappy)) WHERE g > 1
 UNION ALL SELECT doc_id, page_idx, severity, category FROM ({SQL_ORPHAN})
 UNION ALL SELECT doc_id, page_idx, severity, category FROM ({SQL_EMPTY})
 UNION ALL SELECT doc_id, page_idx, 'warning', 'legal_pattern' FROM cov WHERE has AND coverage <= 0.3
@@ -259,9 +262,9 @@ def quality_grade(spark, sf):
 
 @query("ocr_notes", "WITH " + S.SQL_DAMAGED + f""",
 e AS (SELECT doc_id, page_idx, count(*) AS n FROM damaged WHERE content = '' GROUP BY ALL), l AS (SELECT *, lower(raw_text) AS tl FROM pages_s)
-SELECT doc_id, page_idx, 'Page has no raw_text' AS note FROM l WHERE {strip('raw_text')} = ''
-UNION ALL SELECT doc_id, page_idx, n || ' sections with empty content' FROM e
-UNION ALL SELECT doc_id, page_idx, 'Page classified as form but contains legal provisions' FROM l WHERE page_type = 'form' AND {PROV}
-UNION ALL SELECT doc_id, page_idx, 'Page classified as schedule but no schedule heading found' FROM l WHERE page_type = 'schedule' AND NOT contains(tl, 'schedule')""")
+SELECT doc_id, page_idx, 'no text on the page' AS note FROM l WHERE {strip('raw_text')} = ''
+UNION ALL SELECT doc_id, page_idx, n || ' items without content' FROM e
+UNION ALL SELECT doc_id, page_idx, 'form with numbered provisions' FROM l WHERE page_type = 'form' AND {PROV}
+UNION ALL SELECT doc_id, page_idx, 'schedule without the word schedule' FROM l WHERE page_type = 'schedule' AND NOT contains(tl, 'schedule')""")
 def ocr_notes(spark, sf):
     return V.ocr_notes(S.pages(spark, sf), S.damaged(spark, sf))
