@@ -147,3 +147,12 @@ def test_hashes_of_spans():
     size = np.array([9, 9, 10, 17, 4000, 4000])
     h = B.hashes(raw, start, size)
     assert h[0] == h[1] and h[4] == h[5] and len(set(h.tolist())) == 4
+
+
+@pytest.mark.parametrize("k", [3, 40, 500, 2000])
+def test_most_frequent_words(spark, k):
+    r = np.random.default_rng(3)
+    n = np.concatenate([r.integers(100, 10000, 60), r.integers(2, 5, 200), np.ones(900, np.int64)]).tolist()
+    counts = spark.createDataFrame([(i, 0, int(x)) for i, x in enumerate(n)], "h long, ending long, n long")
+    got = [r.n for r in class_lm.most_frequent(counts, k).collect()]
+    assert got == sorted(n, reverse=True)[:k]
