@@ -144,6 +144,12 @@ def _runs(key: np.ndarray, place: np.ndarray, length: int) -> tuple[np.ndarray,
 
 
 def _anchor_rows(keyed: DataFrame, length: int) -> DataFrame:
+    """h, c, key, at, lo, hi, w, sure of every anchor.
+
+    Anchors of a block that have bucket and context in common are settled at once (``sure``). One of them
+    stands for all in the bucket, with their number ``w``; the others are given a bucket of their own, so
+    that copies and periodic texts do not meet in one task.
+    """
     def run(batches):
         reach = length - GRAM
         for batch in batches:
@@ -153,9 +159,14 @@ def _anchor_rows(keyed: DataFrame, length: int) -> DataFrame:
                 key = batch.column(0).to_numpy()[a + text]
                 at = at - begin[text]
                 hi = np.minimum(at + GRAM + reach, (end - begin)[text])
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), pa.array(key), pa.array(at, pa.int64()),
-                                                  pa.array(np.maximum(at - reach, 0), pa.int64()), pa.array(hi, pa.int64())], names=["h", "c", "key", "at", "lo", "hi"])
-    return keyed.select("key", "text").mapInArrow(run, "h long, c long, key long, at long, lo long, hi long")
+                _, first, same, n = np.unique(_pair(h, c), return_index=True, return_inverse=True, return_counts=True)
+                w, stands = n[same], np.zeros(len(h), bool)
+                stands[first] = True
+                own = _pair(_pair(key.view(np.uint64), at.astype(np.uint64)), np.arange(len(h)).astype(np.uint64))
+                yield pa.RecordBatch.from_arrays([pa.array(np.where(stands, h, own).view(np.int64)), pa.array(c.view(np.int64)), pa.array(key), pa.array(at, pa.int64()),
+                                                  pa.array(np.maximum(at - reach, 0), pa.int64()), pa.array(hi, pa.int64()), pa.array(np.where(stands, w, 1), pa.int64()),
+                                                  pa.array(w > 1)], names=["h", "c", "key", "at", "lo", "hi", "w", "sure"])
+    return keyed.select("key", "text").mapInArrow(run, "h long, c long, key long, at long, lo long, hi long, w long, sure boolean")
 
 
 def _only(keyed: DataFrame, keys: DataFrame) -> DataFrame:
@@ -279,8 +290,8 @@ def repeated(keyed: DataFrame, length: int = 200, together: int = TOGETHER) -> D
         raise ValueError(f"length must be {GRAM + 8} or more")
     w, same = W.partitionBy("h"), W.partitionBy("h", "c")
     found = _anchor_rows(keyed, length).withColumns({
-        "n": F.count("*").over(w), "m": F.count("*").over(same), "r": F.row_number().over(same.orderBy("key", "at"))}).filter("n > 1 and (m > 1 or m < n)")
-    found = durable(found.select("h", "key", "at", "lo", "hi", (F.col("m") > 1).alias("settled"), ((F.col("m") < F.col("n")) & (F.col("r") == 1)).alias("asked")))
+        "n": F.sum("w").over(w), "m": F.sum("w").over(same), "r": F.row_number().over(same.orderBy("key", "at"))}).filter("n > 1 and (m > 1 or m < n) or sure")
+    found = durable(found.select("h", "key", "at", "lo", "hi", (F.col("sure") | (F.col("m") > 1)).alias("settled"), ((F.col("m") < F.col("n")) & (F.col("r") == 1)).alias("asked")))
     asked = found.filter("asked").select("h", "key", "at", "lo", "hi")
     refined = durable(_refined(_contexts(keyed, asked), length, together))
     return found.filter("settled").select("key", "lo", "hi").unionByName(refined.filter("hi is not null").select("key", "lo", "hi")) \
