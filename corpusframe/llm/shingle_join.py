@@ -7,7 +7,8 @@ holds at most (a + b) / 9 shingles (for 80 per cent).
 Texts with equal sets are one point. The tokens of a point are hashed into groups in two ways:
 
 * few groups: the counts by group are the point's coordinates. The overlap of two points is at most the
-  sum of the smaller coordinates, and of two boxes the sum of the smaller upper edges: the R-tree's bound;
+  sum of the smaller coordinates, and of two boxes the sum of the smaller upper edges: the R-tree's bound.
+  Where both coordinates are full (65,535 or more) there is no bound, and the pair is verified;
 * about as many groups as tokens: each difference spoils one group, so linked points agree on all but
   few whole groups. In an order known to all (large groups first) two linked points agree on one of their
   first ``d + 1`` groups. Such a group, as a key, is a cell; cells are the leaves at which the search starts.
@@ -40,6 +41,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Coordinates of a point.
 DIMENSIONS = 64
+#: Largest count that a coordinate holds; it stands for itself and for every larger one.
+FULL = 65535
 #: Points of a cell that are compared pair by pair.
 SMALL = 48
 #: Leaders to a cell in each round of stars.
@@ -84,8 +87,8 @@ def set_id(tokens: np.ndarray) -> int:
 
 
 def coordinates(tokens: np.ndarray, dimensions: int = DIMENSIONS) -> np.ndarray:
-    """Tokens of the set by group."""
-    return np.bincount((tokens % np.uint64(dimensions)).astype(np.int64), minlength=dimensions).clip(max=65535).astype(np.uint16)
+    """Tokens of the set by group, ``FULL`` for that many or more."""
+    return np.bincount((tokens % np.uint64(dimensions)).astype(np.int64), minlength=dimensions).clip(max=FULL).astype(np.uint16)
 
 
 def _ladder(n: int) -> int:
@@ -227,11 +230,12 @@ def required(a, b, percent: int):
 
 
 def may_link(va: np.ndarray, vb: np.ndarray, na: np.ndarray, nb: np.ndarray, percent: int, chunk: int = 200_000) -> np.ndarray:
-    """Whether the summed coordinate minima of each pair reach what a link needs."""
+    """Whether the summed coordinate minima of each pair reach what a link needs; a minimum of ``FULL`` has no upper bound."""
     out = np.zeros(len(na), bool)
     for s in range(0, len(na), chunk):
         q = slice(s, s + chunk)
-        out[q] = np.minimum(va[q], vb[q]).sum(axis=1, dtype=np.int64) >= required(na[q], nb[q], percent)
+        least = np.minimum(va[q], vb[q])
+        out[q] = (least.sum(axis=1, dtype=np.int64) >= required(na[q], nb[q], percent)) | (least == FULL).any(axis=1)
     return out
 
 

@@ -75,6 +75,23 @@ def test_shingle_classes_against_all_pairs(spark, monkeypatch, small, tile):
     assert kept.columns == rows.columns and {r.doc_id for r in kept.collect()} - {None} == set(want.values())
 
 
+def test_counts_beyond_the_largest_coordinate_lose_no_link(spark, monkeypatch):
+    near, far = (np.arange(k, k + 140_000, dtype=np.uint64) * np.uint64(64) for k in (2000, 100_000))
+    whole = np.arange(140_000, dtype=np.uint64) * np.uint64(64)
+    v = [shingle_join.coordinates(t)[None] for t in (whole, near, far)]
+    n = np.array([140_000])
+    assert all(shingle_join.may_link(v[0], x, n, n, 80).all() for x in v[1:])  # no bound: what is far is left to the verification
+    tree = [shingle_join.RTree(x, n, np.array([k])) for k, x in enumerate(v)]
+    assert len(list(tree[0].join(tree[1], 80))) == 1
+    # with a lower maximum, long texts of all kinds
+    monkeypatch.setattr(shingle_join, "FULL", 3)
+    base = prose(3000, 1, 100_000)
+    texts = [base, edited(base, 0.005, 2), edited(base, 0.005, 3), prose(3000, 4, 100_000), "one"]
+    rows = docs(spark, texts)
+    got = {r.doc_id: r.component_id for r in shingle_join.link_classes(rows).collect() if r.doc_id is not None}
+    assert got == classes(list(enumerate(texts)))
+
+
 def test_shingle_join_without_rows_and_words(spark):
     assert shingle_join.link_classes(no_docs(spark)).count() == 0
     got = shingle_join.link_classes(docs(spark, [None, "", " "])).collect()
