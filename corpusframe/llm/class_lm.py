@@ -1,21 +1,27 @@
 """Language-model scores by Brown classes: class bigrams and word emissions.
 
 The probability of a token is that of its class after the class of the token before, times that of the
-word in its class. The most frequent words (``exchanged``) are put into classes by the exchange algorithm:
-each word in turn moves to the class that raises the likelihood of the class bigrams most. Every other
-word, known or not, belongs to the class of its ending. The end of a text is a class of its own, and what
-comes before the first word.
-
-What is learned are counts over all training texts: of every word, and of all pairs of neighbours among
-exchanged words, endings and the end, a matrix of fixed size. The exchange runs on that matrix. Counts of
-the ``head`` most frequent words go to the tasks as a table of fixed size; the others stay a Spark table,
-which the rarer words of each text meet in a join, so no word is without its count.
+word in its class. All words seen ``least`` times or more are put into classes by the exchange algorithm:
+a word moves to the class that raises the likelihood of the class bigrams most. Rarer words and unknown
+ones belong to the class of their ending. The end of a text is a class of its own, and what comes before
+the first word.
+
+What is learned are counts over all training texts: of every word, and of the neighbours of every word in
+classes, a stored table with one row a word. The exchange starts on the matrix of the ``seed`` most frequent
+words and goes on in rounds over that table: tasks compare each word's counts to and from the classes with
+the matrix of classes. Words of one round move at once, so only a part of them may, and a round that lowers
+the likelihood is taken back and the next ones move a smaller part. The rounds end when no word moves, or
+none of the parts raises the likelihood of a token by ``gain``.
+
+Counts of the ``head`` most frequent words go to the tasks as a table of fixed size; the others stay a
+Spark table, which the rarer words of each text meet in a join, so no word is without its count. Of the
+words in classes beyond the head, hash and class go to the tasks: ten bytes a word.
 """
 
 from __future__ import annotations
 
 import sys
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -36,16 +42,22 @@ ALPHA = 20.0
 
 @dataclass(frozen=True)
 class Sizes:
-    """Words that are exchanged, classes for them, classes of endings, words whose counts every task has."""
-    exchanged: int = 1024
+    """Most words that are exchanged (None: all seen ``least`` times), classes for them, classes of endings, words whose counts every task has.
+
+    ``seed`` words are exchanged first, in ``sweeps``, before the rounds over all.
+    """
+    exchanged: int | None = None
     classes: int = 48
     endings: int = 48
     head: int = 1 << 18
     sweeps: int = 3
+    least: int = 5
+    seed: int = 1024
+    gain: float = 1e-3
 
     @property
     def symbols(self) -> int:
-        return self.exchanged + self.endings + 1
+        return (self.exchanged or 0) + self.endings + 1
 
 
 def ending_table(n: int) -> np.ndarray:
@@ -180,13 +192,213 @@ def exchange(pairs: np.ndarray, n_words: int, sizes: Sizes) -> np.ndarray:
     return label
 
 
+# --- rounds over all words ---------------------------------------------------------------------
+
+@dataclass
+class Words:
+    """The words in classes: those of the head by frequency, then the others by hash."""
+    head: Lookup
+    n_head: int                 # the first so many words of the head are in classes
+    more: np.ndarray            # sorted hashes of the others
+
+    def __len__(self) -> int:
+        return self.n_head + len(self.more)
+
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in the head or -1, number of the word in classes or -1)."""
+        found = self.head.find(h)
+        out = np.where(found < self.n_head, found, -1)
+        if len(self.more):
+            left = np.flatnonzero(found < 0)
+            at = np.minimum(np.searchsorted(self.more, h[left]), len(self.more) - 1)
+            out[left] = np.where(self.more[at] == h[left], self.n_head + at, -1)
+        return found, out
+
+
+def neighbours(texts: DataFrame, words, n: int, sizes: Sizes) -> DataFrame:
+    """w, piece, seen: of each word in classes its neighbours, pairs of 32-bit numbers (2 * symbol + side, times); side 1 is before it.
+
+    Symbols are the ``n`` words, the endings, the end. Frequent words come in pieces. The row of w = -1 holds
+    pairs without a word in classes (symbol before * m + symbol after, m fixed symbols).
+    """
+    m = sizes.endings + 1
+
+    def run(batches):
+        table = ending_table(sizes.endings)
+        for turn, batch in enumerate(batches):
+            for a, _, raw, ends in B.blocks(batch):
+                h, tail, count, owner = _words(raw, ends)
+                _, found = words.value.find(h)
+                s = np.full(len(h) + len(ends), n + sizes.endings, np.int64)
+                s[np.arange(len(h)) + owner] = np.where(found >= 0, found, n + table[tail])
+                before = np.concatenate([[n + sizes.endings], s[:-1]])
+                right, left, none = before < n, s < n, (before >= n) & (s >= n)
+                w = np.concatenate([before[right], s[left], np.full(none.sum(), -1)])
+                code = np.concatenate([s[right] * 2, before[left] * 2 + 1, (before[none] - n) * m + s[none] - n])
+                key, times = np.unique((w + 1) * (2 * (n + m) + m * m) + code, return_counts=True)
+                w, code = np.divmod(key, 2 * (n + m) + m * m)
+                first = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
+                data = np.stack([code, times], axis=1).astype(np.int32)
+                offsets = np.append(first, len(w)) * 8
+                seen = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data.tobytes())])
+                w = w[first] - 1
+                piece = np.where(w < sizes.seed, (int(ends[-1]) + turn + a) % 64, 0)
+                yield pa.RecordBatch.from_arrays([pa.array(w), pa.array(piece, pa.int64()), seen], names=["w", "piece", "seen"])
+
+    def joined(batches):
+        last, parts = None, []
+        def put(rows):
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())],
+                                              names=["w", "piece", "seen"])
+        for batch in batches:
+            rows = []
+            for w, piece, seen in zip(*(c.to_pylist() for c in batch.columns)):
+                if (w, piece) != last:
+                    if parts:
+                        rows.append((*last, b"".join(parts)))
+                    last, parts = (w, piece), []
+                parts.append(seen)
+            yield put(rows)
+        if parts:
+            yield put([(*last, b"".join(parts))])
+    schema = "w long, piece long, seen binary"
+    rows = texts.select(B.ended("text").alias("t")).mapInArrow(run, schema)
+    return durable(rows.repartition("w", "piece").sortWithinPartitions("w", "piece").mapInArrow(joined, schema))
+
+
+def _profiles(batch, label: np.ndarray, k: int, step: int = 1_000_000):
+    """Of words of a batch (w, counts to each class, counts from each class, pairs with itself), some at a time."""
+    w, lists = batch.column(0).to_numpy(), batch.column(1)
+    size = np.diff(np.frombuffer(lists.buffers()[1], np.int32)[lists.offset:lists.offset + len(lists) + 1]) // 8 if len(lists) else np.empty(0, np.int64)
+    for a, b in B.ranges(size + 200, step):
+        seen = np.frombuffer(b"".join(lists.slice(a, b - a).to_pylist()), np.int32).reshape(-1, 2)
+        row = np.repeat(np.arange(b - a), size[a:b])
+        code, side = seen[:, 0] >> 1, seen[:, 0] & 1
+        dense = np.bincount((row * 2 + side) * k + label[code], seen[:, 1], 2 * k * (b - a)).reshape(b - a, 2, k)
+        own = np.bincount(row, seen[:, 1] * ((side == 0) & (code == w[a:b][row])), b - a)
+        yield w[a:b], dense[:, 0], dense[:, 1], own
+
+
+def class_counts(table: DataFrame, label: np.ndarray, n: int, sizes: Sizes) -> tuple[np.ndarray, np.ndarray]:
+    """(matrix of the pairs of neighbouring classes, counts of the seed words: to each class, from each class, with itself)."""
+    k, m, spark = sizes.classes + sizes.endings + 1, sizes.endings + 1, table.sparkSession
+    seeds, sent = min(n, sizes.seed), spark.sparkContext.broadcast(np.concatenate([label[:n], k + np.arange(m)]))  # fixed symbols apart from words in their classes
+
+    def run(batches):
+        t, profile = np.zeros((k, k)), np.zeros((seeds, 2 * k + 1))
+        for batch in batches:
+            no = batch.column(0).to_numpy() < 0
+            for x in batch.column(1).filter(pa.array(no)).to_pylist():
+                seen = np.frombuffer(x, np.int32).reshape(-1, 2)
+                np.add.at(t, (sizes.classes + seen[:, 0] // m, sizes.classes + seen[:, 0] % m), seen[:, 1])
+            for w, right, left, own in _profiles(batch.filter(pa.array(~no)), sent.value, k + m):
+                np.add.at(t[sizes.classes:].T, sent.value[w], left[:, k:])
+                for x in (right, left):
+                    x[:, sizes.classes:k] += x[:, k:]
+                np.add.at(t, sent.value[w], right[:, :k])
+                q = w < seeds
+                np.add.at(profile, w[q], np.concatenate([right[q, :k], left[q, :k], own[q, None]], axis=1))
+        flat = np.concatenate([t.ravel(), profile.ravel()])
+        code = np.flatnonzero(flat)
+        for j in range(0, len(code), 100_000):
+            part = code[j:j + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(flat[part].astype(np.int64))], names=["code", "n"])
+    rows = table.select("w", "seen").mapInArrow(run, "code int, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(k * k + seeds * (2 * k + 1))
+    out[rows.column("code").to_numpy()] = rows.column("n").to_numpy()
+    return out[:k * k].reshape(k, k), out[k * k:].reshape(seeds, 2 * k + 1)
+
+
+def likelihood(t: np.ndarray) -> float:
+    """Log likelihood of the class bigrams, without what does not depend on the classes."""
+    return float(_xlogx(t).sum() - _xlogx(t.sum(0)).sum() - _xlogx(t.sum(1)).sum())
+
+
+def best_class(t: np.ndarray, right: np.ndarray, left: np.ndarray, own: np.ndarray, label: np.ndarray, classes: int) -> np.ndarray:
+    """The class of each word, in ``label`` now, that makes the likelihood of ``t`` largest if it alone moves there."""
+    i = np.arange(len(label))
+    r, c = right.copy(), left.copy()
+    r[i, label] -= own
+    c[i, label] -= own
+    mine = label[:, None] == np.arange(classes)
+    total = np.zeros((len(label), classes))
+    for x, other, table in ((r, c, t), (c, r, t.T)):
+        row, slot = np.nonzero(x)
+        if len(row):
+            v = x[row, slot][:, None]
+            base = table[:classes, slot].T - np.where(slot == label[row], 1, 0)[:, None] * other[row, :classes]
+            base -= mine[row] * (v + np.where(slot == label[row], own[row], 0)[:, None])
+            first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+            total[row[first]] += np.add.reduceat(_xlogx(base + v) - _xlogx(base), first)
+        whole = (x.sum(1) + own)[:, None]
+        rest = table[:classes].sum(1)[None] - mine * whole
+        total -= _xlogx(rest + whole) - _xlogx(rest)
+    r, c, own = r[:, :classes], c[:, :classes], own[:, None]
+    d = np.diag(t)[None, :classes] - mine * (r + c + own)
+    total += _xlogx(d + r + c + own) - _xlogx(d + r) - _xlogx(d + c) + _xlogx(d)
+    best = total.argmax(1)
+    stay = (label < classes) & (total.max(1) <= total[i, np.minimum(label, classes - 1)] + 1e-9)
+    return np.where(stay, label, best)
+
+
+def exchange_all(table: DataFrame, label: np.ndarray, n: int, sizes: Sizes) -> tuple[np.ndarray, np.ndarray]:
+    """(class of each of ``n`` words, then the fixed classes; matrix of classes) from ``label``, in which words without a class have that of their ending."""
+    k, context = sizes.classes + sizes.endings + 1, table.sparkSession.sparkContext
+    t, seeds = class_counts(table, label, n, sizes)
+    part = B.mix(np.arange(n, dtype=np.uint64))
+    parts, turn, idle = 1, 0, 0
+    while n:
+        sent = context.broadcast((label, t))
+        may = (part % np.uint64(parts) == np.uint64(turn % parts)) if parts > 1 else label[:n] >= sizes.classes
+        picked = context.broadcast(may)
+
+        def run(batches):
+            old, matrix = sent.value
+            for batch in batches:
+                w = batch.column(0).to_numpy()
+                ok = w >= len(seeds)
+                ok[ok] = picked.value[w[ok]]
+                for w, right, left, own in _profiles(batch.filter(pa.array(ok)), old, k, 100_000):
+                    new = best_class(matrix, right, left, own, old[w], sizes.classes)
+                    q = new != old[w]
+                    yield pa.RecordBatch.from_arrays([pa.array(w[q]), pa.array(new[q].astype(np.int64))], names=["w", "class"])
+        moves = table.select("w", "seen").mapInArrow(run, "w long, class long").toArrow()
+        new = label.copy()
+        new[moves.column("w").to_numpy()] = moves.column("class").to_numpy()
+        s = np.flatnonzero(may[:len(seeds)])
+        new[s] = best_class(t, seeds[s, :k], seeds[s, k:2 * k], seeds[s, -1], label[s], sizes.classes)
+        turn += 1
+        if (new == label).all():
+            raised = 0.0
+        else:
+            after = class_counts(table, new, n, sizes)
+            raised = (likelihood(after[0]) - likelihood(t)) / max(1.0, t.sum())
+        if parts == 1:  # words that had no class of their own have one now
+            if raised:
+                label, (t, seeds) = new, after
+            parts, turn = 2, 0
+            continue
+        if raised < 0:
+            parts, turn, idle = 2 * parts, 0, 0
+            continue
+        if raised:
+            label, (t, seeds) = new, after
+        idle = idle + 1 if raised <= sizes.gain else 0
+        if idle >= parts:
+            break
+    return label, t
+
+
 @dataclass
 class Model:
     """What a task needs to score: tables of fixed size."""
     sizes: Sizes
     head: Lookup
     log_count: np.ndarray       # of head words, log10(n + DELTA)
-    rank: np.ndarray            # place of head words among the exchanged ones, or -1
+    rank: np.ndarray            # place of head words among the words in classes, or -1
+    more: np.ndarray            # sorted hashes of the words in classes beyond the head
+    more_label: np.ndarray      # their classes
+    slots: int                  # symbols: so many words of the head, endings, the end, any other word of each class, the end once more
     label: np.ndarray           # class of each symbol
     step: np.ndarray            # log10 of a class after a class
     emit: np.ndarray            # of each symbol: all of the log10 emission that does not depend on the count
@@ -222,26 +434,42 @@ def fit(texts: DataFrame, sizes: Sizes = Sizes()) -> tuple[Model, DataFrame]:
     h, c = top.column("h").to_numpy().view(np.uint64), top.column("n").to_numpy()
     order = np.lexsort((h.view(np.int64), -c))
     h, c, ending = h[order], c[order], top.column("ending").to_numpy()[order]
-    n_words = min(len(h), sizes.exchanged)
-    pairs = pair_counts(texts, h[:n_words], sizes)
-    label = exchange(pairs, n_words, sizes)
-    k = int(label.max()) + 1
-    one = np.zeros((sizes.symbols, k))
-    one[np.arange(sizes.symbols), label] = 1
-    t = one.T @ pairs @ one
+    first = min(len(h), sizes.seed if sizes.exchanged is None else min(sizes.seed, sizes.exchanged))
+    start = replace(sizes, exchanged=first)
+    n_head = int((c >= sizes.least).sum()) if sizes.exchanged is None else min(len(h), sizes.exchanged)
+    more = np.empty((3, 0), np.int64)
+    if sizes.exchanged is None and n_head == len(h) < total[1]:
+        rows = counts.filter(F.col("n") >= sizes.least).select("h", "n", "ending").toArrow()
+        more = np.stack([rows.column(i).to_numpy() for i in range(3)])
+        more = more[:, Lookup(h).find(more[0].view(np.uint64)) < 0]
+        more = more[:, np.argsort(more[0].view(np.uint64))]
+    words = Words(Lookup(h), n_head, more[0].view(np.uint64))
+    n_words, e = len(words), sizes.endings
+    fixed = sizes.classes + np.arange(e + 1)
+    times, end_of = np.concatenate([c[:n_head], more[1]]), np.concatenate([ending[:n_head], more[2]])
+    label = np.concatenate([sizes.classes + end_of, fixed])
+    seeds = min(first, n_head)
+    label[:seeds] = exchange(pair_counts(texts, h[:first], start), first, start)[:seeds]
+    label = label.astype(np.int16)
+    label, t = exchange_all(neighbours(texts, texts.sparkSession.sparkContext.broadcast(words), n_words, sizes), label, n_words, sizes)
+    k = len(t)
     own = (t.sum(0) + DELTA) / (t.sum() + DELTA * k)
     step = np.log10((t + ALPHA * own) / (t.sum(1, keepdims=True) + ALPHA))
-    # words of an ending that are not exchanged
+    # words of an ending that are in no class
     by = {r[0]: (r[1], r[2]) for r in counts.groupBy("ending").agg(F.sum("n"), F.count("*")).collect()}
-    n_end, v_end = (np.array([by.get(e, (0, 0))[i] for e in range(sizes.endings)], float) for i in (0, 1))
-    n_end -= np.bincount(ending[:n_words], c[:n_words], sizes.endings)
-    v_end -= np.bincount(ending[:n_words], minlength=sizes.endings)
-    in_class = np.bincount(label[:n_words], c[:n_words], k)
-    emit = np.zeros(sizes.symbols)
-    emit[:n_words] = np.log10(c[:n_words] / in_class[label[:n_words]])
-    emit[sizes.exchanged:-1] = -np.log10(n_end + DELTA * (v_end + 1))
-    rank = np.where(np.arange(len(h)) < n_words, np.arange(len(h)), -1)
-    return Model(sizes, Lookup(h), np.log10(c + DELTA), rank, label, step, emit, float(np.log10(n_texts + DELTA)), float(np.log10(n + DELTA * (v + 1))), n), counts
+    n_end, v_end = (np.array([by.get(x, (0, 0))[i] for x in range(e)], float) for i in (0, 1))
+    n_end -= np.bincount(end_of, times, e)
+    v_end -= np.bincount(end_of, minlength=e)
+    in_class = np.bincount(label[:n_words], times + DELTA, sizes.classes)
+    slots = n_head if sizes.exchanged is None else sizes.exchanged
+    symbol = np.concatenate([label[:n_head], np.zeros(slots - n_head, int), fixed, np.arange(sizes.classes), fixed[-1:]]).astype(np.int64)
+    emit = np.zeros(len(symbol))
+    emit[:n_head] = np.log10((c[:n_head] + DELTA) / in_class[label[:n_head]])
+    emit[slots:slots + e] = -np.log10(n_end + DELTA * (v_end + 1))
+    emit[slots + e + 1:-1] = -np.log10(np.maximum(in_class, DELTA))
+    rank = np.where(np.arange(len(h)) < n_head, np.arange(len(h)), -1)
+    return Model(sizes, words.head, np.log10(c + DELTA), rank, words.more, label[n_head:n_words].astype(np.int16), slots, symbol, step, emit, float(np.log10(n_texts + DELTA)),
+                 float(np.log10(n + DELTA * (v + 1))), n), counts
 
 
 def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
@@ -262,11 +490,13 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
             m = sent.value
             for a, b, raw, ends in B.blocks(batch):
                 h, tail, n, owner = _words(raw, ends)
-                found = m.head.find(h)
+                found, word = Words(m.head, int((m.rank >= 0).sum()), m.more).find(h)
                 known = found >= 0
-                rank = np.where(known, m.rank[found] if len(m.rank) else -1, -1)
-                symbol = np.where(rank >= 0, rank, sizes.exchanged + table[tail])
-                stream = np.full(len(h) + len(ends), sizes.symbols - 1, np.int64)
+                rank = np.where(known, word, -1)
+                symbol = np.where(rank >= 0, rank, m.slots + table[tail])
+                beyond = np.flatnonzero((word >= 0) & ~known)
+                symbol[beyond] = m.slots + sizes.endings + 1 + m.more_label[word[beyond] - int((m.rank >= 0).sum())].astype(np.int64)
+                stream = np.full(len(h) + len(ends), len(m.label) - 1, np.int64)
                 stream[np.arange(len(h)) + owner] = symbol
                 cls = m.label[stream]
                 step = m.step[np.concatenate([[m.label[-1]], cls[:-1]]), cls]

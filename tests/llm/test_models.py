@@ -132,6 +132,71 @@ def test_exchange_finds_planted_classes():
     assert not set(label[kind == 0]) & set(label[kind == 1])
 
 
+def test_all_words_are_put_into_classes_by_their_neighbours(spark):
+    r = np.random.default_rng(4)
+    names = np.array([f"w{i:04d}" for i in range(1600)])  # neither endings nor frequency tell the two kinds apart
+    kind = r.integers(0, 2, len(names))
+    of = [names[kind == k] for k in (0, 1)]
+    texts = [" ".join(w for i in range(60) for w in (r.choice(of[0]), r.choice(of[1]))) for _ in range(400)]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    sizes = class_lm.Sizes(classes=4, endings=4, head=500, seed=100)
+    model, counts = class_lm.fit(rows, sizes)
+    raw = np.frombuffer("".join(f"{w}\n" for w in names).encode(), np.uint8)
+    h = class_lm._words(raw, np.flatnonzero(raw == 10) + 1)[0]
+    n = {x.h: x.n for x in counts.collect()}
+    times = np.array([n[x] for x in h.view(np.int64).tolist()])
+    head, word = class_lm.Words(model.head, 500, model.more).find(h)
+    assert (head >= 0).sum() == 500 and np.array_equal(word >= 0, times >= sizes.least) and (word >= 500).sum() > 900
+    label = np.concatenate([model.label[:500], model.more_label])[word]
+    assert (label[word >= 0] < sizes.classes).all()
+    pure = sum(np.bincount(kind[(word >= 0) & (label == q)], minlength=2).max() for q in range(4))
+    assert pure > 0.98 * (word >= 0).sum()
+    # words of a class sum to one, in the head and beyond; the matrix of classes has every token once
+    mass = np.zeros(4)
+    for k in np.flatnonzero(word >= 0):
+        mass[label[k]] += 10 ** model.emit[word[k]] if word[k] < 500 else 10 ** model.emit[model.slots + sizes.endings + 1 + label[k]] * (times[k] + class_lm.DELTA)
+    assert np.allclose(mass[np.unique(label[word >= 0])], 1)
+    got = class_lm.score(rows, model, counts).agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).head()
+    assert got[0] > got[1] + 0.2 * got[2]
+
+
+def test_words_in_classes_beyond_a_large_head_are_scored(spark):
+    rows = spark.createDataFrame([(" ".join(f"w{i}" for i in range(k, k + 2500)),) for k in range(0, 35_000, 2500)], "text string")
+    sizes = class_lm.Sizes(classes=2, endings=2, head=33_000, least=1, seed=20, gain=1e9)
+    model, counts = class_lm.fit(rows, sizes)
+    assert len(model.more) == 2000
+    got = class_lm.score(rows, model, counts).collect()
+    assert all(g.n_known == g.n_tokens == 2501 and math.isfinite(g.score) and g.score < 0 for g in got)
+
+
+def test_class_counts_and_moves_against_the_whole_matrix(spark):
+    rows = docs(spark, [prose(400, k, 60) for k in range(4)]).select("text")
+    sizes = class_lm.Sizes(classes=3, endings=2, head=10, seed=5)
+    counts = class_lm.word_counts(rows, sizes)
+    h = np.sort(np.array([r.h for r in counts.collect() if r.n >= 5], np.int64).view(np.uint64))
+    words = class_lm.Words(class_lm.Lookup(h[:10]), 10, h[10:])
+    n, k = len(h), 6
+    pairs = class_lm.pair_counts(rows, h, class_lm.Sizes(exchanged=n, classes=3, endings=2))
+    table = class_lm.neighbours(rows, spark.sparkContext.broadcast(words), n, sizes)
+    label = np.concatenate([np.arange(n) % 5, [3, 4, 5]]).astype(np.int16)  # some words still in classes of endings
+    one = np.eye(k)[label]
+    t, seeds = class_lm.class_counts(table, label, n, sizes)
+    assert np.array_equal(t, one.T @ pairs @ one)
+    assert np.array_equal(seeds, np.concatenate([pairs @ one, pairs.T @ one, np.diag(pairs)[:, None]], axis=1)[:5])
+    got = class_lm.best_class(t, (pairs @ one)[:n], (pairs.T @ one)[:n], np.diag(pairs)[:n], label[:n], 3)
+    for w in range(n):
+        every = []
+        for q in range(3):
+            moved = label.copy()
+            moved[w] = q
+            one = np.eye(k)[moved]
+            every.append(class_lm.likelihood(one.T @ pairs @ one))
+        assert math.isclose(every[got[w]], max(every), rel_tol=1e-12)
+    final, matrix = class_lm.exchange_all(table, label, n, sizes)
+    one = np.eye(k)[final]
+    assert (final[:n] < 3).all() and np.array_equal(matrix, one.T @ pairs @ one)
+
+
 def test_lookup_finds_all_and_only_its_keys():
     r = np.random.default_rng(2)
     keys = np.unique(r.integers(1, 2 ** 63, 5000, dtype=np.uint64))
