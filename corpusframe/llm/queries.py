@@ -1,4 +1,4 @@
-"""Registered queries of the ten operators: op1 to op10 and the pipeline, and the SQL that says the same."""
+"""Registered queries of the operators: op1 to op13 and the pipeline, and the SQL that says the same."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from corpusframe.llm import bpe, class_lm, decontaminate, quality_model, quality_rules, repeats, secrets, shingle_join, url_rules, warc
+from corpusframe.llm import bpe, class_lm, decontaminate, html_extract, quality_model, quality_rules, repeats, secrets, shingle_join, url_rules, warc, whitening
 from corpusframe.llm.common import remainder, shared_folder, table
 
 QUERIES = {}
@@ -160,6 +160,17 @@ def op8_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
                                                       "base_score", "score")
 
 
+@query("op11_whitening")
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), components=8)
+
+
+@query("op12_html_extract")
+def op12_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_extract.extract(pages, html_extract.fit_on(pages))
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
