@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corpusframe.settings import durable
+
 BLOCK = 4096
 
 
@@ -79,6 +81,21 @@ def last_event(df: DataFrame, keys: list[str], order: list[str], position: str,
     return joined.withColumn(out, F.coalesce(F.col("__acc"), F.col("__in"))).drop("__b", "__v", "__acc", "__in")
 
 
+def numbered(df: DataFrame, keys: list[str], order: list[Column | str], out: str, first: int = 0) -> DataFrame:
+    """Dense position within ``keys`` by ``order``, from ``first``, on two levels: ranges of the sorted table, and rows in a range.
+
+    The table is cut at sampled bounds of (keys, order), so a key of any size is as many ranges as its rows ask
+    for; a window holds one range of one key, and one count per range and key tells what comes before it. The cut is
+    a stored table, so a lost executor cannot cut it otherwise. Rows that agree in ``order`` are numbered in any order.
+    """
+    cut = durable(df.repartitionByRange(*keys, *order).withColumn("__p", F.spark_partition_id()))
+    inner = cut.withColumn("__rn", F.row_number().over(W.partitionBy(*keys, "__p").orderBy(*order)))
+    before = W.partitionBy(*keys).orderBy("__p").rowsBetween(W.unboundedPreceding, -1)
+    sizes = cut.groupBy(*keys, "__p").agg(F.count("*").alias("__n"))
+    offsets = sizes.select(*keys, "__p", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
+    return _same(inner, offsets, [*keys, "__p"]).withColumn(out, F.col("__off") + F.col("__rn") + (first - 1)).drop("__p", "__rn", "__off")
+
+
 def dense_index(df: DataFrame, order: list[str], block: Column, out: str = "index") -> DataFrame:
     """0-based position over the whole table without a single-task sort.
 
