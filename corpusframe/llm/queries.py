@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from corpusframe.llm import bpe, class_lm, decontaminate, html_extract, quality_model, quality_rules, repeats, secrets, shingle_join, url_rules, warc, whitening
+from corpusframe.llm import bpe, class_lm, decontaminate, html_extract, prefix_trie, quality_model, quality_rules, repeats, secrets, shingle_join, url_rules, warc, whitening
 from corpusframe.llm.common import remainder, shared_folder, table
 
 QUERIES = {}
@@ -171,6 +171,11 @@ def op12_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(pages, html_extract.fit_on(pages))
 
 
+@query("op13_prefix_trie")
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
