@@ -2,9 +2,10 @@
 
 Every line of a text is judged by itself. A line is removed if it is
 
-* ``symbols``: many of its characters are markup or bullet symbols, or most of its words end in ``!``;
+* ``punctuation``: some symbols of markup, or some marks, are a good part of its characters, or most of its words end in ``!``;
 * ``navigation``: a menu or table row, cut up by separators;
-* ``boilerplate``: a licence, copyright, cookie or script notice;
+* ``boilerplate``: a licence, copyright, cookie or script notice, or a link's label, fills most of it: whole words, so
+  that prose in which such words occur stays;
 * ``repeated``: equal to an earlier line of the text.
 
 A document is rejected if the base rules fail (too few words, too many words in repeated three-word
@@ -19,15 +20,20 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusframe.llm.common import SPACE
+from corpusframe.llm.common import SPACE, ascii_lower
 
 SYMBOLS = "#*$%&|<>"
 
-#: Notices that are not prose. Lower case; the line is lower-cased before.
+MARKS = ".,;:!?-_=~^/+()[]{}'\""
+
+#: Notices that are not prose, as patterns of a lower-case line; one that ends in [^\n]* takes the rest of the line.
 BOILERPLATE = (
-    "all rights reserved", "licensed under", "released under the", "public license", "copyright (c)", "terms of service", "terms of use",
-    "privacy policy", "cookie policy", "use cookies", "enable javascript", "click here", "read more", "sign up", "log in", "lorem ipsum",
+    r"all rights reserved", r"(?:this|the) (?:work|page|file|site|content|document|text|software|article) (?:is|was) (?:licensed|released|published) under[^\n]*",
+    r"(?:licensed|released) under the[^\n]*licen[cs]e[^\n]*", r"copyright \(c\)[^\n]*", r"copyright [0-9]{4}[^\n]*", r"terms of (?:service|use)", r"(?:privacy|cookie) policy",
+    r"(?:we|this site|this website|this page) uses? cookies[^\n]*", r"(?:please )?enable javascript[^\n]*", r"click here", r"read more", r"sign up", r"log in", r"lorem ipsum[^\n]*",
 )
+#: A notice between other words, with what parts it from them.
+NOTICE = "(?:^|[ '\"(])(?:" + "|".join(BOILERPLATE) + ")(?:$|[ .,;:!?'\")])"
 
 
 @dataclass(frozen=True)
@@ -35,15 +41,19 @@ class Rules:
     """Thresholds in whole numbers, so that every engine decides alike."""
     min_words: int = 50
     max_repeat_pct: int = 50
-    #: symbols per 100 non-space characters of a line
+    #: symbols per 100 non-space characters of a line, from ``min_symbols`` on; marks likewise
     max_symbol_pct: int = 10
+    min_symbols: int = 5
+    max_mark_pct: int = 40
+    min_marks: int = 5
     #: ``!`` characters per 100 words of a line
     max_shout_pct: int = 80
     #: separators (`|`, `»`, `›`, `•`) per 100 words of a line, from ``min_separators`` on
     max_separator_pct: int = 25
     min_separators: int = 3
-    #: a line with a notice is removed if it is not longer than this
+    #: a line is a notice if it is not longer than this and notices hold that share of it
     max_notice_chars: int = 200
+    min_notice_pct: int = 50
     #: text removed, per 100 non-space characters of the document
     max_lost_pct: int = 40
 
@@ -62,15 +72,14 @@ def _without(c: Column, chars: str) -> Column:
 
 
 def line_fails(line: Column, rules: Rules) -> Column:
-    """True if a line of the text is to be removed for what it holds."""
+    """True if a line of the text is to be removed for what it holds. What costs most is asked last."""
     n = F.size(F.split(F.trim(line), r"[\x20\x09-\x0D]+"))
-    low = F.lower(line)
-    notice = F.lit(False)
-    for text in BOILERPLATE:
-        notice = notice | F.contains(low, F.lit(text))
-    separators = _without(line, "|»›•")
-    return ((_without(line, SYMBOLS) * 100 > solid(line) * rules.max_symbol_pct)
-            | (_without(line, "!") * 100 > n * rules.max_shout_pct)
+    symbols, marks, shouts, separators = _without(line, SYMBOLS), _without(line, MARKS), _without(line, "!"), _without(line, "|»›•")
+    low = ascii_lower(line)
+    notice = (F.length(line) - F.length(F.regexp_replace(low, NOTICE, ""))) * 100 >= F.length(line) * rules.min_notice_pct
+    return (((symbols >= rules.min_symbols) & (symbols * 100 > solid(line) * rules.max_symbol_pct))
+            | ((marks >= rules.min_marks) & (marks * 100 > solid(line) * rules.max_mark_pct))
+            | ((shouts > 0) & (shouts * 100 > n * rules.max_shout_pct))
             | ((separators >= rules.min_separators) & (separators * 100 > n * rules.max_separator_pct))
             | ((F.length(line) <= rules.max_notice_chars) & notice))
 

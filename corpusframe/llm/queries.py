@@ -46,7 +46,8 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(table(spark, sf_dir, "pages").select("page_id", "url"), rules).select("page_id", "host", "path", "rule", "verdict")
 
 
-_NOTICE = " OR ".join(f"contains(lower(line), '{x}')" for x in quality_rules.BOILERPLATE)
+_SQL_LOW = "translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_QUOTED = lambda x: x.replace("'", "''")
 _R = quality_rules.Rules()
 _SOLID = "length(translate({0}, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), ''))"
 _MINUS = "(length({0}) - length(translate({0}, '{1}', '')))"
@@ -61,10 +62,11 @@ rep AS (SELECT r, count(DISTINCT i) AS n_repeat_words FROM twice GROUP BY r),
 ln AS (SELECT r, i, l[i] AS line FROM (SELECT r, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT r, string_split(text, chr(10)) AS l FROM base))),
 lm AS (SELECT r, i, line, {_SOLID.format('line')} AS solid, len(regexp_extract_all(trim(line, ' '), '[\\x20\\x09-\\x0D]+')) + 1 AS n,
               row_number() OVER (PARTITION BY r, line ORDER BY i) AS seen FROM ln),
-judged AS (SELECT *, {_MINUS.format('line', quality_rules.SYMBOLS)} * 100 > solid * {_R.max_symbol_pct}
-                  OR {_MINUS.format('line', '!')} * 100 > n * {_R.max_shout_pct}
-                  OR ({_MINUS.format('line', '|»›•')} >= {_R.min_separators} AND {_MINUS.format('line', '|»›•')} * 100 > n * {_R.max_separator_pct})
-                  OR (length(line) <= {_R.max_notice_chars} AND ({_NOTICE})) AS fails FROM lm WHERE solid > 0),
+marks AS (SELECT *, {_MINUS.format('line', quality_rules.SYMBOLS)} AS symbols, {_MINUS.format('line', _QUOTED(quality_rules.MARKS))} AS marks, {_MINUS.format('line', '!')} AS shouts,
+                 {_MINUS.format('line', '|»›•')} AS separators, length(line) - length(regexp_replace({_SQL_LOW}, '{_QUOTED(quality_rules.NOTICE)}', '', 'g')) AS noticed FROM lm WHERE solid > 0),
+judged AS (SELECT *, (symbols >= {_R.min_symbols} AND symbols * 100 > solid * {_R.max_symbol_pct}) OR (marks >= {_R.min_marks} AND marks * 100 > solid * {_R.max_mark_pct})
+                  OR (shouts > 0 AND shouts * 100 > n * {_R.max_shout_pct}) OR (separators >= {_R.min_separators} AND separators * 100 > n * {_R.max_separator_pct})
+                  OR (length(line) <= {_R.max_notice_chars} AND noticed * 100 >= length(line) * {_R.min_notice_pct}) AS fails FROM marks),
 lines AS (SELECT r, count(*) FILTER (seen > 1) AS n_dup_lines, coalesce(sum(solid) FILTER (seen > 1 OR fails), 0) AS lost_chars FROM judged GROUP BY r),
 counted AS (SELECT doc_id, len(w) AS n_words, {_SOLID.format('text')} AS word_chars, {_MINUS.format('text', quality_rules.SYMBOLS)} AS n_symbols,
                    coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(lost_chars, 0) AS lost_chars

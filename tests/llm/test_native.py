@@ -78,14 +78,17 @@ def test_base_counts_against_brute_force(spark):
 
 @pytest.mark.parametrize("line, fails", [
     ("Home | News | About | Contact", True), ("BUY!! NOW!! CHEAP!!", True), ("All rights reserved.", True), ("a### b*** c$$$", True), ("A plain sentence, with words.", False),
-    ("He said: stop! And they stopped.", False), ("A or B | C", False)])
+    ("He said: stop! And they stopped.", False), ("A or B | C", False), ("=-=-=-=-=-= [x]", True), ("This work is licensed under CC BY 4.0.", True), ("Copyright (c) 2020 A. B.", True),
+    ("Read more", True), ("Log in", True), ("We use cookies to serve you better.", True), ("She found the old catalog in the library attic.", False),
+    ("You can read more about it in chapter three.", False), ("They would sign up for the choir every spring.", False), ("if a < b then c > d", False),
+    ("Prices rose 5% in May & 7% in June.", False), ("The club changed its privacy policy after the vote.", False)])
 def test_line_rules(spark, line, fails):
     got = spark.createDataFrame([(line,)], "x string").select(quality_rules.line_fails(F.col("x"), quality_rules.Rules())).head()[0]
     assert got is fails
 
 
 def test_cleaning_takes_lines_and_rejects_what_lost_too_much(spark):
-    good = "\n".join(f"This is sentence number {i} of a text, and it says thing {i * 7}." for i in range(12))
+    good = "\n".join(" ".join(f"w{i}x{k}" for k in range(7)) + "." for i in range(12))
     rows = docs(spark, [good, good + "\n\nAll rights reserved.\n" + good.split("\n")[0], good + "\n" + "\n".join(f"A{i} | B{i} | C{i} | D{i} | E{i} | F{i} | G{i} | H{i} | I{i} | J{i} | K{i}"
                                                                                                       for i in range(40)), "short"])
     out = {r.doc_id: r for r in quality_rules.clean_documents(rows).collect()}
