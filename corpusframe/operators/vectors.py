@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from corpusframe.functions import rules as R
 from corpusframe.functions import text as X
 from corpusframe.functions.routes import DOMAIN_CODES
+from corpusframe.settings import durable
 
 # The functions run in tasks travel with the job: workers need not have this package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -27,15 +28,24 @@ TILE_SCORES = 2_000_000
 
 
 def vectorise(df: DataFrame, col: str, fn=None, dim: int = 256, out: str = "embedding") -> DataFrame:
-    """Unit vector of a text: by ``fn`` (a pandas UDF Series[str] → Series[list[float]]) or by hashed word counts."""
+    """Unit vector of a text: by ``fn`` (a pandas UDF Series[str] → Series[list[float]]) or by hashed word counts.
+
+    A word counts in the place that the first eight hexadecimal digits of its MD5 say, modulo ``dim``. A text without words is the
+    zero vector.
+    """
     if fn is not None:
         return df.withColumn(out, fn(F.col(col)))
-    from pyspark.ml.feature import HashingTF, Normalizer
-    from pyspark.ml.functions import vector_to_array
-    words = df.withColumn("__w", X.words(F.lower(F.coalesce(col, F.lit("")))))
-    counted = HashingTF(numFeatures=dim, inputCol="__w", outputCol="__tf").transform(words)
-    unit = Normalizer(inputCol="__tf", outputCol="__u", p=2.0).transform(counted)
-    return unit.withColumn(out, vector_to_array("__u", "float32")).drop("__w", "__tf", "__u")
+    place = F.transform(X.words(F.lower(F.coalesce(col, F.lit("")))), lambda w: F.pmod(F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long"), F.lit(dim)).cast("int"))
+    places = df.withColumn("__p", F.array_sort(place))
+    # a run of equal places ends where the next one differs
+    last = F.transform("__p", lambda p, i: F.when(F.coalesce(F.get("__p", i + 1), F.lit(-1)) != p, F.struct(p.alias("p"), (i + 1).alias("upto"))))
+    runs = places.withColumn("__r", F.array_compact(last))
+    counts = F.transform("__r", lambda r, i: F.struct(r["p"].alias("key"), (r["upto"] - F.coalesce(F.get("__r", i - 1)["upto"], F.lit(0))).cast("double").alias("value")))
+    norm = F.sqrt(F.aggregate("__k", F.lit(0.0), lambda a, x: a + x["value"] * x["value"]))
+    # the row number keeps filters on the vector above this step; below it, they would compute every array again for each of its elements
+    ready = runs.withColumn("__k", counts).withColumns({"__n": norm, "__m": F.map_from_entries("__k"), "__row": F.monotonically_increasing_id()})
+    value = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda j: F.coalesce(F.try_element_at("__m", j) / F.col("__n"), F.lit(0.0)).cast("float"))
+    return ready.withColumn(out, F.when(F.col("__row") >= 0, value)).drop("__p", "__r", "__k", "__n", "__m", "__row")
 
 
 def check_vectors(df: DataFrame, dim: int, vector: str = "embedding", text: str | None = None) -> DataFrame:
@@ -85,37 +95,30 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int):
     return q[near], i[near], s[near]
 
 
-def _allowed(query_domains, row_domains) -> np.ndarray:
-    """Which rows a query may see; a query without a domain list sees all."""
-    codes, names = pd.factorize(pd.Series(row_domains, dtype="object"))
-    table = np.ones((len(query_domains), len(names) + 1), dtype=bool)
+def _allowed(query_domains, names) -> np.ndarray:
+    """Which of some domains a query may see; a query without a domain list sees all, also rows without a domain."""
+    codes, known = pd.factorize(pd.Series(names, dtype="object"))
+    table = np.ones((len(query_domains), len(known) + 1), dtype=bool)
     for j, wanted in enumerate(query_domains):
         if wanted is not None and len(wanted):
             chosen = set(wanted)
-            table[j, :-1] = [n in chosen for n in names]
+            table[j, :-1] = [n in chosen for n in known]
             table[j, -1] = False
     return table[:, codes]
 
 
-def _score(qm, qd, part: pd.DataFrame) -> np.ndarray:
-    s = qm @ _unit(part["embedding"]).T
-    if qd is not None:
-        s[~_allowed(qd, part["domain"])] = -np.inf
-    return s
-
-
-def _search(query_ids, qm, qd, part: pd.DataFrame, k: int, tile: int):
+def _search(query_ids, qm, part: pd.DataFrame, k: int, tile: int):
     """The k best rows of ``part`` for every query, by tiles of at most ``tile`` scores: query id, row id, score."""
     ids = part["chunk_id"].to_numpy()
     out_q, out_i, out_s = [], [], []
     wide = max(1, min(len(qm), tile))
     for a in range(0, len(qm), wide):
-        q_part, d_part = qm[a:a + wide], None if qd is None else qd[a:a + wide]
+        q_part = qm[a:a + wide]
         high = max(1, tile // len(q_part))
         best_q, best_i, best_s = np.empty(0, int), ids[:0], np.empty(0)
         for b in range(0, len(part), high):
             rows = part.iloc[b:b + high]
-            q, i, s = _best(_score(q_part, d_part, rows), ids[b:b + high], k)
+            q, i, s = _best(q_part @ _unit(rows["embedding"]).T, ids[b:b + high], k)
             best_q, best_i, best_s = np.concatenate([best_q, q]), np.concatenate([best_i, i]), np.concatenate([best_s, s])
             order = np.lexsort((best_i, -best_s, best_q))
             best_q, best_i, best_s = best_q[order], best_i[order], best_s[order]
@@ -127,48 +130,213 @@ def _search(query_ids, qm, qd, part: pd.DataFrame, k: int, tile: int):
     return pd.DataFrame({"query_id": np.concatenate(out_q), "chunk_id": np.concatenate(out_i), "similarity": np.concatenate(out_s)})
 
 
-def _cell(k: int, by_domain: bool, tile: int):
+def _cell(k: int, tile: int):
     def run(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(c):
             return pd.DataFrame({"query_id": q["query_id"].iloc[:0], "chunk_id": c["chunk_id"].iloc[:0], "similarity": pd.Series(dtype="float64")})
-        return _search(q["query_id"].to_numpy(), _unit(q["embedding"]), q["domains"].to_list() if by_domain else None, c, k, tile)
+        return _search(q["query_id"].to_numpy(), _unit(q["embedding"]), c, k, tile)
     return run
 
 
 def usable(df: DataFrame, dim: int, vector: str = "embedding") -> DataFrame:
-    """Rows whose vector has ``dim`` numbers; ``check_vectors`` lists and counts the others."""
-    return df.filter(F.col(vector).isNotNull() & (F.size(vector) == dim))
+    """Rows whose vector has ``dim`` numbers, all finite; ``check_vectors`` lists the others."""
+    return df.filter(F.col(vector).isNotNull() & (F.size(vector) == dim) & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
+
+
+def common_size(df: DataFrame, dim: int | None = None, vector: str = "embedding") -> tuple[int, int]:
+    """(size of a vector, rows of that size): ``dim``, or the most frequent size (ties: the larger); (1, 0) without vectors."""
+    sizes = df.filter(F.col(vector).isNotNull() & (F.lit(dim is None) | (F.size(vector) == (dim or 0)))).groupBy(F.size(vector).alias("size")).agg(F.count("*").alias("n"))
+    top = sizes.orderBy(F.desc("n"), F.desc("size")).head()
+    return (top["size"], top["n"]) if top else (dim or 1, 0)
+
+
+def left_out(queries: DataFrame, corpus: DataFrame, dim: int) -> DataFrame:
+    """side, n_rows, n_left_out: how many rows of either side a search over vectors of ``dim`` numbers cannot use."""
+    fine = F.coalesce((F.size("embedding") == dim) & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False))
+    count = lambda df, side: df.agg(F.count("*").alias("n_rows"), F.count_if(~fine).alias("n_left_out")).select(F.lit(side).alias("side"), "n_rows", "n_left_out")
+    return count(queries, "queries").unionByName(count(corpus, "corpus"))
+
+
+#: Radians by which a computed angle may be off.
+SLACK = 1e-6
+MOST_CELLS = 4096
+#: A corpus of no more numbers than this is one cell, unless cells are asked for: to place its rows would cost more than to compare them.
+ONE_CELL = 500_000
+
+
+def _centres(rows: np.ndarray, cells: int, rounds: int = 6) -> np.ndarray:
+    """Unit centres of at most ``cells`` groups of some unit vectors: a few rounds of spherical k-means."""
+    centres = np.unique(rows[np.abs(rows).sum(1) > 0], axis=0)
+    if len(centres) <= 1:
+        return centres
+    centres = centres[np.linspace(0, len(centres) - 1, min(cells, len(centres))).astype(int)]
+    for _ in range(rounds):
+        own = (rows @ centres.T).argmax(1)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, own, rows)
+        norm = np.sqrt((sums * sums).sum(1, keepdims=True))
+        centres = np.where(norm > 0, sums / np.where(norm > 0, norm, 1), centres)
+    return centres
+
+
+def _angles(u: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(u @ centres.T, -1.0, 1.0))
+
+
+def _assign(centres: np.ndarray):
+    """Nearest centre of every row and the angle to it; rows of length zero have no direction and form a cell of their own."""
+    def run(parts):
+        for part in parts:
+            u = _unit(part["embedding"]) if len(part) else np.zeros((0, 1))
+            cell, angle = np.full(len(part), len(centres)), np.full(len(part), math.pi)
+            some = np.abs(u).sum(1) > 0
+            if some.any() and len(centres):
+                near = _angles(u[some], centres)
+                cell[some], angle[some] = near.argmin(1), near.min(1)
+            yield part.assign(__cell=cell.astype(np.int32), __angle=angle)
+    return run
+
+
+class Index:
+    """A corpus in cells around centres, for exact searches that skip cells.
+
+    A cell (centre and domain) knows how many rows it has and its radius, the largest angle between its centre and a row.
+    By the triangle inequality on angles no row of it can be nearer to a query than angle(query, centre) - radius, so
+    a cell whose best possible cosine is below a query's k-th score is not visited. Cells without the domain of a query are not
+    visited either, before any row is copied.
+
+    ``dim``: size of the vectors, by default the most frequent one of the corpus. Other rows are left out: see ``left_out``.
+    """
+
+    def __init__(self, corpus: DataFrame, dim: int | None = None, cells: int | None = None, numbers: int = CELL_NUMBERS):
+        self.by_domain, self.numbers = "domain" in corpus.columns, numbers
+        c = corpus.select("chunk_id", "embedding", *(["domain"] if self.by_domain else []))
+        self.dim, size = common_size(c, dim)
+        c = usable(c, self.dim)
+        if cells is None and size * self.dim <= ONE_CELL:
+            self.centres = np.zeros((0, self.dim))
+            self.rows = c.withColumns({"__cell": F.lit(0), "__angle": F.lit(math.pi)})
+            stats = [(0, math.pi, size, None)] if size else []
+            if self.by_domain:
+                stats = [(0, math.pi, r["n"], r["domain"]) for r in c.groupBy("domain").agg(F.count("*").alias("n")).collect()]
+        else:
+            cells = max(1, min(MOST_CELLS, round(math.sqrt(size) / 4))) if cells is None else cells
+            sample = c.select("embedding", F.xxhash64("chunk_id").alias("h")).orderBy("h").limit(max(cells, min(32 * cells, CELL_NUMBERS // self.dim)))
+            rows = _unit([r[0] for r in sample.collect()])
+            self.centres = _centres(rows, cells) if len(rows) else np.zeros((0, self.dim))
+            fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in c.schema.fields)
+            self.rows = durable(c.mapInPandas(_assign(self.centres), f"{fields}, __cell int, __angle double"))
+            key = ["__cell", "domain"] if self.by_domain else ["__cell"]
+            found = self.rows.groupBy(*key).agg(F.count("*").alias("n"), F.max("__angle").alias("radius")).collect()
+            stats = [(r["__cell"], r["radius"], r["n"], r["domain"] if self.by_domain else None) for r in found]
+        stats.sort(key=lambda r: (r[0], str(r[3])))
+        self.cell = np.array([r[0] for r in stats], dtype=np.int64)
+        self.radius = np.array([r[1] for r in stats])
+        self.n = np.array([r[2] for r in stats], dtype=np.int64)
+        self.domain = [r[3] for r in stats]
+
+    def _visits(self, k: int, later: bool, spread: bool, many: int = 512):
+        """Tasks' part of one phase: the cells each query visits, as copies of the query (``spread``) or as counts per cell.
+
+        First phase: the cells of best bound that hold k rows. Later: all others whose bound reaches the score ``least``.
+        """
+        centres, cell, domain, n, radius = self.centres, self.cell, self.domain, self.n, self.radius
+        none = len(centres)
+
+        def run(parts):
+            for part in parts:
+                total = np.zeros(len(n), dtype=np.int64)
+                for a in range(0, len(part), many):
+                    rows = part.iloc[a:a + many]
+                    u = _unit(rows["embedding"])
+                    bound = np.ones((len(rows), len(n)))
+                    directed, pointed = np.flatnonzero(np.abs(u).sum(1) > 0), np.flatnonzero(cell < none)
+                    if len(directed) and len(pointed):
+                        far = _angles(u[directed], centres)[:, cell[pointed]] - radius[pointed] - SLACK
+                        bound[np.ix_(directed, pointed)] = np.cos(np.maximum(far, 0.0))
+                    may = _allowed(rows["domains"].to_list(), domain) if "domains" in rows.columns else np.ones(bound.shape, dtype=bool)
+                    order = np.argsort(np.where(may, -bound, 9.0), axis=1, kind="stable")
+                    held = np.cumsum(np.where(np.take_along_axis(may, order, 1), n[order], 0), axis=1)
+                    first = np.zeros(bound.shape, dtype=bool)
+                    np.put_along_axis(first, order, (held - n[order] < k) | (not none), axis=1)
+                    wanted = first & may
+                    if later:
+                        least = rows["least"].to_numpy(dtype=float)
+                        wanted = may & ~wanted & (bound >= np.where(np.isnan(least), -2.0, least - 1e-9)[:, None])
+                    if spread:
+                        q, c = np.nonzero(wanted)
+                        yield rows[["query_id", "embedding"]].iloc[q].assign(__cid=c.astype(np.int32))
+                    else:
+                        total += wanted.sum(0)
+                if not spread:
+                    hit = np.flatnonzero(total)
+                    yield pd.DataFrame({"__cid": hit.astype(np.int32), "n": total[hit]})
+        return run
+
+    def _phase(self, queries: DataFrame, k: int, later: bool, query_numbers: int, tile: int, few: bool) -> tuple[DataFrame | None, dict]:
+        """(hits of the cells visited, queries per cell); ``few`` queries make one block in every cell, so they are not counted."""
+        spark = queries.sparkSession
+        counts = dict.fromkeys(range(len(self.n)), 1) if few else {r["__cid"]: r["n"] for r in queries.mapInPandas(self._visits(k, later, False), "__cid int, n long").groupBy("__cid").agg(F.sum("n").alias("n")).collect()}
+        if not counts:
+            return None, counts
+        fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in queries.schema.fields if f.name in ("query_id", "embedding"))
+        copies = queries.mapInPandas(self._visits(k, later, True), f"{fields}, __cid int")
+        blocks = spark.createDataFrame([(c, int(self.cell[c]), self.domain[c], max(1, math.ceil(int(self.n[c]) * self.dim / self.numbers)), max(1, math.ceil(n * self.dim / query_numbers)))
+                                        for c, n in sorted(counts.items())], "__cid int, __at int, __of string, __rows int, __asks int")
+        # cells are at most MOST_CELLS times the domains, whatever the data
+        small = F.broadcast(blocks)
+        block = lambda col, n: F.pmod(F.xxhash64(col), F.col(n)).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        qg = copies.join(small, "__cid").withColumn("__q", block("query_id", "__asks")).select("query_id", "embedding", "__cid", "__q", every("__rows").alias("__c")).groupBy("__cid", "__c", "__q")
+        same = (F.col("__cell") == F.col("__at")) & (F.col("domain").eqNullSafe(F.col("__of")) if self.by_domain else F.lit(True))
+        cg = self.rows.join(small, same).withColumn("__c", block("chunk_id", "__rows")).select("chunk_id", "embedding", "__cid", "__c", every("__asks").alias("__q")).groupBy("__cid", "__c", "__q")
+        kind = lambda df, col: df.schema[col].dataType.simpleString()
+        schema = f"query_id {kind(queries, 'query_id')}, chunk_id {kind(self.rows, 'chunk_id')}, similarity double"
+        return qg.cogroup(cg).applyInPandas(_cell(k, tile), schema), counts
+
+    def search(self, queries: DataFrame, k: int = 5, query_numbers: int = QUERY_NUMBERS, tile: int = TILE_SCORES, report: bool = True) -> tuple[DataFrame, dict]:
+        """(hits: query_id, chunk_id, rank, score; report: pairs of query and cell, and of query and row, in all and visited).
+
+        First every query meets the cells of best bound that hold k rows, which gives it a score to reach; then it
+        meets the cells that may still beat it.
+        """
+        q = usable(queries.select("query_id", "embedding", *(["domains"] if "domains" in queries.columns else [])), self.dim)
+        near = W.partitionBy("query_id").orderBy(F.col("similarity").desc(), "chunk_id")
+        asked = q.count()
+        few = not report and asked * self.dim <= query_numbers
+        found, first = self._phase(q, k, False, query_numbers, tile, few)
+        seen = {"queries": asked, "cells": len(self.n), "cell_pairs": asked * len(self.n), "row_pairs": asked * int(self.n.sum()), "cell_pairs_visited": 0, "row_pairs_visited": 0}
+        if found is None:
+            kind = lambda df, col: df.schema[col].dataType.simpleString()
+            empty = f"query_id {kind(q, 'query_id')}, chunk_id {kind(self.rows, 'chunk_id')}, rank int, score double"
+            return queries.sparkSession.createDataFrame([], empty), seen
+        found = found.withColumn("rank", F.row_number().over(near)).filter(F.col("rank") <= k)
+        second = {}
+        if len(self.centres):
+            found = durable(found)
+            reached = found.filter(F.col("rank") == k).select("query_id", F.col("similarity").alias("least"))
+            more, second = self._phase(q.join(reached, "query_id", "left"), k, True, query_numbers, tile, few)
+            if more is not None:
+                found = found.drop("rank").unionByName(more).withColumn("rank", F.row_number().over(near)).filter(F.col("rank") <= k)
+        if not few:
+            seen["cell_pairs_visited"] = sum(first.values()) + sum(second.values())
+            seen["row_pairs_visited"] = int(sum(int(self.n[c]) * v for x in (first, second) for c, v in x.items()))
+        return found.select("query_id", "chunk_id", "rank", F.round("similarity", 4).alias("score")), seen
 
 
 def knn(queries: DataFrame, corpus: DataFrame, k: int = 5, dim: int | None = None, query_numbers: int = QUERY_NUMBERS, cell_numbers: int = CELL_NUMBERS,
-        tile: int = TILE_SCORES) -> DataFrame:
+        tile: int = TILE_SCORES, cells: int | None = None) -> DataFrame:
     """The k most similar corpus rows of every query by cosine: query_id, chunk_id, rank, score.
 
     ``queries``: query_id, embedding[, domains array]; ``corpus``: chunk_id, embedding[, domain].
-    Exact, ties by chunk_id. Both sides are cut into blocks of bounded size, every pair of blocks is
-    one task of a grid, and a task holds one tile of scores at a time, so no task grows with either
-    side or with the dimension. Every task reduces its rows to k per query before anything is shuffled.
-    Null vectors, and those that do not have ``dim`` numbers (by default as many as the smallest
-    query with a vector), are left out on both sides.
+    Exact, ties by chunk_id; cells that cannot hold a hit are skipped (``Index``). What is visited is cut into blocks of bounded size
+    on both sides, and a task holds one tile of scores at a time, so no task grows with a cell, with the queries that visit it or with
+    the dimension. Vectors that do not have ``dim`` finite numbers (by default the corpus's most frequent size) are left out on
+    both sides; ``left_out`` counts them.
     """
-    by_domain = "domains" in queries.columns
-    qcols = ["query_id", "embedding"] + (["domains"] if by_domain else [])
-    ccols = ["chunk_id", "embedding"] + (["domain"] if by_domain else [])
-    q, c = queries.select(*[F.col(x).alias(x) for x in qcols]), corpus.select(*ccols)
-    kind = lambda df, col: df.schema[col].dataType.simpleString()
-    schema = f"query_id {kind(q, 'query_id')}, chunk_id {kind(c, 'chunk_id')}, similarity double"
-    if dim is None:
-        dim = q.filter("embedding is not null").agg(F.min_by(F.size("embedding"), "query_id")).head()[0] or 1
-    q, c = usable(q, dim), usable(c, dim)
-    q_blocks, c_blocks = (max(1, math.ceil(df.count() * dim / most)) for df, most in ((q, query_numbers), (c, cell_numbers)))
-    block = lambda col, n: F.pmod(F.xxhash64(col), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    qg = q.withColumns({"__q": block("query_id", q_blocks), "__c": every(c_blocks)}).groupBy("__q", "__c")
-    cg = c.withColumns({"__c": block("chunk_id", c_blocks), "__q": every(q_blocks)}).groupBy("__q", "__c")
-    part = qg.cogroup(cg).applyInPandas(_cell(k, by_domain, tile), schema)
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("similarity").desc(), "chunk_id"))
-    return part.withColumn("rank", rank).filter(F.col("rank") <= k).select(
-        "query_id", "chunk_id", "rank", F.round("similarity", 4).alias("score"))
+    if "domains" not in queries.columns:
+        corpus = corpus.select("chunk_id", "embedding")
+    return Index(corpus, dim, cells, cell_numbers).search(queries, k, query_numbers, tile, report=False)[0]
 
 
 def search_results(hits: DataFrame, queries: DataFrame, chunks: DataFrame, longest: int = 500) -> DataFrame:

@@ -11,7 +11,7 @@ from corpusframe.operators import evaluate as EL
 from corpusframe.plans import statutes as S
 from corpusframe.plans.q_normalise import SQL_CHUNKS, chunks
 from corpusframe.plans.q_text import SQL_RESPONSES, SQL_SCRUB, responses
-from corpusframe.plans.q_vectors import SQL_CORPUS, SQL_HITS, corpus, far
+from corpusframe.plans.q_vectors import SQL_ASKS, SQL_CORPUS, SQL_HITS, asks, corpus, far
 from corpusframe.plans.registry import query, table
 from corpusframe.settings import shared_folder
 from corpusframe.streaming import ingest
@@ -19,13 +19,13 @@ from corpusframe.streaming import requests as RQ
 
 strip = S.sql_strip
 SQL_EVAL = f"WITH {SQL_CORPUS}, {SQL_HITS(5)}, far AS (SELECT query_id, chunk_id, rank - 1 AS rank, score, c.label, c.language FROM hits JOIN corpus c USING (chunk_id) WHERE rank > 1), " \
-    "qs AS (SELECT chunk_id AS query_id, label AS expected, language FROM corpus)"
+    f"qs AS (SELECT chunk_id AS query_id, label AS expected, language FROM corpus q WHERE {SQL_ASKS})"
 SQL_MATCH = SQL_EVAL + ", mt AS (SELECT query_id, expected, " + ", ".join(f"coalesce(bool_or(label = expected AND rank <= {k}), false) AS hit_{k}" for k in (1, 3, 5)) + " FROM qs LEFT JOIN far USING (query_id) GROUP BY 1, 2)"
 SQL_CROSS = ", cr AS (SELECT query_id, qs.language, coalesce(bool_or(far.language <> qs.language), false) AS is_cross_language FROM qs LEFT JOIN far USING (query_id) GROUP BY 1, 2)"
 
 
 def expected(spark, sf):
-    return corpus(spark, sf).select(F.col("chunk_id").alias("query_id"), F.col("label").alias("expected"), "language")
+    return asks(spark, sf).select(F.col("chunk_id").alias("query_id"), F.col("label").alias("expected"), "language")
 
 
 @query("hit_at_k", SQL_MATCH + """ SELECT count(*) AS queries, round(avg(hit_1::INT) * 100, 1) AS hit_at_1, round(avg(hit_3::INT) * 100, 1) AS hit_at_3, round(avg(hit_5::INT) * 100, 1) AS hit_at_5,

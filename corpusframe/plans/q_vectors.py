@@ -44,20 +44,29 @@ SQL_CORPUS = f"""corpus AS (SELECT vec_id AS chunk_id, embedding::DOUBLE[] AS em
   CASE WHEN vec_id % 3 <> 2 THEN label || ', ' || (label + 1) END AS pages, label FROM embeddings LEFT JOIN documents ON doc_id = vec_id)"""
 
 
+#: The query table: every row whose number is divisible by this, searched against all rows.
+EVERY = 20
+SQL_ASKS = f"q.chunk_id % {EVERY} = 0"
+
+
+def asks(spark, sf):
+    return corpus(spark, sf).filter(F.pmod("chunk_id", F.lit(EVERY)) == 0)
+
+
 def all_hits(spark, sf, k: int = 5):
-    c = corpus(spark, sf)
-    return V.knn(c.select(F.col("chunk_id").alias("query_id"), "embedding"), c, k)
+    return V.knn(asks(spark, sf).select(F.col("chunk_id").alias("query_id"), "embedding"), corpus(spark, sf), k)
 
 
-SQL_HITS = lambda k, cond="true": f"""hits AS (SELECT * EXCLUDE (s), round(s, 4) AS score FROM (SELECT q.chunk_id AS query_id, c.chunk_id, list_cosine_similarity(q.embedding, c.embedding) AS s,
+SQL_HITS = lambda k, cond=SQL_ASKS: f"""hits AS (SELECT * EXCLUDE (s), round(s, 4) AS score FROM (SELECT q.chunk_id AS query_id, c.chunk_id, list_cosine_similarity(q.embedding, c.embedding) AS s,
   row_number() OVER (PARTITION BY q.chunk_id ORDER BY list_cosine_similarity(q.embedding, c.embedding) DESC, c.chunk_id) AS rank FROM corpus q, corpus c WHERE {cond}) WHERE rank <= {k})"""
 
 
-@query("vectorise")
+@query("vectorise", f"""WITH w AS (SELECT doc_id, unnest(list_filter(string_split_regex({strip("lower(coalesce(text, ''))")}, '\\s+'), lambda w: w <> '')) AS w FROM documents),
+p AS (SELECT doc_id, ('0x' || substr(md5(w), 1, 8))::BIGINT % 64 AS p, count(*)::DOUBLE AS n FROM w GROUP BY ALL)
+SELECT doc_id, p AS place, round((n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)))::FLOAT::DOUBLE, 5) AS value FROM p""")
 def vectorise(spark, sf):
     v = V.vectorise(table(spark, sf, "documents").select("doc_id", "text"), "text", dim=64)
-    return v.select("doc_id", F.size("embedding").alias("dim"),
-                    F.round(F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))), 3).alias("norm"))
+    return v.select("doc_id", F.posexplode("embedding").alias("place", "value")).filter("value != 0").withColumn("value", F.round(F.col("value").cast("double"), 5))
 
 
 @query("check_vectors", f"""WITH {SQL_CORPUS} SELECT chunk_id, 'error' AS severity, 'dimension' AS issue FROM corpus WHERE language = 'fr'
@@ -83,44 +92,67 @@ def knn_exemplars(spark, sf):
     return V.knn(q, c, 10)
 
 
-@query("knn_all", f"WITH {SQL_CORPUS}, {SQL_HITS(5)} SELECT query_id, chunk_id, rank, score FROM hits")
+@query("knn_all", f"WITH {SQL_CORPUS}, {SQL_HITS(5, 'true')} SELECT query_id, chunk_id, rank, score FROM hits")
 def knn_all(spark, sf):
-    return all_hits(spark, sf)
+    """Every vector as a query."""
+    c = corpus(spark, sf)
+    return V.knn(c.select(F.col("chunk_id").alias("query_id"), "embedding"), c, 5)
+
+
+@query("knn_odd", f"""WITH {SQL_CORPUS.replace('FROM embeddings LEFT JOIN', "FROM (SELECT * FROM embeddings WHERE vec_id % 7 NOT IN (0, 1, 3)) e LEFT JOIN")}, {SQL_HITS(5)}
+SELECT query_id, chunk_id, rank, score FROM hits""")
+def knn_odd(spark, sf):
+    """Search in a table in which some vectors are too short, missing, or hold a NaN; the first query among them."""
+    c = corpus(spark, sf).select("chunk_id", "embedding")
+    r = F.pmod("chunk_id", F.lit(7))
+    nan = F.concat(F.slice("embedding", 1, 63), F.array(F.lit(float("nan")).cast("float")))
+    odd = c.withColumn("embedding", F.when(r == 0, F.slice("embedding", 1, 63)).when(r == 1, nan).when(r != 3, F.col("embedding")))
+    return V.knn(odd.filter(F.pmod("chunk_id", F.lit(EVERY)) == 0).withColumnRenamed("chunk_id", "query_id"), odd, 5)
+
+
+@query("knn_left_out", """SELECT 'queries' AS side, count(*) AS n_rows, count_if(vec_id % 7 = 0 OR vec_id % 7 = 3)::BIGINT AS n_left_out FROM embeddings WHERE vec_id % 20 = 0
+UNION ALL SELECT 'corpus', count(*), count_if(vec_id % 7 = 0 OR vec_id % 7 = 3)::BIGINT FROM embeddings""")
+def knn_left_out(spark, sf):
+    c = corpus(spark, sf).select("chunk_id", "embedding")
+    r = F.pmod("chunk_id", F.lit(7))
+    odd = c.withColumn("embedding", F.when(r == 0, F.slice("embedding", 1, 63)).when(r != 3, F.col("embedding")))
+    return V.left_out(odd.filter(F.pmod("chunk_id", F.lit(EVERY)) == 0), odd, 64)
 
 
-@query("knn_grid", f"WITH {SQL_CORPUS}, {SQL_HITS(3)} SELECT query_id, chunk_id, rank, score FROM hits")
+@query("knn_grid", f"WITH {SQL_CORPUS}, {SQL_HITS(3, 'true')} SELECT query_id, chunk_id, rank, score FROM hits")
 def knn_grid(spark, sf):
-    """The same search with both sides in blocks, as for query sets too large to be sent around."""
+    """The same search with few cells, each in blocks on both sides, as for large cells that many queries visit."""
     c = corpus(spark, sf)
-    return V.knn(c.select(F.col("chunk_id").alias("query_id"), "embedding"), c, 3, query_numbers=64 * 300, cell_numbers=64 * 300)
+    return V.knn(c.select(F.col("chunk_id").alias("query_id"), "embedding"), c, 3, query_numbers=64 * 300, cell_numbers=64 * 300, cells=2)
 
 
 @query("knn_filtered", f"""WITH {SQL_CORPUS}, {SQL_HITS(5, "c.domain = q.domain AND c.language = 'en'")} SELECT query_id, chunk_id, rank, score FROM hits""")
 def knn_filtered(spark, sf):
     c = corpus(spark, sf)
     q = c.select(F.col("chunk_id").alias("query_id"), "embedding", F.array("domain").alias("domains"))
-    return V.knn(q, V.apply_filters(c, language="en"), 5)
+    return V.knn(q, V.apply_filters(c, language="en"), 5, cells=6)
 
 
 SQL_SEARCH = f"WITH {SQL_CORPUS}, {SQL_HITS(5)}"
 
 
 @query("search_results", SQL_SEARCH + """ SELECT h.query_id, h.chunk_id, rank, score, c.domain, c.document_type, CASE WHEN length(c.text) > 500 THEN left(c.text, 500) || '...' ELSE c.text END AS text,
-  'en' AS query_language FROM hits h JOIN corpus c USING (chunk_id)""")
+  CASE WHEN o.label % 2 = 0 THEN 'en' ELSE 'hi' END AS query_language FROM hits h JOIN corpus c USING (chunk_id) JOIN corpus o ON o.chunk_id = h.query_id""")
 def search_results(spark, sf):
     c = corpus(spark, sf)
-    q = c.select(F.col("chunk_id").alias("query_id"), F.concat(F.lit("about "), "domain").alias("query"))
+    asked = F.when(F.pmod("label", F.lit(2)) == 0, F.concat(F.lit("about "), "domain")).otherwise(F.lit("यह क्या है"))
+    q = c.select(F.col("chunk_id").alias("query_id"), asked.alias("query"))
     r = V.search_results(all_hits(spark, sf), q, c.select("chunk_id", "domain", "document_type", "text"))
     return r.select("query_id", "chunk_id", "rank", "score", "domain", "document_type", "text", "query_language")
 
 
-@query("confidence_band", f"""WITH {SQL_CORPUS}, {SQL_HITS(1, "c.chunk_id <> q.chunk_id AND c.language = 'de' AND q.label <> c.label")}, t AS (SELECT query_id, max(score) AS s FROM hits GROUP BY 1)
+@query("confidence_band", f"""WITH {SQL_CORPUS}, {SQL_HITS(1, "c.chunk_id <> q.chunk_id AND q.label <> c.label")}, t AS (SELECT query_id, max(score) AS s FROM hits GROUP BY 1)
 SELECT chunk_id AS query_id, s AS top_score, CASE WHEN s >= .6 THEN 'high' WHEN s >= .4 THEN 'medium' WHEN s >= .25 THEN 'low' ELSE 'none' END AS band FROM corpus LEFT JOIN t ON query_id = chunk_id""")
 def confidence_band(spark, sf):
     c = corpus(spark, sf)
     others = lambda label: F.array(*[F.when(F.col(label) != i, F.lit(d)) for i, d in enumerate(DOMAINS)])
     q = c.select(F.col("chunk_id").alias("query_id"), "embedding", "label", F.array_compact(others("label")).alias("domains"))
-    hits = V.knn(q, V.apply_filters(c, language="de"), 1)
+    hits = V.knn(q, c, 1, cells=6)
     return V.confidence_band(q, hits)
 
 
@@ -199,8 +231,8 @@ def route_domains(spark, sf):
 # ------------------------------------------------------------------------------------ evidence
 
 def questions(spark, sf):
-    """Every vector as a query; its text is the text of its document."""
-    return corpus(spark, sf).select(F.col("chunk_id").alias("query_id"), F.concat(F.lit("about "), "text").alias("query"), "language")
+    """The query table; a query's text is the text of its document."""
+    return asks(spark, sf).select(F.col("chunk_id").alias("query_id"), F.concat(F.lit("about "), "text").alias("query"), "language")
 
 
 def hit_rows(spark, sf, k: int = 5):
@@ -208,7 +240,7 @@ def hit_rows(spark, sf, k: int = 5):
 
 
 WS = lambda c: f"list_filter(list_distinct(string_split_regex({strip(f'lower({c})')}, '\\s+')), lambda w: w <> '')"
-SQL_EVID = f"WITH {SQL_CORPUS}, {SQL_HITS(5)}, hr AS (SELECT h.*, c.* EXCLUDE (chunk_id, embedding) FROM hits h JOIN corpus c USING (chunk_id)), qs AS (SELECT chunk_id AS query_id, 'about ' || text AS query, language FROM corpus)"
+SQL_EVID = f"WITH {SQL_CORPUS}, {SQL_HITS(5)}, hr AS (SELECT h.*, c.* EXCLUDE (chunk_id, embedding) FROM hits h JOIN corpus c USING (chunk_id)), qs AS (SELECT chunk_id AS query_id, 'about ' || text AS query, language FROM corpus q WHERE {SQL_ASKS})"
 SQL_REL = SQL_EVID + f""", far AS (SELECT query_id, rank - 1 AS rank, score, text FROM hr WHERE rank > 1), rel AS (SELECT query_id, least(1.0, score * .7 +
   len(list_intersect({WS('query')}, {WS('text')}))::DOUBLE / greatest(len({WS('query')}), 1) * .3) AS relevance FROM far JOIN qs USING (query_id) WHERE rank = 1)"""
 
@@ -230,14 +262,14 @@ def decide(spark, sf):
     return EV.decide(questions(spark, sf), r).select("query_id", F.round("relevance", 6).alias("relevance"), "status")
 
 
-SQL_MULTI = SQL_EVID + """, mu AS (SELECT query_id // 10 AS query_id, query_id % 10 AS route_ord, rank, CASE WHEN chunk_id % 5 <> 0 THEN chunk_id END AS chunk_id, text FROM hr),
+SQL_MULTI = SQL_EVID + """, mu AS (SELECT query_id // 200 AS query_id, query_id // 20 % 10 AS route_ord, rank, CASE WHEN chunk_id % 5 <> 0 THEN chunk_id END AS chunk_id, text FROM hr),
 md AS (SELECT *, row_number() OVER (PARTITION BY query_id, coalesce(chunk_id || '', 'text:' || left(text, 200)) ORDER BY route_ord, rank) AS rn FROM mu)"""
 
 
 @query("dedupe_evidence", SQL_MULTI + " SELECT query_id, route_ord, rank, coalesce(chunk_id || '', '') AS chunk_id FROM md WHERE rn = 1")
 def dedupe_evidence(spark, sf):
     """Ten queries together stand for one query that was sent to ten routes."""
-    h = hit_rows(spark, sf).select(F.floor(F.col("query_id") / 10).alias("query_id"), F.pmod("query_id", F.lit(10)).alias("route_ord"), "rank",
+    h = hit_rows(spark, sf).select(F.floor(F.col("query_id") / 200).alias("query_id"), F.pmod(F.floor(F.col("query_id") / EVERY), F.lit(10)).alias("route_ord"), "rank",
                                    F.when(F.pmod("chunk_id", F.lit(5)) != 0, F.col("chunk_id")).alias("chunk_id"), "text")
     return EV.dedupe_evidence(h).select("query_id", "route_ord", "rank", F.coalesce(F.col("chunk_id").cast("string"), F.lit("")).alias("chunk_id"))
 

@@ -61,6 +61,49 @@ def test_knn_tiles_and_vectors_that_cannot_be_used(spark, dim, tile):
     assert got == want
 
 
+@pytest.mark.parametrize("cells", [1, 3, 12])
+def test_knn_skips_cells_and_misses_nothing(spark, cells):
+    rng = np.random.default_rng(7)
+    tops = rng.normal(size=(10, 8)) * 4
+    v = np.concatenate([tops[rng.integers(0, 10, 400)] + rng.normal(size=(400, 8)) * 0.2, np.zeros((3, 8)), np.ones((4, 8))])
+    domains = [["a", "b", None][i % 3] for i in range(len(v))]
+    cd = spark.createDataFrame([(i, x.tolist(), d) for i, (x, d) in enumerate(zip(v, domains))], "chunk_id long, embedding array<double>, domain string")
+    asks = [(i, v[i * 7], [None, [], ["a"], ["a", "b"], ["none"]][i % 5]) for i in range(40)] + [(100, np.zeros(8), None), (101, np.zeros(8), ["b"])]
+    qd = spark.createDataFrame([(i, x.tolist(), d) for i, x, d in asks], "query_id long, embedding array<double>, domains array<string>")
+    hits, report = V.Index(cd, cells=cells, numbers=8 * 30).search(qd, 6, query_numbers=8 * 5)
+    got = {}
+    for r in hits.orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.chunk_id, r.rank))
+    unit = lambda x: x / np.linalg.norm(x) if np.linalg.norm(x) else x
+    for i, x, d in asks:
+        s = {j: float(unit(x) @ unit(v[j])) for j in range(len(v)) if not d or domains[j] in d}
+        want = sorted(s, key=lambda j: (-round(s[j], 12), j))[:6]
+        mine = [j for j, _ in got.get(i, [])]
+        assert np.allclose([s[j] for j in mine], [s[j] for j in want]) and len(mine) == len(want) and [k for _, k in got.get(i, [])] == list(range(1, len(want) + 1))
+    assert report["row_pairs"] == len(asks) * len(v) and report["cell_pairs_visited"] <= report["cell_pairs"]
+    if cells == 12:
+        assert report["row_pairs_visited"] < 0.4 * report["row_pairs"]
+
+
+def test_knn_size_is_not_taken_from_a_bad_query(spark):
+    c = [(i, [float(i), 1.0, 2.0]) for i in range(5)] + [(50, [1.0]), (51, None), (52, [1.0, None, 2.0]), (53, [float("nan"), 1.0, 1.0])]
+    cd = spark.createDataFrame(c, "chunk_id long, embedding array<double>")
+    qd = spark.createDataFrame([(0, [1.0]), (1, [1.0, 1.0, 2.0]), (2, [0.0, 1.0, 2.0])], "query_id long, embedding array<double>")
+    got = V.knn(qd, cd, 2).collect()
+    assert sorted((r.query_id, r.rank) for r in got) == [(1, 1), (1, 2), (2, 1), (2, 2)]
+    assert {r.side: (r.n_rows, r.n_left_out) for r in V.left_out(qd, cd, 3).collect()} == {"queries": (3, 1), "corpus": (9, 4)}
+
+
+def test_vectorise_places(spark):
+    import hashlib
+    texts = ["a b a", "", None, "Word word WORD other", " x "]
+    for r in V.vectorise(spark.createDataFrame([(t,) for t in texts], "t string"), "t", dim=16).collect():
+        want = np.zeros(16)
+        for w in (r.t or "").lower().split():
+            want[int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % 16] += 1
+        assert np.allclose(r.embedding, want / (np.linalg.norm(want) or 1))
+
+
 def test_domain_codes_in_a_list(spark):
     c = spark.createDataFrame([(1, "Geographical Indications"), (2, "Patents"), (3, "Designs")], "id long, domain string")
     ids = lambda d: sorted(r.id for r in V.apply_filters(c, domain=d).collect())
