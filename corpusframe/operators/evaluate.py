@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -11,7 +12,6 @@ from pyspark.sql import functions as F
 from corpusframe.functions import text as X
 from corpusframe.settings import durable
 
-BUCKETS = 4096
 REFUSALS = ["could not find sufficient", "insufficient"]
 
 
@@ -105,30 +105,48 @@ def e2e_eval(results: DataFrame) -> DataFrame:
         "passed": (F.col("status") == 200) & F.col("success") & (F.col("sources") > 0) & routed & lang})
 
 
-def exact_percentiles(df: DataFrame, col: str, qs, buckets: int = BUCKETS) -> DataFrame:
-    """(q, value): exact interpolated percentiles without one task seeing all values.
+#: Distinct values that are ordered in one place, and parts into which a longer range is split.
+FEW, WAYS = 4096, 256
 
-    Equal values are counted before the shuffle; a histogram of fixed size says which bucket holds a
-    rank, and only the values of those buckets are ordered.
+
+def exact_percentiles(df: DataFrame, col: str, qs, few: int = FEW, ways: int = WAYS) -> DataFrame:
+    """(q, value): exact interpolated percentiles without one task ordering all values.
+
+    Equal values are counted first. The range that holds a rank is split at approximate quantiles of its distinct
+    values, its parts are counted exactly, and the part with the rank is split again, until it has at most ``few`` distinct
+    values, which are read in order. Splits follow the values and not the width of the range, so one far value costs
+    nothing. Null and NaN are no values; without values the percentiles are null.
     """
-    v = durable(df.filter(F.col(col).isNotNull()).groupBy(F.col(col).cast("double").alias("v")).agg(F.count("*").alias("n")))
-    edge = v.agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("n").alias("n")).head()
+    from pyspark.ml.feature import Bucketizer
     spark = df.sparkSession
+    counted = df.filter(F.col(col).isNotNull() & ~F.isnan(F.col(col).cast("double"))).groupBy(F.col(col).cast("double").alias("v")).agg(F.count("*").alias("n"))
+    v = durable(counted)
+    edge = v.agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("n").alias("n"), F.count("*").alias("size")).head()
     if edge.n is None:
         return spark.createDataFrame([(float(q), None) for q in qs], "q double, value double")
-    width = (edge.hi - edge.lo) / buckets or 1.0
-    v = v.withColumn("b", F.least(F.floor((F.col("v") - edge.lo) / width), F.lit(buckets - 1)))
-    before = F.coalesce(F.sum("n").over(W.orderBy("b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    hist = v.groupBy("b").agg(F.sum("n").alias("n")).withColumn("before", before)
-    places = [(float(q), int((edge.n - 1) * q) + up, ((edge.n - 1) * q) % 1.0, up) for q in qs for up in (0, 1)]
-    wanted = spark.createDataFrame([(q, min(p, edge.n - 1), f, up) for q, p, f, up in places], "q double, place long, part double, up int")
-    held = hist.join(F.broadcast(wanted), (F.col("before") <= F.col("place")) & (F.col("place") < F.col("before") + F.col("n"))).select("b", "before", "q", "place", "part", "up")
-    needed = v.join(F.broadcast(held.select("b").distinct()), "b", "left_semi")
-    inner = needed.withColumn("upto", F.sum("n").over(W.partitionBy("b").orderBy("v")))
-    j = inner.join(F.broadcast(held), "b").filter(F.col("before") + F.col("upto") > F.col("place"))
-    at = j.groupBy("q", "part", "up").agg(F.min("v").alias("v"))
-    pair = at.groupBy("q", "part").agg(F.max(F.when(F.col("up") == 0, F.col("v"))).alias("a"), F.max(F.when(F.col("up") == 1, F.col("v"))).alias("z"))
-    return pair.select("q", (F.col("a") + (F.col("z") - F.col("a")) * F.col("part")).alias("value"))
+    ranks = {r for q in qs for r in (int((edge.n - 1) * q), min(int((edge.n - 1) * q) + 1, edge.n - 1))}
+    held = {r: (edge.lo, edge.hi, 0, edge.size) for r in ranks}
+    while any(h[3] > few for h in held.values()):
+        for part in {h for h in held.values() if h[3] > few}:
+            inside = v.filter(F.col("v").between(part[0], part[1]))
+            cuts = sorted(set(inside.agg(F.percentile_approx("v", [i / ways for i in range(1, ways)], 50 * ways)).head()[0]) | {part[1]})
+            split = Bucketizer(splits=[-math.inf, *cuts, math.inf], inputCol="v", outputCol="b").transform(inside)
+            before, found = part[2], []
+            for r in split.groupBy("b").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("n").alias("n"), F.count("*").alias("size")).orderBy("b").collect():
+                found.append((before, before + r["n"], (r["lo"], r["hi"], before, r["size"])))
+                before += r["n"]
+            for rank in [r for r, h in held.items() if h == part]:
+                held[rank] = next(h for a, b, h in found if a <= rank < b)
+    at = {}
+    for part in set(held.values()):
+        upto = part[2]
+        rows = v.filter(F.col("v").between(part[0], part[1])).collect()
+        for value, n in sorted((r["v"], r["n"]) for r in rows):
+            at.update({rank: value for rank, h in held.items() if h == part and upto <= rank < upto + n})
+            upto += n
+    places = [(float(q), int((edge.n - 1) * q), (edge.n - 1) * q % 1.0) for q in qs]
+    value = lambda p, f: at[p] + ((at[min(p + 1, edge.n - 1)] - at[p]) * f if f else 0.0)
+    return spark.createDataFrame([(q, value(p, f)) for q, p, f in places], "q double, value double")
 
 
 def latency_report(log: DataFrame, stages: list[str], total: str = "total_ms") -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -18,18 +16,20 @@ PAGE = ["doc_id", "page_idx"]
 KEY = [*PAGE, "kind", "sec_idx"]
 FIELDS = ["section_number", "section_title", "content", "is_continuation"]
 
-# Where a title or a content may stand; {n} is the quoted section number.
-TITLE_FORMS = [r"(?:^|\n)\s*{n}\.\s*([^\n]{5,200})", r"(?:^|\n)\s*{n}\s+([^\n]{5,200})", r"section\s+{n}\s+([^\n]{5,200})"]
-CONTENT_FORMS = [
-    r"(?:^|\n)\s*{n}\.\s*[^\n]*\n(.*?)(?=\n\s*\d+\.\s+[A-Z]|\n\s*CHAPTER|\n\s*$|\z)",
-    r"(?:^|\n)\s*{n}\.\s*([^\n].*?)(?=\n\s*\d+\.\s+|\z)",
-]
-AMENDMENT_CONTENT_FORMS = [
-    r"((?:^|\n)\s*(?:Amendment|Substitution|Insertion|Omission|Repeal)\s+of\s+section\s+{n}.*?"
-    r"(?=\n\s*\d+\.\s+(?:Amendment|Substitution|Insertion|Omission|Repeal)\s+of\s+section|\z))",
-    r"(For\s+section\s+{n}\s+of\s+the\s+principal\s+Act.*?(?=For\s+section\s+\d+|\z))",
-    r"((?:^|\n)\s*{n}\.\s+(?:In\s+section\s+\d+|For\s+section\s+\d+|After\s+section\s+\d+).*?(?=\n\s*\d+\.\s+|\z))",
-]
+# Heads of lines at which a title or a content may stand; group 1 is the number, group 2 the rest of the line.
+NUMBER = "[0-9]+[A-Za-z]{0,3}"
+DOTTED = rf"^[ \t]*({NUMBER})\.(.*)$"
+SPACED = rf"^[ \t]*({NUMBER})[ \t]+(.{{5,200}})"
+NAMED = rf"(?i)section[ \t]+({NUMBER})[ \t]+(.{{5,200}})"
+CHANGE = "(?:Amendment|Substitution|Insertion|Omission|Repeal)"
+CHANGED = rf"(?i)^[ \t]*{CHANGE}[ \t]+of[ \t]+section[ \t]+({NUMBER})"
+CHANGING = rf"(?i)^[ \t]*({NUMBER})\.[ \t]+(?:In|For|After)[ \t]+section[ \t]+[0-9]"
+PRINCIPAL = rf"(?i)^for[ \t\n]+section[ \t\n]+({NUMBER})[ \t\n]+of[ \t\n]+the[ \t\n]+principal[ \t\n]+act"
+FOR_SECTION = r"(?i)for[ \t\n]+section[ \t\n]+[0-9]"
+# Lines before which a content ends.
+NEXT_HEADED = r"(?i)^[ \t]*(?:[0-9]+\.[ \t]+[a-z]|chapter)|^[ \t]*$"
+NEXT_NUMBERED = r"^[ \t]*[0-9]+\.[ \t]"
+NEXT_CHANGED = rf"(?i)^[ \t]*[0-9]+\.[ \t]+{CHANGE}[ \t]+of[ \t]+section"
 MIN_CONTENT = 20
 
 
@@ -56,48 +56,82 @@ def add_missing_sections(pages: DataFrame, sections: DataFrame) -> DataFrame:
     return sections.select(*[c for c in new.columns if c != "added"]).withColumn("added", F.lit(False)).unionByName(new)
 
 
-def _form(form: str, flags: str) -> Column:
-    """The pattern of a row: the form with the row's own section number quoted into it."""
-    before, after = form.split("{n}")
-    return F.concat(F.lit(flags + before + r"\Q"), F.col("section_number"), F.lit(r"\E" + after))
+def _amending() -> Column:
+    return F.contains(F.lower("document_name"), F.lit("amendment"))
+
+
+def _first_after(places: str, i: Column) -> Column:
+    """The first of some line positions behind line ``i``; behind the last line if there is none."""
+    return F.coalesce(F.array_min(F.filter(places, lambda p: p > i)), F.size("lines"))
+
 
+def _upto(i: Column, end: Column) -> Column:
+    """Lines behind line ``i`` and before line ``end`` as one text."""
+    return F.array_join(F.slice("lines", i + 2, end - i - 1), "\n")
 
-def _extract(pattern: str) -> Column:
-    return F.expr(f"regexp_extract(__text, {pattern}, 1)")
 
+def spans(pages: DataFrame) -> DataFrame:
+    """Where numbers stand in a page: doc_id, page_idx, number (lower case), what (title, content), form, pos, text.
 
-def _split_needy(pages: DataFrame, sections: DataFrame, blank: Column) -> tuple[DataFrame, DataFrame]:
-    """(rows to repair with their page text, the other rows); only the former meet the pages."""
+    Every page is cut into lines once, and fixed patterns find heads and ends; nothing depends on the sections that
+    look for their text. Forms of a title: behind ``N.`` (on its line, or on the next one if it is alone), behind ``N``, behind
+    ``section N``. Forms of a content: the lines behind the line ``N.`` up to a head, a chapter or a blank line; else the
+    line and those behind it up to a numbered line. In amending documents: from ``Amendment of section N``, from ``For
+    section N of the principal Act``, from ``N. In section M``, each up to the next of its kind.
+    """
+    places = lambda pattern: F.filter(F.transform("lines", lambda x, i: F.when(F.rlike(x, F.lit(pattern)), i)), lambda p: p.isNotNull())
+    cut = pages.filter("raw_text is not null").select(*PAGE, _amending().alias("amending"), F.col("raw_text"), F.split("raw_text", "\n").alias("lines"))
+    # the row numbers keep the optimiser from putting an array's expression into the function that reads it for every line
+    cut = cut.select("*", places(NEXT_HEADED).alias("headed"), places(NEXT_NUMBERED).alias("numbered"), places(NEXT_CHANGED).alias("changed"), F.monotonically_increasing_id().alias("__cut"))
+    entry = lambda number, what, form, pos, text: F.struct(F.lower(number).alias("number"), F.lit(what).alias("what"), F.lit(form).alias("form"), pos.cast("int").alias("pos"), text.alias("text"))
+    got = lambda x, pattern, group: F.regexp_extract(x, pattern, group)
+
+    def found(x: Column, i: Column) -> Column:
+        dotted, rest = got(x, DOTTED, 1), F.ltrim(got(x, DOTTED, 2))
+        title = F.when(X.is_blank(rest), F.ltrim(F.coalesce(F.get("lines", i + 1), F.lit("")))).otherwise(rest)
+        plain, behind = ~F.col("amending"), F.col("amending")
+        body = F.concat_ws("\n", F.nullif(rest, F.lit("")), F.nullif(_upto(i, _first_after("numbered", i)), F.lit("")))
+        from_here = lambda ends: F.concat_ws("\n", x, F.nullif(_upto(i, _first_after(ends, i)), F.lit("")))
+        return F.array(
+            F.when((dotted != "") & (F.length(title) >= 5), entry(dotted, "title", 0, i, X.at_most(title, 200))),
+            F.when(got(x, SPACED, 1) != "", entry(got(x, SPACED, 1), "title", 1, i, got(x, SPACED, 2))),
+            F.when(got(x, NAMED, 1) != "", entry(got(x, NAMED, 1), "title", 2, i, got(x, NAMED, 2))),
+            F.when(plain & (dotted != ""), entry(dotted, "content", 0, i, X.strip(_upto(i, _first_after("headed", i))))),
+            F.when(plain & (dotted != ""), entry(dotted, "content", 1, i, X.strip(body))),
+            F.when(behind & (got(x, CHANGED, 1) != ""), entry(got(x, CHANGED, 1), "content", 0, i, X.strip(from_here("changed")))),
+            F.when(behind & (got(x, CHANGING, 1) != ""), entry(got(x, CHANGING, 1), "content", 2, i, X.strip(from_here("numbered")))))
+    made = cut.select(*PAGE, F.when(F.col("__cut") >= 0, F.array_compact(F.flatten(F.transform("lines", found)))).alias("made"), F.monotonically_increasing_id().alias("__made"))
+    by_line = made.select(*PAGE, F.explode(F.when(F.col("__made") >= 0, F.col("made"))).alias("s"))
+    pieces = F.zip_with(F.regexp_extract_all("raw_text", F.lit(FOR_SECTION), F.lit(0)), F.slice(F.split("raw_text", FOR_SECTION, -1), 2, 2 ** 31 - 1), lambda a, b: F.concat(a, b))
+    principal = cut.filter("amending").select(*PAGE, F.explode(F.transform(pieces, lambda t, i: entry(got(t, PRINCIPAL, 1), "content", 1, i, X.strip(t)))).alias("s")).filter("s.number != ''")
+    return by_line.unionByName(principal).select(*PAGE, "s.*")
+
+
+def _recover(pages: DataFrame, sections: DataFrame, blank: Column, what: str, column: str, fix) -> DataFrame:
+    """Sections whose ``column`` is blank take the first text (by form, then position) that the page has for their number."""
     old = ~F.col("added") if "added" in sections.columns else F.lit(True)
-    need = blank & (F.col("section_number") != "") & old
-    source = pages.select(*PAGE, F.col("raw_text").alias("__text"),
-                          F.contains(F.lower("document_name"), F.lit("amendment")).alias("__amending"))
-    with_text = sections.filter(need).join(source, PAGE)
-    return with_text, sections.filter(~need)
+    need = F.coalesce(blank & (F.col("section_number") != "") & old, F.lit(False))
+    text = spans(pages).filter(F.col("what") == what).filter(F.length("text") > (MIN_CONTENT if what == "content" else 0))
+    best = text.groupBy(*PAGE, F.col("number").alias("__n")).agg(F.min_by("text", F.struct("form", "pos")).alias("__text"))
+    needy = sections.filter(need).withColumn("__n", F.lower("section_number")).join(best, [*PAGE, "__n"], "left")
+    return needy.withColumn(column, F.coalesce(fix(F.col("__text")), F.col(column))).select(*sections.columns).unionByName(sections.filter(~need))
 
 
 def recover_title(pages: DataFrame, sections: DataFrame) -> DataFrame:
     """Blank titles read from the page text after the section's number."""
-    needy, rest = _split_needy(pages, sections, X.is_blank(F.col("section_title")))
-    for i, form in enumerate(TITLE_FORMS):
-        needy = needy.withColumn(f"__p{i}", _form(form, "(?imUd)"))
-    found = F.coalesce(*[F.nullif(_extract(f"__p{i}"), F.lit("")) for i in range(len(TITLE_FORMS))])
-    fixed = needy.withColumn("section_title", F.coalesce(X.clean_title(found, quotes=False), F.col("section_title")))
-    return fixed.select(*sections.columns).unionByName(rest)
+    return _recover(pages, sections, X.is_blank(F.col("section_title")), "title", "section_title", lambda t: X.clean_title(t, quotes=False))
 
 
 def recover_content(pages: DataFrame, sections: DataFrame, longest: int | None = None) -> DataFrame:
     """Blank contents read from the page text below the section's head; whole, unless ``longest`` characters are asked for."""
-    needy, rest = _split_needy(pages, sections, X.is_blank(F.col("content")))
-    parts = []
-    for part, forms in ((needy.filter("NOT __amending"), CONTENT_FORMS), (needy.filter("__amending"), AMENDMENT_CONTENT_FORMS)):
-        for i, form in enumerate(forms):
-            part = part.withColumn(f"__p{i}", _form(form, "(?imsUd)"))
-            part = part.withColumn(f"__c{i}", X.strip(_extract(f"__p{i}")))
-        best = F.coalesce(*[F.when(F.length(f"__c{i}") > MIN_CONTENT, F.col(f"__c{i}")) for i in range(len(forms))])
-        best = best if longest is None else X.at_most(best, longest)
-        parts.append(part.withColumn("content", F.coalesce(best, F.col("content"))).select(*sections.columns))
-    return reduce(DataFrame.unionByName, [*parts, rest])
+    return _recover(pages, sections, X.is_blank(F.col("content")), "content", "content", lambda t: t if longest is None else X.at_most(t, longest))
+
+
+def repair(pages: DataFrame, sections: DataFrame, longest: int | None = None) -> DataFrame:
+    """The whole repair in its order: missing sections, titles and contents of the old ones, text carried across pages."""
+    whole = add_missing_sections(pages, sections)
+    whole = recover_content(pages, recover_title(pages, durable(whole)), longest)
+    return mark_continuations(durable(whole))
 
 
 def mark_continuations(sections: DataFrame) -> DataFrame:

@@ -190,7 +190,7 @@ rl AS (SELECT event_id, client, t, rn, true AS accepted, [t] AS live FROM ev WHE
 
 @query("rate_limit", f"WITH RECURSIVE {SQL_LIMIT} SELECT event_id, client, accepted FROM rl")
 def rate_limit(spark, sf):
-    return RQ.rate_limit(requests(spark, sf), LIMIT, DAY, slices=1).select("event_id", "client", "accepted")
+    return RQ.rate_limit(requests(spark, sf), LIMIT, DAY).select("event_id", "client", "accepted")
 
 
 @query("arrivals_over", f"""SELECT event_id, user_id AS client, count(*) OVER w AS arrivals, count(*) OVER w > {LIMIT} AS over_limit FROM events

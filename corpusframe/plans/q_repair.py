@@ -38,16 +38,42 @@ def add_missing_sections(spark, sf):
     return RP.add_missing_sections(S.pages(spark, sf), thinned(spark, sf)).drop("page_number", "page_type")
 
 
-@query("recover_title", "WITH " + S.SQL_DAMAGED + f""",
-f AS (SELECT doc_id, page_idx, num, min_by({S.sql_title('ttl', False)}, sec_idx) AS t FROM spans GROUP BY ALL)
-SELECT doc_id, page_idx, kind, sec_idx, CASE WHEN section_title = '' THEN t ELSE section_title END AS section_title
-FROM damaged LEFT JOIN f ON f.doc_id = damaged.doc_id AND f.page_idx = damaged.page_idx AND num = section_number""".replace(
-    "SELECT doc_id, page_idx, kind", "SELECT damaged.doc_id, damaged.page_idx, kind"))
+def _lit(x: str) -> str:
+    return x.replace("'", "''")
+
+
+GOT = lambda pattern, g: f"regexp_extract(line, '{_lit(pattern)}', {g})"
+UPTO = lambda end: f"array_to_string(l[i + 1:coalesce({end}, len(l) + 1) - 1], chr(10))"
+SQL_SPANS = f"""ln AS (SELECT doc_id, page_idx, contains(lower(document_name), 'amendment') AS amending, i, l[i] AS line, l[i + 1] AS after, l
+  FROM (SELECT *, string_split(raw_text, chr(10)) AS l FROM pages_s), unnest(range(1, len(l) + 1)) t(i)),
+lx AS (SELECT *, min(i) FILTER (regexp_matches(line, '{_lit(RP.NEXT_HEADED)}')) OVER w AS headed, min(i) FILTER (regexp_matches(line, '{_lit(RP.NEXT_NUMBERED)}')) OVER w AS numbered,
+  min(i) FILTER (regexp_matches(line, '{_lit(RP.NEXT_CHANGED)}')) OVER w AS changed, {GOT(RP.DOTTED, 1)} AS dotted, ltrim({GOT(RP.DOTTED, 2)}) AS rest FROM ln
+  WINDOW w AS (PARTITION BY doc_id, page_idx ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
+sp AS (SELECT doc_id, page_idx, lower(dotted) AS number, 'title' AS what, 0 AS form, i AS pos, left(t, 200) AS text
+    FROM (SELECT *, CASE WHEN {strip('rest')} = '' THEN ltrim(coalesce(after, '')) ELSE rest END AS t FROM lx WHERE dotted <> '') WHERE length(t) >= 5
+  UNION ALL SELECT doc_id, page_idx, lower({GOT(RP.SPACED, 1)}), 'title', 1, i, {GOT(RP.SPACED, 2)} FROM lx WHERE {GOT(RP.SPACED, 1)} <> ''
+  UNION ALL SELECT doc_id, page_idx, lower({GOT(RP.NAMED, 1)}), 'title', 2, i, {GOT(RP.NAMED, 2)} FROM lx WHERE {GOT(RP.NAMED, 1)} <> ''
+  UNION ALL SELECT doc_id, page_idx, lower(dotted), 'content', 0, i, {strip(UPTO('headed'))} FROM lx WHERE NOT amending AND dotted <> ''
+  UNION ALL SELECT doc_id, page_idx, lower(dotted), 'content', 1, i, {strip(f"rest || chr(10) || {UPTO('numbered')}")} FROM lx WHERE NOT amending AND dotted <> ''
+  UNION ALL SELECT doc_id, page_idx, lower({GOT(RP.CHANGED, 1)}), 'content', 0, i, {strip(f"line || chr(10) || {UPTO('changed')}")} FROM lx WHERE amending AND {GOT(RP.CHANGED, 1)} <> ''
+  UNION ALL SELECT doc_id, page_idx, lower({GOT(RP.CHANGING, 1)}), 'content', 2, i, {strip(f"line || chr(10) || {UPTO('numbered')}")} FROM lx WHERE amending AND {GOT(RP.CHANGING, 1)} <> ''
+  UNION ALL SELECT doc_id, page_idx, lower(regexp_extract(t, '{_lit(RP.PRINCIPAL)}', 1)), 'content', 1, k, {strip('t')}
+    FROM (SELECT doc_id, page_idx, k, h[k] || b[k + 1] AS t FROM (SELECT *, regexp_extract_all(raw_text, '{_lit(RP.FOR_SECTION)}') AS h, string_split_regex(raw_text, '{_lit(RP.FOR_SECTION)}') AS b
+      FROM pages_s WHERE contains(lower(document_name), 'amendment')), unnest(range(1, len(h) + 1)) u(k)) WHERE regexp_matches(t, '{_lit(RP.PRINCIPAL)}')),
+titles AS (SELECT doc_id, page_idx, number, arg_min({S.sql_title('text', False)}, form * 1000000 + pos) AS title FROM sp WHERE what = 'title' GROUP BY ALL),
+contents AS (SELECT doc_id, page_idx, number, arg_min(text, form * 1000000 + pos) AS body FROM sp WHERE what = 'content' AND length(text) > {RP.MIN_CONTENT} GROUP BY ALL)"""
+
+
+@query("recover_title", "WITH " + S.SQL_DAMAGED + ", " + SQL_SPANS + f"""
+SELECT d.doc_id, d.page_idx, kind, sec_idx, CASE WHEN {strip('section_title')} = '' THEN coalesce(title, section_title) ELSE section_title END AS section_title
+FROM damaged d LEFT JOIN titles t ON t.doc_id = d.doc_id AND t.page_idx = d.page_idx AND t.number = lower(section_number)""")
 def recover_title(spark, sf):
     return RP.recover_title(S.pages(spark, sf), S.damaged(spark, sf)).select("doc_id", "page_idx", "kind", "sec_idx", "section_title")
 
 
-@query("recover_content")
+@query("recover_content", "WITH " + S.SQL_DAMAGED + ", " + SQL_SPANS + f"""
+SELECT d.doc_id, d.page_idx, kind, sec_idx, CASE WHEN {strip('content')} = '' THEN coalesce(body, content) ELSE content END AS content
+FROM damaged d LEFT JOIN contents c ON c.doc_id = d.doc_id AND c.page_idx = d.page_idx AND c.number = lower(section_number)""")
 def recover_content(spark, sf):
     return RP.recover_content(S.pages(spark, sf), S.damaged(spark, sf)).select("doc_id", "page_idx", "kind", "sec_idx", "content")
 
@@ -72,20 +98,43 @@ def mark_continuations(spark, sf):
     return RP.mark_continuations(S.damaged(spark, sf)).select("doc_id", "page_idx", "kind", "sec_idx", "content", "is_continuation")
 
 
-@query("repair_log", "WITH RECURSIVE " + S.SQL_DAMAGED + ", " + SQL_MARKED + """
-SELECT doc_id, page_idx, kind, sec_idx, 'mark_continuation' AS action_type, 'is_continuation' AS field, 'false' AS before, 'true' AS after
-FROM marked_s m JOIN damaged d USING (doc_id, page_idx, kind, sec_idx) WHERE m.is_continuation AND NOT d.is_continuation""")
+SQL_REPAIRED = SQL_THIN + ", " + SQL_SPANS + f""",
+whole AS (SELECT * FROM fixed WHERE content <> '' OR section_title <> '' OR NOT added),
+rp AS (SELECT w.* REPLACE (CASE WHEN NOT added AND {strip('section_title')} = '' THEN coalesce(title, section_title) ELSE section_title END AS section_title,
+    CASE WHEN NOT added AND {strip('content')} = '' THEN coalesce(body, content) ELSE content END AS content)
+  FROM whole w LEFT JOIN titles t ON t.doc_id = w.doc_id AND t.page_idx = w.page_idx AND t.number = lower(section_number)
+    LEFT JOIN contents c ON c.doc_id = w.doc_id AND c.page_idx = w.page_idx AND c.number = lower(section_number)),
+rf AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, kind, section_number, page_idx ORDER BY sec_idx) AS rn FROM rp) WHERE rn = 1),
+rl AS (SELECT doc_id, kind, section_number, page_idx, content AS text FROM rf f
+    WHERE NOT EXISTS (SELECT 1 FROM rf g WHERE g.doc_id=f.doc_id AND g.kind=f.kind AND g.section_number=f.section_number AND g.page_idx=f.page_idx-1)
+  UNION ALL SELECT f.doc_id, f.kind, f.section_number, f.page_idx, CASE WHEN NOT f.is_continuation AND f.content = '' AND l.text <> '' THEN l.text ELSE f.content END
+  FROM rl l JOIN rf f ON f.doc_id=l.doc_id AND f.kind=l.kind AND f.section_number=l.section_number AND f.page_idx=l.page_idx+1),
+af AS (SELECT d.doc_id, d.page_idx, d.kind, d.sec_idx, d.added, d.section_title, d.content, d.is_continuation, d.content = '' AND NOT d.is_continuation AND coalesce(l.text, '') <> '' AS marked
+  FROM rp d LEFT JOIN rl l ON l.doc_id=d.doc_id AND l.kind=d.kind AND l.section_number=d.section_number AND l.page_idx=d.page_idx-1),
+lg AS (SELECT doc_id, page_idx, kind, sec_idx, 'add_sections' AS action_type, 'sections' AS field, '' AS before, left(section_title, 200) AS after FROM af WHERE added
+  UNION ALL SELECT a.doc_id, a.page_idx, a.kind, a.sec_idx, 'recover_title', 'section_title', left(t.section_title, 200), left(a.section_title, 200)
+    FROM af a JOIN thin t USING (doc_id, page_idx, kind, sec_idx) WHERE NOT added AND a.section_title <> t.section_title
+  UNION ALL SELECT a.doc_id, a.page_idx, a.kind, a.sec_idx, 'recover_content', 'content', left(t.content, 200), left(a.content, 200)
+    FROM af a JOIN thin t USING (doc_id, page_idx, kind, sec_idx) WHERE NOT added AND NOT marked AND a.content <> t.content
+  UNION ALL SELECT doc_id, page_idx, kind, sec_idx, 'mark_continuation', 'is_continuation', 'false', 'true' FROM af WHERE NOT added AND marked)"""
+
+
+def logged(spark, sf):
+    """The whole repair of sections of which some are missing, blank or cut at pages, and what it did."""
+    before = thinned(spark, sf)
+    return RP.repair_log(before, RP.repair(S.pages(spark, sf), before))
+
+
+@query("repair_log", "WITH RECURSIVE " + SQL_REPAIRED + " SELECT * FROM lg")
 def repair_log(spark, sf):
-    d = S.damaged(spark, sf)
-    return RP.repair_log(d, RP.mark_continuations(d))
+    return logged(spark, sf)
 
 
-@query("repair_counters", "WITH RECURSIVE " + S.SQL_DAMAGED + ", " + SQL_MARKED + """
-SELECT doc_id, 0::BIGINT AS sections_recovered, 0::BIGINT AS titles_recovered, 0::BIGINT AS content_recovered, count(*) AS continuations_marked
-FROM marked_s m JOIN damaged d USING (doc_id, page_idx, kind, sec_idx) WHERE m.is_continuation AND NOT d.is_continuation GROUP BY 1""")
+@query("repair_counters", "WITH RECURSIVE " + SQL_REPAIRED + """
+SELECT doc_id, count(DISTINCT page_idx) FILTER (action_type = 'add_sections') AS sections_recovered, count(*) FILTER (action_type = 'recover_title') AS titles_recovered,
+  count(*) FILTER (action_type = 'recover_content') AS content_recovered, count(*) FILTER (action_type = 'mark_continuation') AS continuations_marked FROM lg GROUP BY 1""")
 def repair_counters(spark, sf):
-    d = S.damaged(spark, sf)
-    return RP.repair_counters(RP.repair_log(d, RP.mark_continuations(d)))
+    return RP.repair_counters(logged(spark, sf))
 
 
 # ------------------------------------------------------------------------------------ merge
@@ -134,9 +183,6 @@ def merge_flag(spark, sf):
     return M.merge_flag(S.damaged(spark, sf)).select("doc_id", "page_idx", "kind", "sec_idx", "merges")
 
 
-PREV = """WITH a AS (SELECT doc_id, text, lead(text) OVER (ORDER BY doc_id) AS nxt FROM documents)"""
-
-
 @query("word_overlap", f"""WITH p AS (SELECT c.conv_id, c.turn, c.text AS a, d.text AS b FROM conversations c JOIN conversations d ON d.conv_id = c.conv_id AND d.turn = c.turn + 1)
 SELECT conv_id, turn, round({OVER('a', 'b')}, 6) AS overlap, coalesce({OVER('a', 'b')} > 0.7, false) AS duplicate,
   coalesce({OVER('lower(right(a, 100))', 'lower(left(b, 100))')} > 0.15, false) AS continues FROM p""")

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from corpusframe.operators.ordered import last_event
+from corpusframe.operators.ordered import _same, numbered
 from corpusframe.settings import durable
 
 # The functions run in tasks travel with the job: workers need not have this package installed.
@@ -39,81 +39,108 @@ def arrivals_over(events: DataFrame, limit: int, seconds: int, key: str = "clien
     """Arrivals of the client in the window ending at every request, and whether they exceed the limit.
 
     Equal times are counted first; a client's time line is then cut into slices, each handled with a
-    copy of the slice before it, so a client with a third of all requests is spread over its slices.
+    copy of the slice before it, so a client with a third of all requests is spread over its slices. Requests
+    without a client are those of one client; a request without a time has no window: its arrivals are null and it is not over.
     """
     width = seconds * 1_000_000
-    c = events.select(key, F.unix_micros(F.col(ts).cast("timestamp")).alias("t")).groupBy(key, "t").agg(F.count("*").alias("n"))
+    c = events.filter(F.col(ts).isNotNull()).select(key, F.unix_micros(F.col(ts).cast("timestamp")).alias("t")).groupBy(key, "t").agg(F.count("*").alias("n"))
     s = _with_previous_slice(c, width + 1)
     w = W.partitionBy(key, "slice").orderBy("t").rangeBetween(-width, 0)
     upto = s.withColumn("__upto", F.sum("n").over(w)).filter("NOT ctx").select(key, "t", "n", "__upto")
-    j = events.withColumn("t", F.unix_micros(F.col(ts).cast("timestamp"))).join(upto, [key, "t"])
+    timed = events.filter(F.col(ts).isNotNull()).withColumn("t", F.unix_micros(F.col(ts).cast("timestamp")))
+    j = _same(timed, upto, [key, "t"])
     place = F.row_number().over(W.partitionBy(key, "t").orderBy(event))
-    arrivals = F.col("__upto") - F.col("n") + place
-    return j.withColumn("arrivals", arrivals).withColumn("over_limit", F.col("arrivals") > limit).drop("t", "n", "__upto")
+    arrivals = (F.col("__upto") - F.col("n") + place).cast("long")
+    counted = j.withColumn("arrivals", arrivals).drop("t", "n", "__upto")
+    return counted.unionByName(events.filter(F.col(ts).isNull()).withColumn("arrivals", F.lit(None).cast("long"))) \
+        .withColumn("over_limit", F.coalesce(F.col("arrivals") > limit, F.lit(False)))
+
+
+#: Times of one client that are replayed together.
+PIECE = 4096
+
+
+def _decide(ts, ns, live: deque, limit: int, width: int) -> np.ndarray:
+    """Requests taken at each time, in order, from the accepted (time, requests) of the last window in ``live``, which is carried on."""
+    held = sum(n for _, n in live)
+    taken = np.zeros(len(ts), dtype=np.int64)
+    for i in range(len(ts)):
+        while live and live[0][0] <= ts[i] - width:
+            held -= live.popleft()[1]
+        take = min(int(ns[i]), limit - held)
+        if take > 0:
+            live.append((int(ts[i]), take))
+            held += take
+            taken[i] = take
+    return taken
+
+
+def _piece(limit: int, width: int, key: str, ends: bool):
+    """Replays one piece from the state it starts with: its end state, or the requests taken at each of its times."""
+    def run(rows: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("t")
+        live = deque((int(x["t"]), int(x["n"])) for x in start["live"].iloc[0]) if len(start) and start["live"].iloc[0] is not None else deque()
+        taken = _decide(rows["t"].to_numpy(), rows["n"].to_numpy(), live, limit, width) if len(rows) else np.zeros(0, np.int64)
+        if not ends:
+            return rows[[key, "t"]].assign(taken=taken)
+        if not len(rows) or not len(start):
+            return pd.DataFrame({"__k": [], "piece": [], "live": []})
+        last = int(rows["t"].iloc[-1])
+        return pd.DataFrame({"__k": rows["__k"].iloc[:1], "piece": rows["piece"].iloc[:1] + 1, "live": [[{"t": t, "n": n} for t, n in live if t > last - width]]})
+    return run
 
 
-def _replay(limit: int, width: int, key: str):
-    """Sequential fold over (key, segment, t) ordered rows, batch by batch; keeps at most ``limit`` times."""
-    def run(batches):
-        current, live, held = None, deque(), 0
-        for part in batches:
-            keys, segs, ts, ns, ctx = (part[c].to_numpy() for c in (key, "segment", "t", "n", "ctx"))
-            taken = np.zeros(len(part), dtype=np.int64)
-            for i in range(len(part)):
-                if current != (keys[i], segs[i]):
-                    current, live, held = (keys[i], segs[i]), deque(), 0
-                while live and live[0][0] <= ts[i] - width:
-                    held -= live.popleft()[1]
-                take = int(ns[i]) if ctx[i] else min(int(ns[i]), limit - held)
-                if take > 0:
-                    live.append((ts[i], take))
-                    held += take
-                taken[i] = take
-            own = ~ctx.astype(bool)
-            yield pd.DataFrame({key: keys[own], "t": ts[own], "taken": taken[own]})
-    return run
+def replayed(counts: DataFrame, limit: int, width: int, key: str, piece: int = PIECE) -> tuple[DataFrame, int]:
+    """(``key``, t, taken; rounds) of requests counted by (``key``, t): parallel in time.
+
+    A client's line is cut anywhere into pieces of ``piece`` times. All pieces are replayed from a guess, an empty
+    window; the end of each is the start of the next, and pieces that started with anything else are replayed until none
+    does. A start is at most ``limit`` times, and a pause anywhere in a piece makes its end the same whatever
+    it started with, so a few rounds settle most lines; a line that never pauses takes as many rounds as its pieces at
+    worst, and only changed pieces are replayed in each.
+    """
+    rows = durable(numbered(counts.withColumn("__k", F.xxhash64(F.col(key).isNull(), key)), ["__k", key], ["t"], "__pos").select(
+        "__k", key, F.floor(F.col("__pos") / piece).cast("long").alias("piece"), "t", "n"))
+    state = "array<struct<t:bigint,n:bigint>>"
+    nothing = F.array().cast(state)
+    starts = durable(rows.select("__k", "piece").distinct().withColumn("live", nothing))
+    changed, rounds = starts, 0
+    while True:
+        rounds += 1
+        kept = rows.join(changed.select("__k", "piece"), ["__k", "piece"], "left_semi")
+        ends = kept.groupBy("__k", "piece").cogroup(changed.groupBy("__k", "piece")).applyInPandas(_piece(limit, width, key, True), f"__k long, piece long, live {state}")
+        news = ends.withColumnRenamed("live", "fresh")
+        merged = durable(starts.join(news, ["__k", "piece"], "left").select(
+            "__k", "piece", F.coalesce("fresh", "live").alias("live"), (F.coalesce("fresh", "live") != F.col("live")).alias("moved")))
+        starts, changed = merged.drop("moved"), merged.filter("moved").drop("moved")
+        if changed.isEmpty():
+            break
+    kind = counts.schema[key].dataType.simpleString()
+    taken = rows.groupBy("__k", "piece").cogroup(starts.groupBy("__k", "piece")).applyInPandas(_piece(limit, width, key, False), f"{key} {kind}, t long, taken long")
+    return taken, rounds
 
 
 def rate_limit(events: DataFrame, limit: int = 60, seconds: int = 60, key: str = "client", ts: str = "ts", event: str = "event_id",
-               slices: int = 16, path: str | None = None) -> DataFrame:
+               piece: int = PIECE, path: str | None = None) -> DataFrame:
     """Adds ``accepted``: a request is rejected when ``limit`` accepted ones lie in the last ``seconds``.
 
-    Only accepted requests count, so a client's requests have to be replayed in order. What is
-    replayed together is kept small: requests of one time are counted first, and a client's time
-    line is cut wherever at most ``limit`` requests arrived in the last two windows. All of those
-    must have been accepted, whatever happened before, so the replay can start there with the last
-    window as its known state. One cut per slice of ``slices`` windows is used. A client that stays
-    over its limit without such a pause is replayed by one task, as a stream with ``limit`` times in
-    memory. With ``path``, requests of exempt paths are accepted and do not count.
+    Only accepted requests count, so a client's requests have to be replayed in order: equal times are counted first,
+    and the line of a client is replayed in pieces at the same time (``replayed``), so a client with most of all requests,
+    and one that never pauses, is many tasks. Requests without a client are those of one client; a request without
+    a time is accepted and does not count. With ``path``, requests of exempt paths are accepted and do not count.
     """
+    free = F.col(ts).isNull()
     if path is not None:
-        free = F.coalesce(exempt(F.col(path)), F.lit(False))
-        counted = rate_limit(events.filter(~free), limit, seconds, key, ts, event, slices)
-        return counted.unionByName(events.filter(free).withColumn("accepted", F.lit(True)))
+        free = free | F.coalesce(exempt(F.col(path)), F.lit(False))
     if limit <= 0:
         return events.withColumn("accepted", F.lit(True))
-    width = seconds * 1_000_000
-    span = 2 * width * max(1, slices)
-    c = durable(events.select(key, F.unix_micros(F.col(ts).cast("timestamp")).alias("t")).groupBy(key, "t").agg(F.count("*").alias("n"))
-                .withColumn("slice0", F.floor(F.col("t") / span).cast("long")))
-    s = _with_previous_slice(c, span)
-    recent = F.coalesce(F.sum("n").over(W.partitionBy(key, "slice").orderBy("t").rangeBetween(-(2 * width - 1), -1)), F.lit(0))
-    cuts = durable(s.withColumn("__recent", recent).filter(~F.col("ctx") & (F.col("__recent") <= limit))
-                   .groupBy(key, F.col("slice").alias("slice0")).agg(F.min("t").alias("cut")))
-    marked = durable(c.join(cuts, [key, "slice0"], "left"))
-    start = F.when(F.col("t") == F.col("cut"), F.col("cut"))
-    rows = last_event(marked, [key], ["t"], "slice0", start, "segment", block=4096)
-    own = rows.select(key, F.coalesce("segment", F.lit(-1)).alias("segment"), "t", "n", F.lit(False).alias("ctx"))
-    later = cuts.select(key, (F.col("slice0") - 1).alias("slice0"), F.col("cut").alias("next_cut"))
-    near = marked.join(later, [key, "slice0"], "left").select(key, "t", "n", F.explode(F.array_compact(F.array(
-        *[F.when((F.col("t") < F.col(x)) & (F.col(x) - F.col("t") < width), F.col(x)) for x in ("cut", "next_cut")]))).alias("segment"))
-    warm = near.select(key, "segment", "t", "n", F.lit(True).alias("ctx"))
-    every = own.unionByName(warm).repartition(key, "segment").sortWithinPartitions(key, "segment", "t")
-    kind = events.schema[key].dataType.simpleString()
-    taken = every.mapInPandas(_replay(limit, width, key), f"{key} {kind}, t long, taken long")
-    j = events.withColumn("t", F.unix_micros(F.col(ts).cast("timestamp"))).join(taken, [key, "t"])
+    timed = events.filter(~free).withColumn("t", F.unix_micros(F.col(ts).cast("timestamp")))
+    counts = timed.groupBy(key, "t").agg(F.count("*").alias("n"))
+    taken, _ = replayed(counts, limit, seconds * 1_000_000, key, piece)
+    j = _same(timed, taken, [key, "t"])
     place = F.row_number().over(W.partitionBy(key, "t").orderBy(event))
-    return j.withColumn("__p", place).withColumn("accepted", F.col("__p") <= F.col("taken")).drop("t", "taken", "__p")
+    decided = j.withColumn("__p", place).withColumn("accepted", F.col("__p") <= F.col("taken")).drop("t", "taken", "__p")
+    return decided.unionByName(events.filter(free).withColumn("accepted", F.lit(True)))
 
 
 # --- streaming rate limit ----------------------------------------------------------------------

@@ -178,12 +178,20 @@ def test_percentiles_equal_numpy(spark):
     rng = random.Random(3)
     xs = [rng.choice([1.0, 2.5, rng.random() * 1000]) for _ in range(501)]
     df = spark.createDataFrame([(x,) for x in xs], "v double")
-    for buckets in (1, 7, 4096):
-        got = {r.q: r.value for r in EL.exact_percentiles(df, "v", [0.0, 0.5, 0.95, 1.0], buckets).collect()}
+    for few, ways in ((1, 4), (30, 16), (4096, 256)):
+        got = {r.q: r.value for r in EL.exact_percentiles(df, "v", [0.0, 0.5, 0.95, 1.0], few, ways).collect()}
         for q, v in got.items():
             assert v == pytest.approx(float(np.quantile(xs, q)))
 
 
+def test_percentiles_beside_a_far_value(spark):
+    # 100,000 values in a thousandth of a unit beside one of 1e300: no range that is read in order grows with them
+    df = spark.range(100_000).select((1 + F.col("id") / 1e8).alias("v")).unionByName(spark.createDataFrame([(1e300,), (None,), (float("nan"),)], "v double"))
+    got = {r.q: r.value for r in EL.exact_percentiles(df, "v", [0.5, 0.95, 1.0], few=500).collect()}
+    assert got[0.5] == 1 + 50_000 / 1e8 and got[0.95] == 1 + 95_000 / 1e8 and got[1.0] == 1e300
+    assert [r.value for r in EL.exact_percentiles(df.limit(0), "v", [0.5]).collect()] == [None]
+
+
 def grams(t):
     return {t[i:i + 5] for i in range(len(t) - 4)}
 

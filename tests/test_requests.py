@@ -42,14 +42,34 @@ def test_rate_limit_equals_replay(spark):
     rows += [("bursts", b + rng.randint(0, 40)) for b in range(0, 6000, 300) for _ in range(rng.randint(1, 9))]
     rows += [("edge", t) for t in range(0, 1200, 20)]
     want = replay(rows, 4, 60)
-    for slices in (1, 3):
-        got = {r.event_id: r.accepted for r in RQ.rate_limit(frame(spark, rows), 4, 60, slices=slices).collect()}
+    for piece in (60, 4096):
+        got = {r.event_id: r.accepted for r in RQ.rate_limit(frame(spark, rows), 4, 60, piece=piece).collect()}
         assert got == want
     counts = {r.event_id: r.arrivals for r in RQ.arrivals_over(frame(spark, rows), 4, 60).collect()}
     for i, (c, t) in enumerate(rows):
         assert counts[i] == sum(1 for j, (d, u) in enumerate(rows) if d == c and t - 60 <= u and (u, j) <= (t, i))
 
 
+def test_a_client_that_never_pauses_is_replayed_in_pieces(spark):
+    rng = random.Random(5)
+    rows = [("hot", t + rng.randint(0, 2)) for t in range(0, 3000, 2) for _ in range(rng.randint(1, 3))]
+    df = frame(spark, rows)
+    counts = df.select("client", F.unix_micros("ts").alias("t")).groupBy("client", "t").agg(F.count("*").alias("n"))
+    taken, rounds = RQ.replayed(counts, 3, 60_000_000, "client", piece=250)
+    pieces = -(-counts.count() // 250)
+    want = replay(rows, 3, 60)
+    assert sum(r.taken for r in taken.collect()) == sum(want.values()) and 2 <= rounds <= pieces + 1 and pieces > 4
+    assert {r.event_id: r.accepted for r in RQ.rate_limit(df, 3, 60, piece=250).collect()} == want
+
+
+def test_requests_without_client_or_time_stay(spark):
+    rows = [(0, None, 0), (1, None, 1), (2, None, 2), (3, "a", None), (4, None, None), (5, "a", 1)]
+    df = spark.createDataFrame(rows, "event_id long, client string, s long").withColumn("ts", F.timestamp_seconds("s"))
+    assert {r.event_id: r.accepted for r in RQ.rate_limit(df, 2, 60).collect()} == {0: True, 1: True, 2: False, 3: True, 4: True, 5: True}
+    assert {r.event_id: (r.arrivals, r.over_limit) for r in RQ.arrivals_over(df, 2, 60).collect()} == {
+        0: (1, False), 1: (2, False), 2: (3, True), 3: (None, False), 4: (None, False), 5: (1, False)}
+
+
 def test_limit_zero_is_off(spark):
     assert RQ.rate_limit(frame(spark, [("a", 0), ("a", 0)]), 0, 60).filter("accepted").count() == 2
 
