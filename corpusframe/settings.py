@@ -52,3 +52,13 @@ def durable(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark)}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_stage(df: DataFrame) -> None:
+    """Removes a table that ``durable`` wrote, once its last reader has been written itself. Of other frames nothing is removed."""
+    spark = df.sparkSession
+    folder = shared_folder(spark)
+    paths = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
+    if len(paths) == 1 and f"{folder.split(':', 1)[-1].rstrip('/')}/stage-" in (path := paths.pop()):
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
