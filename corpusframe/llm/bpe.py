@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
+from corpusframe.llm.common import ship
 from corpusframe.llm.textblocks import BLOCK, ranges, string_bytes
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -243,7 +244,7 @@ def _digest(ids: np.ndarray, v: Vocabulary) -> tuple:
 def _tables(spark: SparkSession, vocabulary_file: str):
     """The tables of a vocabulary file, sent to the tasks once; their size is the file's."""
     with open(vocabulary_file, encoding="utf-8") as f:
-        return spark.sparkContext.broadcast(Vocabulary(f.read()))
+        return ship(spark, Vocabulary(f.read()))
 
 
 def encode(docs: DataFrame, vocabulary_file: str, text: str = "text", ids: str | None = "ids", digest: bool = True, block: int = BLOCK) -> DataFrame:

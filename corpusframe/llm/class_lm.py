@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusframe.llm import textblocks as B
-from corpusframe.llm.common import durable
+from corpusframe.llm.common import durable, ship
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -129,7 +129,7 @@ def _symbols(raw, ends, lookup: Lookup, table: np.ndarray, sizes: Sizes):
 def pair_counts(texts: DataFrame, words: np.ndarray, sizes: Sizes) -> np.ndarray:
     """Matrix of the pairs of neighbouring symbols; the end stands before each text too."""
     m = sizes.symbols
-    lookup = texts.sparkSession.sparkContext.broadcast(Lookup(words))
+    lookup = ship(texts.sparkSession, Lookup(words))
 
     def run(batches):
         table, total = ending_table(sizes.endings), np.zeros(m * m, np.int64)
@@ -451,7 +451,7 @@ def fit(texts: DataFrame, sizes: Sizes = Sizes()) -> tuple[Model, DataFrame]:
     seeds = min(first, n_head)
     label[:seeds] = exchange(pair_counts(texts, h[:first], start), first, start)[:seeds]
     label = label.astype(np.int16)
-    label, t = exchange_all(neighbours(texts, texts.sparkSession.sparkContext.broadcast(words), n_words, sizes), label, n_words, sizes)
+    label, t = exchange_all(neighbours(texts, ship(texts.sparkSession, words), n_words, sizes), label, n_words, sizes)
     k = len(t)
     own = (t.sum(0) + DELTA) / (t.sum() + DELTA * k)
     step = np.log10((t + ALPHA * own) / (t.sum(1, keepdims=True) + ALPHA))
@@ -480,7 +480,7 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
     """
     made = ("n_tokens", "n_known", "base_score", "score", "text", "__row", "__base", "__model", "__h", "__n")
     own = [f for f in docs.schema.fields if f.name not in made]
-    sizes, sent = model.sizes, docs.sparkSession.sparkContext.broadcast(model)
+    sizes, sent = model.sizes, ship(docs.sparkSession, model)
     names = [*[f.name for f in own], "__row", "n_tokens", "n_known", "__base", "__model", "__h", "__n"]
     schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in own], "__row long, n_tokens long, n_known long, __base double, __model double, __h long, __n long"])
 

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import pickle
+import sys
+
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusframe.settings import durable, shared_folder  # noqa: F401
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 #: White space that separates words: space, tab, line feed, vertical tab, form feed, carriage return.
@@ -30,3 +36,23 @@ def remainder(doc_id: str, n: int) -> Column:
 def text_key(doc_id: str = "doc_id", text: str = "text") -> list[Column]:
     """Key of a row by what it holds, so that repeated ids with other texts stay apart. Never null."""
     return [F.coalesce(F.col(doc_id), F.lit(-(2 ** 63))).alias("row_id"), F.xxhash64(F.col(text)).alias("row_hash")]
+
+
+class Shipped:
+    """A broadcast object of a class of this package, as bytes that carry the class: workers need not be able to import it."""
+
+    def __init__(self, sent):
+        self.sent = sent
+
+    def __getstate__(self) -> dict:
+        return {"sent": self.sent}
+
+    @property
+    def value(self):
+        if "got" not in self.__dict__:
+            self.got = pickle.loads(self.sent.value)
+        return self.got
+
+
+def ship(spark: SparkSession, value) -> Shipped:
+    return Shipped(spark.sparkContext.broadcast(cloudpickle.dumps(value)))

@@ -229,7 +229,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score",
     """``docs`` with the probability of label 1 in ``out`` instead of the text; null and empty texts are scored as texts without words."""
     own = [f for f in docs.schema.fields if f.name not in (out, text)]
     source = docs.select(*[F.col(f"`{f.name}`") for f in own], B.ended(text).alias("__text"))
-    tables = docs.sparkSession.sparkContext.broadcast(model)
+    tables = common.ship(docs.sparkSession, model)
     return source.mapInArrow(_measure(block, lambda m: pa.array(tables.value.score(m), pa.float64()), out), T.StructType(own + [T.StructField(out, T.DoubleType())]))
 
 

@@ -31,10 +31,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusframe.llm import textblocks as B
 from corpusframe.llm.common import ascii_lower, durable
+from corpusframe.settings import drop_stage
 from corpusframe.llm.components import components
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -139,12 +141,13 @@ def _sets(docs: DataFrame, width: int, finish, schema: str, text: str = "text")
 
 
 def points(docs: DataFrame, width: int = 5) -> DataFrame:
-    """doc_id, id, n, vector (``DIMENSIONS`` little-endian 16-bit counts) of every row of ``docs`` (doc_id, text)."""
+    """doc_id, row_hash (of the text), id, n, vector (``DIMENSIONS`` little-endian 16-bit counts) of every row of ``docs`` (doc_id, text)."""
     def finish(part, sets):
         return pa.RecordBatch.from_arrays([
-            part.column(0), pa.array([set_id(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
-            pa.array([coordinates(s).tobytes() for s in sets], pa.binary())], names=["doc_id", "id", "n", "vector"])
-    return _sets(docs, width, finish, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, id long, n long, vector binary")
+            part.column(0), part.column(1), pa.array([set_id(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
+            pa.array([coordinates(s).tobytes() for s in sets], pa.binary())], names=["doc_id", "row_hash", "id", "n", "vector"])
+    rows = docs.select("doc_id", F.xxhash64("text").alias("row_hash"), "text")
+    return _sets(rows, width, finish, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, row_hash long, id long, n long, vector binary")
 
 
 def _cell_rows(docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -422,16 +425,8 @@ def _large_cells(rows: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     return tasks.groupBy("cell", "s", "i", "d", "j").applyInArrow(search, "a long, b long")
 
 
-def link_classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, id, n_shingles, component_id of every row of ``docs`` (doc_id, text).
-
-    ``id`` is the set's identity: equal for texts of equal sets, 0 without a word. ``component_id`` is the
-    smallest doc_id that a document reaches by links, itself included. Texts without words link with
-    nothing, each is its own component; a text of fewer words than a shingle is one shingle. Rows of one
-    doc_id are one document with several texts: they take the smallest component of all of them. Null ids
-    are kept; their component is the smallest id they reach, null if there is none.
-    """
-    docs = docs.select("doc_id", "text")
+def _labelled(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """doc_id, row_hash, id, n, label of every row of ``docs`` (doc_id, text): rows of one label reach each other by links; null without words."""
     every = durable(points(docs, width))
     reps = durable(every.filter("n > 0").groupBy("id").agg(F.first("n").alias("n"), F.first("vector").alias("vector")))
     shared = durable(shared_cells(docs, width, percent))
@@ -440,6 +435,7 @@ def link_classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFram
     company = shared.groupBy("cell").agg(F.count("*").alias("m"))
     central = shared.join(company, "cell").groupBy("id").agg(F.sum("m").alias("score"))
     scored = durable(shared.join(central, "id"))
+    drop_stage(shared)
     links, labels, rows = None, None, scored.withColumn("label", F.col("id"))
     for leaders in STARS:
         found = durable(_verified(_bounded(_stars(rows, leaders, percent), reps, percent), sets, percent))
@@ -451,15 +447,42 @@ def link_classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFram
         _large_cells(crossing.filter("b is null"), reps, percent)).distinct()
     links = links.unionByName(durable(_verified(pairs, sets, percent)))
     labels = components(links, "a", "b").withColumnRenamed("node", "id")
-    joined = durable(every.select("doc_id", "id", "n").join(labels, "id", "left").withColumn("label", F.when(F.col("n") > 0, F.coalesce("label", "id"))))
+    joined = durable(every.select("doc_id", "row_hash", "id", "n").join(labels, "id", "left").withColumn("label", F.when(F.col("n") > 0, F.coalesce("label", "id"))))
+    for stage in (scored, sets, crossing, reps, every):
+        drop_stage(stage)
+    return joined
+
+
+def link_classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, id, n_shingles, component_id of every row of ``docs`` (doc_id, text).
+
+    ``id`` is the set's identity: equal for texts of equal sets, 0 without a word. ``component_id`` is the
+    smallest doc_id that a document reaches by links, itself included. Texts without words link with
+    nothing, each is its own component; a text of fewer words than a shingle is one shingle. Rows of one
+    doc_id are one document with several texts: they take the smallest component of all of them. Null ids
+    are kept; their component is the smallest id they reach, null if there is none.
+    """
+    joined = _labelled(docs.select("doc_id", "text"), width, percent)
     least = joined.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("least"))
     return joined.join(least, "label", "left").select("doc_id", "id", F.col("n").alias("n_shingles"), F.coalesce(F.least("least", "doc_id"), "doc_id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each component, the one with the smallest id; all documents without words. The columns of ``docs``.
+    """One row of each group of linked texts, the one with the smallest id (null last; ties: smallest hash of the text); all rows without words.
 
-    Of rows that repeat an id, all stay if the id does.
+    The columns of ``docs``. Rows are told apart by id and text, so no text is lost with another one of its id; of rows equal in both, one stays.
     """
-    gone = link_classes(docs, width, percent).filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    joined = _labelled(docs.select("doc_id", "text"), width, percent)
+    key = [F.coalesce("doc_id", F.lit(-(2 ** 63))).alias("row_id"), F.col("row_hash")]
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("row_hash"))
+    best = joined.filter("n > 0").groupBy("label").agg(F.min(order).alias("best"))
+    judged = joined.filter("n > 0").join(best, "label").select(*key, (order == F.col("best")).alias("stays"))
+    counts = durable(judged.groupBy("row_id", "row_hash", "stays").agg(F.count("*").alias("rows")).filter("not stays or rows > 1"))
+    keyed = docs.withColumns({"__id": F.coalesce("doc_id", F.lit(-(2 ** 63))), "__hash": F.xxhash64("text")})
+    same = lambda t: (F.col("__id") == t["row_id"]) & (F.col("__hash") == t["row_hash"])
+    several = counts.filter("stays")
+    single = keyed.join(counts, same(counts), "left_anti")
+    # rows that stand there more than once, in id and text: the first of them
+    first = F.row_number().over(W.partitionBy("__id", "__hash").orderBy(F.lit(1)))
+    again = keyed.join(several, same(several), "left_semi").withColumn("__first", first).filter("__first = 1")
+    return single.select(*docs.columns).unionByName(again.select(*docs.columns))

@@ -75,6 +75,15 @@ def test_shingle_classes_against_all_pairs(spark, monkeypatch, small, tile):
     assert kept.columns == rows.columns and {r.doc_id for r in kept.collect()} - {None} == set(want.values())
 
 
+def test_one_of_each_loses_no_text_with_another_of_its_id(spark):
+    a, b = prose(60, 1, 3000), prose(60, 2, 3000)
+    rows = spark.createDataFrame([(0, b), (1, a), (1, b), (1, b), (2, ""), (2, ""), (None, a), (None, prose(60, 3, 3000)), (3, a.upper())], "doc_id long, text string")
+    kept = sorted(((r.doc_id, r.text) for r in shingle_join.one_of_each(rows).collect()), key=str)
+    assert kept == sorted([(0, b), (1, a), (2, ""), (2, ""), (None, prose(60, 3, 3000))], key=str)
+    twice = spark.createDataFrame([(5, a), (5, a), (6, a)], "doc_id long, text string")
+    assert [tuple(r) for r in shingle_join.one_of_each(twice).collect()] == [(5, a)]
+
+
 def test_counts_beyond_the_largest_coordinate_lose_no_link(spark, monkeypatch):
     near, far = (np.arange(k, k + 140_000, dtype=np.uint64) * np.uint64(64) for k in (2000, 100_000))
     whole = np.arange(140_000, dtype=np.uint64) * np.uint64(64)
