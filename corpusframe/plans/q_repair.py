@@ -221,9 +221,9 @@ def merge_sections(spark, sf):
 
 @query("merge_actions", "WITH " + S.SQL_DAMAGED + ", " + SQL_MERGED + f"""
 SELECT doc_id, kind, number_key AS section_number, page_number || '' AS source_pages, 'kept_separate' AS action,
-  CASE WHEN n = 1 THEN 'Only one occurrence' WHEN n_real = 0 THEN 'TOC entry only' ELSE 'TOC entry, actual section exists elsewhere' END AS reason
+  CASE WHEN n = 1 THEN 'the number stands once' WHEN n_real = 0 THEN 'contents line without a section' ELSE 'contents line of a section found elsewhere' END AS reason
 FROM cls WHERE number_key <> '' AND (n = 1 OR (is_toc AND n_real <= 1))
-UNION ALL SELECT doc_id, kind, {NKEY}, array_to_string(source_pages, '|'), 'merged', 'Merged ' || n_parts || ' parts across pages [' || array_to_string(source_pages, ', ') || ']'
+UNION ALL SELECT doc_id, kind, {NKEY}, array_to_string(source_pages, '|'), 'merged', 'joined ' || n_parts || ' parts from pages [' || array_to_string(source_pages, ', ') || ']'
 FROM merged WHERE merge_status = 'merged'""")
 def merge_actions(spark, sf):
     d = S.damaged(spark, sf)
