@@ -166,7 +166,7 @@ def test_merge_drops_contents_entries_and_repeats(spark):
     assert set(by) == {("1", 3), ("2", 0), ("", 1)}
     assert by["1", 3].content == real and by["1", 3].n_parts == 2
     acts = {(r.section_number, r.action, r.reason) for r in M.merge_actions(s, M.merge_sections(s)).collect()}
-    assert ("2", "kept_separate", "Only one occurrence") in acts and ("1", "merged", "Merged 2 parts across pages [4, 5]") in acts
+    assert ("2", "kept_separate", "the number stands once") in acts and ("1", "merged", "joined 2 parts from pages [4, 5]") in acts
 
 
 def test_merge_keeps_parts_after_a_blank_first(spark):
