@@ -215,7 +215,8 @@ class Index:
         c = usable(c, self.dim)
         if cells is None and size * self.dim <= ONE_CELL:
             self.centres = np.zeros((0, self.dim))
-            self.rows = c.withColumns({"__cell": F.lit(0), "__angle": F.lit(math.pi)})
+            # 0 for every row, but no constant: cells are found by an equi-join
+            self.rows = c.withColumns({"__cell": F.pmod(F.size("embedding"), F.lit(1)), "__angle": F.lit(math.pi)})
             stats = [(0, math.pi, size, None)] if size else []
             if self.by_domain:
                 stats = [(0, math.pi, r["n"], r["domain"]) for r in c.groupBy("domain").agg(F.count("*").alias("n")).collect()]
