@@ -87,8 +87,12 @@ def make_chunks(documents: DataFrame, sections: DataFrame, amendments: DataFrame
         s = s.withColumn("id_number", F.col("number")).unionByName(a)
     else:
         s = s.withColumn("id_number", F.col("number"))
-    counted = running_sum(durable(s), ["doc_id"], ["page_idx", "ord", "pos"], "page_idx", F.col("n_pieces"), "__offset", inclusive=False)
-    one = counted.select(*[c for c in counted.columns if c != "pieces"], F.posexplode("pieces").alias("part", "text"))
+    # only places and counts go through the window; the texts meet their offsets by the number of their stored row
+    rows = durable(s.withColumn("__id", F.monotonically_increasing_id()))
+    places = rows.select("__id", "doc_id", "page_idx", "ord", "pos", "n_pieces")
+    counted = running_sum(places, ["doc_id"], ["page_idx", "ord", "pos"], "page_idx", F.col("n_pieces"), "__offset", inclusive=False)
+    whole = rows.join(counted.select("__id", "__offset"), "__id")
+    one = whole.select(*[c for c in whole.columns if c not in ("pieces", "__id")], F.posexplode("pieces").alias("part", "text"))
     j = one.join(documents, "doc_id")
     part = F.concat(F.lit(" (part "), (F.col("part") + 1).cast("string"), F.lit(")"))
     named = F.when(F.col("title") != "", F.col("title")).otherwise(F.concat(F.lit("Section "), "number"))

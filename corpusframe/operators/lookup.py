@@ -104,23 +104,56 @@ def overlap_join(left: DataFrame, right: DataFrame, n: int = GRAM, min_overlap:
     return shared.filter(F.col("overlap_chars") > min_overlap)
 
 
-def overlapping_sections(sections: DataFrame, n: int = GRAM, min_overlap: int = 100) -> DataFrame:
-    """Pairs (a, b) of sections of different documents, smaller doc_id first, that share n-grams.
+SECTION_KEY = ["doc_id", "page_idx", "kind", "sec_idx"]
+
+
+def gram_classes(sections: DataFrame, n: int = GRAM) -> tuple[DataFrame, DataFrame]:
+    """(members: k, rep, n_grams; classes: rep, gs, lo, hi) of sections with the same n-grams.
+
+    ``rep`` is the smallest key of a class, ``gs`` its grams, ``lo`` and ``hi`` its smallest and largest doc_id. Gram
+    sets are told apart by SHA-256, so only the sets of the representatives are moved. Sections without a gram are in no class.
+    """
+    own = durable(sections.select(F.struct(*SECTION_KEY).alias("k"), grams(F.col("content"), n).alias("gs")).filter(F.size("gs") > 0)
+                  .withColumn("set", F.sha2(F.array_join(F.array_sort("gs"), ""), 256)))
+    sets = durable(own.groupBy("set").agg(F.min("k").alias("rep"), F.min("k.doc_id").alias("lo"), F.max("k.doc_id").alias("hi")))
+    members = own.select("k", "set", F.size("gs").alias("n_grams")).join(sets.select("set", "rep"), "set").select("k", "rep", "n_grams")
+    classes = own.select(F.col("k").alias("rep"), "set", "gs").join(sets, ["set", "rep"]).select("rep", "gs", "lo", "hi")
+    return members, classes
+
+
+def overlapping_classes(classes: DataFrame, n: int = GRAM, min_overlap: int = 100) -> DataFrame:
+    """Pairs (a, b) of classes, smaller representative first, with members in different documents that share n-grams: overlap_chars.
 
     Exact, with a prefix filter: a pair that shares at least ``need`` grams also shares one outside
-    the ``need - 1`` most frequent grams of either section. Only the other grams propose pairs, so
+    the ``need - 1`` most frequent grams of either set. Only the other grams propose pairs, so
     the grams found everywhere propose none; the proposed pairs are then counted in full.
     """
     need = min_overlap // n + 1
-    key = F.struct("doc_id", "page_idx", "kind", "sec_idx")
-    sets = durable(sections.select(key.alias("k"), grams(F.col("content"), n).alias("gs")).filter(F.size("gs") >= need))
-    g = sets.select("k", F.explode("gs").alias("gram"))
+    sets = durable(classes.filter(F.size("gs") >= need).withColumn("id", F.monotonically_increasing_id()))
+    g = sets.select("id", "lo", "hi", F.explode("gs").alias("gram"))
     counted = g.join(g.groupBy("gram").agg(F.count("*").alias("df")), "gram")
-    place = F.row_number().over(W.partitionBy("k").orderBy(F.col("df").desc(), "gram"))
-    rare = counted.withColumn("__p", place).filter(F.col("__p") >= need).select("k", "gram")
-    a, b = rare.select(F.col("k").alias("a"), "gram"), rare.select(F.col("k").alias("b"), "gram")
-    pairs = a.join(b, "gram").filter(F.col("a.doc_id") < F.col("b.doc_id")).select("a", "b").distinct()
-    side = lambda name: sets.select(F.col("k").alias(name), F.col("gs").alias(f"gs_{name}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    shared = both.select("a", "b", (F.size(F.array_intersect("gs_a", "gs_b")) * n).alias("overlap_chars"))
+    place = F.row_number().over(W.partitionBy("id").orderBy(F.col("df").desc(), "gram"))
+    rare = counted.withColumn("__p", place).filter(F.col("__p") >= need)
+    side = lambda name: rare.select(F.col("id").alias(name), F.col("lo").alias(f"lo_{name}"), F.col("hi").alias(f"hi_{name}"), "gram")
+    apart = (F.col("a") < F.col("b")) & (F.least("lo_a", "lo_b") < F.greatest("hi_a", "hi_b"))
+    pairs = side("a").join(side("b"), "gram").filter(apart).select("a", "b").distinct()
+    full = lambda name: sets.select(F.col("id").alias(name), F.col("rep").alias(f"rep_{name}"), F.col("gs").alias(f"gs_{name}"))
+    both = pairs.join(full("a"), "a").join(full("b"), "b")
+    shared = both.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b"),
+                         (F.size(F.array_intersect("gs_a", "gs_b")) * n).alias("overlap_chars"))
     return shared.filter(F.col("overlap_chars") > min_overlap)
+
+
+def overlapping_sections(sections: DataFrame, n: int = GRAM, min_overlap: int = 100) -> DataFrame:
+    """Pairs (a, b) of sections of different documents, smaller doc_id first, that share n-grams.
+
+    Equal gram sets are compared once (``overlapping_classes``) and the pairs of classes expanded to their members;
+    where copies abound, the classes and their members say the same in fewer rows.
+    """
+    members, classes = gram_classes(sections, n)
+    pairs = overlapping_classes(classes, n, min_overlap)
+    of = lambda name: members.select(F.col("rep").alias(f"r_{name}"), F.col("k").alias(name), F.col("n_grams").alias(f"n_{name}"))
+    across = (pairs.withColumnsRenamed({"a": "r_a", "b": "r_b"}).join(of("a"), "r_a").join(of("b"), "r_b")
+              .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "overlap_chars"))
+    within = of("a").filter(F.col("n_a") * n > min_overlap).join(of("b"), F.col("r_a") == F.col("r_b")).select("a", "b", (F.col("n_a") * n).alias("overlap_chars"))
+    return across.unionByName(within).filter(F.col("a.doc_id") < F.col("b.doc_id"))

@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import functions as F
 
 from corpusframe import schemas
+from corpusframe.functions import rules as R
+from corpusframe.operators import conform
 from corpusframe.operators import extract as E
 from corpusframe.operators import lookup as Q
 from corpusframe.plans import statutes as S
@@ -31,16 +33,16 @@ def extracted_items(spark, sf):
     return lines.select("doc_id", "page_idx", "item_idx", F.col("item_idx").cast("string").alias("number"), F.substring("text", 1, 8).alias("title"), "text")
 
 
-def nested(spark, sf):
+def nested(spark, sf, pages=None, sections=None):
     """The corpus in its nested form: one row per document, pages and sections inside."""
-    both = S.sections(spark, sf)
+    both = S.sections(spark, sf) if sections is None else sections
     section = F.struct("sec_idx", "section_number", "section_title", "content", "is_continuation")
     rule = F.struct("sec_idx", F.col("section_number").alias("rule_number"), F.col("section_title").alias("rule_title"), "content", "is_continuation")
     s = both.groupBy("doc_id", "page_idx").agg(F.array_sort(F.collect_list(F.when(F.col("kind") == "section", section))).alias("sections"),
                                                F.array_sort(F.collect_list(F.when(F.col("kind") == "rule", rule))).alias("rules"))
     i = extracted_items(spark, sf).groupBy("doc_id", "page_idx").agg(F.array_sort(F.collect_list(
         F.struct("item_idx", F.col("number").alias("clause"), F.col("title").alias("term"), F.col("text").alias("definition_text")))).alias("definitions"))
-    p = S.pages(spark, sf).join(s, ["doc_id", "page_idx"], "left").join(i, ["doc_id", "page_idx"], "left").groupBy("doc_id", "document_name", "document_type").agg(
+    p = (S.pages(spark, sf) if pages is None else pages).join(s, ["doc_id", "page_idx"], "left").join(i, ["doc_id", "page_idx"], "left").groupBy("doc_id", "document_name", "document_type").agg(
         F.array_sort(F.collect_list(F.struct("page_idx", "page_number", "page_type", "raw_text", "sections", "rules", "definitions", *[
             F.lit(None).cast(S_PAGE[n].dataType).alias(n) for n in ("amendments", "schedules", "forms", "tables")]))).alias("pages"))
     return p.select(F.struct("document_name", "document_type", F.col("doc_id").cast("string").alias("source")).alias("document"), "pages")
@@ -71,6 +73,57 @@ def page_items(spark, sf):
     return readers.page_items(docs, "source")
 
 
+def irregular(spark, sf):
+    """Nested documents with page numbers as text, some of them no numbers, and fields left out here and there."""
+    n, c = F.length("raw_text"), F.length("content")
+    p = S.pages(spark, sf).withColumns({
+        "page_number": F.when(F.pmod(n, F.lit(7)) == 0, F.concat(F.lit("p. "), F.col("page_number").cast("string"))).when(
+            F.pmod(n, F.lit(5)) != 0, F.col("page_number").cast("string")),
+        "page_type": F.when(F.pmod(n, F.lit(4)) == 0, F.lit("annex")).when(F.pmod(n, F.lit(9)) != 0, F.col("page_type"))})
+    s = S.sections(spark, sf).withColumns({
+        "section_number": F.when(F.pmod(c, F.lit(4)) != 0, F.col("section_number")), "section_title": F.when(F.pmod(c, F.lit(6)) != 0, F.col("section_title")),
+        "is_continuation": F.when(F.col("is_continuation"), F.lit(True)), "content": F.when(F.pmod(c, F.lit(10)) != 0, F.col("content"))})
+    docs = nested(spark, sf, p, s)
+    return docs.withColumns({"source": F.col("document.source"), "document": F.when(F.pmod(F.size("pages"), F.lit(3)) != 0, F.col("document"))})
+
+
+SQL_IRREGULAR = S.SQL_SECTIONS + """,
+ip AS (SELECT doc_id || '' AS source, page_idx, raw_text, CASE WHEN length(raw_text) % 7 = 0 THEN 'p. ' || page_number WHEN length(raw_text) % 5 <> 0 THEN page_number || '' END AS num,
+  CASE WHEN length(raw_text) % 4 = 0 THEN 'annex' WHEN length(raw_text) % 9 <> 0 THEN page_type END AS page_type FROM pages_s),
+isec AS (SELECT doc_id || '' AS source, page_idx, sec_idx, kind, CASE WHEN length(content) % 4 <> 0 THEN section_number END AS section_number,
+  CASE WHEN length(content) % 6 <> 0 THEN section_title END AS section_title, CASE WHEN length(content) % 10 <> 0 THEN content END AS content,
+  CASE WHEN is_continuation THEN true END AS is_continuation FROM sections_s)"""
+
+
+@query("conform_document", "WITH " + SQL_IRREGULAR + """
+SELECT p.source, p.page_idx, coalesce(TRY_CAST(num AS BIGINT), p.page_idx + 1) AS page_number, page_type, raw_text, kind, sec_idx, coalesce(section_number, '') AS section_number,
+  coalesce(section_title, '') AS section_title, coalesce(content, '') AS content, coalesce(is_continuation, false) AS is_continuation, 0::BIGINT AS n_subsections, 0::BIGINT AS n_references, 0::BIGINT AS n_forms
+FROM ip p LEFT JOIN isec s ON s.source = p.source AND s.page_idx = p.page_idx""")
+def conform_document(spark, sf):
+    """Every conformed field of pages, sections and rules."""
+    docs = conform.conform(irregular(spark, sf))
+    p = docs.select("source", F.posexplode("pages").alias("page_idx", "p"))
+    entry = lambda kind, number, title, sub: lambda x, i: F.struct(
+        F.lit(kind).alias("kind"), i.alias("sec_idx"), x[number].alias("section_number"), x[title].alias("section_title"), x["content"].alias("content"),
+        x["is_continuation"].alias("is_continuation"), sub(x).alias("n_subsections"))
+    items = F.concat(F.transform("p.sections", entry("section", "section_number", "section_title", lambda x: F.size(x["subsections"]))),
+                     F.transform("p.rules", entry("rule", "rule_number", "rule_title", lambda x: F.lit(0))))
+    return p.select("source", "page_idx", "p.page_number", "p.page_type", "p.raw_text", F.size("p.references").alias("n_references"), F.size("p.forms").alias("n_forms"),
+                    F.inline_outer(items)).withColumn("n_subsections", F.coalesce("n_subsections", F.lit(0))) \
+        .fillna("", ["section_number", "section_title", "content"]).fillna(False, ["is_continuation"])
+
+
+@query("conform_issues", "WITH " + SQL_IRREGULAR + f""",
+e AS (SELECT source, 'pages[' || page_idx || ']' AS place, * EXCLUDE (source) FROM ip)
+SELECT source, 'error' AS severity, 'document' AS path, 'missing' AS message FROM ip GROUP BY source HAVING count(*) % 3 = 0
+UNION ALL SELECT source, 'warning', place || '.page_number', CASE WHEN num IS NULL THEN 'missing' ELSE 'not of type int' END FROM e WHERE TRY_CAST(num AS BIGINT) IS NULL
+UNION ALL SELECT source, 'warning', place || '.page_type', CASE WHEN page_type IS NULL THEN 'missing' ELSE 'unknown value ' || page_type END FROM e
+  WHERE page_type IS NULL OR (page_type <> '' AND page_type NOT IN ({", ".join(f"'{t}'" for t in R.SCHEMA_PAGE_TYPES)}))
+UNION ALL SELECT source, 'warning', 'pages[' || page_idx || '].sections[' || sec_idx || '].section_number', 'missing' FROM isec WHERE kind = 'section' AND section_number IS NULL""")
+def conform_issues(spark, sf):
+    return conform.issues(irregular(spark, sf), ["source"])
+
+
 @query("pending", "WITH " + S.SQL_FILES + """, i AS (SELECT doc_id, lang, file_name || CASE doc_id % 6 WHEN 0 THEN '_RAG_READY' WHEN 1 THEN '_MERGED' ELSE '' END AS file_name FROM files)
 SELECT file_name, doc_id FROM i WHERE doc_id % 6 > 1 AND NOT EXISTS (SELECT 1 FROM i d WHERE d.lang = 'fr' AND d.file_name = i.file_name)""")
 def pending(spark, sf):
@@ -222,3 +275,40 @@ def overlap_join(spark, sf):
     d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
     b = table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), "text")
     return Q.overlap_join(d, b)
+
+
+def _flat_key(c: str, name: str) -> list:
+    return [F.col(f"{c}.{k}").alias(f"{name}_{k}") for k in Q.SECTION_KEY]
+
+
+SQL_CLASSES = S.SQL_SECTIONS + f""",
+gs AS (SELECT {K}, {{'d': doc_id, 'p': page_idx, 'k': kind, 's': sec_idx}} AS k, list_sort({GR('content')}) AS gs FROM sections_s WHERE length(content) >= 5),
+cl AS (SELECT gs, min(k) AS rep, min(doc_id) AS lo, max(doc_id) AS hi FROM gs GROUP BY gs)"""
+
+
+@query("section_classes", "WITH " + SQL_CLASSES + """
+SELECT doc_id, page_idx, kind, sec_idx, rep.d AS rep_doc_id, rep.p AS rep_page_idx, rep.k AS rep_kind, rep.s AS rep_sec_idx, len(gs) AS n_grams FROM gs JOIN cl USING (gs)""")
+def section_classes(spark, sf):
+    """Which section stands for which in ``overlapping_sections``."""
+    members = Q.gram_classes(S.sections(spark, sf))[0]
+    return members.select("k.*", *_flat_key("rep", "rep"), "n_grams")
+
+
+@query("overlapping_sections", "WITH " + SQL_CLASSES + """,
+u AS (SELECT rep, lo, hi, unnest(gs) AS gram FROM cl WHERE len(gs) > 20),
+o AS (SELECT a.rep AS a, b.rep AS b, count(*) * 5 AS overlap_chars FROM u a JOIN u b ON a.gram = b.gram AND a.rep < b.rep AND least(a.lo, b.lo) < greatest(a.hi, b.hi)
+  GROUP BY 1, 2 HAVING count(*) * 5 > 100)
+SELECT a.d AS a_doc_id, a.p AS a_page_idx, a.k AS a_kind, a.s AS a_sec_idx, b.d AS b_doc_id, b.p AS b_page_idx, b.k AS b_kind, b.s AS b_sec_idx, overlap_chars FROM o""")
+def overlapping_sections(spark, sf):
+    """Sections of different documents that share text, each set of equal sections once."""
+    pairs = Q.overlapping_classes(Q.gram_classes(S.sections(spark, sf))[1])
+    return pairs.select(*_flat_key("a", "a"), *_flat_key("b", "b"), "overlap_chars")
+
+
+@query("published_stage", "WITH " + S.SQL_SECTIONS + """ SELECT doc_id, kind, count(*) AS n_sections, sum(length(content))::BIGINT AS n_chars FROM sections_s GROUP BY ALL""")
+def published_stage(spark, sf):
+    """The sections published as a stage; the report that came with the version last published."""
+    path = f"{shared_folder(spark)}/published-{uuid.uuid4().hex}"
+    report = lambda d: d.groupBy("doc_id", "kind").agg(F.count("*").alias("n_sections"), F.sum(F.length("content")).alias("n_chars"))
+    sinks.publish_stage(S.sections(spark, sf), report, path)
+    return sinks.read_report(spark, path)

@@ -253,6 +253,6 @@ def stream_ingest(spark, sf):
     path = f"{shared_folder(spark)}/ingest-{uuid.uuid4().hex}"
     schema = table(spark, sf, "documents").schema
     s = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf)
-    q = ingest.ingest_stream(s.select(F.md5("text").alias("chunk_id"), "doc_id", "text"), f"{path}/data", f"{path}/state", ["doc_id"])
-    q.awaitTermination()
-    return spark.read.parquet(f"{path}/data").select("chunk_id", "doc_id")
+    chunks = s.select(F.md5("text").alias("chunk_id"), "doc_id", "text")
+    ingest.ingest_stream(chunks, f"{path}/data", f"{path}/state", ["doc_id"]).awaitTermination()
+    return ingest.stored(spark, f"{path}/data", chunks.schema).select("chunk_id", "doc_id")

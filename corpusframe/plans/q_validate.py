@@ -93,6 +93,14 @@ def page_number_issues(spark, sf):
     return V.page_number_issues(gappy(spark, sf))
 
 
+@query("page_gaps", "WITH " + SQL_GAPPY + """,
+c AS (SELECT DISTINCT doc_id, page_number FROM gappy WHERE page_number IS NOT NULL),
+w AS (SELECT doc_id, page_number, lag(page_number) OVER (PARTITION BY doc_id ORDER BY page_number) AS prev FROM c)
+SELECT doc_id, prev + 1 AS first, page_number - 1 AS last, page_number - prev - 1 AS n FROM w WHERE page_number - prev > 1""")
+def page_gaps(spark, sf):
+    return V.page_gaps(gappy(spark, sf))
+
+
 @query("page_type_check", "WITH " + SQL_GAPPY + f"""
 SELECT doc_id, page_idx, 'warning' AS severity, 'structural' AS category, 'page_type' AS field, 'page type not in the list: ' || page_type AS message
 FROM gappy WHERE page_type NOT IN {IN(R.VALID_PAGE_TYPES)}""")

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusframe.operators.ordered import dense_index
+from corpusframe.sources import commits
 
 
 def write_stage(df: DataFrame, report, path: str, fmt: str = "parquet") -> DataFrame:
@@ -17,6 +21,49 @@ def write_stage(df: DataFrame, report, path: str, fmt: str = "parquet") -> DataF
     return stored
 
 
+def publish_stage(df: DataFrame, report, path: str) -> DataFrame:
+    """A new version of a stage, with the report made from the stored result; both are published by one commit.
+
+    A job that dies between data and report leaves the version before as the one that is read. Returns the stored result.
+    """
+    spark, version = df.sparkSession, uuid.uuid4().hex
+    df.write.parquet(f"{path}/{version}/data")
+    rows = spark.read.schema(df.schema).parquet(f"{path}/{version}/data")
+    report(rows).write.parquet(f"{path}/{version}/report")
+    commits.commit(spark, path, version)
+    return rows
+
+
+def _published(spark: SparkSession, path: str) -> str:
+    names = commits.versions(spark, path)
+    if not names:
+        raise FileNotFoundError(f"no version of {path} has been published")
+    return f"{path}/{names[-1]}"
+
+
+def read_stage(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+    """The result last published in ``path``."""
+    reader = spark.read.schema(schema) if schema else spark.read
+    return reader.parquet(f"{_published(spark, path)}/data")
+
+
+def read_report(spark: SparkSession, path: str) -> DataFrame:
+    """The report of the result last published in ``path``."""
+    return spark.read.parquet(f"{_published(spark, path)}/report")
+
+
+def remove_old_stages(spark: SparkSession, path: str, keep: int = 1) -> list[str]:
+    """Removes all but the last ``keep`` published versions, and what was begun and never published; returns the names.
+
+    Not beside a running ``publish_stage``, whose version is not published yet.
+    """
+    kept = commits.versions(spark, path)[-max(1, keep):]
+    gone = [n for n in commits.folders(spark, path) if n != commits.LOG and n not in kept]
+    for name in gone:
+        commits.remove(spark, f"{path}/{name}")
+    return gone
+
+
 def sections_csv_view(sections: DataFrame) -> DataFrame:
     return sections.select("page_number", "page_type", "section_number", F.coalesce("section_title", F.lit("")).alias("section_title"),
                            F.length("content").alias("content_length"), "is_continuation", "document_name")

@@ -216,3 +216,19 @@ def test_overlapping_sections_equals_brute_force(spark):
             if x[0] < y[0] and n > 100:
                 want[(x[0], x[3]), (y[0], y[3])] = n
     assert want and got == want
+
+
+def test_copies_of_a_section_are_compared_once(spark):
+    a, b = "the same words stand in every copy of it", "the same words stand in every copy of that"
+    rows = [(d, 0, "section", i, t) for d in range(3) for i, t in enumerate([a, b, a, "", None, "abc"])] + [(9, 0, "rule", 0, "only here: a text that nobody else has")]
+    df = spark.createDataFrame(rows, "doc_id int, page_idx int, kind string, sec_idx int, content string")
+    members, classes = Q.gram_classes(df)
+    assert classes.count() == 3 and members.count() == 10
+    (pair,) = Q.overlapping_classes(classes).collect()
+    assert (pair.a.doc_id, pair.a.sec_idx, pair.b.doc_id, pair.b.sec_idx, pair.overlap_chars) == (0, 0, 0, 1, 5 * len(grams(a) & grams(b)))
+    got = {((r.a.doc_id, r.a.sec_idx), (r.b.doc_id, r.b.sec_idx)): r.overlap_chars for r in Q.overlapping_sections(df).collect()}
+    want = {((x[0], x[3]), (y[0], y[3])): 5 * len(grams(x[4]) & grams(y[4])) for x in rows for y in rows
+            if x[4] and y[4] and x[0] < y[0] and 5 * len(grams(x[4]) & grams(y[4])) > 100}
+    assert got == want and len(got) == 27
+    one = spark.createDataFrame([r for r in rows if r[0] == 0], df.schema)
+    assert Q.overlapping_classes(Q.gram_classes(one)[1]).count() == Q.overlapping_sections(one).count() == 0
