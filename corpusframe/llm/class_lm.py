@@ -39,6 +39,9 @@ DELTA = 0.1
 #: Weight of a class's own frequency against the counts after one class.
 ALPHA = 20.0
 
+#: Bytes of neighbour lists that a task gathers before it adds them up or hands them on.
+SUM_BYTES = 4 << 20
+
 
 @dataclass(frozen=True)
 class Sizes:
@@ -215,10 +218,25 @@ class Words:
         return found, out
 
 
+def summed(parts: list[bytes]) -> bytes:
+    """Lists of (code, times) as one with every code once. Sums beyond 32 bits are left apart."""
+    if len(parts) == 1:
+        return parts[0]
+    whole = b"".join(parts)
+    seen = np.frombuffer(whole, np.int32).reshape(-1, 2)
+    order = np.argsort(seen[:, 0], kind="stable")
+    code = seen[order, 0]
+    first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+    times = np.add.reduceat(seen[order, 1].astype(np.int64), first)
+    if times.max() > np.iinfo(np.int32).max:
+        return whole
+    return np.stack([code[first], times.astype(np.int32)], axis=1).tobytes()
+
+
 def neighbours(texts: DataFrame, words, n: int, sizes: Sizes) -> DataFrame:
     """w, piece, seen: of each word in classes its neighbours, pairs of 32-bit numbers (2 * symbol + side, times); side 1 is before it.
 
-    Symbols are the ``n`` words, the endings, the end. Frequent words come in pieces. The row of w = -1 holds
+    Symbols are the ``n`` words, the endings, the end. A neighbour stands once in a row. Frequent words come in pieces. The row of w = -1 holds
     pairs without a word in classes (symbol before * m + symbol after, m fixed symbols).
     """
     m = sizes.endings + 1
@@ -246,21 +264,35 @@ def neighbours(texts: DataFrame, words, n: int, sizes: Sizes) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(w), pa.array(piece, pa.int64()), seen], names=["w", "piece", "seen"])
 
     def joined(batches):
-        last, parts = None, []
-        def put(rows):
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())],
-                                              names=["w", "piece", "seen"])
+        last, parts, held, limit = None, [], 0, SUM_BYTES
+        rows, size = [], 0
+
+        def put():
+            out = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())],
+                                             names=["w", "piece", "seen"])
+            rows.clear()
+            return out
         for batch in batches:
-            rows = []
-            for w, piece, seen in zip(*(c.to_pylist() for c in batch.columns)):
-                if (w, piece) != last:
+            seen = batch.column(2)
+            for i, key in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+                if key != last:
                     if parts:
-                        rows.append((*last, b"".join(parts)))
-                    last, parts = (w, piece), []
-                parts.append(seen)
-            yield put(rows)
+                        rows.append((*last, summed(parts)))
+                        size += len(rows[-1][2])
+                    last, parts, held, limit = key, [], 0, SUM_BYTES
+                    if size >= SUM_BYTES:
+                        yield put()
+                        size = 0
+                parts.append(seen[i].as_py())
+                held += len(parts[-1])
+                if held > limit:  # what is held of a word grows with its different neighbours, not with its occurrences
+                    parts = [summed(parts)]
+                    held = len(parts[0])
+                    limit = max(SUM_BYTES, 2 * held)
         if parts:
-            yield put([(*last, b"".join(parts))])
+            rows.append((*last, summed(parts)))
+        if rows:
+            yield put()
     schema = "w long, piece long, seen binary"
     rows = texts.select(B.ended("text").alias("t")).mapInArrow(run, schema)
     return durable(rows.repartition("w", "piece").sortWithinPartitions("w", "piece").mapInArrow(joined, schema))
@@ -269,9 +301,14 @@ def neighbours(texts: DataFrame, words, n: int, sizes: Sizes) -> DataFrame:
 def _profiles(batch, label: np.ndarray, k: int, step: int = 1_000_000):
     """Of words of a batch (w, counts to each class, counts from each class, pairs with itself), some at a time."""
     w, lists = batch.column(0).to_numpy(), batch.column(1)
-    size = np.diff(np.frombuffer(lists.buffers()[1], np.int32)[lists.offset:lists.offset + len(lists) + 1]) // 8 if len(lists) else np.empty(0, np.int64)
+    if not len(w):
+        return
+    place = np.frombuffer(lists.buffers()[1], np.int32)[lists.offset:lists.offset + len(lists) + 1] // 4
+    data = lists.buffers()[2]
+    flat = np.frombuffer(data, np.int32, data.size // 4)  # the lists as they lie in the batch, not copied
+    size = np.diff(place) // 2
     for a, b in B.ranges(size + 200, step):
-        seen = np.frombuffer(b"".join(lists.slice(a, b - a).to_pylist()), np.int32).reshape(-1, 2)
+        seen = flat[place[a]:place[b]].reshape(-1, 2)
         row = np.repeat(np.arange(b - a), size[a:b])
         code, side = seen[:, 0] >> 1, seen[:, 0] & 1
         dense = np.bincount((row * 2 + side) * k + label[code], seen[:, 1], 2 * k * (b - a)).reshape(b - a, 2, k)
@@ -288,10 +325,12 @@ def class_counts(table: DataFrame, label: np.ndarray, n: int, sizes: Sizes) -> t
         t, profile = np.zeros((k, k)), np.zeros((seeds, 2 * k + 1))
         for batch in batches:
             no = batch.column(0).to_numpy() < 0
-            for x in batch.column(1).filter(pa.array(no)).to_pylist():
-                seen = np.frombuffer(x, np.int32).reshape(-1, 2)
-                np.add.at(t, (sizes.classes + seen[:, 0] // m, sizes.classes + seen[:, 0] % m), seen[:, 1])
-            for w, right, left, own in _profiles(batch.filter(pa.array(~no)), sent.value, k + m):
+            if no.any():
+                for x in batch.column(1).filter(pa.array(no)).to_pylist():
+                    seen = np.frombuffer(x, np.int32).reshape(-1, 2)
+                    np.add.at(t, (sizes.classes + seen[:, 0] // m, sizes.classes + seen[:, 0] % m), seen[:, 1])
+                batch = batch.filter(pa.array(~no))
+            for w, right, left, own in _profiles(batch, sent.value, k + m):
                 np.add.at(t[sizes.classes:].T, sent.value[w], left[:, k:])
                 for x in (right, left):
                     x[:, sizes.classes:k] += x[:, k:]

@@ -197,6 +197,39 @@ def test_class_counts_and_moves_against_the_whole_matrix(spark):
     assert (final[:n] < 3).all() and np.array_equal(matrix, one.T @ pairs @ one)
 
 
+def test_neighbours_of_a_word_that_is_half_of_all_tokens(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    texts = [" ".join(x for w in rng.integers(0, 60, 300) for x in ("the", f"w{w}")) for _ in range(40)]
+    rows = docs(spark, texts).select("text").repartition(8)
+    texts = [r.text for r in rows.collect()]
+    sizes = class_lm.Sizes(classes=3, endings=2, head=10, seed=5)
+    counts = class_lm.word_counts(rows, sizes)
+    h = np.array([r.h for r in class_lm.most_frequent(counts, 61).collect()], np.int64).view(np.uint64)
+    h[10:] = np.sort(h[10:])
+    words = spark.sparkContext.broadcast(class_lm.Words(class_lm.Lookup(h[:10]), 10, h[10:]))
+    want = Counter()
+    number = {int(x): i for i, x in enumerate(h)}
+    for text in texts:
+        raw = np.frombuffer((text + "\n").encode(), np.uint8)
+        s = [63, *(number[int(x)] for x in class_lm._words(raw, np.array([len(raw)]))[0]), 63]
+        for a, b in zip(s, s[1:]):
+            if a < 61:
+                want[a, b * 2] += 1
+            if b < 61:
+                want[b, a * 2 + 1] += 1
+    for held in (64, class_lm.SUM_BYTES):
+        monkeypatch.setattr(class_lm, "SUM_BYTES", held)
+        got = Counter()
+        for r in class_lm.neighbours(rows, words, 61, sizes).collect():
+            seen = np.frombuffer(r.seen, np.int32).reshape(-1, 2)
+            assert len(set(seen[:, 0])) == len(seen)
+            for code, times in seen.tolist():
+                got[r.w, code] += times
+        assert {k: v for k, v in got.items() if k[0] >= 0} == want
+    big = np.array([[7, 2**31 - 1]], np.int32).tobytes()
+    assert class_lm.summed([big, big]) == big + big
+
+
 def test_lookup_finds_all_and_only_its_keys():
     r = np.random.default_rng(2)
     keys = np.unique(r.integers(1, 2 ** 63, 5000, dtype=np.uint64))
