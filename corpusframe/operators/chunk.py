@@ -27,16 +27,25 @@ def full_text(sections: DataFrame, repeat: bool = False) -> DataFrame:
 
 
 def pack(paragraphs: Column, longest: int, shortest: int) -> Column:
-    """Greedy packing of paragraphs into pieces; a paragraph is never cut, short pieces are dropped."""
-    init = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("cur"))
+    """Greedy packing of paragraphs into pieces; a paragraph is never cut, short pieces are dropped.
 
-    def step(acc, p):
-        fits = F.length(acc["cur"]) + F.length(p) + 2 <= longest
-        grown = F.when(acc["cur"] == "", p).otherwise(F.concat(acc["cur"], F.lit("\n\n"), p))
-        return F.struct(F.when(fits, acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["cur"]))).alias("done"),
-                        F.when(fits, grown).otherwise(p).alias("cur"))
+    The fold sees lengths only and notes where pieces begin; each paragraph is copied once, when its piece is cut.
+    """
+    init = F.struct(F.array().cast("array<int>").alias("starts"), F.lit(0).alias("size"), F.lit(0).alias("at"))
+
+    def step(acc, n):
+        begins = (acc["at"] == 0) | (acc["size"] + n + 2 > longest)
+        return F.struct(F.when(begins, F.array_append(acc["starts"], acc["at"])).otherwise(acc["starts"]).alias("starts"),
+                        F.when(begins, n).otherwise(acc["size"] + n + 2).alias("size"), (acc["at"] + 1).alias("at"))
+
+    def cut(ps):
+        def pieces(acc):
+            end = lambda i: F.coalesce(F.get(acc["starts"], i + 1), acc["at"])
+            return F.transform(acc["starts"], lambda a, i: F.array_join(F.slice(ps, a + 1, end(i) - a), "\n\n"))
+        return F.aggregate(F.transform(ps, F.length), init, step, pieces)
 
-    packed = F.aggregate(paragraphs, init, step, lambda acc: F.concat(acc["done"], F.array(acc["cur"])))
+    # in a list of its own the array is made once, not once for every piece
+    packed = F.transform(F.array(paragraphs), cut)[0]
     return F.filter(packed, lambda x: F.length(x) >= shortest)
 
 

@@ -94,16 +94,3 @@ def numbered(df: DataFrame, keys: list[str], order: list[Column | str], out: str
     sizes = cut.groupBy(*keys, "__p").agg(F.count("*").alias("__n"))
     offsets = sizes.select(*keys, "__p", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
     return _same(inner, offsets, [*keys, "__p"]).withColumn(out, F.col("__off") + F.col("__rn") + (first - 1)).drop("__p", "__rn", "__off")
-
-
-def dense_index(df: DataFrame, order: list[str], block: Column, out: str = "index") -> DataFrame:
-    """0-based position over the whole table without a single-task sort.
-
-    ``block`` must grow with the leading order column, and there is one summary row per block.
-    """
-    staged = df.withColumn("__b", block)
-    sizes = staged.groupBy("__b").agg(F.count("*").alias("__n"))
-    offsets = sizes.select("__b", F.coalesce(F.sum("__n").over(
-        W.orderBy("__b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__off"))
-    inner = staged.withColumn("__rn", F.row_number().over(W.partitionBy("__b").orderBy(*order)))
-    return inner.join(offsets, "__b").withColumn(out, F.col("__off") + F.col("__rn") - 1).drop("__b", "__rn", "__off")

@@ -165,8 +165,7 @@ def stored_chunks(spark, sf):
 @query("embedding_metadata", "WITH " + SQL_CHUNKS + """ SELECT row_number() OVER (ORDER BY doc_id, chunk_id) - 1 AS index, chunk_id, document, document_type, section_number, section_title,
   language, domain, replace(replace(document, ' ', '_'), ',', '') || '.pdf' AS filename FROM chunks""")
 def embedding_metadata(spark, sf):
-    block = F.floor(F.col("doc_id") / 65536)
-    m = sinks.embedding_metadata(stored_chunks(spark, sf), ["doc_id", "chunk_id"], block)
+    m = sinks.embedding_metadata(stored_chunks(spark, sf), ["doc_id", "chunk_id"])
     return m.select("index", "chunk_id", "document", "document_type", "section_number", "section_title", "language", "domain", "filename")
 
 

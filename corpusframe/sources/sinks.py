@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusframe.operators.ordered import dense_index
+from corpusframe.operators.ordered import numbered
 from corpusframe.sources import commits
 
 
@@ -73,10 +73,14 @@ def write_csv(sections: DataFrame, path: str) -> None:
     sections_csv_view(sections).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
-def embedding_metadata(chunks: DataFrame, order: list[str], block: Column) -> DataFrame:
-    """The 15 metadata fields of the embedding store; ``index`` is the row of the vector."""
+def embedding_metadata(chunks: DataFrame, order: list[str]) -> DataFrame:
+    """The 15 metadata fields of the embedding store; ``index`` is the row of the vector, by ``order`` (nulls first).
+
+    The store is numbered by sampled ranges of the whole order, so a document with all chunks is as many tasks as
+    it has ranges.
+    """
     name = F.translate(F.coalesce("document", F.lit("unknown")), " ,", "_")
-    indexed = dense_index(chunks, order, block)
+    indexed = numbered(chunks, [], order, "index")
     return indexed.select("index", "chunk_id", "document", "document_type", "document_year", "language", "domain", "section_number",
                           "section_title", "rule_number", "rule_title", "source_pages", "keywords", "cross_references",
                           F.concat(name, F.lit(".pdf")).alias("filename"))

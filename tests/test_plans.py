@@ -67,8 +67,8 @@ import sys; sys.path.insert(0, {root!r})
 from corpusframe.settings import session
 from corpusframe.plans import catalog
 s = session(master='local[2]', **{{'spark.ui.enabled': 'false', 'spark.sql.shuffle.partitions': '2'}})
-print('ROWS', *[catalog.QUERIES[n](s, {SF!r}).count() > 0 for n in ('knn_exemplars', 'knn_grid', 'rate_limit')])
+print('ROWS', *[catalog.QUERIES[n](s, {SF!r}).count() > 0 for n in ('knn_exemplars', 'knn_grid', 'rate_limit', 'merge_sections')])
 """
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     out = subprocess.run([sys.executable, "-c", code], cwd=tempfile.mkdtemp(prefix="spark-"), env=env, capture_output=True, text=True, timeout=300)
-    assert "ROWS True True True" in out.stdout, out.stderr[-2000:]
+    assert "ROWS True True True True" in out.stdout, out.stderr[-2000:]

@@ -91,7 +91,7 @@ def test_ordered_helpers_do_not_depend_on_the_block(spark, block):
     s = {(r.k, r.i): r.s for r in O.running_sum(df, ["k"], ["i"], "i", F.col("v"), "s", block).collect()}
     l = {(r.k, r.i): r.l for r in O.last_event(df, ["k"], ["i"], "i", F.col("e"), "l", block, inclusive=False).collect()}
     c = {(r.k, r.i): r.c for r in O.left_context(df, ["k"], "i", F.col("v"), "c", min(2, block), block).collect()}
-    ix = {(r.k, r.i): r["index"] for r in O.dense_index(df, ["k", "i"], F.col("k")).collect()}
+    ix = {(r.k, r.i): r["index"] for r in O.numbered(df, [], ["k", "i"], "index").collect()}
     for n, (k, i, e, v) in enumerate(rows):
         mine = [r for r in rows if r[0] == k and r[1] <= i]
         assert s[k, i] == sum(r[3] for r in mine)
@@ -174,6 +174,34 @@ def test_merge_keeps_parts_after_a_blank_first(spark):
     assert [r.content for r in M.merge_sections(s).collect()] == ["second part\nthird bit of text"]
 
 
+def fold_by_hand(parts):
+    text = ""
+    for p in parts:
+        a, b = set(text.split()), set(p.split())
+        repeats = bool(a and b) and len(a & b) / min(len(a), len(b)) > 0.7
+        text = text if p == "" or text and repeats else text + ("" if text == "" or text.endswith("\n") else "\n") + p
+    return text.strip()
+
+
+def test_fold_of_parts_equals_the_replay(spark):
+    rng = random.Random(7)
+    runs = [[" ".join(rng.choices("a b c d e f g h i j".split(), k=rng.randint(0, 6))) + rng.choice(["", "\n", " "]) for _ in range(rng.randint(0, 9))] for _ in range(60)]
+    runs += [["", " ", "x"], ["x y z", "x y z"], [], ["\n", "\n", "a"]]
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(runs)], "i int, r array<string>")
+    got = {r.i: r.t for r in df.select("i", M.fold_parts(F.col("r")).alias("t")).collect()}
+    assert got == {i: fold_by_hand(r) for i, r in enumerate(runs)}
+    assert df.select(M.fold_parts(F.when(F.col("i") < 0, F.col("r"))).alias("t")).filter("t IS NOT NULL").count() == 0
+
+
+def test_ten_thousand_parts_of_one_number(spark):
+    """Each part has words of its own, so the text grows to the end; every third part repeats the one before it."""
+    parts = [" ".join(f"w{i - (i % 3 == 2)}x{j}" for j in range(20)) for i in range(10_000)]
+    s = spark.createDataFrame([sec(i, "1", "", t, True) for i, t in enumerate(parts)], SEC)
+    r = M.merge_sections(s).collect()
+    assert len(r) == 1 and r[0].n_parts == 10_000
+    assert r[0].content == "\n".join(t for i, t in enumerate(parts) if i % 3 != 2)
+
+
 def test_simple_merge(spark):
     s = spark.createDataFrame([sec(0, "1", "", "a", True), sec(1, "1", "", "b"), sec(1, "", "", "c", idx=1)], SEC)
     got = [(r.content, r.is_continuation) for r in M.simple_merge(s).orderBy("page_idx", "sec_idx").collect()]
@@ -225,6 +253,20 @@ def test_split_long(spark, parts, longest, sizes):
     assert [len(x) for x in got] == sizes
 
 
+def test_split_long_equals_the_replay(spark):
+    rng = random.Random(3)
+    texts = ["\n\n".join(rng.choice("abc") * rng.choice([0, 1, 7, 30, 98, 99, 100, 101, 250]) for _ in range(rng.randint(0, 40))) for _ in range(80)]
+    texts += ["\n" * 300, " " * 300, "z" * 500 + "\n\n" + "y", "\n\n".join("p" * 9 for _ in range(20_000))]
+    got = {r.i: r.p for r in spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", CH.split_long(F.col("t"), 100, 20).alias("p")).collect()}
+    for i, t in enumerate(texts):
+        want, cur = [], ""
+        for p in filter(None, (x.strip() for x in t.split("\n\n"))):
+            if cur and len(cur) + len(p) + 2 > 100:
+                want, cur = want + [cur], ""
+            cur = f"{cur}\n\n{p}" if cur else p
+        assert got[i] == ([t] if len(t) <= 100 else [x for x in want + [cur] if len(x) >= 20])
+
+
 def test_chunk_ids_count_on(spark):
     s = C.canonicalise(N.normalise(spark.createDataFrame([sec(0, "1", "A", "x" * 120), sec(1, "2", "", "\n\n".join(["y" * 120] * 3)), sec(2, "3", "", "")], SEC)))
     docs = spark.createDataFrame([(1, "The Act, 1970", "Act", 1970, "Patents", [], "en", "India", "s")],

@@ -2,6 +2,9 @@ import json
 import os
 import tempfile
 
+from pyspark.sql import functions as F
+
+from corpusframe.operators import ordered as O
 from corpusframe.sources import readers, sinks
 from corpusframe.operators import lookup as Q
 
@@ -69,3 +72,23 @@ def test_stage_csv_and_collection(spark):
 def test_search_is_literal(spark):
     d = spark.createDataFrame([("a.b A.B axb",)], "content string")
     assert Q.search(d, "a.b").head().match_count == 2 and Q.search(d, "a.b", True).head().match_count == 1
+
+
+def test_the_embedding_store_numbers_one_hot_document_in_many_tasks(spark):
+    """All chunks in one document, and rows whose document or chunk is null: no row is lost, numbers are dense and in order."""
+    base = spark.range(5000).select(F.when(F.col("id") % 50 == 0, F.lit(None)).otherwise(F.lit(7)).cast("long").alias("doc_id"),
+                                    F.when(F.col("id") != 1, F.format_string("c%05d", "id")).alias("chunk_id"))
+    text = ["document", "document_type", "language", "domain", "section_number", "section_title", "rule_number", "rule_title"]
+    none = F.array().cast("array<string>")
+    chunks = base.select("*", *[F.lit("x").alias(c) for c in text], F.lit(1).alias("document_year"), *[none.alias(c) for c in ("source_pages", "keywords", "cross_references")])
+    got = sinks.embedding_metadata(chunks, ["doc_id", "chunk_id"])
+    rows = sorted((r["index"], r.chunk_id) for r in got.select("index", "chunk_id").collect())
+    want = sorted(((r.doc_id is not None, r.doc_id or 0, r.chunk_id is not None, r.chunk_id or "") for r in base.collect()))
+    assert [i for i, _ in rows] == list(range(5000)) and [c or "" for _, c in rows] == [w[3] for w in want]
+    name = "spark.sql.adaptive.coalescePartitions.enabled"  # 5,000 rows would be put together again
+    spark.conf.set(name, "false")
+    try:
+        tasks = O.numbered(base, [], ["doc_id", "chunk_id"], "index").select(F.spark_partition_id().alias("p")).groupBy("p").count()
+        assert tasks.agg(F.max("count")).head()[0] < 4000
+    finally:
+        spark.conf.unset(name)
