@@ -2,10 +2,12 @@
 
 Strong candidates (key assignments, access identifiers, long hexadecimal strings) are reported by
 themselves. Weak ones are common in clean text and are reported only together: identifiers of users and
-clients, random-looking tokens, and endpoints are joined as intervals within a scope (so many characters
-from end to start), and a weak candidate counts if the parts that complete it are in its scope:
+clients, access identifiers too short to stand alone (``ident``), tokens of letters and digits, key assignments
+with a short value (``key``: after ``=``, or with a digit in it, so that ``token: words`` of prose is none) and
+endpoints are joined as intervals within a scope (so many characters from end to start), and a weak candidate
+counts if the parts that complete it are in its scope:
 
-* a token needs an identifier (of either kind), an identifier a secret (strong or token),
+* a token or short key needs an identifier (of any kind), an identifier a secret (strong or weak),
 * an endpoint needs an identifier and a secret.
 
 The join runs on the sorted starts of one text's candidates. Texts are independent rows: nothing is
@@ -27,12 +29,14 @@ from pyspark.sql import types as T
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-KINDS = ("assign", "access", "hex", "user", "token", "endpoint")
+KINDS = ("assign", "access", "hex", "user", "token", "endpoint", "key", "ident")
 #: What a kind is in a credential.
-ROLE = {"assign": "secret", "access": "id", "hex": "secret", "user": "id", "token": "secret", "endpoint": "place"}
-NEEDS = {"token": ("id",), "user": ("secret",), "endpoint": ("id", "secret")}
+ROLE = {"assign": "secret", "access": "id", "hex": "secret", "user": "id", "token": "secret", "endpoint": "place", "key": "secret", "ident": "id"}
+NEEDS = {"token": ("id",), "key": ("id",), "user": ("secret",), "ident": ("secret",), "endpoint": ("id", "secret")}
 #: Characters between the parts of one credential.
 SCOPE = 200
+#: Characters of a value or identifier from which a strong candidate stands alone, and of the weak ones.
+LONG_VALUE, LONG_ACCESS, SHORT_VALUE, SHORT_ACCESS = 12, 18, 4, 8
 
 
 def _either_case(word: str) -> str:
@@ -54,15 +58,24 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of the strong candidates, leftmost and without overlap per kind."""
     out = []
     if ":" in text or "=" in text:
-        out += [(m.start(), m.end(), "assign") for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 12]
+        out += [(m.start(), m.end(), "assign") for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= LONG_VALUE]
     if "AKIA" in text:
-        out += [(m.start(), m.end(), "access") for m in ACCESS.finditer(text) if m.end() - m.start() >= 18]
+        out += [(m.start(), m.end(), "access") for m in ACCESS.finditer(text) if m.end() - m.start() >= LONG_ACCESS]
     out += [(m.start(), m.end(), "hex") for m in HEX.finditer(text)]
     return out
 
 
 def _random_looking(s: str) -> bool:
-    return any(c.isdigit() for c in s) and any(c.isupper() for c in s) and any(c.islower() for c in s)
+    """Digits and letters of both cases; of one case only where nothing parts them, so that slugs and paths are none."""
+    lower, upper = any(c.islower() for c in s), any(c.isupper() for c in s)
+    return any(c.isdigit() for c in s) and (lower and upper or (lower or upper) and s.rstrip("=").isalnum())
+
+
+def _short_key(m: re.Match) -> bool:
+    value = m[2]
+    if not SHORT_VALUE <= len(value) < LONG_VALUE:
+        return False
+    return "=" in m[0][len(m[1]):m.start(2) - m.start()] or any(c.isdigit() for c in value)
 
 
 def weak_spans(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
@@ -70,6 +83,9 @@ def weak_spans(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int,
     found = []
     if ":" in text or "=" in text:
         found += [(m.start(), m.end(), "user") for m in USER.finditer(text)]
+        found += [(m.start(), m.end(), "key") for m in ASSIGN.finditer(text) if _short_key(m)]
+    if "AKIA" in text:
+        found += [(m.start(), m.end(), "ident") for m in ACCESS.finditer(text) if SHORT_ACCESS <= m.end() - m.start() < LONG_ACCESS]
     if "://" in text:
         found += [(m.start(), m.end(), "endpoint") for m in ENDPOINT.finditer(text)]
     # tokens count only beside an identifier
