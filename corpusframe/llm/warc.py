@@ -2,15 +2,16 @@
 
 ``spark.dataSource.register(WarcSource)`` (or ``register(spark)``) gives the format ``warc``:
 
-* read: one partition per archive file. Comparisons of ``record_type``, ``record_id``, ``target_uri``,
+* read: one partition per archive file (``.warc.gz`` and ``.warc``, sub-folders included, its own or other tools'),
+  read in pieces of bounded size. Comparisons of ``record_type``, ``record_id``, ``target_uri``,
   ``payload_digest``, ``payload_length`` and ``refers_to`` with constants are pushed down. The header of a
   record is parsed first; of a record that the predicates exclude nothing else is decoded, and its
   compressed bytes are skipped by the lengths that each gzip member carries (the ``sl`` extra field;
-  members without it are inflated). ``payload=false`` leaves the payload column null, ``verify=true``
+  members without it are inflated in pieces and thrown away, plain records are passed over). ``payload=false`` leaves the payload column null, ``verify=true``
   compares each payload with its digest.
 * write: each task writes one archive per ``rollbytes`` bytes under a name of its own; the driver lists
   the files of the tasks that count in ``_files-*.json`` when all have ended. Files of lost or repeated
-  attempts are in no list and are not read.
+  attempts (``part-*.warc.gz``) are in no list of their folder and are not read; archives of other names are.
 
 ``path`` may be any address that pyarrow's file systems open; it must be shared by all machines.
 """
@@ -38,6 +39,10 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 SCHEMA = "record_type string, record_id string, target_uri string, payload_digest string, payload_length long, refers_to string, payload binary"
 #: Rows and payload bytes in one Arrow batch of a read.
 BATCH_ROWS, BATCH_BYTES = 1000, 8_000_000
+#: Bytes read from a file at once, handed to the inflater at once, and inflated at once while a header is looked for.
+READ, SLICE, STEP = 1 << 20, 1 << 15, 2048
+#: A header that has not ended after so many bytes is none.
+LONGEST_HEAD = 1 << 20
 
 
 def file_system(path: str):
@@ -92,81 +97,213 @@ def _bare(value: str | None) -> str | None:
     return value[1:-1] if value and value[0] == "<" and value[-1] == ">" else value
 
 
-class Member:
-    """A gzip member inside ``data`` at ``at``: inflated only as far as it is asked for."""
+class Source:
+    """An archive read in pieces of bounded size."""
 
-    def __init__(self, data: memoryview, at: int):
-        if bytes(data[at:at + 3]) != b"\x1f\x8b\x08":
+    def __init__(self, file):
+        self.file, self.size, self.start, self.held = file, file.size(), 0, b""
+
+    @staticmethod
+    def of(data) -> Source:
+        return data if isinstance(data, Source) else Source(pa.BufferReader(data))
+
+    def some(self, at: int, most: int = SLICE) -> bytes:
+        """Up to ``most`` bytes from ``at`` on; none at the end."""
+        i = at - self.start
+        if not 0 <= i < len(self.held):
+            self.file.seek(min(at, self.size))
+            self.start, self.held, i = at, self.file.read(READ), 0
+        return self.held[i:i + most]
+
+    def need(self, at: int, n: int) -> bytes:
+        out = b""
+        while len(out) < n and (more := self.some(at + len(out), n - len(out))):
+            out += more
+        if len(out) < n:
+            raise ValueError(f"the archive ends inside the gzip header at byte {at}")
+        return out
+
+
+class Text:
+    """Decoded text with records one after another, made only as far as it is asked for.
+
+    ``out`` is what has been made and not been taken yet, ``used`` what has been taken or skipped.
+    """
+
+    def __init__(self):
+        self.out, self.used = bytearray(), 0
+
+    def more(self, most: int) -> bool:
+        """Adds to ``out`` up to ``most`` bytes, at least one; False at the end."""
+        raise NotImplementedError
+
+    def until_blank(self, most: int) -> int | None:
+        """Bytes up to the end of the first empty line, looked for in the next ``most`` bytes."""
+        seen = 0
+        while True:
+            i = self.out.find(b"\r\n\r\n", max(0, seen - 3), most)
+            if i >= 0:
+                return i + 4
+            seen = len(self.out)
+            if seen >= most or not self.more(STEP):
+                return None
+
+    def take(self, n: int) -> bytes:
+        while len(self.out) < n:
+            if not self.more(min(n - len(self.out), READ)):
+                raise ValueError("the archive ends inside a record")
+        got = bytes(self.out[:n])
+        del self.out[:n]
+        self.used += n
+        return got
+
+    def skip(self, n: int) -> None:
+        while n > 0:
+            if not self.out and not self.more(READ):
+                raise ValueError("the archive ends inside a record")
+            k = min(n, len(self.out))
+            del self.out[:k]
+            self.used += k
+            n -= k
+
+    def head(self) -> bytes | None:
+        """Header of the next record; None when there is none left."""
+        while not self.out or self.out[0] in b"\r\n":
+            if self.out:
+                self.skip(1)
+            elif not self.more(STEP):
+                return None
+        n = self.until_blank(LONGEST_HEAD)
+        if n is None or not self.out.startswith(b"WARC/"):
+            raise ValueError(f"no record where one should begin: {bytes(self.out[:40])!r}")
+        return self.take(n)[:-4]
+
+    def last(self, left: int) -> bool:
+        """Whether the record that has ``left`` bytes of its block to come is known to be the last one."""
+        return False
+
+    def next(self) -> int:
+        """Where in the archive the text ends."""
+        raise NotImplementedError
+
+
+class Plain(Text):
+    """The rest of an archive that is not compressed; what is skipped is not read."""
+
+    def __init__(self, source: Source, at: int):
+        super().__init__()
+        self.source, self.body = source, at
+
+    def more(self, most):
+        got = self.source.some(self.body, most)
+        self.body += len(got)
+        self.out += got
+        return bool(got)
+
+    def skip(self, n):
+        k = min(n, len(self.out))
+        del self.out[:k]
+        self.used += n
+        self.body += n - k
+        if self.body > self.source.size:
+            raise ValueError("the archive ends inside a record")
+
+    def next(self):
+        return self.source.size
+
+
+class Member(Text):
+    """A gzip member at ``at``. With both its lengths in the header its end is known without inflating it."""
+
+    def __init__(self, data, at: int):
+        super().__init__()
+        source = Source.of(data)
+        if source.some(at, 3) != b"\x1f\x8b\x08":
             raise ValueError(f"no gzip member at byte {at}")
-        self.data, self.at, self.size, flags, body = data, at, None, data[at + 3], at + 10
+        self.source, self.at, self.size, self.full = source, at, None, None
+        flags, body = source.need(at, 10)[3], at + 10
         if flags & 4:
-            n = struct.unpack_from("<H", data, body)[0]
-            extra, body = bytes(data[body + 2:body + 2 + n]), body + 2 + n
+            n = struct.unpack("<H", source.need(body, 2))[0]
+            extra, body = source.need(body + 2, n), body + 2 + n
             while len(extra) >= 4:
                 m = struct.unpack_from("<H", extra, 2)[0]
-                if extra[:2] == b"sl" and m == 8:
-                    self.size = struct.unpack_from("<I", extra, 4)[0]
+                if extra[:2] == b"sl" and m == 8 and len(extra) >= 12:
+                    self.size, self.full = struct.unpack_from("<II", extra, 4)
                 extra = extra[4 + m:]
         for bit in (8, 16):
             if flags & bit:
-                while data[body]:
+                while source.need(body, 1) != b"\0":
                     body += 1
                 body += 1
-        if flags & 2:
-            body += 2
-        self.z, self.rest = zlib.decompressobj(-15), bytes(data[body:at + self.size]) if self.size else bytes(data[body:])
-        self.out = b""
-
-    def head(self) -> bytes | None:
-        """Text up to the first empty line."""
-        while b"\r\n\r\n" not in self.out:
-            got = self.z.decompress(self.rest, 2048)
+        self.body = body + 2 if flags & 2 else body
+        self.z, self.rest = zlib.decompressobj(-15), b""
+
+    def more(self, most):
+        while not self.z.eof:
+            if not self.rest:
+                self.rest = self.source.some(self.body)
+                self.body += len(self.rest)
+                if not self.rest:
+                    raise ValueError(f"the archive ends inside the member at byte {self.at}")
+            got = self.z.decompress(self.rest, most)
             self.rest = self.z.unconsumed_tail
-            if not got:
-                return None
-            self.out += got
-        return self.out[:self.out.index(b"\r\n\r\n")]
+            if got:
+                self.out += got
+                return True
+        return False
 
-    def everything(self) -> bytes:
-        self.out += self.z.decompress(self.rest)
-        return self.out
+    def last(self, left):
+        # two line ends close a record
+        return self.full is not None and (self.used + left + 4) & 0xFFFFFFFF == self.full
 
-    def next(self) -> int:
-        """Where the following member begins."""
+    def next(self):
         if self.size:
             return self.at + self.size
-        self.everything()
-        return len(self.data) - len(self.z.unused_data) + 8
-
-
-def parse(data: memoryview, wanted, with_payload: bool, verify: bool):
-    """Rows of an archive; ``wanted(fields)`` decides on the header alone."""
-    at = 0
-    while at < len(data):
-        m = Member(data, at)
-        head = m.head()
-        if head is not None:
-            h = _headers(head)
-            body = len(head) + 4
-            row = {"record_type": h.get("warc-type"), "record_id": _bare(h.get("warc-record-id")), "target_uri": _bare(h.get("warc-target-uri")),
-                   "payload_digest": h["warc-payload-digest"].partition(":")[2] if "warc-payload-digest" in h else None, "refers_to": _bare(h.get("warc-refers-to"))}
-            # the HTTP header lies in the first bytes of the block
-            while b"\r\n\r\n" not in m.out[body:] and (more := m.z.decompress(m.rest, 2048)):
-                m.rest, m.out = m.z.unconsumed_tail, m.out + more
-            cut = m.out.find(b"\r\n\r\n", body)
-            http = _headers(m.out[body:cut]) if h.get("content-type", "").startswith("application/http") and cut >= 0 else {}
-            n = int(h.get("content-length", 0))
-            start = cut + 4 if http else body
-            row["payload_length"] = int(http["content-length"]) if "content-length" in http else n - (start - body)
-            row["payload"] = None
-            if wanted(row):
-                if row["record_type"] != "revisit" and (with_payload or verify):
-                    payload = m.everything()[start:body + n]
-                    if verify and (len(payload) != row["payload_length"] or row["payload_digest"] and digest(payload) != row["payload_digest"]):
-                        raise ValueError(f"payload of {row['record_id']} does not match its header")
-                    row["payload"] = payload if with_payload else None
-                yield row
-        at = m.next()
+        while self.more(READ):
+            self.out.clear()
+        return self.body - len(self.z.unused_data) + 8
+
+
+def records(text: Text, wanted, with_payload: bool, verify: bool):
+    """Rows of the records in one text; see ``parse``."""
+    while (head := text.head()) is not None:
+        h = _headers(head)
+        left = int(h.get("content-length", 0))
+        http = {}
+        if h.get("content-type", "").lower().startswith("application/http"):
+            n = text.until_blank(min(left, LONGEST_HEAD))
+            if n is not None:
+                http, left = _headers(text.take(n)[:-4]), left - n
+        said = h.get("warc-payload-digest", "")
+        row = {"record_type": h.get("warc-type"), "record_id": _bare(h.get("warc-record-id")), "target_uri": _bare(h.get("warc-target-uri")),
+               "payload_digest": said.partition(":")[2] if said else None, "refers_to": _bare(h.get("warc-refers-to")), "payload": None}
+        # a revisit tells the length of a payload that it does not hold
+        whole = http.get("content-length", "") if row["record_type"] == "revisit" else ""
+        row["payload_length"] = int(whole) if whole.isdecimal() else left
+        if wanted(row):
+            if row["record_type"] != "revisit" and (with_payload or verify):
+                payload, left = text.take(left), 0
+                if verify and said.lower().startswith("sha1:") and digest(payload) != row["payload_digest"].upper():
+                    raise ValueError(f"payload of {row['record_id']} does not match its header")
+                row["payload"] = payload if with_payload else None
+            yield row
+        if text.last(left):
+            return
+        text.skip(left)
+
+
+def parse(data, wanted, with_payload: bool, verify: bool):
+    """Rows of an archive (bytes or a ``Source``); ``wanted(fields)`` decides on the header alone.
+
+    The archive is gzip members, with one record or several in each, or plain records. Of HTTP records the payload
+    is what follows the HTTP header, of others the whole block. An archive that is cut off or holds something else
+    is an error. ``verify`` compares SHA-1 digests and passes over others.
+    """
+    source, at = Source.of(data), 0
+    while at < source.size:
+        text = Member(source, at) if source.some(at, 2) == b"\x1f\x8b" else Plain(source, at)
+        yield from records(text, wanted, with_payload, verify)
+        at = text.next()
 
 
 _TESTS = {
@@ -216,26 +353,34 @@ class WarcReader(DataSourceReader):
     def partitions(self):
         from pyarrow import fs
         system, path = file_system(self.path)
-        found = {f.base_name: f for f in system.get_file_info(fs.FileSelector(path, allow_not_found=True)) if f.is_file}
-        lists = [n for n in found if n.startswith("_files-")]
-        named = {n for x in lists for n in json.loads(system.open_input_stream(found[x].path).read())} if lists else {n for n in found if n.endswith(".warc.gz")}
-        return [Archive(found[n].path) for n in sorted(named)] or [Archive("")]
+        if system.get_file_info(path).is_file:
+            return [Archive(path)]
+        found = [f for f in system.get_file_info(fs.FileSelector(path, allow_not_found=True, recursive=True)) if f.is_file]
+        folder = lambda f: f.path.rpartition("/")[0]
+        listed = {}
+        for f in found:
+            if f.base_name.startswith("_files-"):
+                with system.open_input_stream(f.path) as lines:
+                    listed.setdefault(folder(f), set()).update(json.loads(lines.read()))
+        def counts(f):
+            own = f.base_name.startswith("part-") and f.base_name.endswith(".warc.gz") and folder(f) in listed
+            return f.base_name in listed[folder(f)] if own else f.base_name.endswith((".warc.gz", ".warc"))
+        return [Archive(p) for p in sorted(f.path for f in found if counts(f))] or [Archive("")]
 
     def read(self, partition):
         if not partition.file:
             return
         system, _ = file_system(self.path)
         with system.open_input_file(partition.file) as f:
-            data = memoryview(f.read())
-        rows, held = [], 0
-        for row in parse(data, self.wanted, self.with_payload, self.verify):
-            rows.append(row)
-            held += len(row["payload"] or b"")
-            if len(rows) >= BATCH_ROWS or held >= BATCH_BYTES:
+            rows, held = [], 0
+            for row in parse(Source(f), self.wanted, self.with_payload, self.verify):
+                rows.append(row)
+                held += len(row["payload"] or b"")
+                if len(rows) >= BATCH_ROWS or held >= BATCH_BYTES:
+                    yield self.batch(rows)
+                    rows, held = [], 0
+            if rows:
                 yield self.batch(rows)
-                rows, held = [], 0
-        if rows:
-            yield self.batch(rows)
 
     @staticmethod
     def batch(rows):
@@ -319,8 +464,8 @@ def records_of(pages: DataFrame, page_id: str = "page_id", url: str = "url", htm
 
     Of the pages with one payload of at least ``least`` bytes that with the largest id is the response.
     A null html is an empty payload, a null id the smallest; a page given twice with one payload is
-    written twice as it is. Digests travel without the payloads: which record a page becomes is decided
-    on (id, digest) rows counted before the shuffle, and payloads move once, by row, whatever they hold.
+    written twice as it is. The largest id of each digest is found on (id, digest) rows counted before the shuffle.
+    Payloads move once, by digest, to meet it; a payload that very many pages have is split by the adaptive join.
     """
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("target_uri"), F.encode(F.coalesce(F.col(html), F.lit("")), "utf-8").alias("payload"))
     rows = rows.withColumns({"payload_digest": _base32(F.sha1("payload")), "payload_length": F.octet_length("payload").cast("long")})
