@@ -1,11 +1,13 @@
 """Rate limit and streams: hand-worked case, sequential replay, stream = batch."""
 
 import datetime as dt
+import hashlib
 import random
 import tempfile
 
 from pyspark.sql import functions as F
 
+from corpusframe.plans.catalog import QUERIES
 from corpusframe.streaming import ingest
 from corpusframe.streaming import requests as RQ
 
@@ -102,6 +104,14 @@ def test_ingest_adds_every_id_once(spark):
     assert sorted((r.chunk_id, r.pos) for r in spark.read.parquet(f"{root}/t").collect()) == [("a", 0), ("b", 1), ("c", 11)]
 
 
+def test_ingest_query_reads_a_table_of_several_files(spark):
+    root = tempfile.mkdtemp(prefix="spark-")
+    rows = [(4, "a"), (2, "b"), (3, "a"), (7, None), (5, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{root}/documents.parquet")
+    got = {(r.chunk_id, r.doc_id) for r in QUERIES["stream_ingest"](spark, root).collect()}
+    assert got == {(hashlib.md5(b"a").hexdigest(), 3), (hashlib.md5(b"b").hexdigest(), 2), (None, 5)}
+
+
 def test_metrics_and_exempt_paths(spark):
     df = frame(spark, [("a", 0), ("a", 30), ("b", 70)]).withColumn("ms", F.col("event_id").cast("double"))
     got = sorted((r.client, r.requests, r.mean_latency) for r in RQ.request_metrics(df, "1 minute", "0 seconds", ["client"], "ms").collect())
