@@ -107,31 +107,35 @@ def spans(pages: DataFrame) -> DataFrame:
     return by_line.unionByName(principal).select(*PAGE, "s.*")
 
 
-def _recover(pages: DataFrame, sections: DataFrame, blank: Column, what: str, column: str, fix) -> DataFrame:
-    """Sections whose ``column`` is blank take the first text (by form, then position) that the page has for their number."""
+def best_texts(pages: DataFrame) -> DataFrame:
+    """doc_id, page_idx, number, what, text: the first title and the first content (by form, then position) of every number of a page."""
+    text = spans(pages).filter(F.length("text") > F.when(F.col("what") == "content", MIN_CONTENT).otherwise(0))
+    return text.groupBy(*PAGE, "number", "what").agg(F.min_by("text", F.struct("form", "pos")).alias("text"))
+
+
+def _recover(texts: DataFrame, sections: DataFrame, blank: Column, what: str, column: str, fix) -> DataFrame:
+    """Sections whose ``column`` is blank take the text that the page has for their number."""
     old = ~F.col("added") if "added" in sections.columns else F.lit(True)
     need = F.coalesce(blank & (F.col("section_number") != "") & old, F.lit(False))
-    text = spans(pages).filter(F.col("what") == what).filter(F.length("text") > (MIN_CONTENT if what == "content" else 0))
-    best = text.groupBy(*PAGE, F.col("number").alias("__n")).agg(F.min_by("text", F.struct("form", "pos")).alias("__text"))
+    best = texts.filter(F.col("what") == what).select(*PAGE, F.col("number").alias("__n"), F.col("text").alias("__text"))
     needy = sections.filter(need).withColumn("__n", F.lower("section_number")).join(best, [*PAGE, "__n"], "left")
     return needy.withColumn(column, F.coalesce(fix(F.col("__text")), F.col(column))).select(*sections.columns).unionByName(sections.filter(~need))
 
 
-def recover_title(pages: DataFrame, sections: DataFrame) -> DataFrame:
-    """Blank titles read from the page text after the section's number."""
-    return _recover(pages, sections, X.is_blank(F.col("section_title")), "title", "section_title", lambda t: X.clean_title(t, quotes=False))
+def recover_title(pages: DataFrame, sections: DataFrame, texts: DataFrame | None = None) -> DataFrame:
+    """Blank titles read from the page text after the section's number; ``texts`` are the pages' ``best_texts`` where they are at hand."""
+    return _recover(best_texts(pages) if texts is None else texts, sections, X.is_blank(F.col("section_title")), "title", "section_title", lambda t: X.clean_title(t, quotes=False))
 
 
-def recover_content(pages: DataFrame, sections: DataFrame, longest: int | None = None) -> DataFrame:
+def recover_content(pages: DataFrame, sections: DataFrame, longest: int | None = None, texts: DataFrame | None = None) -> DataFrame:
     """Blank contents read from the page text below the section's head; whole, unless ``longest`` characters are asked for."""
-    return _recover(pages, sections, X.is_blank(F.col("content")), "content", "content", lambda t: t if longest is None else X.at_most(t, longest))
+    return _recover(best_texts(pages) if texts is None else texts, sections, X.is_blank(F.col("content")), "content", "content", lambda t: t if longest is None else X.at_most(t, longest))
 
 
 def repair(pages: DataFrame, sections: DataFrame, longest: int | None = None) -> DataFrame:
     """The whole repair in its order: missing sections, titles and contents of the old ones, text carried across pages."""
-    whole = add_missing_sections(pages, sections)
-    whole = recover_content(pages, recover_title(pages, durable(whole)), longest)
-    return mark_continuations(durable(whole))
+    whole, texts = durable(add_missing_sections(pages, sections)), durable(best_texts(pages))
+    return mark_continuations(durable(recover_content(pages, recover_title(pages, whole, texts), longest, texts)))
 
 
 def mark_continuations(sections: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from corpusframe.operators import repair as RP
 from corpusframe.plans import statutes as S
 from corpusframe.plans.q_extract import AMENDING, ACTION, CAP, SQL_FALLBACK, STRICT, TARGET
 from corpusframe.plans.registry import query
+from corpusframe.settings import durable
 
 strip = S.sql_strip
 
@@ -121,7 +122,7 @@ lg AS (SELECT doc_id, page_idx, kind, sec_idx, 'add_sections' AS action_type, 's
 
 def logged(spark, sf):
     """The whole repair of sections of which some are missing, blank or cut at pages, and what it did."""
-    before = thinned(spark, sf)
+    before = durable(thinned(spark, sf))  # the repair reads it twice, its log once
     return RP.repair_log(before, RP.repair(S.pages(spark, sf), before))
 
 

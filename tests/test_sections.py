@@ -277,3 +277,14 @@ def test_chunk_ids_count_on(spark):
     assert {r.section_title for r in split} == {f"Section 2 (part {i})" for i in (1, 2, 3)} and split[0].metadata.merge_status == "split"
     first = next(r for r in rows if r.section_number == "1")
     assert first.embedding_text == "Document: The Act, 1970\nDomain: Patents\nSection 1: A\n\n" + "x" * 120 + "\n\n"
+
+
+def test_the_repair_reads_the_texts_of_pages_once(spark, monkeypatch):
+    calls, spans = [], RP.spans
+    monkeypatch.setattr(RP, "spans", lambda pages: calls.append(1) or spans(pages))
+    cols = "doc_id string, page_idx int, page_number int, page_type string, document_name string, raw_text string"
+    p = spark.createDataFrame([("d", 0, 1, "content", "x", "7. Grant of things\nthe body of the section is here")], cols)
+    s = spark.createDataFrame([("d", 0, 1, "content", "section", 0, "7", "", "", False)],
+                              "doc_id string, page_idx int, page_number int, page_type string, kind string, sec_idx int, section_number string, section_title string, content string, is_continuation boolean")
+    r = RP.repair(p, s).head()
+    assert (r.section_title, r.content, len(calls)) == ("Grant of things", "the body of the section is here", 1)
