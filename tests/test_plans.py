@@ -72,3 +72,8 @@ print('ROWS', *[catalog.QUERIES[n](s, {SF!r}).count() > 0 for n in ('knn_exempla
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     out = subprocess.run([sys.executable, "-c", code], cwd=tempfile.mkdtemp(prefix="spark-"), env=env, capture_output=True, text=True, timeout=300)
     assert "ROWS True True True True" in out.stdout, out.stderr[-2000:]
+
+
+def test_the_gate_reads_the_words_of_contents_pages_only(spark):
+    filters = [x for x in plan(catalog.QUERIES["section_index"](spark, SF)).split("\n") if "Filter NOT" in x]
+    assert filters and not any("schedule" in x or "definition" in x for x in filters)

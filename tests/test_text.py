@@ -91,3 +91,12 @@ def test_script_language(spark):
     df = spark.createDataFrame([("abc",), ("कखगघ",), ("कखगab ",), (" ",), ("日本語中",)], "t string")
     got = [(r.language, r.confidence) for r in L.script_language(df, "t").collect()]
     assert got == [("en", 0.99), ("mr", 0.99), ("mixed", 0.9), ("unknown", None), ("unknown", None)]
+
+
+def test_strip_takes_all_unicode_space_and_reads_the_ends_only(spark):
+    odd = ["\u3000 a b \u2028", "\x85x\xa0", "\x1fx\x1f", "\u180ex\u200b", " \n", "", None]
+    df = spark.createDataFrame([(t,) for t in odd], "t string")
+    got = df.select(X.strip(F.col("t")), X.lstrip(F.col("t")), X.is_blank(F.col("t")))
+    assert [r[0] for r in got.collect()] == ["a b", "x", "\x1fx\x1f", "\u180ex\u200b", "", "", None]
+    assert df.filter(~X.strip(F.col("t")).eqNullSafe(F.regexp_replace("t", r"(?U)^\s+|\s+$", ""))).count() == 0
+    assert "regexp_replace" not in got._jdf.queryExecution().executedPlan().toString()
