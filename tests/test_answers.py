@@ -232,3 +232,16 @@ def test_copies_of_a_section_are_compared_once(spark):
     assert got == want and len(got) == 27
     one = spark.createDataFrame([r for r in rows if r[0] == 0], df.schema)
     assert Q.overlapping_classes(Q.gram_classes(one)[1]).count() == Q.overlapping_sections(one).count() == 0
+
+
+def test_search_tiles_give_few_candidates(monkeypatch):
+    import numpy as np
+    import pandas as pd
+    made, best = [], V._best
+    monkeypatch.setattr(V, "_best", lambda *a: made.append(best(*a)) or made[-1])
+    r = np.random.default_rng(3)
+    q, c = V._unit(r.normal(size=(5000, 8))), r.normal(size=(9000, 8))
+    got = V._search(np.arange(5000), q, pd.DataFrame({"chunk_id": np.arange(9000), "embedding": list(c)}), 5, 2_000_000)
+    want = np.sort(q[:50] @ V._unit(c).T, axis=1)[:, :-6:-1]
+    assert np.allclose(got[got.query_id < 50].similarity.to_numpy().reshape(50, 5), want)
+    assert sum(len(x[0]) for x in made) < 3 * len(got)
