@@ -77,3 +77,8 @@ print('ROWS', *[catalog.QUERIES[n](s, {SF!r}).count() > 0 for n in ('knn_exempla
 def test_the_gate_reads_the_words_of_contents_pages_only(spark):
     filters = [x for x in plan(catalog.QUERIES["section_index"](spark, SF)).split("\n") if "Filter NOT" in x]
     assert filters and not any("schedule" in x or "definition" in x for x in filters)
+
+
+def test_the_text_is_lowered_once_for_all_keywords(spark):
+    lines = [x for x in plan(catalog.QUERIES["keywords"](spark, SF)).split("\n") if "lambdafunction(Contains(" in x]
+    assert lines and not any("Contains(lower(" in x for x in lines)
