@@ -234,6 +234,39 @@ def test_copies_of_a_section_are_compared_once(spark):
     assert Q.overlapping_classes(Q.gram_classes(one)[1]).count() == Q.overlapping_sections(one).count() == 0
 
 
+@pytest.mark.parametrize("strange", [False, True])
+def test_overlap_by_tiles_moves_texts_only(spark, monkeypatch, strange):
+    from corpusframe.operators import gramtiles
+    rng = random.Random(4)
+    words = ["alpha", "beta", "g😀mma", "delta", "omega\n"] + ([chr(0x4E00 + 9 * i) + chr(0x4E01 + 9 * i) for i in range(9000)] if strange else [])
+    rows = [(rng.randint(0, 9), 0, rng.choice(["section", "rule"]), i, " ".join(rng.choices(words[:5], k=rng.randint(1, 14)))) for i in range(60)]
+    if strange:  # more kinds of characters than grams of one number hold
+        rows.append((3, 0, "section", 90, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id int, page_idx int, kind string, sec_idx int, content string")
+    classes = Q.gram_classes(df)[1]
+    assert not [f.name for f in classes.schema.fields if f.dataType.typeName() == "array"]
+    pairs = Q.overlapping_classes(classes, block_chars=10 ** 7 if strange else 700)
+    assert pairs._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    got = {(r.a, r.b): r.overlap_chars for r in pairs.collect()}
+    c, want = classes.collect(), {}
+    for x in c:
+        for y in c:
+            n = 5 * len(grams(x.text) & grams(y.text))
+            if x.rep < y.rep and n > 100 and min(x.lo, y.lo) < max(x.hi, y.hi):
+                want[x.rep, y.rep] = n
+    assert len(want) > 100 and got == want
+    monkeypatch.setattr(gramtiles, "SIDE", 7)
+    monkeypatch.setattr(gramtiles, "DENSE", 20)
+    monkeypatch.setattr(gramtiles, "OPEN", 50)
+    monkeypatch.setattr(gramtiles, "PIECE", 100)
+    texts = [x.text for x in c]
+    here = np.arange(0, len(texts), 2)
+    for there in (None, np.arange(1, len(texts), 2)):
+        found = {(int(i), int(j)): int(m) for a, b, s in gramtiles.pairs_of(texts, here, there, 5, 21) for i, j, m in zip(a, b, s)}
+        every = [(i, j) for i in here for j in (here if there is None else there) if there is not None or i < j]
+        assert found == {(min(i, j), max(i, j)): m for i, j in every if (m := len(grams(texts[i]) & grams(texts[j]))) >= 21}
+
+
 def test_search_tiles_give_few_candidates(monkeypatch):
     import numpy as np
     import pandas as pd
