@@ -35,7 +35,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusframe.llm import textblocks as B
-from corpusframe.llm.common import ascii_lower, durable
+from corpusframe.llm.common import ascii_lower, durable, release_shuffles
 from corpusframe.settings import drop_stage
 from corpusframe.llm.components import components
 
@@ -53,8 +53,8 @@ STARS = (1, 2)
 TILE = 2048
 #: Entries of a node of the R-tree.
 NODE = 16
-#: Flags of the filter of candidate points: 2 ** 22 are 512 KB.
-FILTER_BITS = 22
+#: Flags of the filters of candidate points: 2 ** 24 are 2 MB, enough for some millions of points.
+FILTER_BITS = 24
 
 
 def shingle_sets(raw: np.ndarray, ends: np.ndarray, width: int) -> list[np.ndarray]:
@@ -315,8 +315,26 @@ def _token_sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     return _sets(docs.select("text"), width, finish, "id long, tokens binary").dropDuplicates(["id"])
 
 
+def _asked(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """id, tokens of the points of ``pairs`` (a, b), and of few others: sets that no pair asks for are not shuffled."""
+    known = B.filter_of(pairs.select(F.explode(F.array("a", "b")).alias("id")), "id", FILTER_BITS)
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(B.passes(known.value, FILTER_BITS, batch.column(0).to_numpy())))
+    return sets.select("id", "tokens").mapInArrow(run, "id long, tokens binary")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that link, compared on whole sets."""
+    """The pairs (a, b) that link, compared on whole sets, as a stored table."""
+    pairs = durable(pairs)
+    links = durable(_compared(pairs, _asked(sets, pairs), percent))
+    drop_stage(pairs)
+    release_shuffles(sets.sparkSession)
+    return links
+
+
+def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     side = lambda x: sets.select(F.col("id").alias(x), F.col("tokens").alias(f"t_{x}"))
     both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "t_a", "t_b")
 
@@ -430,7 +448,9 @@ def _labelled(docs: DataFrame, width: int, percent: int) -> DataFrame:
     every = durable(points(docs, width))
     reps = durable(every.filter("n > 0").groupBy("id").agg(F.first("n").alias("n"), F.first("vector").alias("vector")))
     shared = durable(shared_cells(docs, width, percent))
+    release_shuffles(docs.sparkSession)
     sets = durable(_token_sets(docs, shared.select("id").distinct(), width))
+    release_shuffles(docs.sparkSession)
     # a point with much company in its cells is central: the unedited text of a group
     company = shared.groupBy("cell").agg(F.count("*").alias("m"))
     central = shared.join(company, "cell").groupBy("id").agg(F.sum("m").alias("score"))
@@ -438,14 +458,14 @@ def _labelled(docs: DataFrame, width: int, percent: int) -> DataFrame:
     drop_stage(shared)
     links, labels, rows = None, None, scored.withColumn("label", F.col("id"))
     for leaders in STARS:
-        found = durable(_verified(_bounded(_stars(rows, leaders, percent), reps, percent), sets, percent))
+        found = _verified(_bounded(_stars(rows, leaders, percent), reps, percent), sets, percent)
         links = found if links is None else links.unionByName(found)
         labels = durable(components(links, "a", "b").withColumnRenamed("node", "id"))
         rows = scored.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
     crossing = durable(_across(rows))
     pairs = _bounded(crossing.filter("b is not null").select("a", "b").distinct(), reps, percent).unionByName(
         _large_cells(crossing.filter("b is null"), reps, percent)).distinct()
-    links = links.unionByName(durable(_verified(pairs, sets, percent)))
+    links = links.unionByName(_verified(pairs, sets, percent))
     labels = components(links, "a", "b").withColumnRenamed("node", "id")
     joined = durable(every.select("doc_id", "row_hash", "id", "n").join(labels, "id", "left").withColumn("label", F.when(F.col("n") > 0, F.coalesce("label", "id"))))
     for stage in (scored, sets, crossing, reps, every):

@@ -234,3 +234,27 @@ def test_repeats_of_other_lengths_and_without_rows(spark):
         got = repeats.cut(docs(spark, texts), length).collect()
         assert sorted((g.n_bytes, g.n_removed, g.n_spans, g.kept_sha256) for g in got) == sorted(removed([*texts, texts[-1], texts[-1]], length))
     assert repeats.cut(no_docs(spark)).count() == 0
+
+
+def test_only_sets_that_pairs_ask_for_are_shuffled(spark):
+    from corpusframe.llm import shingle_join as SJ
+    sets = spark.range(1000).selectExpr("id", "encode(cast(id as string), 'utf-8') tokens")
+    pairs = spark.createDataFrame([(3, 700), (3, 41)], "a long, b long")
+    got = {r.id for r in SJ._asked(sets, pairs).collect()}
+    assert {3, 41, 700} <= got and len(got) < 10
+
+
+def test_shuffles_of_written_steps_leave_the_disk(spark):
+    import time
+
+    from corpusframe.llm.common import durable, release_shuffles
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {f for f in disk.getAllBlocks().mkString(" ").split() if f.startswith("shuffle_")}
+    old = files()
+    durable(spark.range(10_000).repartition(5, "id"))
+    made = files() - old
+    release_shuffles(spark)
+    until = time.time() + 20
+    while made & files() and time.time() < until:
+        time.sleep(0.2)
+    assert made and not made & files()
