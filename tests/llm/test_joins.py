@@ -253,6 +253,7 @@ def test_shuffles_of_written_steps_leave_the_disk(spark):
     old = files()
     durable(spark.range(10_000).repartition(5, "id"))
     made = files() - old
+    durable(spark.range(1))  # Spark holds on to the plan it ran last
     release_shuffles(spark)
     until = time.time() + 20
     while made & files() and time.time() < until:
