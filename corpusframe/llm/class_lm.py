@@ -234,7 +234,7 @@ def summed(parts: list[bytes]) -> bytes:
 
 
 def neighbours(texts: DataFrame, words, n: int, sizes: Sizes) -> DataFrame:
-    """w, piece, seen: of each word in classes its neighbours, pairs of 32-bit numbers (2 * symbol + side, times); side 1 is before it.
+    """w, piece, turn (``_turns``), seen: of each word in classes its neighbours, pairs of 32-bit numbers (2 * symbol + side, times); side 1 is before it.
 
     Symbols are the ``n`` words, the endings, the end. A neighbour stands once in a row. Frequent words come in pieces. The row of w = -1 holds
     pairs without a word in classes (symbol before * m + symbol after, m fixed symbols).
@@ -263,39 +263,74 @@ def neighbours(texts: DataFrame, words, n: int, sizes: Sizes) -> DataFrame:
                 piece = np.where(w < sizes.seed, (int(ends[-1]) + turn + a) % 64, 0)
                 yield pa.RecordBatch.from_arrays([pa.array(w), pa.array(piece, pa.int64()), seen], names=["w", "piece", "seen"])
 
-    def joined(batches):
-        last, parts, held, limit = None, [], 0, SUM_BYTES
-        rows, size = [], 0
+    rows = texts.select(B.ended("text").alias("t")).mapInArrow(run, "w long, piece long, seen binary")
+    return durable(rows.repartition("w", "piece").sortWithinPartitions("w", "piece").mapInArrow(_joined, "w long, piece long, turn long, seen binary"))
 
-        def put():
-            out = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())],
-                                             names=["w", "piece", "seen"])
-            rows.clear()
-            return out
-        for batch in batches:
-            seen = batch.column(2)
-            for i, key in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
-                if key != last:
-                    if parts:
-                        rows.append((*last, summed(parts)))
-                        size += len(rows[-1][2])
-                    last, parts, held, limit = key, [], 0, SUM_BYTES
-                    if size >= SUM_BYTES:
-                        yield put()
-                        size = 0
-                parts.append(seen[i].as_py())
+
+def _turns(w: np.ndarray) -> np.ndarray:
+    """What tells in which turn a word may move: its remainder by a power of two."""
+    return (B.mix(w.view(np.uint64)) & np.uint64(0x7FFFFFFF)).astype(np.int64)
+
+
+def _summed_rows(row: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``seen`` (pairs of code and times, of the rows named by ``row``) with each code of a row once; sums beyond 32 bits are left apart."""
+    span = int(seen[:, 0].max()) + 1
+    key = row * span + seen[:, 0]
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    times = np.add.reduceat(seen[order, 1].astype(np.int64), first)
+    if times.max() > np.iinfo(np.int32).max:
+        return row, seen
+    row, code = np.divmod(key[first], span)
+    return row, np.stack([code, times], axis=1).astype(np.int32)
+
+
+def _joined(batches):
+    """Of rows sorted by (w, piece): one row of each, with its lists added up. Whole words of a batch are added up together."""
+    last, parts, held, limit = None, [], 0, SUM_BYTES
+
+    def put(keys, lists, sizes, extra=None):
+        keys = np.array([extra[0]] + keys.tolist() if extra else keys, np.int64).reshape(-1, 2)
+        offsets = np.cumsum([0, *([len(extra[1])] if extra else []), *sizes]).astype(np.int32)
+        seen = pa.Array.from_buffers(pa.binary(), len(keys), [None, pa.py_buffer(offsets), pa.py_buffer((extra[1] if extra else b"") + lists)])
+        w = np.ascontiguousarray(keys[:, 0])
+        return pa.RecordBatch.from_arrays([pa.array(w), pa.array(np.ascontiguousarray(keys[:, 1])), pa.array(_turns(w)), seen], names=["w", "piece", "turn", "seen"])
+    for batch in batches:
+        key = np.stack([batch.column(k).to_numpy() for k in (0, 1)], axis=1)
+        if not len(key):
+            continue
+        data, place = B.string_bytes(batch.column(2))
+        for a, b in B.ranges(np.diff(place), SUM_BYTES):
+            start = a + np.flatnonzero(np.concatenate([[True], (key[a + 1:b] != key[a:b - 1]).any(axis=1)]))
+            ended = None
+            if last is not None and last == tuple(key[a].tolist()):
+                upto = start[1] if len(start) > 1 else b
+                parts.append(bytes(data[place[a]:place[upto]]))
                 held += len(parts[-1])
+                start = start[1:]
                 if held > limit:  # what is held of a word grows with its different neighbours, not with its occurrences
-                    parts = [summed(parts)]
+                    parts = [summed([*parts, b""])]
                     held = len(parts[0])
                     limit = max(SUM_BYTES, 2 * held)
-        if parts:
-            rows.append((*last, summed(parts)))
-        if rows:
-            yield put()
-    schema = "w long, piece long, seen binary"
-    rows = texts.select(B.ended("text").alias("t")).mapInArrow(run, schema)
-    return durable(rows.repartition("w", "piece").sortWithinPartitions("w", "piece").mapInArrow(joined, schema))
+            if not len(start):
+                continue
+            if last is not None:
+                ended = last, summed([*parts, b""])  # a part may hold several lists
+            # all words but the last one end here
+            x, y = int(start[0]), int(start[-1])
+            lists, sizes = b"", np.empty(0, np.int64)
+            if x < y:
+                row = np.repeat(np.searchsorted(start, np.arange(x, y), side="right") - 1, np.diff(place[x:y + 1]) // 8)
+                row, seen = _summed_rows(row, np.frombuffer(data[place[x]:place[y]], np.int32).reshape(-1, 2))
+                lists, sizes = seen.tobytes(), np.bincount(row, minlength=len(start) - 1) * 8
+            if ended or x < y:
+                yield put(key[start[:-1]], lists, sizes, ended)
+            last, limit = tuple(key[y].tolist()), SUM_BYTES
+            parts = [bytes(data[place[y]:place[b]])]
+            held = len(parts[0])
+    if last is not None:
+        yield put(np.empty((0, 2), np.int64), b"", [], (last, summed([*parts, b""])))
 
 
 def _profiles(batch, label: np.ndarray, k: int, step: int = 1_000_000):
@@ -384,11 +419,11 @@ def exchange_all(table: DataFrame, label: np.ndarray, n: int, sizes: Sizes) -> t
     """(class of each of ``n`` words, then the fixed classes; matrix of classes) from ``label``, in which words without a class have that of their ending."""
     k, context = sizes.classes + sizes.endings + 1, table.sparkSession.sparkContext
     t, seeds = class_counts(table, label, n, sizes)
-    part = B.mix(np.arange(n, dtype=np.uint64))
+    part = _turns(np.arange(n))
     parts, turn, idle = 1, 0, 0
     while n:
         sent = context.broadcast((label, t))
-        may = (part % np.uint64(parts) == np.uint64(turn % parts)) if parts > 1 else label[:n] >= sizes.classes
+        may = (part % parts == turn % parts) if parts > 1 else label[:n] >= sizes.classes
         picked = context.broadcast(may)
 
         def run(batches):
@@ -401,7 +436,8 @@ def exchange_all(table: DataFrame, label: np.ndarray, n: int, sizes: Sizes) -> t
                     new = best_class(matrix, right, left, own, old[w], sizes.classes)
                     q = new != old[w]
                     yield pa.RecordBatch.from_arrays([pa.array(w[q]), pa.array(new[q].astype(np.int64))], names=["w", "class"])
-        moves = table.select("w", "seen").mapInArrow(run, "w long, class long").toArrow()
+        asked = table.filter((F.col("w") >= len(seeds)) & (F.pmod("turn", F.lit(parts)) == turn % parts)) if parts > 1 else table
+        moves = asked.select("w", "seen").mapInArrow(run, "w long, class long").toArrow()
         new = label.copy()
         new[moves.column("w").to_numpy()] = moves.column("class").to_numpy()
         s = np.flatnonzero(may[:len(seeds)])

@@ -254,3 +254,29 @@ def test_most_frequent_words(spark, k):
     counts = spark.createDataFrame([(i, 0, int(x)) for i, x in enumerate(n)], "h long, ending long, n long")
     got = [r.n for r in class_lm.most_frequent(counts, k).collect()]
     assert got == sorted(n, reverse=True)[:k]
+
+
+def test_neighbour_lists_of_a_batch_are_added_up_together(monkeypatch):
+    from collections import Counter
+
+    import pyarrow as pa
+    r = np.random.default_rng(5)
+    key = sorted((int(w), int(p)) for w, p in zip(r.integers(-1, 30, 500), r.integers(0, 2, 500)))
+    lists = [np.array([[c, 1 + c % 3] for c in np.unique(r.integers(0, 9, 5))], np.int32) for _ in key]
+    want = Counter()
+    for k, x in zip(key, lists):
+        for code, times in x.tolist():
+            want[k, code] += times
+    calls = []
+    one = class_lm.summed
+    monkeypatch.setattr(class_lm, "summed", lambda parts: calls.append(1) or one(parts))
+    for size, held in ((500, class_lm.SUM_BYTES), (7, 64)):
+        monkeypatch.setattr(class_lm, "SUM_BYTES", held)
+        batches = [pa.RecordBatch.from_arrays([pa.array([k[0] for k in key[s:s + size]]), pa.array([k[1] for k in key[s:s + size]]), pa.array([x.tobytes() for x in lists[s:s + size]])],
+                                              names=["w", "piece", "seen"]) for s in range(0, 500, size)]
+        calls.clear()
+        out = [row for b in class_lm._joined(iter(batches)) for row in b.to_pylist()]
+        assert len(out) == len(set(key))
+        assert {((row["w"], row["piece"]), code): n for row in out for code, n in np.frombuffer(row["seen"], np.int32).reshape(-1, 2).tolist()} == want
+        assert size < 500 or len(calls) == 1  # not once a word
+        assert all(row["turn"] == class_lm._turns(np.array([row["w"]]))[0] for row in out)
