@@ -92,3 +92,16 @@ def test_the_embedding_store_numbers_one_hot_document_in_many_tasks(spark):
         assert tasks.agg(F.max("count")).head()[0] < 4000
     finally:
         spark.conf.unset(name)
+
+
+def test_nested_pages_are_written_small_and_lines_are_not_shuffled(spark):
+    from corpusframe.plans import q_corpus
+    from corpusframe.settings import shared_folder
+    import glob
+    plan = q_corpus.nested(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "posexplode(split" not in plan.lower() and plan.count("Join") == 1
+    folder = shared_folder(spark).split(":", 1)[-1]
+    old = set(glob.glob(f"{folder}/corpus-*/*"))
+    q_corpus.read_corpus(spark, "/root/testdata/sf0.001")
+    made = [f for f in set(glob.glob(f"{folder}/corpus-*/*")) - old if "/part-" in f]
+    assert made and all(f.endswith(".json.gz") for f in made)
