@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusframe.llm import textblocks as B
-from corpusframe.llm.common import durable, ship
+from corpusframe.llm.common import drop_stage, durable, release_shuffles, ship
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -41,6 +41,8 @@ ALPHA = 20.0
 
 #: Bytes of neighbour lists that a task gathers before it adds them up or hands them on.
 SUM_BYTES = 4 << 20
+#: Bytes of text whose words a task looks up at a time: every word takes some hundred bytes meanwhile.
+STEP = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -72,23 +74,23 @@ class Lookup:
     """Place of a hash in a list of hashes, -1 where it is none of them: a few tables, each for what the one before has no room for."""
 
     def __init__(self, keys: np.ndarray):
-        self.keys, self.bits, self.tables = keys, max(8, int(np.ceil(np.log2(max(1, len(keys))))) + 2), []
+        self.keys, self.tables = keys, []
         left = np.arange(len(keys))
         while len(left):
-            slot = self._slot(keys[left], len(self.tables))
-            table = np.full(1 << self.bits, -1, np.int32)
+            table = np.full(1 << max(8, int(np.ceil(np.log2(len(left)))) + 2), -1, np.int32)
+            slot = self._slot(keys[left], len(self.tables), table)
             table[slot] = left
             self.tables.append(table)
             left = left[table[slot] != left]
 
-    def _slot(self, h: np.ndarray, turn: int) -> np.ndarray:
-        return ((h * np.uint64(2 * turn + 1) + np.uint64(turn)) >> np.uint64(64 - self.bits)).astype(np.int64)
+    def _slot(self, h: np.ndarray, turn: int, table: np.ndarray) -> np.ndarray:
+        return ((h * np.uint64(2 * turn + 1) + np.uint64(turn)) >> np.uint64(65 - len(table).bit_length())).astype(np.int64)
 
     def find(self, h: np.ndarray) -> np.ndarray:
         out = np.full(len(h), -1, np.int64)
         open_ = np.arange(len(h))
         for turn, table in enumerate(self.tables):
-            got = table[self._slot(h[open_], turn)]
+            got = table[self._slot(h[open_], turn, table)]
             hit = (got >= 0) & (self.keys[got] == h[open_])
             out[open_[hit]] = got[hit]
             open_ = open_[~hit & (got >= 0)]
@@ -137,7 +139,7 @@ def pair_counts(texts: DataFrame, words: np.ndarray, sizes: Sizes) -> np.ndarray
     def run(batches):
         table, total = ending_table(sizes.endings), np.zeros(m * m, np.int64)
         for batch in batches:
-            for _, _, raw, ends in B.blocks(batch):
+            for _, _, raw, ends in B.blocks(batch, STEP):
                 s = _symbols(raw, ends, lookup.value, table, sizes)[0]
                 total += np.bincount(np.concatenate([[m - 1], s[:-1]]) * m + s, minlength=m * m)
         code = np.flatnonzero(total)
@@ -233,36 +235,47 @@ def summed(parts: list[bytes]) -> bytes:
     return np.stack([code[first], times.astype(np.int32)], axis=1).tobytes()
 
 
+def _neighbour_rows(batches, words: Words, n: int, sizes: Sizes):
+    """w, piece, seen (see ``neighbours``) of texts, the last column; what ``B.BLOCK`` bytes of them hold is counted together."""
+    m, table = sizes.endings + 1, ending_table(sizes.endings)
+    radix, held, size, turn = 2 * (n + m) + m * m, [], 0, 0
+
+    def put():
+        key, times = np.unique(np.concatenate(held), return_counts=True)
+        w, code = np.divmod(key, radix)
+        first = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
+        data = np.stack([code, times], axis=1).astype(np.int32)
+        offsets = np.append(first, len(w)) * 8
+        seen = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data)])
+        w = w[first] - 1
+        piece = np.where(w < sizes.seed, (size + turn) % 64, 0)
+        return pa.RecordBatch.from_arrays([pa.array(w), pa.array(piece, pa.int64()), seen], names=["w", "piece", "seen"])
+
+    for batch in batches:
+        for _, _, raw, ends in B.blocks(batch, STEP):
+            h, tail, _, owner = _words(raw, ends)
+            _, found = words.find(h)
+            s = np.full(len(h) + len(ends), n + sizes.endings, np.int64)
+            s[np.arange(len(h)) + owner] = np.where(found >= 0, found, n + table[tail])
+            before = np.concatenate([[n + sizes.endings], s[:-1]])
+            right, left, none = before < n, s < n, (before >= n) & (s >= n)
+            held += [(before[right] + 1) * radix + s[right] * 2, (s[left] + 1) * radix + before[left] * 2 + 1, (before[none] - n) * m + s[none] - n]
+            size += len(raw)
+            if size > B.BLOCK - STEP:
+                yield put()
+                held, size, turn = [], 0, turn + 1
+    if held:
+        yield put()
+
+
 def neighbours(texts: DataFrame, words, n: int, sizes: Sizes) -> DataFrame:
     """w, piece, turn (``_turns``), seen: of each word in classes its neighbours, pairs of 32-bit numbers (2 * symbol + side, times); side 1 is before it.
 
     Symbols are the ``n`` words, the endings, the end. A neighbour stands once in a row. Frequent words come in pieces. The row of w = -1 holds
     pairs without a word in classes (symbol before * m + symbol after, m fixed symbols).
     """
-    m = sizes.endings + 1
-
     def run(batches):
-        table = ending_table(sizes.endings)
-        for turn, batch in enumerate(batches):
-            for a, _, raw, ends in B.blocks(batch):
-                h, tail, count, owner = _words(raw, ends)
-                _, found = words.value.find(h)
-                s = np.full(len(h) + len(ends), n + sizes.endings, np.int64)
-                s[np.arange(len(h)) + owner] = np.where(found >= 0, found, n + table[tail])
-                before = np.concatenate([[n + sizes.endings], s[:-1]])
-                right, left, none = before < n, s < n, (before >= n) & (s >= n)
-                w = np.concatenate([before[right], s[left], np.full(none.sum(), -1)])
-                code = np.concatenate([s[right] * 2, before[left] * 2 + 1, (before[none] - n) * m + s[none] - n])
-                key, times = np.unique((w + 1) * (2 * (n + m) + m * m) + code, return_counts=True)
-                w, code = np.divmod(key, 2 * (n + m) + m * m)
-                first = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
-                data = np.stack([code, times], axis=1).astype(np.int32)
-                offsets = np.append(first, len(w)) * 8
-                seen = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data.tobytes())])
-                w = w[first] - 1
-                piece = np.where(w < sizes.seed, (int(ends[-1]) + turn + a) % 64, 0)
-                yield pa.RecordBatch.from_arrays([pa.array(w), pa.array(piece, pa.int64()), seen], names=["w", "piece", "seen"])
-
+        return _neighbour_rows(batches, words.value, n, sizes)
     rows = texts.select(B.ended("text").alias("t")).mapInArrow(run, "w long, piece long, seen binary")
     return durable(rows.repartition("w", "piece").sortWithinPartitions("w", "piece").mapInArrow(_joined, "w long, piece long, turn long, seen binary"))
 
@@ -333,8 +346,8 @@ def _joined(batches):
         yield put(np.empty((0, 2), np.int64), b"", [], (last, summed([*parts, b""])))
 
 
-def _profiles(batch, label: np.ndarray, k: int, step: int = 1_000_000):
-    """Of words of a batch (w, counts to each class, counts from each class, pairs with itself), some at a time."""
+def _lists(batch, step: int):
+    """Of words of a batch (w, row of each pair, pairs of code and times), some words at a time."""
     w, lists = batch.column(0).to_numpy(), batch.column(1)
     if not len(w):
         return
@@ -344,11 +357,16 @@ def _profiles(batch, label: np.ndarray, k: int, step: int = 1_000_000):
     size = np.diff(place) // 2
     for a, b in B.ranges(size + 200, step):
         seen = flat[place[a]:place[b]].reshape(-1, 2)
-        row = np.repeat(np.arange(b - a), size[a:b])
+        yield w[a:b], np.repeat(np.arange(b - a), size[a:b]), seen
+
+
+def _profiles(batch, label: np.ndarray, k: int, step: int = 300_000):
+    """Of words of a batch (w, counts to each class, counts from each class, pairs with itself), some at a time."""
+    for w, row, seen in _lists(batch, step):
         code, side = seen[:, 0] >> 1, seen[:, 0] & 1
-        dense = np.bincount((row * 2 + side) * k + label[code], seen[:, 1], 2 * k * (b - a)).reshape(b - a, 2, k)
-        own = np.bincount(row, seen[:, 1] * ((side == 0) & (code == w[a:b][row])), b - a)
-        yield w[a:b], dense[:, 0], dense[:, 1], own
+        dense = np.bincount((row * 2 + side) * k + label[code], seen[:, 1], 2 * k * len(w)).reshape(len(w), 2, k)
+        own = np.bincount(row, seen[:, 1] * ((side == 0) & (code == w[row])), len(w))
+        yield w, dense[:, 0], dense[:, 1], own
 
 
 def class_counts(table: DataFrame, label: np.ndarray, n: int, sizes: Sizes) -> tuple[np.ndarray, np.ndarray]:
@@ -372,17 +390,59 @@ def class_counts(table: DataFrame, label: np.ndarray, n: int, sizes: Sizes) -> t
                 np.add.at(t, sent.value[w], right[:, :k])
                 q = w < seeds
                 np.add.at(profile, w[q], np.concatenate([right[q, :k], left[q, :k], own[q, None]], axis=1))
-        flat = np.concatenate([t.ravel(), profile.ravel()])
-        code = np.flatnonzero(flat)
-        for j in range(0, len(code), 100_000):
-            part = code[j:j + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(flat[part].astype(np.int64))], names=["code", "n"])
-    rows = table.select("w", "seen").mapInArrow(run, "code int, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
+        yield from _cells(t, profile)
+    return _both(table.select("w", "seen").mapInArrow(run, "code int, n long"), k, seeds)
+
+
+def _cells(t: np.ndarray, profile: np.ndarray):
+    """Rows (code, n) of what is not zero in the two, one after the other."""
+    flat = np.concatenate([t.ravel(), profile.ravel()])
+    code = np.flatnonzero(flat)
+    for j in range(0, len(code), 100_000):
+        part = code[j:j + 100_000]
+        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(flat[part].astype(np.int64))], names=["code", "n"])
+
+
+def _both(cells: DataFrame, k: int, seeds: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sums of what ``_cells`` of all tasks gives, in the driver."""
+    rows = cells.groupBy("code").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(k * k + seeds * (2 * k + 1))
     out[rows.column("code").to_numpy()] = rows.column("n").to_numpy()
     return out[:k * k].reshape(k, k), out[k * k:].reshape(seeds, 2 * k + 1)
 
 
+def count_changes(table: DataFrame, label: np.ndarray, new: np.ndarray, n: int, sizes: Sizes) -> tuple[np.ndarray, np.ndarray]:
+    """What ``class_counts`` of ``new`` has more than of ``label``; ``table`` needs to hold the words that differ only."""
+    k, spark = sizes.classes + sizes.endings + 1, table.sparkSession
+    seeds, sent = min(n, sizes.seed), spark.sparkContext.broadcast((label, new))
+
+    def run(batches):
+        old, now = sent.value
+        moved = old != now
+        t, right, left = np.zeros(k * k), np.zeros(seeds * k), np.zeros(seeds * k)
+        for batch in batches:
+            w = batch.column(0).to_numpy()
+            q = w >= 0
+            q[q] = moved[w[q]]
+            for w, row, seen in _lists(batch.filter(pa.array(q)), 300_000):
+                code, times = seen[:, 0] >> 1, seen[:, 1]
+                before = (seen[:, 0] & 1) == 1
+                was, is_ = old[w].astype(np.int64)[row], now[w].astype(np.int64)[row]
+                after = ~before
+                t -= np.bincount(was[after] * k + old[code[after]], times[after], k * k)
+                t += np.bincount(is_[after] * k + now[code[after]], times[after], k * k)
+                once = before & ~moved[code]  # a pair of two moved words stands in the list of the first one too
+                t -= np.bincount(old[code[once]] * np.int64(k) + was[once], times[once], k * k)
+                t += np.bincount(old[code[once]] * np.int64(k) + is_[once], times[once], k * k)
+                for side, profile in ((before, right), (after, left)):
+                    side = side & (code < seeds)
+                    at = code[side].astype(np.int64) * k
+                    profile -= np.bincount(at + was[side], times[side], seeds * k)
+                    profile += np.bincount(at + is_[side], times[side], seeds * k)
+        yield from _cells(t, np.concatenate([right.reshape(-1, k), left.reshape(-1, k), np.zeros((seeds, 1))], axis=1))
+    return _both(table.select("w", "seen").mapInArrow(run, "code int, n long"), k, seeds)
+
+
 def likelihood(t: np.ndarray) -> float:
     """Log likelihood of the class bigrams, without what does not depend on the classes."""
     return float(_xlogx(t).sum() - _xlogx(t.sum(0)).sum() - _xlogx(t.sum(1)).sum())
@@ -432,12 +492,12 @@ def exchange_all(table: DataFrame, label: np.ndarray, n: int, sizes: Sizes) -> t
                 w = batch.column(0).to_numpy()
                 ok = w >= len(seeds)
                 ok[ok] = picked.value[w[ok]]
-                for w, right, left, own in _profiles(batch.filter(pa.array(ok)), old, k, 100_000):
+                for w, right, left, own in _profiles(batch.filter(pa.array(ok)), old, k, 50_000):
                     new = best_class(matrix, right, left, own, old[w], sizes.classes)
                     q = new != old[w]
                     yield pa.RecordBatch.from_arrays([pa.array(w[q]), pa.array(new[q].astype(np.int64))], names=["w", "class"])
-        asked = table.filter((F.col("w") >= len(seeds)) & (F.pmod("turn", F.lit(parts)) == turn % parts)) if parts > 1 else table
-        moves = asked.select("w", "seen").mapInArrow(run, "w long, class long").toArrow()
+        mine = table.filter(F.pmod("turn", F.lit(parts)) == turn % parts) if parts > 1 else table
+        moves = mine.filter(F.col("w") >= len(seeds)).select("w", "seen").mapInArrow(run, "w long, class long").toArrow()
         new = label.copy()
         new[moves.column("w").to_numpy()] = moves.column("class").to_numpy()
         s = np.flatnonzero(may[:len(seeds)])
@@ -446,7 +506,7 @@ def exchange_all(table: DataFrame, label: np.ndarray, n: int, sizes: Sizes) -> t
         if (new == label).all():
             raised = 0.0
         else:
-            after = class_counts(table, new, n, sizes)
+            after = tuple(x + y for x, y in zip((t, seeds), count_changes(mine, label, new, n, sizes)))
             raised = (likelihood(after[0]) - likelihood(t)) / max(1.0, t.sum())
         if parts == 1:  # words that had no class of their own have one now
             if raised:
@@ -519,6 +579,7 @@ def fit(texts: DataFrame, sizes: Sizes = Sizes()) -> tuple[Model, DataFrame]:
         more = more[:, Lookup(h).find(more[0].view(np.uint64)) < 0]
         more = more[:, np.argsort(more[0].view(np.uint64))]
     words = Words(Lookup(h), n_head, more[0].view(np.uint64))
+    release_shuffles(texts.sparkSession)
     n_words, e = len(words), sizes.endings
     fixed = sizes.classes + np.arange(e + 1)
     times, end_of = np.concatenate([c[:n_head], more[1]]), np.concatenate([ending[:n_head], more[2]])
@@ -526,7 +587,10 @@ def fit(texts: DataFrame, sizes: Sizes = Sizes()) -> tuple[Model, DataFrame]:
     seeds = min(first, n_head)
     label[:seeds] = exchange(pair_counts(texts, h[:first], start), first, start)[:seeds]
     label = label.astype(np.int16)
-    label, t = exchange_all(neighbours(texts, ship(texts.sparkSession, words), n_words, sizes), label, n_words, sizes)
+    table = neighbours(texts, ship(texts.sparkSession, words), n_words, sizes)
+    label, t = exchange_all(table, label, n_words, sizes)
+    drop_stage(table)
+    release_shuffles(texts.sparkSession)
     k = len(t)
     own = (t.sum(0) + DELTA) / (t.sum() + DELTA * k)
     step = np.log10((t + ALPHA * own) / (t.sum(1, keepdims=True) + ALPHA))
@@ -547,6 +611,44 @@ def fit(texts: DataFrame, sizes: Sizes = Sizes()) -> tuple[Model, DataFrame]:
                  float(np.log10(n + DELTA * (v + 1))), n), counts
 
 
+def _scored_rows(batches, m: Model, names: list[str]):
+    """Rows of ``names`` for texts, the last column, after the row numbers: what is known of each text, then its words that are not in the head."""
+    table, own, words = ending_table(m.sizes.endings), len(names) - 7, Words(m.head, int((m.rank >= 0).sum()), m.more)
+    for batch in batches:
+        for a, b, raw, ends in B.blocks(batch, STEP):
+            h, tail, n, owner = _words(raw, ends)
+            found, word = words.find(h)
+            known = found >= 0
+            rank = np.where(known, word, -1)
+            symbol = np.where(rank >= 0, rank, m.slots + table[tail])
+            beyond = np.flatnonzero((word >= 0) & ~known)
+            symbol[beyond] = m.slots + m.sizes.endings + 1 + m.more_label[word[beyond] - words.n_head].astype(np.int64)
+            stream = np.full(len(h) + len(ends), len(m.label) - 1, np.int64)
+            stream[np.arange(len(h)) + owner] = symbol
+            cls = m.label[stream]
+            step = m.step[np.concatenate([[m.label[-1]], cls[:-1]]), cls]
+            texts = b - a
+            whose = np.repeat(np.arange(texts), n + 1)
+            logs = np.where(known, m.log_count[found] if len(m.log_count) else 0.0, 0.0)
+            base = np.bincount(owner, logs, texts) + m.log_end
+            total = np.bincount(whose, step + m.emit[stream], texts) + np.bincount(owner, np.where(rank < 0, logs, 0.0), texts)
+            part = batch.slice(a, texts)
+            row = part.column(batch.num_columns - 2)
+            n_known = np.bincount(owner[known], minlength=texts) + (1 if m.tokens else 0)
+            yield pa.RecordBatch.from_arrays([*[part.column(i) for i in range(own)], row, pa.array(n + 1, pa.int64()), pa.array(n_known, pa.int64()),
+                                              pa.array(base), pa.array(total), pa.nulls(texts, pa.int64()), pa.nulls(texts, pa.int64())], names=names)
+            # words that are not in the head: once per text, with their number
+            o, w = owner[~known], h[~known]
+            order = np.lexsort((w, o))
+            o, w = o[order], w[order]
+            first = np.flatnonzero(np.concatenate([[True], (o[1:] != o[:-1]) | (w[1:] != w[:-1])])) if len(o) else np.empty(0, np.int64)
+            times = np.diff(np.append(first, len(o)))
+            none = [pa.nulls(len(first), f.type) for f in batch.schema][:own]
+            yield pa.RecordBatch.from_arrays([*none, pa.array(row.to_numpy()[o[first]]), pa.nulls(len(first), pa.int64()), pa.nulls(len(first), pa.int64()),
+                                              pa.nulls(len(first), pa.float64()), pa.nulls(len(first), pa.float64()), pa.array(w[first].view(np.int64)), pa.array(times, pa.int64())],
+                                             names=names)
+
+
 def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
     """``docs`` without its text, with n_tokens, n_known, base_score and score (log10 probabilities) of each row.
 
@@ -555,46 +657,12 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
     """
     made = ("n_tokens", "n_known", "base_score", "score", "text", "__row", "__base", "__model", "__h", "__n")
     own = [f for f in docs.schema.fields if f.name not in made]
-    sizes, sent = model.sizes, ship(docs.sparkSession, model)
+    sent = ship(docs.sparkSession, model)
     names = [*[f.name for f in own], "__row", "n_tokens", "n_known", "__base", "__model", "__h", "__n"]
     schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in own], "__row long, n_tokens long, n_known long, __base double, __model double, __h long, __n long"])
 
     def run(batches):
-        table = ending_table(sizes.endings)
-        for batch in batches:
-            m = sent.value
-            for a, b, raw, ends in B.blocks(batch):
-                h, tail, n, owner = _words(raw, ends)
-                found, word = Words(m.head, int((m.rank >= 0).sum()), m.more).find(h)
-                known = found >= 0
-                rank = np.where(known, word, -1)
-                symbol = np.where(rank >= 0, rank, m.slots + table[tail])
-                beyond = np.flatnonzero((word >= 0) & ~known)
-                symbol[beyond] = m.slots + sizes.endings + 1 + m.more_label[word[beyond] - int((m.rank >= 0).sum())].astype(np.int64)
-                stream = np.full(len(h) + len(ends), len(m.label) - 1, np.int64)
-                stream[np.arange(len(h)) + owner] = symbol
-                cls = m.label[stream]
-                step = m.step[np.concatenate([[m.label[-1]], cls[:-1]]), cls]
-                texts = b - a
-                whose = np.repeat(np.arange(texts), n + 1)
-                logs = np.where(known, m.log_count[found] if len(m.log_count) else 0.0, 0.0)
-                base = np.bincount(owner, logs, texts) + m.log_end
-                total = np.bincount(whose, step + m.emit[stream], texts) + np.bincount(owner, np.where(rank < 0, logs, 0.0), texts)
-                part = batch.slice(a, texts)
-                row = part.column(batch.num_columns - 2)
-                n_known = np.bincount(owner[known], minlength=texts) + (1 if m.tokens else 0)
-                yield pa.RecordBatch.from_arrays([*[part.column(i) for i in range(len(own))], row, pa.array(n + 1, pa.int64()), pa.array(n_known, pa.int64()),
-                                                  pa.array(base), pa.array(total), pa.nulls(texts, pa.int64()), pa.nulls(texts, pa.int64())], names=names)
-                # words that are not in the head: once per text, with their number
-                o, w = owner[~known], h[~known]
-                order = np.lexsort((w, o))
-                o, w = o[order], w[order]
-                first = np.flatnonzero(np.concatenate([[True], (o[1:] != o[:-1]) | (w[1:] != w[:-1])])) if len(o) else np.empty(0, np.int64)
-                times = np.diff(np.append(first, len(o)))
-                none = [pa.nulls(len(first), f.type) for f in batch.schema][:len(own)]
-                yield pa.RecordBatch.from_arrays([*none, pa.array(row.to_numpy()[o[first]]), pa.nulls(len(first), pa.int64()), pa.nulls(len(first), pa.int64()),
-                                                  pa.nulls(len(first), pa.float64()), pa.nulls(len(first), pa.float64()), pa.array(w[first].view(np.int64)), pa.array(times, pa.int64())],
-                                                 names=names)
+        return _scored_rows(batches, sent.value, names)
 
     source = docs.select(*[F.col(f"`{f.name}`") for f in own], F.monotonically_increasing_id().alias("__row"), B.ended("text").alias("__t"))
     stored = durable(source.mapInArrow(run, schema))

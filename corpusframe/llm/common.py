@@ -9,7 +9,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusframe.settings import durable, release_shuffles, shared_folder  # noqa: F401
+from corpusframe.settings import drop_stage, durable, release_shuffles, shared_folder  # noqa: F401
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 

@@ -2,10 +2,12 @@
 
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -280,3 +282,42 @@ def test_neighbour_lists_of_a_batch_are_added_up_together(monkeypatch):
         assert {((row["w"], row["piece"]), code): n for row in out for code, n in np.frombuffer(row["seen"], np.int32).reshape(-1, 2).tolist()} == want
         assert size < 500 or len(calls) == 1  # not once a word
         assert all(row["turn"] == class_lm._turns(np.array([row["w"]]))[0] for row in out)
+
+
+def test_tasks_hold_little_besides_the_texts():
+    r = np.random.default_rng(2)
+    names = np.array([f"w{i}" for i in range(3000)])
+    texts = [" ".join(names[r.integers(0, 3000, 2000)]) + "\n" for _ in range(800)]
+    raw = np.frombuffer("\n".join(names).encode() + b"\n", np.uint8)
+    h = class_lm._words(raw, np.array([len(raw)]))[0]
+    sizes, n = class_lm.Sizes(), 2500
+    words, k = class_lm.Words(class_lm.Lookup(h[:2000]), 2000, np.sort(h[2000:n])), 97
+    model = class_lm.Model(sizes, words.head, np.ones(2000), np.arange(2000), words.more, np.zeros(500, np.int16), 2000, np.zeros(2000 + 48 + 1 + 48 + 1, np.int64),
+                           np.zeros((k, k)), np.zeros(2000 + 48 + 1 + 48 + 1), 0.0, 0.0, 1)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(800), pa.int64()), pa.array(texts)], names=["__row", "t"])
+    assert 8 << 20 < batch.nbytes < 16 << 20
+    columns = ["__row", "n_tokens", "n_known", "__base", "__model", "__h", "__n"]
+    for rows, limit in ((class_lm._neighbour_rows([batch], words, n, sizes), 80), (class_lm._scored_rows([batch], model, columns), 48)):
+        tracemalloc.start()
+        for _ in rows:
+            pass
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < limit << 20
+    lookup = class_lm.Lookup(r.integers(0, 2 ** 63, 100_000, dtype=np.uint64))
+    assert sum(t.nbytes for t in lookup.tables) < 4 << 20 and (lookup.find(lookup.keys) == np.arange(100_000)).all()
+
+
+def test_changes_of_counts_are_those_of_the_moved_words(spark):
+    rows = docs(spark, [prose(400, k, 60) for k in range(4)]).select("text")
+    sizes = class_lm.Sizes(classes=3, endings=2, head=10, seed=5)
+    h = np.sort(np.array([r.h for r in class_lm.word_counts(rows, sizes).collect() if r.n >= 5], np.int64).view(np.uint64))
+    n = len(h)
+    table = class_lm.neighbours(rows, spark.sparkContext.broadcast(class_lm.Words(class_lm.Lookup(h[:10]), 10, h[10:])), n, sizes)
+    label = np.concatenate([np.arange(n) % 5, [3, 4, 5]]).astype(np.int16)
+    new = label.copy()
+    new[:n:3] = (new[:n:3] + 1) % 3
+    new[1] = 2
+    mine = table.filter(F.col("w").isin(np.flatnonzero(new != label).tolist()))
+    for x, change, y in zip(class_lm.class_counts(table, label, n, sizes), class_lm.count_changes(mine, label, new, n, sizes), class_lm.class_counts(table, new, n, sizes)):
+        assert np.array_equal(x + change, y)
