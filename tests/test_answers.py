@@ -278,3 +278,20 @@ def test_search_tiles_give_few_candidates(monkeypatch):
     want = np.sort(q[:50] @ V._unit(c).T, axis=1)[:, :-6:-1]
     assert np.allclose(got[got.query_id < 50].similarity.to_numpy().reshape(50, 5), want)
     assert sum(len(x[0]) for x in made) < 3 * len(got)
+
+
+def test_overlap_join_opens_few_counts_in_a_task(spark):
+    words = ["abcdefg", "bcdefgh", "xyzabcdefg", "aaaaaaa", "q", None, "zzabcdefgzz"]
+    a = spark.createDataFrame([*enumerate(words * 3), (0, "bcdefgh"), (None, "abcdefg")], "id int, text string")
+    b = spark.createDataFrame([(100, "abcdefgh"), (101, "aaaaaabc"), (102, None), (101, "xyzab")], "id int, text string")
+    want = {}
+    for i, x in a.collect():
+        for j, y in b.collect():
+            want[i, j] = want.get((i, j), 0) + 5 * len(grams(x or "") & grams(y or ""))
+    want = sorted((str(i), j, c) for (i, j), c in want.items() if c > 5)
+    for kw in ({}, {"pairs": 4, "sent_grams": 3}):
+        got = Q.overlap_join(a, b, min_overlap=5, **kw)
+        assert sorted((str(r[0]), *r[1:]) for r in got.collect()) == want
+    few = Q.overlap_join(a, b, min_overlap=5, pairs=2)
+    plan = few._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(gram" not in plan and "hashpartitioning(left_id" in plan and few.rdd.getNumPartitions() == 23 * 4 // 2
