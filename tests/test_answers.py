@@ -1,8 +1,10 @@
 """Search, routing, evidence, evaluation, overlap: golden values and brute force."""
 
 import random
+import tracemalloc
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -295,3 +297,22 @@ def test_overlap_join_opens_few_counts_in_a_task(spark):
     few = Q.overlap_join(a, b, min_overlap=5, pairs=2)
     plan = few._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(gram" not in plan and "hashpartitioning(left_id" in plan and few.rdd.getNumPartitions() == 23 * 4 // 2
+
+
+def test_search_holds_few_pairs_of_rows_and_cells():
+    r, cells, dim = np.random.default_rng(0), 2048, 64
+    vectors = list(r.normal(size=(4000, dim)).astype(np.float32))
+    centres = V._unit(vectors[:cells])
+    index = V.Index.__new__(V.Index)
+    index.centres, index.dim, index.cell, index.radius, index.n, index.domain = centres, dim, np.arange(cells), np.full(cells, 3.0), np.full(cells, 20), [None] * cells
+    rows = pd.DataFrame({"chunk_id": np.arange(4000), "embedding": vectors})
+    asks = pd.DataFrame({"query_id": np.arange(400), "embedding": vectors[:400], "least": -1.0})
+    for step, most in ((V._assign(centres)([rows]), 4000), (index._visits(5, True, True)([asks]), 2_000_000 // dim)):
+        tracemalloc.start()
+        seen = [len(x) for x in step]
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 40 << 20 and max(seen) <= most
+    assert sum(seen) == 400 * (cells - 1)  # all but the cell that holds k rows, which the first phase visits
+    near = pd.concat(V._assign(centres)([rows]))
+    assert (near["__cell"].to_numpy() == (V._unit(vectors) @ centres.T).argmax(1)).all()
