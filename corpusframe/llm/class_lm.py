@@ -236,13 +236,18 @@ def summed(parts: list[bytes]) -> bytes:
 
 
 def _neighbour_rows(batches, words: Words, n: int, sizes: Sizes):
-    """w, piece, seen (see ``neighbours``) of texts, the last column; what ``B.BLOCK`` bytes of them hold is counted together."""
+    """w, piece, seen (see ``neighbours``) of texts, the last column; what about ``B.BLOCK`` bytes of them hold is counted together."""
     m, table = sizes.endings + 1, ending_table(sizes.endings)
     radix, held, size, turn = 2 * (n + m) + m * m, [], 0, 0
 
     def put():
-        key, times = np.unique(np.concatenate(held), return_counts=True)
-        w, code = np.divmod(key, radix)
+        key = np.concatenate(held)
+        held.clear()
+        key.sort()
+        at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        times = np.diff(np.append(at, len(key)))
+        w, code = np.divmod(key[at], radix)
+        del key, at
         first = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
         data = np.stack([code, times], axis=1).astype(np.int32)
         offsets = np.append(first, len(w)) * 8
@@ -261,7 +266,7 @@ def _neighbour_rows(batches, words: Words, n: int, sizes: Sizes):
             right, left, none = before < n, s < n, (before >= n) & (s >= n)
             held += [(before[right] + 1) * radix + s[right] * 2, (s[left] + 1) * radix + before[left] * 2 + 1, (before[none] - n) * m + s[none] - n]
             size += len(raw)
-            if size > B.BLOCK - STEP:
+            if size >= B.BLOCK:
                 yield put()
                 held, size, turn = [], 0, turn + 1
     if held:
