@@ -15,12 +15,14 @@ Texts with equal sets are one point. The tokens of a point are hashed into group
 
 In cells, each point is compared with the cell's most central point, then with the two most central ones.
 The links found make components. Then only cells with points of different components are searched: small ones pair by pair, large ones in blocks by
-an R-tree. Survivors of the bound are verified on the whole sets. No link between components is missed,
-and the pairs inside a component need not be looked at.
+an R-tree. Survivors of the bound are compared by sketches, the parity of their tokens in four to eight times
+as many groups as tokens: a group of other parity holds a token that one of the two sets lacks, so too many
+of them rule a link out. What is left, hardly more than the links, is verified on the whole sets. No link
+between components is missed, and the pairs inside a component need not be looked at.
 
 Equal copies collapse before anything is shuffled; a large group of near copies costs one comparison per
-member. Sets travel for candidates only, and once per pair. Words, shingles and sets are compared by
-64-bit hashes.
+member. Sets are made of one text each, and only of those that a pair asks for after the sketches. Words,
+shingles and sets are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -30,12 +32,12 @@ import sys
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusframe.llm import textblocks as B
-from corpusframe.llm.common import ascii_lower, durable, release_shuffles
+from corpusframe.llm.common import durable, release_shuffles
 from corpusframe.settings import drop_stage
 from corpusframe.llm.components import components
 
@@ -45,6 +47,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 DIMENSIONS = 64
 #: Largest count that a coordinate holds; it stands for itself and for every larger one.
 FULL = 65535
+#: Most groups of a sketch: 128 KB. Longer texts have fewer groups a token, which excludes less and never a link.
+GROUPS = 1 << 20
 #: Points of a cell that are compared pair by pair.
 SMALL = 48
 #: Leaders to a cell in each round of stars.
@@ -58,7 +62,8 @@ FILTER_BITS = 24
 
 
 def shingle_sets(raw: np.ndarray, ends: np.ndarray, width: int) -> list[np.ndarray]:
-    """Sorted distinct shingle hashes of each text; ``raw`` holds the texts in lower case, each with a line feed after it."""
+    """Sorted distinct shingle hashes of each text, A-Z lower-cased; ``raw`` holds the texts, each with a line feed after it."""
+    raw = B.LOWER[raw]
     start, size = B.spans(raw, B.NOT_SPACE)
     n, _ = B.word_counts(start, ends)
     h = B.hashes(raw, start, size)
@@ -93,6 +98,24 @@ def coordinates(tokens: np.ndarray, dimensions: int = DIMENSIONS) -> np.ndarray:
     return np.bincount((tokens % np.uint64(dimensions)).astype(np.int64), minlength=dimensions).clip(max=FULL).astype(np.uint16)
 
 
+def sketch(tokens: np.ndarray) -> bytes:
+    """Size of the set (64 bits), then the parity of its tokens in each of a power of two of groups, four to eight times as many as tokens."""
+    groups = min(GROUPS, max(64, 1 << (4 * len(tokens) - 1).bit_length()))
+    held = np.bincount((tokens & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
+    return len(tokens).to_bytes(8, "little") + np.packbits((held & 1).astype(np.uint8)).tobytes()
+
+
+def sketches_may_link(x, y, percent: int) -> bool:
+    """Whether the groups of different parity are no more than the tokens in which linked sets of these sizes may differ."""
+    n = int.from_bytes(x[:8], "little") + int.from_bytes(y[:8], "little")
+    a, b = (np.frombuffer(v, np.uint8, offset=8) for v in (x, y))
+    if len(a) < len(b):
+        a, b = b, a
+    while len(a) > len(b):  # the groups of a smaller power of two
+        a = a[:len(a) // 2] ^ a[len(a) // 2:]
+    return int(np.bitwise_count(a ^ b).sum(dtype=np.int64)) <= n - 2 * required(n, 0, percent)
+
+
 def _ladder(n: int) -> int:
     """Lower end of the size class of ``n``: a power of two."""
     return 1 << (n.bit_length() - 1)
@@ -129,52 +152,59 @@ def cells(tokens: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(out)
 
 
-def _sets(docs: DataFrame, width: int, finish, schema: str, text: str = "text") -> DataFrame:
-    """``finish(batch part, sets)`` gives the rows of a block of texts; the text is the last column."""
-    source = docs.select(*[c for c in docs.columns if c != text], ascii_lower(B.ended(text)).alias("__t"))
+def _key() -> Column:
+    """A row of documents by id and text."""
+    return F.xxhash64("doc_id", F.xxhash64("text")).alias("key")
+
+
+def _sets(docs: DataFrame, width: int, finish, schema: str, known=None) -> DataFrame:
+    """``finish(batch part, sets)`` gives the rows of a block of texts, of those whose key passes ``known`` if given; the text is the last column."""
+    source = docs.select(*[c for c in docs.columns if c != "text"], B.ended("text").alias("__t"))
 
     def run(batches):
         for batch in batches:
+            if known is not None:
+                batch = batch.filter(pa.array(B.passes(known.value, FILTER_BITS, batch.column("key").to_numpy())))
             for a, b, raw, ends in B.blocks(batch):
                 yield finish(batch.slice(a, b - a), shingle_sets(raw, ends, width))
     return source.mapInArrow(run, schema)
 
 
 def points(docs: DataFrame, width: int = 5) -> DataFrame:
-    """doc_id, row_hash (of the text), id, n, vector (``DIMENSIONS`` little-endian 16-bit counts) of every row of ``docs`` (doc_id, text)."""
+    """doc_id, row_hash (of the text), key (of id and text), id, n, vector (``DIMENSIONS`` little-endian 16-bit counts), sketch of every row of ``docs`` (doc_id, text)."""
     def finish(part, sets):
         return pa.RecordBatch.from_arrays([
-            part.column(0), part.column(1), pa.array([set_id(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
-            pa.array([coordinates(s).tobytes() for s in sets], pa.binary())], names=["doc_id", "row_hash", "id", "n", "vector"])
-    rows = docs.select("doc_id", F.xxhash64("text").alias("row_hash"), "text")
-    return _sets(rows, width, finish, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, row_hash long, id long, n long, vector binary")
+            *(part.column(k) for k in range(3)), pa.array([set_id(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
+            pa.array([coordinates(s).tobytes() for s in sets], pa.binary()), pa.array([sketch(s) for s in sets], pa.binary())],
+            names=["doc_id", "row_hash", "key", "id", "n", "vector", "sketch"])
+    rows = docs.select("doc_id", F.xxhash64("text").alias("row_hash"), _key(), "text")
+    return _sets(rows, width, finish, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, row_hash long, key long, id long, n long, vector binary, sketch binary")
 
 
 def _cell_rows(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """cell, id, n: each different set of a block once."""
+    """cell, id: each different set of a block once."""
     def finish(part, sets):
         once = {set_id(s): s for s in sets if len(s)}
         keys = [cells(s, percent) for s in once.values()]
-        m = [len(k) for k in keys]
         return pa.RecordBatch.from_arrays([
-            pa.array(np.concatenate(keys).view(np.int64) if keys else np.empty(0, np.int64)), pa.array(np.repeat(np.array(list(once), np.int64), m)),
-            pa.array(np.repeat(np.array([len(s) for s in once.values()], np.int64), m))], names=["cell", "id", "n"])
-    return _sets(docs.select("text"), width, finish, "cell long, id long, n long")
+            pa.array(np.concatenate(keys).view(np.int64) if keys else np.empty(0, np.int64)),
+            pa.array(np.repeat(np.array(list(once), np.int64), [len(k) for k in keys]))], names=["cell", "id"])
+    return _sets(docs.select("text"), width, finish, "cell long, id long")
 
 
 def shared_cells(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """cell, id, n of the cells with two points or more, each point of a cell once.
+    """cell, id of the cells with two points or more, each point of a cell once.
 
     Rows come sorted by cell and id, so a cell of any size passes through one row at a time.
     """
     def run(batches):
         first, out_before = None, False  # first row of the cell that may go on, and whether it was put out
         for batch in batches:
-            cell, i, n = (batch.column(k).to_numpy() for k in range(3))
+            cell, i = (batch.column(k).to_numpy() for k in range(2))
             if not len(cell):
                 continue
             if first is not None:
-                cell, i, n = (np.concatenate([[x], y]) for x, y in zip(first, (cell, i, n)))
+                cell, i = (np.concatenate([[x], y]) for x, y in zip(first, (cell, i)))
             new = np.concatenate([[True], cell[1:] != cell[:-1]])
             again = np.concatenate([[False], ~new[1:] & (i[1:] == i[:-1])])
             start = np.flatnonzero(new)
@@ -184,11 +214,11 @@ def shared_cells(docs: DataFrame, width: int, percent: int) -> DataFrame:
             out = np.repeat(many, np.diff(np.append(start, len(cell)))) & ~again
             if first is not None and out_before:
                 out[0] = False
-            yield pa.RecordBatch.from_arrays([pa.array(x[out]) for x in (cell, i, n)], names=["cell", "id", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(x[out]) for x in (cell, i)], names=["cell", "id"])
             # the last row stands for its cell: a further one is compared with it
-            first, out_before = (cell[-1], i[-1], n[-1]), bool(many[-1])
+            first, out_before = (cell[-1], i[-1]), bool(many[-1])
     rows = _cell_rows(docs, width, percent)
-    return rows.repartition("cell").sortWithinPartitions("cell", "id").mapInArrow(run, "cell long, id long, n long")
+    return rows.repartition("cell").sortWithinPartitions("cell", "id").mapInArrow(run, "cell long, id long")
 
 
 def _stars(rows: DataFrame, leaders: int, percent: int) -> DataFrame:
@@ -303,16 +333,15 @@ def _bounded(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-def _token_sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """id, tokens of the points in ``ids`` (id), and of few others."""
-    known = B.filter_of(ids, "id", FILTER_BITS)
+def _token_sets(docs: DataFrame, reps: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
+    """id, tokens of the points of ``pairs`` (a, b), and of few others, from one text of each; other texts are passed over unread."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id"))
+    known = B.filter_of(reps.select("id", "key").join(ids, "id", "left_semi"), "key", FILTER_BITS)
 
     def finish(part, sets):
         once = {set_id(s): s for s in sets if len(s)}
-        every = np.array(list(once), np.int64)
-        some = every[B.passes(known.value, FILTER_BITS, every)].tolist()
-        return pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([once[i].tobytes() for i in some], pa.binary())], names=["id", "tokens"])
-    return _sets(docs.select("text"), width, finish, "id long, tokens binary").dropDuplicates(["id"])
+        return pa.RecordBatch.from_arrays([pa.array(list(once), pa.int64()), pa.array([s.tobytes() for s in once.values()], pa.binary())], names=["id", "tokens"])
+    return _sets(docs.select(_key(), "text"), width, finish, "id long, tokens binary", known)
 
 
 def _asked(sets: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -325,26 +354,31 @@ def _asked(sets: DataFrame, pairs: DataFrame) -> DataFrame:
     return sets.select("id", "tokens").mapInArrow(run, "id long, tokens binary")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that link, compared on whole sets, as a stored table."""
+def _verified(pairs: DataFrame, docs: DataFrame, every: DataFrame, reps: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs (a, b) that link, compared by sketches and then on whole sets, as a stored table."""
     pairs = durable(pairs)
-    links = durable(_compared(pairs, _asked(sets, pairs), percent))
+    sketches = _asked(every.select("id", F.col("sketch").alias("tokens")), pairs).dropDuplicates(["id"])
+    near = durable(_compared(pairs, sketches, percent, sketches_may_link))
     drop_stage(pairs)
-    release_shuffles(sets.sparkSession)
+    links = durable(_compared(near, _asked(_token_sets(docs, reps, near, width), near).dropDuplicates(["id"]), percent))
+    drop_stage(near)
+    release_shuffles(docs.sparkSession)
     return links
 
 
-def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _sets_link(x, y, percent: int) -> bool:
+    s, t = (np.frombuffer(v, np.uint64) for v in (x, y))
+    return 100 * (m := len(np.intersect1d(s, t, assume_unique=True))) >= percent * (len(s) + len(t) - m)
+
+
+def _compared(pairs: DataFrame, sets: DataFrame, percent: int, links=_sets_link) -> DataFrame:
+    """The pairs (a, b) for whose sets (id, tokens) ``links`` holds."""
     side = lambda x: sets.select(F.col("id").alias(x), F.col("tokens").alias(f"t_{x}"))
     both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "t_a", "t_b")
 
     def run(batches):
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                s, t = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                keep.append(100 * (m := len(np.intersect1d(s, t, assume_unique=True))) >= percent * (len(s) + len(t) - m))
-            keep = pa.array(keep, pa.bool_())
+            keep = pa.array([links(x.as_buffer(), y.as_buffer(), percent) for x, y in zip(batch.column(2), batch.column(3))], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
     return both.mapInArrow(run, "a long, b long")
 
@@ -446,29 +480,28 @@ def _large_cells(rows: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
 def _labelled(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """doc_id, row_hash, id, n, label of every row of ``docs`` (doc_id, text): rows of one label reach each other by links; null without words."""
     every = durable(points(docs, width))
-    reps = durable(every.filter("n > 0").groupBy("id").agg(F.first("n").alias("n"), F.first("vector").alias("vector")))
+    reps = durable(every.filter("n > 0").groupBy("id").agg(F.first("n").alias("n"), F.first("vector").alias("vector"), F.min("key").alias("key")))
     shared = durable(shared_cells(docs, width, percent))
     release_shuffles(docs.sparkSession)
-    sets = durable(_token_sets(docs, shared.select("id").distinct(), width))
-    release_shuffles(docs.sparkSession)
     # a point with much company in its cells is central: the unedited text of a group
     company = shared.groupBy("cell").agg(F.count("*").alias("m"))
-    central = shared.join(company, "cell").groupBy("id").agg(F.sum("m").alias("score"))
+    central = shared.join(company, "cell").groupBy("id").agg(F.sum("m").alias("score")).join(reps.select("id", "n"), "id")
     scored = durable(shared.join(central, "id"))
     drop_stage(shared)
+    verified = lambda found: _verified(found, docs, every, reps, width, percent)
     links, labels, rows = None, None, scored.withColumn("label", F.col("id"))
     for leaders in STARS:
-        found = _verified(_bounded(_stars(rows, leaders, percent), reps, percent), sets, percent)
+        found = verified(_bounded(_stars(rows, leaders, percent), reps, percent))
         links = found if links is None else links.unionByName(found)
         labels = durable(components(links, "a", "b").withColumnRenamed("node", "id"))
         rows = scored.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
     crossing = durable(_across(rows))
     pairs = _bounded(crossing.filter("b is not null").select("a", "b").distinct(), reps, percent).unionByName(
         _large_cells(crossing.filter("b is null"), reps, percent)).distinct()
-    links = links.unionByName(_verified(pairs, sets, percent))
+    links = links.unionByName(verified(pairs))
     labels = components(links, "a", "b").withColumnRenamed("node", "id")
     joined = durable(every.select("doc_id", "row_hash", "id", "n").join(labels, "id", "left").withColumn("label", F.when(F.col("n") > 0, F.coalesce("label", "id"))))
-    for stage in (scored, sets, crossing, reps, every):
+    for stage in (scored, crossing, reps, every):
         drop_stage(stage)
     return joined
 

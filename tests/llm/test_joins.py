@@ -259,3 +259,50 @@ def test_shuffles_of_written_steps_leave_the_disk(spark):
     while made & files() and time.time() < until:
         time.sleep(0.2)
     assert made and not made & files()
+
+
+def test_sketches_exclude_near_misses_and_no_link(monkeypatch):
+    r = np.random.default_rng(3)
+    for groups in (shingle_join.GROUPS, 256):  # with fewer groups than tokens, too
+        monkeypatch.setattr(shingle_join, "GROUPS", groups)
+        for n in (1, 2, 7, 40, 64, 127, 130, 400, 1000, 1030, 5000):
+            kept = []
+            for j in (1.0, 0.95, 0.86, 0.8, 0.79, 0.7, 0.4, 0.0):
+                m = int(round(2 * n * j / (1 + j)))
+                for more in (0, n // 5):
+                    a, b = r.integers(0, 2 ** 63, n, dtype=np.uint64), r.integers(0, 2 ** 63, n + more, dtype=np.uint64)
+                    b[:m] = a[:m]
+                    m_both = len(np.intersect1d(a, b))
+                    x, y = shingle_join.sketch(a), shingle_join.sketch(b)
+                    may = shingle_join.sketches_may_link(x, y, 80)
+                    assert may == shingle_join.sketches_may_link(y, x, 80)
+                    assert may or 100 * m_both < 80 * (len(a) + len(b) - m_both)
+                    kept.append((j, may))
+            if groups > 256 and n >= 400:
+                assert not any(may for j, may in kept if j <= 0.7)
+
+
+def test_near_misses_are_ruled_out_without_their_sets(spark, monkeypatch):
+    base = prose(400, 21, 5000)
+    rows = docs(spark, [base] + [edited(base, 0.035, 900 + k) for k in range(40)] + [edited(base, 0.004, 7)])
+    want = classes([(r.doc_id, r.text) for r in rows.collect()])
+    assert len(set(want.values())) > 35
+    compared, plain = [], shingle_join._compared
+
+    def counted(pairs, sets, *rest):
+        if not any(f is getattr(shingle_join, "sketches_may_link", None) for f in rest):
+            compared.append(pairs.count())
+        return plain(pairs, sets, *rest)
+    monkeypatch.setattr(shingle_join, "_compared", counted)
+    assert {r.doc_id: r.component_id for r in shingle_join.link_classes(rows).collect() if r.doc_id is not None} == want
+    assert len(compared) == 3 and sum(compared) < 10, compared
+
+
+def test_sets_are_made_of_one_text_of_each_point(spark):
+    a, b, c = prose(60, 1, 3000), prose(60, 2, 3000), prose(60, 3, 3000)
+    rows = docs(spark, [a] * 30 + [a.upper()] * 30 + [b, c]).select("doc_id", "text")
+    every = shingle_join.points(rows)
+    reps = every.groupBy("id").agg(F.min("key").alias("key"))
+    a, b = (every.filter(f"doc_id = {k}").head().id for k in (5, 60))
+    pairs = spark.createDataFrame([(min(a, b), max(a, b))], "a long, b long")
+    assert sorted(r.id for r in shingle_join._token_sets(rows, reps, pairs, 5).collect()) == sorted([a, b])
