@@ -108,17 +108,22 @@ class Source:
         return data if isinstance(data, Source) else Source(pa.BufferReader(data))
 
     def some(self, at: int, most: int = SLICE) -> bytes:
-        """Up to ``most`` bytes from ``at`` on; none at the end."""
+        """Up to ``most`` bytes from ``at`` on, as many as the piece that is held has; none at the end."""
         i = at - self.start
         if not 0 <= i < len(self.held):
             self.file.seek(min(at, self.size))
             self.start, self.held, i = at, self.file.read(READ), 0
         return self.held[i:i + most]
 
-    def need(self, at: int, n: int) -> bytes:
+    def ahead(self, at: int, n: int) -> bytes:
+        """``n`` bytes from ``at`` on, also where they lie in two pieces; fewer at the end of the archive only."""
         out = b""
         while len(out) < n and (more := self.some(at + len(out), n - len(out))):
             out += more
+        return out
+
+    def need(self, at: int, n: int) -> bytes:
+        out = self.ahead(at, n)
         if len(out) < n:
             raise ValueError(f"the archive ends inside the gzip header at byte {at}")
         return out
@@ -218,7 +223,7 @@ class Member(Text):
     def __init__(self, data, at: int):
         super().__init__()
         source = Source.of(data)
-        if source.some(at, 3) != b"\x1f\x8b\x08":
+        if source.ahead(at, 3) != b"\x1f\x8b\x08":
             raise ValueError(f"no gzip member at byte {at}")
         self.source, self.at, self.size, self.full = source, at, None, None
         flags, body = source.need(at, 10)[3], at + 10
@@ -301,7 +306,7 @@ def parse(data, wanted, with_payload: bool, verify: bool):
     """
     source, at = Source.of(data), 0
     while at < source.size:
-        text = Member(source, at) if source.some(at, 2) == b"\x1f\x8b" else Plain(source, at)
+        text = Member(source, at) if source.ahead(at, 2) == b"\x1f\x8b" else Plain(source, at)
         yield from records(text, wanted, with_payload, verify)
         at = text.next()
 

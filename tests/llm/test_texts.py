@@ -232,6 +232,16 @@ def test_archives_are_read_in_pieces_once_and_skipped_payloads_not_at_all():
     assert sum(1 for _ in warc.parse(warc.Source(small), lambda r: True, True, False)) == 4000 and small.read_bytes <= 1.1 * len(small.data)
 
 
+@pytest.mark.parametrize("layout", LAYOUTS)
+def test_records_may_begin_anywhere_in_a_piece(layout, monkeypatch):
+    records, want = foreign_records(3)
+    data = LAYOUTS[layout](records[:6])
+    for size in range(1, 40):
+        monkeypatch.setattr(warc, "READ", len(LAYOUTS[layout](records[:3])) + size - 20)
+        got = {r["record_id"]: (r["record_type"], r["payload"]) for r in warc.parse(data, lambda r: True, True, True)}
+        assert len(got) == 6 and got.items() <= want.items()
+
+
 def test_warc_folders_of_other_tools(spark):
     warc.register(spark)
     records, want = foreign_records(6)
