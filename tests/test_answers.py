@@ -316,3 +316,34 @@ def test_search_holds_few_pairs_of_rows_and_cells():
     assert sum(seen) == 400 * (cells - 1)  # all but the cell that holds k rows, which the first phase visits
     near = pd.concat(V._assign(centres)([rows]))
     assert (near["__cell"].to_numpy() == (V._unit(vectors) @ centres.T).argmax(1)).all()
+
+
+def test_search_in_rounds_and_blocks_misses_nothing(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    v = np.concatenate([rng.normal(size=(230, 6)), np.zeros((2, 6)), np.ones((8, 6))])
+    unit = v / np.where(np.linalg.norm(v, axis=1, keepdims=True) > 0, np.linalg.norm(v, axis=1, keepdims=True), 1)
+    cd = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "chunk_id long, embedding array<double>")
+    for name, value in (("ROUND_NUMBERS", 6 * 100), ("LEAST_BLOCK", 6 * 20), ("CELL_NUMBERS", 6 * 40), ("QUERY_NUMBERS", 6 * 25)):
+        monkeypatch.setattr(V, name, value)
+    for cells in (None, 3):
+        got = {}
+        for r in V.knn(cd.withColumnRenamed("chunk_id", "query_id"), cd, 5, query_numbers=6 * 7, cell_numbers=6 * 11, cells=cells).orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append((r.rank, r.chunk_id))
+        assert len(got) == len(v)
+        for i, x in enumerate(unit):
+            s = np.round(unit @ x, 12)
+            mine = [j for _, j in got[i]]
+            assert [k for k, _ in got[i]] == [1, 2, 3, 4, 5] and np.allclose(s[mine], np.sort(s)[::-1][:5])
+
+
+def test_search_moves_few_copies_however_little_is_compared_at_once(spark):
+    rng = np.random.default_rng(3)
+    cd = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(rng.normal(size=(3000, 4)))], "chunk_id long, embedding array<double>")
+    index = V.Index(cd, cells=12, numbers=4 * 30)
+    # a query moves once to a block of cells, not once to each 30 rows
+    assert sum(index.parts) <= V.ROW_BLOCKS and len(index.block) == 12
+    asks = pd.DataFrame({"query_id": range(3000), "embedding": list(rng.normal(size=(3000, 4))), "least": -1.0})
+    moved = pd.concat(index._visits(5, True, True)([asks]))
+    assert not moved.duplicated(["query_id", "__block"]).any() and len(moved) <= 3000 * sum(index.parts)
+    cells = sum(np.unpackbits(np.frombuffer(x, np.uint8)).sum() for x in moved["cells"])
+    assert cells > len(moved)
