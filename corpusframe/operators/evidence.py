@@ -93,10 +93,11 @@ def source_block_short(hits: DataFrame) -> DataFrame:
 def context(queries: DataFrame, blocks: DataFrame, max_chars: int = MAX_CONTEXT) -> DataFrame:
     """Blocks in rank order while they fit; the first that does not is cut if enough room is left."""
     w = W.partitionBy("query_id").orderBy("rank").rowsBetween(W.unboundedPreceding, 0)
-    b = blocks.select("query_id", "rank", "block").withColumn("__sum", F.sum(F.length("block")).over(w))
-    before = F.col("__sum") - F.length("block")
+    # of a block no more than the context can hold has to move
+    b = blocks.select("query_id", "rank", F.substring("block", 1, max_chars).alias("block"), F.length("block").alias("__n")).withColumn("__sum", F.sum("__n").over(w))
+    before = F.col("__sum") - F.col("__n")
     room = F.lit(max_chars) - before
-    cut = F.concat(F.expr(f"substring(block, 1, cast({max_chars} - (__sum - length(block)) as int))"), F.lit("\n[TRUNCATED]"))
+    cut = F.concat(F.expr(f"substring(block, 1, cast({max_chars} - (__sum - __n) as int))"), F.lit("\n[TRUNCATED]"))
     piece = F.when(F.col("__sum") <= max_chars, F.col("block")).when((room > MIN_REMAINDER), cut)
     kept = b.filter(before <= max_chars).withColumn("piece", piece).filter("piece IS NOT NULL")
     # only the first overflowing block may be cut: every later one starts beyond the limit

@@ -347,3 +347,19 @@ def test_search_moves_few_copies_however_little_is_compared_at_once(spark):
     assert not moved.duplicated(["query_id", "__block"]).any() and len(moved) <= 3000 * sum(index.parts)
     cells = sum(np.unpackbits(np.frombuffer(x, np.uint8)).sum() for x in moved["cells"])
     assert cells > len(moved)
+
+
+EVERY_VECTOR = ["search_results", "relevance", "decide", "dedupe_evidence", "source_block", "source_block_short", "context", "source_list", "citations", "prompt_table",
+                "hit_at_k", "cross_language_rate", "score_stats", "per_domain_per_language"]
+
+
+def test_evidence_and_evaluation_ask_with_every_vector(spark):
+    from corpusframe.plans import catalog
+    sf = "/root/testdata/sf0.001"
+    n = spark.read.parquet(f"{sf}/embeddings.parquet").count()
+    assert not [name for name in EVERY_VECTOR if "% 20" in catalog.ORACLES[name] or "// 200" in catalog.ORACLES[name]]
+    assert catalog.QUERIES["hit_at_k"](spark, sf).first()["queries"] == n
+    for name in ("decide", "source_list"):
+        assert catalog.QUERIES[name](spark, sf).select("query_id").distinct().count() == n
+    routes = catalog.QUERIES["dedupe_evidence"](spark, sf)
+    assert routes.select("query_id", "route_ord").distinct().count() > 0.9 * n
