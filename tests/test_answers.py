@@ -363,3 +363,20 @@ def test_evidence_and_evaluation_ask_with_every_vector(spark):
         assert catalog.QUERIES[name](spark, sf).select("query_id").distinct().count() == n
     routes = catalog.QUERIES["dedupe_evidence"](spark, sf)
     assert routes.select("query_id", "route_ord").distinct().count() > 0.9 * n
+
+
+def test_overlap_of_a_small_table_is_cut_into_many_tasks(spark):
+    from corpusframe.operators import gramtiles
+    rng = random.Random(5)
+    rows = [((i, "section"), " ".join(rng.choices(["alpha", "beta", "gamma", "delta"], k=12)), i % 4, False) for i in range(40)]
+    df = spark.createDataFrame(rows, "key struct<doc_id: int, kind: string>, text string, doc int, spread boolean")
+    many = gramtiles.shared_grams(df, 2_500_000, 5, 21)
+    got = {(r.a.doc_id, r.b.doc_id): r.shared for r in many.collect()}
+    want = {(x[0][0], y[0][0]): n for x in rows for y in rows if x[0] < y[0] and x[2] != y[2] and (n := len(grams(x[1]) & grams(y[1]))) >= 21}
+    assert got == want and len(want) > 50
+    assert many.rdd.getNumPartitions() == 2 * 55
+    r = np.random.default_rng(0)
+    row, gram = np.sort(r.integers(0, 9, 500)), r.integers(0, 40, 500)
+    for far in (1, 2 ** 57):  # one number holds row and gram, or not
+        a, b = gramtiles._distinct(row, gram * far)
+        assert sorted(set(zip(row.tolist(), (gram * far).tolist()))) == list(zip(a.tolist(), b.tolist()))
